@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lacuna.llm import mixing, simhash
+from lacuna.llm import fertility, mixing, pieces, pii, simhash
 
-QUERIES = {f.__name__: f for f in (mixing.op5_curriculum_mix, simhash.op6_simhash_balls)}
+QUERIES = {f.__name__: f for f in (pii.op3_bilstm_crf, fertility.op4_token_fertility, mixing.op5_curriculum_mix, simhash.op6_simhash_balls, pieces.op9_streaming_viterbi)}
 
 ORACLES = {"op5_curriculum_mix": mixing.ORACLE}
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
