@@ -77,8 +77,13 @@ _SCRIPTS = [
 ]
 
 
+_ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+
+
 def script_of(text: str) -> str:
     """The script with most letters; "other" for letters of none of these, "none" without letters."""
+    if 2 * int(_ASCII_LETTER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].sum()) > len(text):
+        return "latin"
     latin = sum(map(len, _SCRIPTS[0][1].findall(text)))
     if 2 * latin > len(text):
         return "latin"
@@ -127,13 +132,12 @@ class Fertility:
             if end < len(text):
                 end = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
                 end = end if end > at else min(len(text), at + 200_000)
-            ids.append(self.encoding.encode_to_numpy(text[at:end], disallowed_special=()) if hasattr(self.encoding, "encode_to_numpy") else np.array(self.encoding.encode_ordinary(text[at:end])))
+            ids.append(np.array(self.encoding.encode_ordinary(text[at:end]), np.int32))
             at = end
         if not ids:
             return 0, None, None, None
-        tokens = np.concatenate(ids).astype(np.int64)
-        n = np.bincount(tokens)
-        n = n[n > 0] if len(n) < 4 * len(tokens) else np.unique(tokens, return_counts=True)[1]
+        tokens = np.sort(np.concatenate(ids))
+        n = np.diff(np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])))
         total = len(tokens)
         entropy = float(-(n / total * np.log2(n / total)).sum()) / math.log2(total) if total > 1 else 1.0
         return total, len(text) / total, float(self.partial[tokens].mean()), abs(entropy)
@@ -143,17 +147,17 @@ def repeat_words(words: list[str], k: int = WINDOW) -> int:
     """Words that stand in a k-word window found twice or more in the text."""
     if len(words) <= k:
         return 0
-    known: dict[str, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    ids = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
     with np.errstate(over="ignore"):
         mixed = np.zeros(len(words) - k + 1, np.uint64)
         for i in range(k):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + ids[i : len(words) - k + 1 + i].astype(np.uint64)
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + ids[i : len(words) - k + 1 + i]
     mixed.sort()
     if not (mixed[1:] == mixed[:-1]).any():
         return 0  # windows with different hashes differ
     # names of windows by doubling: each name is exact, no hashes
-    width, names = 1, ids
+    known: dict[str, int] = {}
+    width, names = 1, np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
     while width < k:
         step = min(width, k - width)
         pair = names[: len(names) - step] * (int(names.max()) + 1) + names[step:]

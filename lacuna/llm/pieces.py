@@ -6,9 +6,9 @@ a backpointer within a window of the longest piece's length. Whenever the paths
 boundary, the ids up to it are final: they are committed and the window moves on, so memory is bounded by the distance
 between such boundaries and not by the text.
 
-A boundary before a meta space that follows another character is crossed by no piece of the vocabulary (checked when it
-is loaded): there all paths converge without looking. The stretches between such boundaries are remembered, as most
-texts repeat them; a stretch of any length is encoded by the same pass.
+Between two characters that stand side by side in no piece, and before a meta space that follows another character (where
+the vocabulary has no piece across it, which is checked), all paths converge without looking. The stretches between such
+boundaries are remembered, as texts repeat them; a stretch of any length is encoded by the same pass.
 
 The scores of a model of merges are ranks, not log probabilities: pieces merged earlier score higher. The model's scores
 are used as they are, so ids are those of the best path and may differ from those of greedy merging. Decoding gives the text
@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from importlib.util import find_spec
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 META = "▁"
+_STRETCH = re.compile(" *[^ ]+| +")
 #: Stretches remembered by a worker; when they are full they are forgotten and gathered anew.
 REMEMBERED = 1_000_000
 
@@ -63,8 +66,16 @@ class Pieces:
         #: A character by bytes is worse than any path of pieces over the same window.
         self.by_bytes = min(self.score.values()) * (self.longest + 1) - 1.0
         self.cuts = not any(META in w.lstrip(META) for w in self.id_of)
-        self.prefixes = {w[:k] for w in self.id_of for k in range(1, len(w) + 1)}
+        self.trie: dict = {}  # by character; at 0 the score and the id of the piece that ends there
+        for w, i in self.id_of.items():
+            node = self.trie
+            for c in w:
+                node = node.setdefault(c, {})
+            node[0] = self.score[w], i
+        self.text = [b"" if p.is_control(i) or p.is_unknown(i) else bytes([self.byte_of[i]]) if i in self.byte_of else w.replace(META, " ").encode("utf-8") for i, w in enumerate(self.piece)]
+        self.pairs = {w[i : i + 2] for w in self.id_of for i in range(len(w) - 1)}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def at(cls, path: str) -> "Pieces":
@@ -137,57 +148,61 @@ class Pieces:
     def short(self, s: str) -> tuple[int, ...]:
         """The ids of a short stretch by the same recurrence over the whole of it, extending only what begins a piece."""
         n = len(s)
-        best, back = [0.0] + [None] * n, [0] * (n + 1)
-        score, prefixes, longest = self.score, self.prefixes, self.longest
+        best, back, last = [0.0] + [None] * n, [0] * (n + 1), [-1] * (n + 1)
         for a in range(n):
             here = best[a]
-            if best[a + 1] is None or here + self.by_bytes >= best[a + 1]:
-                best[a + 1], back[a + 1] = here + self.by_bytes, a
-            for b in range(a + 1, min(n, a + longest) + 1):
-                w = s[a:b]
-                if w not in prefixes:
+            x = here + self.by_bytes
+            if best[a + 1] is None or x >= best[a + 1]:
+                best[a + 1], back[a + 1], last[a + 1] = x, a, -1
+            node = self.trie
+            for b in range(a + 1, n + 1):
+                node = node.get(s[b - 1])
+                if node is None:
                     break
-                x = score.get(w)
-                if x is not None and (best[b] is None or here + x >= best[b]):  # of equal paths the one with the shorter last piece
-                    best[b], back[b] = here + x, a
-        return tuple(self._path(s, back, n))
+                piece = node.get(0)
+                if piece is not None:
+                    x = here + piece[0]
+                    if best[b] is None or x >= best[b]:  # of equal paths the one with the shorter last piece
+                        best[b], back[b], last[b] = x, a, piece[1]
+        out: list[int] = []
+        while n:
+            if last[n] < 0:
+                out += self._ids(s[n - 1], False)[::-1]
+            else:
+                out.append(last[n])
+            n = back[n]
+        return tuple(out[::-1])
+
+    def _learn(self, stretch: str) -> tuple[int, ...]:
+        if len(stretch) > 64 or META in stretch:
+            return tuple(self.stream(self._chars(stretch)))
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        s, pairs, parts = stretch.replace(" ", META), self.pairs, self.parts
+        ids: tuple[int, ...] = ()
+        at, n = 0, len(s)
+        for i in range(1, n + 1):
+            if i == n or s[i - 1 : i + 1] not in pairs:  # no piece crosses this boundary either
+                part = s[at:i]
+                found = parts.get(part)
+                if found is None:
+                    if len(parts) >= REMEMBERED:
+                        parts.clear()
+                    found = parts[part] = self.short(part)
+                ids += found
+                at = i
+        self.known[stretch] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
         if not self.cuts:
             return list(self.stream(self._chars(text)))
-        known = self.known
+        get = self.known.get
         # a stretch is a run of spaces and the characters up to the next space
-        at, n = 0, len(text)
-        find = text.find
-        while at < n:
-            start = at
-            while start < n and text[start] == " ":
-                start += 1
-            end = find(" ", start)
-            end = n if end < 0 else end
-            stretch = text[at:end]
-            ids = known.get(stretch)
-            if ids is None:
-                plain = len(stretch) <= 64 and META not in stretch
-                ids = self.short(stretch.replace(" ", META)) if plain else tuple(self.stream(self._chars(stretch)))
-                if plain:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[stretch] = ids
-            out += ids
-            at = end
-        return out
+        return list(chain.from_iterable(get(x) or self._learn(x) for x in _STRETCH.findall(text)))
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is None:
-                out += self.piece[i].replace(META, " ").encode("utf-8")
-            else:
-                out.append(b)
-        return out.decode("utf-8", "surrogatepass")
+        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
