@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from lacuna.llm import fertility, mixing, pieces, pii, simhash
-
-QUERIES = {f.__name__: f for f in (pii.op3_bilstm_crf, fertility.op4_token_fertility, mixing.op5_curriculum_mix, simhash.op6_simhash_balls, pieces.op9_streaming_viterbi)}
+from lacuna.llm import fertility, html, mixing, pieces, pii, ranking, simhash, toxicity
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        pii.op3_bilstm_crf,
+        fertility.op4_token_fertility,
+        mixing.op5_curriculum_mix,
+        simhash.op6_simhash_balls,
+        toxicity.op7_subsequence_svm,
+        ranking.op8_bradley_terry,
+        pieces.op9_streaming_viterbi,
+        html.op10_site_templates,
+    )
+}
 
 ORACLES = {"op5_curriculum_mix": mixing.ORACLE}
 
