@@ -13,7 +13,8 @@ hardly any clean sentence has, clean sentences by all their words, of which thos
 kept as one table of weights over subsequences, so scoring a word needs no landmark.
 
 A sentence scores as its most toxic word, a text as its most toxic sentence; a logistic curve fitted on the labelled texts makes that a
-probability; it is shifted so that THRESHOLD falls on the score that divides them with the fewest errors. Four or more single letters with a space between each are read as one word more.
+probability; it is shifted so that THRESHOLD falls on 0.6 of the
+score of the words that hardly any clean sentence has, or, where there are none, on the score that divides the texts best. Four or more single letters with a space between each are read as one word more.
 
 Cases. Null or empty texts and those without letters have no words and get the score of the least toxic. Texts of any
 length are read whole. Repeated rows get one score. If no label is positive or none negative, every score is the share of positives.
@@ -225,11 +226,11 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, threshold: floa
     top = np.array([max((scores[w] for s in sentences for w in s), default=LEAST) for sentences, _ in bags], float)
     top, y = np.clip(top, LEAST, None), np.array([y for _, y in bags])
     model.slope, _ = _logistic(top, y.astype(float))
-    # the cut with the fewest examples on the wrong side, a tenth of the way from the last clean text below it to the next
-    cuts = np.unique(top)
-    wrong = [(y[top <= c] == 1).sum() + (y[top > c] == 0).sum() for c in cuts]
-    at = int(np.argmin(wrong))
-    cut = cuts[at] + 0.1 * (cuts[min(at + 1, len(cuts) - 1)] - cuts[at])
+    if pure:  # words that are surely insults tell how far their variants may be from them
+        cut = 0.6 * float(np.median([scores[w] for w in pure]))
+    else:  # the cut with the fewest examples on the wrong side
+        cuts = np.unique(top)
+        cut = float(cuts[int(np.argmin([(y[top <= c] == 1).sum() + (y[top > c] == 0).sum() for c in cuts]))]) + 1e-6
     model.offset = float(np.log(threshold / (1 - threshold)) - model.slope * cut)
     return model
 
