@@ -413,3 +413,229 @@ def backtest_links(spark, d):
 @query(_BT + " SELECT a, count(*) AS pool_size, count(*) FILTER (novel_as_of_split) AS n_novel_in_pool, count(*) FILTER (chosen) AS n_links, count(*) FILTER (chosen AND emerged) AS n_hits, CASE WHEN count(*) FILTER (chosen) = 0 THEN 0 ELSE (count(*) FILTER (chosen AND emerged))::DOUBLE / count(*) FILTER (chosen) END AS precision_at_k FROM picked GROUP BY a")
 def backtest_summary(spark, d):
     return backtest.backtest_summary(backtested(spark, d))
+
+
+# --- names and texts ----------------------------------------------------------------------------------------------
+
+
+def part_names(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+
+
+_GRAMS = "list_distinct(CASE WHEN length({s}) = 0 THEN []::VARCHAR[] WHEN length({s}) < 3 THEN [{s}] ELSE list_transform(range(1, length({s}) - 1), lambda i: substr({s}, i, 3)) END)"
+_PART_GRAMS = f"g AS MATERIALIZED (SELECT name, {_GRAMS.format(s='s')} AS g FROM (SELECT DISTINCT p_name AS name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS s FROM part))"
+_JACCARD = "(len(list_intersect({a}, {b}))::DOUBLE / greatest(len(list_distinct(list_concat({a}, {b}))), 1))"
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+@query(f"WITH {_PART_GRAMS} SELECT name, len(g)::INT AS n, list_aggregate(list_sort(g), 'string_agg', '|') AS grams FROM g")
+def char_ngrams(spark, d):
+    g = part_names(spark, d).withColumn("g", T.char_ngrams(F.col("name")))
+    return g.select("name", F.size("g").alias("n"), F.array_join(F.array_sort("g"), "|").alias("grams"))
+
+
+@query(f"WITH {_PART_GRAMS} SELECT x.name AS a, y.name AS b, round({_JACCARD.format(a='x.g', b='y.g')}, 6) AS jaccard FROM g x JOIN g y ON x.name < y.name WHERE {_JACCARD.format(a='x.g', b='y.g')} >= 0.3")
+def ngram_jaccard(spark, d):
+    """Pairs of names by shared n-grams: an equi-join on exploded n-grams, counted, so that unlike names never meet."""
+    g = part_names(spark, d).withColumn("g", T.char_ngrams(F.col("name")))
+    rows = g.select("name", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    both = rows.select(F.col("name").alias("a"), F.col("n").alias("na"), "gram").join(rows.select(F.col("name").alias("b"), F.col("n").alias("nb"), "gram"), "gram").where("a < b")
+    j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    return both.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(j >= 0.3).select("a", "b", F.round(j, 6).alias("jaccard"))
+
+
+_SEEDS = [s for s in K.NAME_STOP_BIOMED if len(s) > 2]
+_SEED_GRAMS = f"seeds AS (SELECT {_GRAMS.format(s='s')} AS sg FROM (SELECT regexp_replace(unnest({_sql_list(_SEEDS)}), '[^a-z0-9]', '', 'g') AS s))"
+
+
+@query(f"WITH {_PART_GRAMS}, {_SEED_GRAMS} SELECT name, round(max({_JACCARD.format(a='g', b='sg')}), 6) AS generic_score FROM g CROSS JOIN seeds GROUP BY name")
+def generic_score(spark, d):
+    flt = RelevanceFilter()
+    return part_names(spark, d).select("name", F.round(T.generic_score(T.char_ngrams(F.col("name")), flt.seeds), 6).alias("generic_score"))
+
+
+_TOKENS = "list_sort(list_distinct(list_filter(string_split_regex(lower({n}), '[^a-z0-9]+'), lambda t: t <> '')))"
+
+
+@query(f"SELECT DISTINCT p_name AS name, array_to_string({_TOKENS.format(n='p_name')}, '|') AS tokens, array_to_string(list_filter({_TOKENS.format(n='p_name')}, lambda t: NOT list_contains({_sql_list(K.GENERIC_TOKENS_BIOMED)}, t)), '|') AS distinctive FROM part")
+def distinctive_tokens(spark, d):
+    n = F.col("name")
+    return part_names(spark, d).select("name", F.array_join(F.array_sort(T.tokens(n)), "|").alias("tokens"), F.array_join(F.array_sort(T.distinctive_tokens(n)), "|").alias("distinctive"))
+
+
+_MADE = "(SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN ' (Film)' WHEN 1 THEN ' (' || p_type || ')' WHEN 2 THEN ' ( genus ) (x)' ELSE '' END AS name, p_size % 5 AS level FROM part)"
+
+
+def made_names(spark, d) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    tail = F.when(k == 0, " (Film)").when(k == 1, F.concat(F.lit(" ("), "p_type", F.lit(")"))).when(k == 2, " ( genus ) (x)").otherwise("")
+    return table(spark, d, "part").select("p_partkey", F.concat("p_name", tail).alias("name"), (F.col("p_size") % 5).alias("level"))
+
+
+@query(f"SELECT p_partkey, name, lower(trim(regexp_extract(name, '\\(([^)]+)\\)', 1))) AS parenthetical, list_contains({_sql_list(K.HOMONYM_BIOMED)}, lower(trim(regexp_extract(name, '\\(([^)]+)\\)', 1)))) AS bad FROM {_MADE}")
+def bad_parenthetical(spark, d):
+    return made_names(spark, d).select("p_partkey", "name", T.parenthetical(F.col("name")).alias("parenthetical"), RelevanceFilter().bad_parenthetical(F.col("name")).alias("bad"))
+
+
+@query(f"SELECT p_partkey, level, lower(trim(name)) IN ({', '.join(repr(w) for w in K.ROOT_FIELDS)}) OR level < 2 AS generic_source FROM {_MADE}")
+def source_filter(spark, d):
+    return made_names(spark, d).select("p_partkey", "level", generic_source(F.col("name"), F.col("level")).alias("generic_source"))
+
+
+_NAME_FLAGS = f"""m AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS s, lower(trim(name)) AS low, lower(trim(regexp_extract(name, '\\(([^)]+)\\)', 1))) AS par FROM {_MADE}),
+scored AS (SELECT s, max({_JACCARD.format(a='gs', b='sg')}) AS score FROM (SELECT DISTINCT s, {_GRAMS.format(s='s')} AS gs FROM m) CROSS JOIN seeds GROUP BY s),
+flags AS (SELECT m.*, list_contains({_sql_list(K.NAME_STOP_BIOMED)}, low) OR score >= 0.55 OR len(list_filter({_TOKENS.format(n='name')}, lambda t: NOT list_contains({_sql_list(K.GENERIC_TOKENS_BIOMED)}, t))) = 0 AS generic, list_contains({_sql_list(K.HOMONYM_BIOMED)}, par) AS bad FROM m JOIN scored USING (s))"""
+
+
+@query(f"WITH {_SEED_GRAMS}, {_NAME_FLAGS} SELECT p_partkey, generic, bad, generic OR bad OR level < 2 OR list_contains({_sql_list(K.ROOT_FIELDS)}, low) OR list_contains({_sql_list(K.NOISE_WORDS)}, low) OR contains(low, '(linguistics)') OR contains(low, '(graphical)') AS nonsense FROM flags")
+def nonsense_names(spark, d):
+    flt = RelevanceFilter()
+    n = F.col("name")
+    return made_names(spark, d).select("p_partkey", flt.is_generic(n).alias("generic"), flt.bad_parenthetical(n).alias("bad"), nonsense_target(n, F.col("level")).alias("nonsense"))
+
+
+@query(
+    f"""WITH {_SEED_GRAMS}, {_NAME_FLAGS}, a AS (SELECT *, {_GRAMS.format(s='s')} AS ag, list_filter({_TOKENS.format(n='name')}, lambda t: NOT list_contains({_sql_list(K.GENERIC_TOKENS_BIOMED)}, t)) AS own FROM flags)
+    SELECT x.p_partkey AS topic, y.p_partkey AS concept FROM (SELECT * FROM a WHERE p_partkey <= 3) x JOIN a y ON x.p_partkey <> y.p_partkey
+    WHERE y.level >= 2 AND NOT y.generic AND NOT y.bad AND {_JACCARD.format(a='x.ag', b='y.ag')} < 0.6 AND len(list_intersect(x.own, y.own)) = 0"""
+)
+def usable_pairs(spark, d):
+    flt = make_filter("biomed")
+    f = flt.features(made_names(spark, d).withColumnRenamed("p_partkey", "cid"))
+    packed = lambda n: f.select(F.struct(*f.columns).alias(n))
+    topics = packed("a").where("a.cid <= 3")  # three rows
+    return packed("c").join(F.broadcast(topics), flt.usable("c", "a", 2)).select(F.col("a.cid").alias("topic"), F.col("c.cid").alias("concept"))
+
+
+@query("SELECT doc_id, nullif(regexp_extract(text, '((?:19|20)[0-9]{2})', 1), '')::INT AS year, substr(text, 1, 240) AS snippet, trim(regexp_replace(source || ', ' || lang || ':', '[,:]', ' ', 'g')) AS clean FROM documents")
+def year_from(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", T.year_from(F.col("text")).alias("year"), T.snippet(F.col("text")).alias("snippet"), T.clean_term(F.concat("source", F.lit(", "), "lang", F.lit(":"))).alias("clean"))
+
+
+@query("SELECT event_id, coalesce((props->>'k')::BIGINT, 0)::BIGINT AS k FROM events")
+def json_fields(spark, d):
+    text = F.concat(F.lit("note {"), F.substring("props", F.lit(2), F.length("props")), F.lit(" end"))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object(T.extracted_json(text), "$.k").cast("long"), F.lit(0)).cast("long").alias("k"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS p FROM documents),
+    t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM w GROUP BY doc_id) SELECT doc_id, CASE WHEN length(t) > 240 THEN substr(t, 1, 240) || '…' ELSE t END AS abstract FROM t"""
+)
+def rebuilt_abstract(spark, d):
+    docs = table(spark, d, "documents")
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    index = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "ps"))).alias("index"))
+    return index.select("doc_id", T.rebuilt_abstract(F.col("index")).alias("abstract"))
+
+
+# --- vectors and bridges ------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH v AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0)
+    SELECT q.vec_id AS a, v.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS cosine
+    FROM q JOIN v ON q.label = v.label AND q.vec_id <> v.vec_id"""
+)
+def cosine_pairs(spark, d):
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
+    return q.join(v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")), "label").where("a <> b").select("a", "b", F.round(T.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+@query(
+    f"""WITH o AS (SELECT l_orderkey AS o, p_name AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), t AS (SELECT o, n, list_filter({_TOKENS.format(n='n')}, lambda t: NOT list_contains({_sql_list(K.GENERIC_TOKENS_BIOMED)}, t)) AS own, {_TOKENS.format(n='n')} AS every FROM o),
+    w AS (SELECT o, n, CASE WHEN len(own) > 0 THEN own ELSE every END AS w FROM t), p AS (SELECT x.o, avg(1 - {_JACCARD.format(a='x.w', b='y.w')}) AS m FROM w x JOIN w y ON x.o = y.o AND x.n < y.n GROUP BY x.o)
+    SELECT o.o AS work, count(*) AS n, round(coalesce(max(m), 1), 3) AS diversity FROM o LEFT JOIN p ON o.o = p.o GROUP BY o.o"""
+)
+def bridge_diversity(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("work"), F.col("l_partkey").alias("p_partkey"))
+    named = lines.join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")), "p_partkey").select("work", "name").distinct()
+    sets = named.groupBy("work").agg(F.array_sort(F.collect_list(F.struct("name"))).alias("found"))
+    return sets.select("work", F.size("found").cast("long").alias("n"), diversity(F.col("found")).alias("diversity"))
+
+
+@query("SELECT p_brand AS heading, array_to_string(list_sort(list_distinct(list(upper(substr(p_type, 1, 1))))), '') AS letters FROM part GROUP BY p_brand")
+def category_letters(spark, d):
+    tree = table(spark, d, "part").select(F.col("p_brand").alias("heading"), F.col("p_type").alias("tree_number"))
+    return typing.letters(tree).select("heading", F.array_join("letters", "").alias("letters"))
+
+
+@query("SELECT DISTINCT p.p_name AS name, coalesce((SELECT array_to_string(list_sort(list_distinct(list(upper(substr(q.p_type, 1, 1))))), '') FROM part q WHERE q.p_brand = h.heading), '') AS letters FROM part p LEFT JOIN (SELECT p_name, min(p_brand) AS heading FROM part WHERE p_size > 25 GROUP BY p_name) h ON h.p_name = p.p_name")
+def type_names(spark, d):
+    part = table(spark, d, "part")
+    headings = part.where("p_size > 25").groupBy(F.col("p_name").alias("name")).agg(F.min("p_brand").alias("heading"))
+    tree = part.select(F.col("p_brand").alias("heading"), F.col("p_type").alias("tree_number"))
+    return typing.type_names(part.select(F.col("p_name").alias("name")), headings, tree).select("name", F.array_join("letters", "").alias("letters"))
+
+
+# --- full text, listings, comparison ------------------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, n_chars FROM documents), p AS (SELECT * FROM (VALUES (1, 'the', 'ing'), (2, 'version', 'License'), (3, 'no such', 'word')) v(pair_id, a_name, c_name)),
+    h AS (SELECT pair_id, doc_id, row_number() OVER (PARTITION BY pair_id ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER (PARTITION BY pair_id) AS hits FROM p JOIN w ON contains(t, ' ' || lower(a_name) || ' ') AND contains(t, ' ' || lower(c_name) || ' '))
+    SELECT p.pair_id, coalesce(max(hits), 0)::BIGINT AS hits, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 4), '') AS works FROM p LEFT JOIN h USING (pair_id) GROUP BY p.pair_id"""
+)
+def text_comentions(spark, d):
+    docs = table(spark, d, "documents")
+    works = docs.select(F.col("doc_id").alias("work"), F.lit("").alias("title"), "text", F.lit(None).cast("int").alias("year"), F.col("n_chars").alias("cited"))
+    pairs = spark.createDataFrame([(1, "the", "ing"), (2, "version", "License"), (3, "no such", "word")], "pair_id int, a_name string, c_name string")
+    found = C.text_comentions(works, pairs)
+    return found.select("pair_id", "hits", F.coalesce(F.array_join(F.transform("items", lambda i: i["work"].cast("string")), ","), F.lit("")).alias("works"))
+
+
+_TITLES = "(SELECT doc_id AS paper, left(text, 40) || ' (' || regexp_extract(text, '([A-Za-z]{6,12})', 1) || ') therapy of ' || source AS title FROM documents)"
+
+
+def titles(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    word = F.regexp_extract("text", "([A-Za-z]{6,12})", 1)
+    return docs.select(F.col("doc_id").alias("paper"), F.concat(F.left("text", F.lit(40)), F.lit(" ("), word, F.lit(") therapy of "), "source").alias("title"))
+
+
+@query(
+    f"""WITH {_SEED_GRAMS}, p AS (SELECT paper, title FROM {_TITLES} WHERE contains(lower(title), 'src1')), f AS (SELECT paper, title, unnest(regexp_extract_all(title, '\\(([A-Za-z][\\w\\-]+(?:\\s[\\w\\-]+){{0,3}})\\)', 1)) AS target FROM p),
+    m AS (SELECT paper, title, trim(regexp_replace(target, '\\s+', ' ', 'g')) AS target, regexp_replace(lower(target), '[^a-z0-9]', '', 'g') AS s FROM f),
+    scored AS (SELECT s, max({_JACCARD.format(a='gs', b='sg')}) AS score FROM (SELECT DISTINCT s, {_GRAMS.format(s='s')} AS gs FROM m) CROSS JOIN seeds GROUP BY s),
+    ok AS (SELECT m.* FROM m JOIN scored USING (s) WHERE length(target) >= 4 AND score < 0.55 AND NOT list_contains({_sql_list(K.NAME_STOP_BIOMED)}, lower(target)) AND NOT list_contains({_sql_list((*K.GENERIC_TOKENS_BIOMED, *K.TITLE_STOP))}, lower(target)) AND lower(target) <> 'src1')
+    SELECT target, paper_count, distinct_papers, rank FROM (SELECT target, count(*) AS paper_count, count(DISTINCT paper) AS distinct_papers, row_number() OVER (ORDER BY count(*) DESC, target) AS rank FROM ok GROUP BY target) WHERE rank <= 8"""
+)
+def phrase_mining(spark, d):
+    """Names in parentheses; the words before a marker follow a parenthesis here, so that pattern never fits."""
+    papers = titles(spark, d).select(F.lit("src1").alias("topic"), "paper", "title")
+    return mining.mined(papers).select("target", "paper_count", "distinct_papers", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT doc_id, 1 + (doc_id % 3) AS place, 'Title ' || doc_id || '-' || doc_id % 3 AS title, 'https://doi.org/10.1/' || doc_id AS url, lang || ' says' AS abstract, 'id' || doc_id AS id, source AS source, '20' || (10 + doc_id % 10) AS date, 'A. Author' AS authors FROM documents")
+def parse_listings(spark, d):
+    """Listings written from the documents, each with one full entry after up to two bare ones."""
+    docs = table(spark, d, "documents")
+    i = F.col("doc_id").cast("string")
+    bare = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.when(k <= F.col("doc_id") % 3, F.concat(F.lit("\n  "), k.cast("string"), F.lit(". Bare"))).otherwise("")), "")
+    full = F.concat(F.lit("\n  9. Title "), i, F.lit("-"), (F.col("doc_id") % 3).cast("string"), F.lit("\n     \u001b[1mA. Author\u001b[0m\n     id"), i, F.lit(" · "), "source", F.lit(" · 20"), (F.col("doc_id") % 10 + 10).cast("string"), F.lit("\n     doi:10.1/"), i, F.lit('\n     "'), "lang", F.lit(' says"\n'))
+    rows = parse_papers(docs.select("doc_id", F.concat(F.lit("Found 3 papers"), bare, full).alias("output")))
+    return rows.where("title <> 'Bare'").select("doc_id", F.col("place").cast("long").alias("place"), "title", "url", "abstract", "id", "source", "date", "authors")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey % 5 END AS hits FROM orders")
+def listing_count(spark, d):
+    k = F.col("o_orderkey")
+    output = F.when(k % 3 == 0, F.concat(F.lit("Found "), F.format_number(k, 0), F.lit(" results"))).otherwise(F.lit("none stated"))
+    return table(spark, d, "orders").select("o_orderkey", result_count(output, k % 5).alias("hits"))
+
+
+@query(
+    sql(f"""{_VERIFIED}, x AS (SELECT 'graph' AS pipeline, level < 2 AS nonsense, true AS actionable, 0 AS citations FROM links UNION ALL SELECT 'titles', false, true, 0 FROM links WHERE rank <= 2)
+    SELECT pipeline, count(*) AS count, avg(nonsense::INT)::DOUBLE AS nonsense_rate, avg(actionable::INT)::DOUBLE AS actionable_rate, avg(citations)::DOUBLE AS avg_citations FROM x GROUP BY pipeline""")
+)
+def compare_summary(spark, d):
+    c = the_corpus(spark, d)
+    hyps = evidence.hypotheses(discover(c, the_topics(c), CONFIG))
+    a = mining.compare_rows("graph", hyps, verified=False)
+    b = mining.compare_rows("titles", hyps.where("rank <= 2"), verified=False)
+    return mining.compare_summary(C.union_all([a, b]))
