@@ -26,12 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of SimHash near-duplicates the document with the smallest doc_id; of rows that share that doc_id, the
-    one whose text hash and then whose other columns are smallest."""
+    one whose text hash and then whose other columns are smallest. Rows without a doc_id stay."""
     groups = simhash.near_duplicates(docs)
     stay = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     kept = docs.join(stay, "doc_id", "left_semi")
     rest = [c for c in COLUMNS if c != "doc_id"]
-    return kept.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *rest)).alias("r")).select("doc_id", *[f"r.{c}" for c in rest]).select(*COLUMNS)
+    return kept.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *rest)).alias("r")).select("doc_id", *[f"r.{c}" for c in rest]).select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lacuna.llm import fertility, html, mixing, pieces, pii, ranking, simhash, toxicity
+from lacuna.llm import fertility, html, mixing, pieces, pii, pivots, ranking, simhash, suffixes, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        suffixes.op1_suffix_dedup,
+        pivots.op2_pivot_permutation,
         pii.op3_bilstm_crf,
         fertility.op4_token_fertility,
         mixing.op5_curriculum_mix,

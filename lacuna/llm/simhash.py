@@ -12,7 +12,8 @@ by the bytes of the other half: a pair that differs there in at most three of fo
 lost and no caps are needed.
 
 Cases. Null or empty text, or white space only: fingerprint 0, linked like any other. Fewer words than a shingle: the
-whole sequence is one shingle. Repeated rows share a component. Empty tables give empty results. Extra columns are
+whole sequence is one shingle. Repeated rows share a component. A null doc_id is fingerprinted but linked
+with nothing, and has a null component. Empty tables give empty results. Extra columns are
 ignored.
 """
 
@@ -148,12 +149,12 @@ def _links(batches):
 def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """doc_id, fp long, component_id: the smallest doc_id reachable over links, itself included."""
     fps = stored(fingerprints(docs, n), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = stored(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     rows = nodes.mapInArrow(_balls, "key long, fp long, node long")
     edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
     comp = connected_components(edges)
     named = stored(nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "components")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op6_simhash_balls(spark, sf_dir):
