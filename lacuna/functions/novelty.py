@@ -53,7 +53,7 @@ def blended(signals: list[tuple[Column, Column]]) -> Column:
     weight = [F.when(w > 0, w).otherwise(F.lit(0.0)) for _, w in signals]
     total = sum(weight[1:], weight[0])
     mean = sum((v * w for (v, _), w in zip(signals[1:], weight[1:])), signals[0][0] * weight[0])
-    return F.when(total > 0, F.round(mean / total, 4)).otherwise(signals[0][0])
+    return F.when(total > 0, F.round(F.round(mean / total, 9), 4)).otherwise(signals[0][0])  # halves count as halves, whatever a sum's last bit
 
 
 def verdict(hits: Column, open_max: int = 0, emerging_max: int = 30) -> Column:

@@ -232,13 +232,13 @@ def rich_columns(links: DataFrame) -> DataFrame:
     return links.select("a", "c", F.col("rank").cast("long").alias("rank"), F.array_join("bridge_ids", ";").alias("bridges"), "bridge_support", "direct", "comention_count", F.round("novelty", 4).alias("novelty"), *r6("score"))
 
 
-@query(sql(_RICH, novelty=f"round((0.55::DOUBLE * {_LIFT_SIGNAL} + 0.45::DOUBLE * ({_COM_SIGNAL})) / (0.55::DOUBLE + 0.45::DOUBLE) + 1e-12::DOUBLE, 4)", gate="true", com=_COM_JOIN))
+@query(sql(_RICH, novelty=f"round(round((0.55::DOUBLE * {_LIFT_SIGNAL} + 0.45::DOUBLE * ({_COM_SIGNAL})) / (0.55::DOUBLE + 0.45::DOUBLE), 9) + 1e-12::DOUBLE, 4)", gate="true", com=_COM_JOIN))
 def blend_hybrid(spark, d):
     c = the_corpus(spark, d)
     return rich_columns(discover(c, the_topics(c), CONFIG.with_(novelty_mode="hybrid")))
 
 
-@query(sql(_RICH, novelty=f"round(({_LIFT_SIGNAL} + ({_COM_SIGNAL})) / 2.0::DOUBLE + 1e-12::DOUBLE, 4)", gate="true", com=_COM_JOIN))
+@query(sql(_RICH, novelty=f"round(round(({_LIFT_SIGNAL} + ({_COM_SIGNAL})) / 2.0::DOUBLE, 9) + 1e-12::DOUBLE, 4)", gate="true", com=_COM_JOIN))
 def comention_mode(spark, d):
     c = the_corpus(spark, d)
     return rich_columns(discover(c, the_topics(c), CONFIG.with_(novelty_mode="comention")))
