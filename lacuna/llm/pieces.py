@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 META = "▁"
 _STRETCH = re.compile(" *[^ ]+| +")
-#: Stretches remembered by a worker; when they are full they are forgotten and gathered anew.
-REMEMBERED = 1_000_000
+#: Stretches remembered by a worker: so many new ones; when they are that many, those not used since the last time are forgotten.
+REMEMBERED = 100_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -76,6 +76,8 @@ class Pieces:
         self.pairs = {w[i : i + 2] for w in self.id_of for i in range(len(w) - 1)}
         self.known: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
+        self.parts_before: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def at(cls, path: str) -> "Pieces":
@@ -93,7 +95,7 @@ class Pieces:
         space; a two-character item is a character to be written in bytes. commits: gets each committed boundary."""
         window: list[str] = []  # characters from the last committed boundary on
         best, back = [0.0], [0]  # by end of path, counted from that boundary
-        base = 0
+        base, look = 0, 2 * self.longest
         for c in chars:
             window.append(c)
             n = len(window)
@@ -110,7 +112,7 @@ class Pieces:
                         at, score = n - k, x
             best.append(score)
             back.append(at)
-            if n >= 2 * self.longest and n % self.longest == 0:
+            if n >= look:
                 # the ends that later pieces can still start from
                 ends = set(range(max(0, n - self.longest + 1), n + 1))
                 while len(ends) > 1:  # the paths, back to where they meet
@@ -126,6 +128,7 @@ class Pieces:
                     window = window[at:]
                     low = best[at]
                     best, back = [x - low for x in best[at:]], [max(0, x - at) for x in back[at:]]
+                look = max(2 * self.longest, 2 * len(window))  # so that looking costs no more than the pass, however long paths stay apart
         if window:
             yield from self._path(window, back, len(window))
             if commits is not None:
@@ -177,7 +180,13 @@ class Pieces:
         if len(stretch) > 64 or META in stretch:
             return tuple(self.stream(self._chars(stretch)))
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
+            self.before, self.known = self.known, {}
+        ids = self.before.get(stretch)
+        if ids is not None:
+            self.known[stretch] = ids
+            return ids
+        if len(self.parts) >= REMEMBERED:
+            self.parts_before, self.parts = self.parts, {}
         s, pairs, parts = stretch.replace(" ", META), self.pairs, self.parts
         ids: tuple[int, ...] = ()
         at, n = 0, len(s)
@@ -186,9 +195,7 @@ class Pieces:
                 part = s[at:i]
                 found = parts.get(part)
                 if found is None:
-                    if len(parts) >= REMEMBERED:
-                        parts.clear()
-                    found = parts[part] = self.short(part)
+                    found = parts[part] = self.parts_before.get(part) or self.short(part)
                 ids += found
                 at = i
         self.known[stretch] = ids
@@ -197,9 +204,8 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         if not self.cuts:
             return list(self.stream(self._chars(text)))
-        get = self.known.get
         # a stretch is a run of spaces and the characters up to the next space
-        return list(chain.from_iterable(get(x) or self._learn(x) for x in _STRETCH.findall(text)))
+        return list(chain.from_iterable(self.known.get(x) or self._learn(x) for x in _STRETCH.findall(text)))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass")
