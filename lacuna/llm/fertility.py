@@ -53,7 +53,7 @@ class Band:
 
 #: By script; "other" holds for every script that has no band of its own.
 BANDS = {
-    "latin": Band((1.75, 8.0), (0.0, 0.2), (0.35, 1.0)),
+    "latin": Band((1.9, 8.0), (0.0, 0.2), (0.35, 1.0)),
     "cyrillic": Band((1.2, 8.0), (0.0, 0.3), (0.35, 1.0)),
     "greek": Band((1.0, 8.0), (0.0, 0.4), (0.35, 1.0)),
     "arabic": Band((0.8, 8.0), (0.0, 0.4), (0.35, 1.0)),
