@@ -41,7 +41,7 @@ def names(wc: DataFrame) -> DataFrame:
 def the_corpus(spark: SparkSession, d: str, year_from: int | None = None, year_to: int | None = None) -> C.Corpus:
     wc = work_concepts(spark, d)
     by_customer = C.cooccurrence_edges(wc.select(F.col("customer").alias("work"), "cid")).withColumnRenamed("cooc", "hits")
-    return C.Corpus.from_work_concepts(wc, names(wc), comentions=by_customer, year_from=year_from, year_to=year_to)
+    return C.Corpus.from_work_concepts(wc, names(wc), comentions=by_customer, year_from=year_from, year_to=year_to).kept()
 
 
 def the_topics(c: C.Corpus, n: int = 5) -> DataFrame:
@@ -400,7 +400,7 @@ picked AS (SELECT *, novel_as_of_split AND row_number() OVER (PARTITION BY a ORD
 def backtested(spark, d) -> DataFrame:
     wc = work_concepts(spark, d)
     n = names(wc)
-    past, future = backtest.by_year(lambda lo, hi: C.Corpus.from_work_concepts(wc, n, year_from=lo, year_to=hi), SPLIT)
+    past, future = backtest.by_year(lambda lo, hi: C.Corpus.from_work_concepts(wc, n, year_from=lo, year_to=hi).kept(), SPLIT)
     hits = lambda c: c.edges.withColumnRenamed("cooc", "hits")
     return backtest.backtest_links(past, the_topics(past), hits(past), hits(future), CONFIG)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,6 +37,12 @@ class Corpus:
         size = meta.agg(F.countDistinct("work").alias("size"))
         return cls(concepts, cooccurrence_edges(within), size, within, works, comentions)
 
+    def kept(self) -> "Corpus":
+        """The same with the graph persisted, in memory and on disk: a plan reads the edges several times, and they are built
+        once. Lost blocks are recomputed; sessions that are done with a graph clear it with ``spark.catalog.clearCache()``."""
+        keep = lambda x: x.persist() if isinstance(x, DataFrame) else x
+        return replace(self, concepts=keep(self.concepts), edges=keep(self.edges), size=keep(self.size), comentions=keep(self.comentions))
+
     def size_column(self) -> tuple[DataFrame | None, F.Column]:
         """A one-row frame to cross join, or none, and the column of the size."""
         if isinstance(self.size, int):
