@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import cut, stored
+from lacuna.llm.common import cut, few, stored
 
 WINDOW = 100
 GRAM = 32
@@ -405,8 +405,8 @@ def _clean(batches):
 def repeated_runs(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc, at: runs to remove (packed), not yet merged."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    few = base.where(F.length("text") <= SAMPLE_CHARS).select("doc", "text").orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_DOCS)
-    common = common_strings([r[0] for r in few.select("text").collect()])
+    sample = few(base.where(F.length("text") <= SAMPLE_CHARS), "doc", SAMPLE_DOCS, docs.count())
+    common = common_strings([r[0] for r in sample.select("text").collect()])
     rows = base.mapInArrow(_scan(common), "bucket long, hash long, doc long, at long")
     settled = stored(rows.repartition("bucket").sortWithinPartitions("bucket", "hash", "doc", "at").mapInArrow(_settle, "bucket long, doc long, at long"), "settled")
     runs = settled.where("bucket is null").select("doc", "at")
