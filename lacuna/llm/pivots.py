@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import connected_components, cut, forest, stored
+from lacuna.llm.common import connected_components, cut, few, forest, stored
 
 THRESHOLD = 0.95
 NEAREST = 6
@@ -157,7 +157,7 @@ def usable(vectors: DataFrame) -> F.Column:
 def choose_pivots(nodes: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Pivots by length of vector: a sample of at most PIVOTS_MAX nodes, those with the smallest hash."""
     k = min(PIVOTS_MAX, max(PIVOTS_MIN, 2 * math.isqrt(n)))
-    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(k).select("embedding").collect()
+    rows = few(nodes, "node", k, n).select("embedding").collect()
     by_size: dict[int, list] = {}
     for (e,) in rows:
         by_size.setdefault(len(e), []).append(e)
