@@ -134,6 +134,6 @@ MODULUS, FOLD = 3, 1
 
 def op8_bradley_terry(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(labelled.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", MODULUS, FOLD))
+    model = labelled.fitted(fit, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", MODULUS, FOLD)
     scored = score(docs, model)
     return scored.select("doc_id", labelled.held_out(MODULUS, FOLD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -39,7 +39,7 @@ LAMBDA = 0.7
 WIDTH = 32  # longer words are read in windows of this width that overlap by half
 LANDMARKS = 64
 LEAST = -2.0
-REMEMBERED = 2_000_000
+REMEMBERED = 300_000
 
 _LETTERED = re.compile(r"[A-Za-z]")
 _SPACED = re.compile(r" [a-z](?: [a-z]){3,}(?!\S)")
@@ -174,8 +174,9 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, threshold: floa
     bags = []
     toxic, clean = Counter(), Counter()
     known: set[tuple[str, ...]] = set()
+    one: dict[str, str] = {}  # each word is kept in memory once
     for t, y in dict(rows).items():
-        sentences = [tuple(dict.fromkeys(w for w in words_of(s) if _LETTERED.search(w))) for s in _SENTENCE.split(t)]
+        sentences = [tuple(dict.fromkeys(one.setdefault(w, w) for w in words_of(s) if _LETTERED.search(w))) for s in _SENTENCE.split(t)]
         bags.append(([s for s in sentences if s], y))
         new = [s for s in sentences if s not in known]
         known.update(new)
@@ -278,6 +279,6 @@ MODULUS, FOLD = 4, 2
 
 def op7_subsequence_svm(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(labelled.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", MODULUS, FOLD))
+    model = labelled.fitted(fit, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", MODULUS, FOLD)
     scored = score(docs, model)
     return scored.select("doc_id", labelled.held_out(MODULUS, FOLD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
