@@ -3,8 +3,9 @@
 A source's target is its share of all words by weight, at most ``cap`` times its own size; what a cap leaves over goes
 to the other sources by weight. Each source has a weight schedule over training time t in [0, 1]: w(t) = w * (1 + s *
 (2t - 1)), with slope s. Its integral is the share of the source's words that training has demanded by t, F(t) = (1 - s)
-* t + s * t^2. A document whose words are demanded as the source's u-th part is trained on at t = F^-1(u); documents are
-range-sorted by that position.
+* t + s * t^2. A document whose words are demanded as the source's u-th part is trained on at t = F^-1(u). Each pass over a source
+demands its words anew: the p-th pass over a document has u = ((p - 1) * source size + words ahead + size / 2) / target. Passes are
+range-sorted by their positions.
 
 Order inside a source: by MD5 of doc_id, so it doesn't depend on files or partitions. Words are taken in that order,
 wholly for as many passes as the target holds, the last pass up to the word that reaches the target.
@@ -60,9 +61,16 @@ def source_targets(sums: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = C
     return rows.select("skey", F.col("sz").alias("source_size"), target.alias("target"), "slope")
 
 
-def curriculum_mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = CAP, carry: tuple[str, ...] = (), slice_digits: int = SLICE_DIGITS) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken, position (null if nothing is taken), then the
-    carried columns; range-sorted by position, documents that aren't taken last."""
+def _position(done) -> F.Column:
+    """When a document of a source's ``slope`` and ``target`` is trained on, with ``done`` words of the source before its pass."""
+    u = F.least(F.lit(1.0), (done + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)))
+    a, s = 1 - F.col("slope"), F.col("slope")
+    t = F.when(s == 0, u).otherwise((F.sqrt(a * a + 4 * s * u) - a) / (2 * F.when(s == 0, F.lit(1.0)).otherwise(s)))
+    return F.round(t, 9)
+
+
+def _taken(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = CAP, carry: tuple[str, ...] = (), slice_digits: int = SLICE_DIGITS) -> DataFrame:
+    """One row a document, in no order: doc_id, size, source_size, target, slope, ahead, taken, the carried columns as c_<name>."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     cols = [F.col("doc_id"), F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("skey"), word_count("text").alias("size"), digest.alias("h")]
     base = docs.select(*cols, *[F.col(c).alias(f"c_{c}") for c in carry]).withColumn("slice", F.substring("h", 1, slice_digits))
@@ -78,24 +86,36 @@ def curriculum_mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = C
     rest = F.when(some, F.expr("goal % greatest(source_size, 1)")).otherwise(F.lit(0))
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ahead")))
     rows = rows.withColumn("taken", (passes * F.col("size") + last).cast("long"))
-    u = F.least(F.lit(1.0), (F.col("ahead") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)))
-    a, s = 1 - F.col("slope"), F.col("slope")
-    t = F.when(s == 0, u).otherwise((F.sqrt(a * a + 4 * s * u) - a) / (2 * F.when(s == 0, F.lit(1.0)).otherwise(s)))
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, F.round(t, 9)))
+    return rows
+
+
+def curriculum_mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = CAP, carry: tuple[str, ...] = (), slice_digits: int = SLICE_DIGITS) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken, position (that of the first pass, null if nothing is taken),
+    then the carried columns; range-sorted by position, documents that aren't taken last."""
+    rows = _taken(docs, weights, slopes, cap, carry, slice_digits)
+    rows = rows.withColumn("position", F.when(F.col("taken") > 0, _position(F.col("ahead"))))
     out = rows.select("doc_id", "size", "source_size", "target", "taken", "position", (F.col("ahead") / F.greatest("source_size", F.lit(1))).alias("_late"), *[F.col(f"c_{c}").alias(c) for c in carry])
     return out.orderBy(F.coalesce("position", F.col("_late") + 1), "doc_id").drop("_late")
 
 
+def training_passes(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = CAP, carry: tuple[str, ...] = (), slice_digits: int = SLICE_DIGITS) -> DataFrame:
+    """One row a pass over a document: doc_id, size, target, slope, pass, words, position, then the carried columns; range-sorted
+    by position."""
+    rows = _taken(docs, weights, slopes, cap, carry, slice_digits).where("taken > 0")
+    each = rows.withColumn("pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    before = F.col("pass") - 1
+    words = F.least(F.col("size"), F.col("taken") - before * F.col("size")).cast("int")
+    out = each.select("doc_id", "size", "target", "slope", "pass", words.alias("words"), _position(before * F.col("source_size") + F.col("ahead")).alias("position"), *[F.col(f"c_{c}").alias(c) for c in carry])
+    return out.orderBy("position", "doc_id", "pass")
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as they are trained on: one row a pass, the last pass cut after the word that reaches the target,
     in order of position. Columns of ``docs`` named text, lang, source, n_chars are kept; n_chars is that of the row."""
     # ``doc_id`` comes first; the others are carried under their own names
-    mixed = curriculum_mix(docs, carry=("text", "lang", "source"), **options).where("taken > 0")
-    passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    each = mixed.withColumn("pass", F.explode(F.sequence(F.lit(1), passes)))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("pass") - 1) * F.col("size")).cast("int")
+    each = training_passes(docs, carry=("text", "lang", "source"), **options)
     pieces = F.regexp_extract_all("text", F.lit(rf"([{WS}]*[^{WS}]+)"), F.lit(1))
-    text = F.when(words == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), words), ""))
+    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("words")), ""))
     return each.withColumn("text", text).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -249,6 +249,23 @@ def test_op5_matches_its_sql_and_targets(spark, tmp_path):
     assert mixed.select(F.sum(mixing.word_count("text"))).first()[0] == sum(x.taken for x in got)
 
 
+def test_op5_each_pass_has_its_place_in_training(spark):
+    size = {"a": 20, "b": 60, "c": 400}
+    rows = [(1000 * k + i, "w " * (3 + i % 5), "en", s) for k, s in enumerate(size) for i in range(size[s])]
+    docs = table(spark, rows)
+    passes = mixing.training_passes(docs, carry=("source",)).collect()
+    assert [x.position for x in passes] == sorted(x.position for x in passes) and max(x["pass"] for x in passes) == 3
+    for s in size:
+        own, done = [x for x in passes if x.source == s], 0
+        for x in own:  # cumulative words follow F(t)
+            t = x.position
+            assert abs((done + x.words / 2) - ((1 - x.slope) * t + x.slope * t * t) * x.target) <= x["size"]
+            done += x.words
+        assert abs(done - own[0].target) <= 1
+    order = [x.doc_id for x in mixing.mixed_documents(docs).where("source = 'a'").collect()]
+    assert len(order) == 60 and order[:20] == order[20:40] == order[40:] and len(set(order)) == 20
+
+
 # --- 6 ------------------------------------------------------------------------------------------------------------
 
 
