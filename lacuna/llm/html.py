@@ -3,8 +3,9 @@
 Pages are parsed into element trees. Each container's subtree (tags and text) is hashed; Spark counts on how many
 different pages of its host every hash occurs; subtrees that recur across many pages of the host are deleted: menus, footers,
 boxes and notices, whatever they are called. What one page says about itself goes too: scripts, styles, forms, elements of
-navigation, and containers whose role, class or id names a menu, an advert, a notice or reader comments. The article, if the
-page marks one, is what is left of it; else what is left of the body.
+navigation, and containers whose role, class or id names a menu, an advert, a notice or reader comments, unless they hold
+the article (or, where the page marks none, most of its text). The article, if the page marks one, is what is left of it; else what
+is left of the body.
 
 Copies of a page count once, so that an article copied many times is no template. Paragraphs, headings and lists of an
 article are never deleted for recurring: a sentence that many articles share is part of each.
@@ -49,6 +50,8 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CELL = frozenset(("td", "th"))
 _GONE = frozenset("head script style noscript template svg math nav footer aside form button select textarea input iframe object embed applet audio video canvas dialog menu title xmp noembed noframes".split())
+#: Those that hold no article even if their content looks like one.
+_NEVER = _GONE - {"form"}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 #: Parts of class and id names that say what a container is.
 _NAMES = frozenset(
@@ -56,6 +59,7 @@ _NAMES = frozenset(
     "breadcrumb breadcrumbs footer masthead comment comments commentlist disqus replies respond related recommended share sharing social newsletter subscribe subscription popup modal overlay "
     "widget widgets toolbar pagination pager login signup skip paywall".split()
 )
+_COMMENTS = frozenset("comment comments reply".split())
 _HEADER = frozenset("header topbar".split())
 _OWN = frozenset("article entry post story content".split())
 #: Elements that these end when they begin inside them.
@@ -65,12 +69,12 @@ _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table t
 
 
 class Node:
-    __slots__ = ("tag", "names", "gone", "parts")
+    __slots__ = ("tag", "names", "gone", "hidden", "parts")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.parts = tag, []
         self.names: frozenset[str] = frozenset()
-        self.gone = tag in _GONE
+        self.gone, self.hidden = tag in _GONE, False
         if attrs:
             names: list[str] = []
             for m in _ATTR.finditer(attrs):
@@ -79,12 +83,13 @@ class Node:
                     names += re.split(r"[\s_-]+", value)
                 elif key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     self.gone = True
+                    self.hidden |= key != "role"
                 elif key == "role" and value in ("article", "main"):
                     names.append(f"role {value}")
             self.names = frozenset(names)
             if tag not in ("html", "body", "main", "article") and (self.names & _NAMES or self.names & _HEADER and not self.names & _OWN):
                 self.gone = True
-            elif tag == "article" and self.names & {"comment", "comments", "reply"}:
+            elif tag == "article" and self.names & _COMMENTS:
                 self.gone = True
 
     def main(self) -> str:
@@ -187,6 +192,30 @@ def _holds_main(root: Node) -> set[int]:
     return out
 
 
+def _spare(root: Node) -> None:
+    """Containers marked as gone by name, role or form tag aren't, if they hold the article or, where the page marks none, over half of
+    the text. An article of less than half the length of the page's longest is none here: boxes of related pages hold such teasers.
+    Nor are comments that are marked as articles, and what is hidden."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if not (node.hidden or node.gone and node.tag in _NEVER):
+            order.append(node)
+            todo += [x for x in node.parts if isinstance(x, Node)]
+    size: dict[int, int] = {}
+    for node in reversed(order):
+        size[id(node)] = sum(size.get(id(x), 0) if isinstance(x, Node) else len(x.strip()) for x in node.parts)
+    found = [n for n in order if n.main() and not (n.gone and n.names & _COMMENTS)]
+    least = max((size[id(n)] for n in found), default=0) / 2
+    holds = {id(n) for n in found if size[id(n)] >= least}
+    for node in reversed(order):
+        if any(isinstance(x, Node) and id(x) in holds for x in node.parts):
+            holds.add(id(node))
+    for node in order:
+        if node.gone and (id(node) in holds if holds else 2 * size[id(node)] > size[id(root)]):
+            node.gone = False
+
+
 def candidates(root: Node) -> list[tuple[Node, bool, int]]:
     """Containers that may be templates: (node, inside an article, hash)."""
     hashes, kept = subtree_hashes(root), _holds_main(root)
@@ -197,6 +226,7 @@ def candidates(root: Node) -> list[tuple[Node, bool, int]]:
 def main_text(page: str, templates=None) -> str:
     """The blocks of the page's article. templates: hashes of the subtrees to delete outside and inside articles."""
     root = parse(page)
+    _spare(root)
     outer, inner = templates or (frozenset(), frozenset())
     if outer or inner:
         for node, inside, h in candidates(root):

@@ -394,3 +394,14 @@ def test_op10_copies_of_a_page_are_no_template(spark):
     page = "<html><body><div><p>A long story that is copied.</p></div></body></html>"
     pages = spark.createDataFrame([(i, f"https://h.example/{i}", page) for i in range(20)], "page_id long, url string, html string")
     assert {x.text for x in html.extract(pages).collect()} == {"A long story that is copied."}
+
+
+@pytest.mark.parametrize("wrap", ["<div class='content-sidebar-wrap'>%s</div>", "<div class='no-sidebar'><div id='share'>%s</div></div>", "<form id='aspnetForm'>%s</form>", "<div role='search'>%s</div>"])
+def test_op10_what_holds_the_article_stays(wrap):
+    side = "<div class='sidebar'>menu</div><div class='related'><article>Next one</article></div><form>find</form><div class='comments'><article class='comment'>me too</article></div>"
+    story = "<p>A story of several words that is the page.</p>"
+    want = "A story of several words that is the page."
+    for tag in ("<article>%s</article>", "<main>%s</main>", "<div role='main'>%s</div>", "<div role='article' class='widget'>%s</div>"):
+        assert html.main_text(f"<html><body>{wrap % (tag % story)}{side}</body></html>") == want
+    assert html.main_text(f"<html><body><article>{story}</article><div hidden class='menu'><article>x</article></div></body></html>") == want
+    assert html.main_text(f"<html><body>{wrap % story}<div class='sidebar'>menu</div></body></html>") == want
