@@ -1,11 +1,10 @@
-"""Labelled rows that classifiers are fitted on: a bounded sample, the same at every run."""
+"""Labelled rows that classifiers are fitted on: a bounded sample, the same at every run.
 
-from __future__ import annotations
+Texts stay on the executors: a classifier gets counts or measures of the examples, never the examples themselves.
+"""
 
-import multiprocessing
-import pickle
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,41 +21,17 @@ def held_out(modulus: int, fold: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == fold, F.lit(False))
 
 
-def _examples(docs: DataFrame, labels: DataFrame, label: str, modulus: int, fold: int, max_rows: int, max_chars: int) -> DataFrame:
-    """doc_id, text, y of labelled rows outside the held-out fold; rows without a text, a label or a doc_id are no examples."""
-    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(modulus, fold)).select("doc_id", F.col(label).cast("int").alias("y"))
-    chosen = few(rows.groupBy("doc_id").agg(F.min("y").alias("y")), "doc_id", max_rows)
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # max_rows bounds the broadcast
-
-
-def _in_order(rows) -> list[tuple[str, int]]:
-    """One text a doc_id, the smallest of several, by doc_id."""
-    by_id: dict = {}
-    for doc_id, text, y in rows:
-        if doc_id not in by_id or text < by_id[doc_id][0]:
-            by_id[doc_id] = text, y
-    return [by_id[k] for k in sorted(by_id)]
-
+def examples(
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, fold: int, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS
+) -> DataFrame:
+    """doc_id, text, y of labelled rows outside the held-out fold, one row a doc_id.
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, fold: int, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> list[tuple[str, int]]:
-    """The examples (text, label) in the driver."""
-    return _in_order(_examples(docs, labels, label, modulus, fold, max_rows, max_chars).collect())
-
-
-def fitted(fit, docs: DataFrame, labels: DataFrame, label: str, modulus: int, fold: int, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS):
-    """fit(examples), run in one task of an executor: the examples are bounded, and the driver gets the model alone."""
-
-    def run(batches):
-        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
-        # in a process of its own, as the worker lives on and would keep the memory
-        mine, other = multiprocessing.Pipe(False)
-        child = multiprocessing.get_context("fork").Process(target=lambda: other.send_bytes(pickle.dumps(fit(_in_order(rows)))))
-        child.start()
-        other.close()
-        model = mine.recv_bytes()
-        child.join()
-        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
-
-    got = _examples(docs, labels, label, modulus, fold, max_rows, max_chars).repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(got[0][0]) if got else fit([])
+    Rows without a text, a label of 0 or 1, or a doc_id are no examples. Of a doc_id's several labels the smallest counts,
+    of its several texts the one with the smallest hash. Columns of other names are ignored.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(modulus, fold))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    chosen = few(rows.groupBy("doc_id").agg(F.min("y").alias("y")), "doc_id", max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, max_chars))
+    both = texts.join(F.broadcast(chosen), "doc_id")  # max_rows bounds the broadcast
+    return both.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("y").alias("y"))

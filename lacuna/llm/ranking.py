@@ -83,10 +83,22 @@ def stepped(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return (x[:, :, None] > edges[None]).reshape(len(x), -1).astype(float)
 
 
-def fit(rows: list[tuple[str, int]], pairs: int = PAIRS, seed: int = 17) -> Model:
-    """rows: labelled texts."""
-    x = np.array([features(t) for t, _ in rows]).reshape(len(rows), len(FEATURES))
-    y = np.array([label for _, label in rows])
+def prefer(d: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """w of least penalised logistic loss over the pairs' differences d, by Newton's method."""
+    w = np.zeros(d.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+        h = (d * (p * (1 - p))[:, None]).T @ d + penalty * np.eye(len(w))
+        step = np.linalg.solve(h, d.T @ (p - 1) + penalty * w)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 17) -> Model:
+    """x: (texts, FEATURES) of labelled texts, y: their labels."""
+    x, y = np.asarray(x, float).reshape(len(y), len(FEATURES)), np.asarray(y)
     if not 0 < y.sum() < len(y):
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         return Model(np.zeros((len(FEATURES), STEPS - 1)), np.zeros(len(FEATURES) * (STEPS - 1)), -float(np.log(share / (1 - share))), 1.0, 1 - share)
@@ -96,15 +108,7 @@ def fit(rows: list[tuple[str, int]], pairs: int = PAIRS, seed: int = 17) -> Mode
     s = stepped(x, edges)
     r = np.random.default_rng(seed)
     d = s[r.choice(np.flatnonzero(y == 1), pairs)] - s[r.choice(np.flatnonzero(y == 0), pairs)]
-    w = np.zeros(d.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        g = d.T @ (p - 1) + PENALTY * w
-        h = (d * (p * (1 - p))[:, None]).T @ d + PENALTY * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
+    w = prefer(d)
     scores = s @ w
     levels = np.linspace(0.002, 0.998, 499)
     cuts = np.quantile(scores, levels)
@@ -128,12 +132,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, raw double")
 
 
+def measured(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the examples (doc_id, text, y), by doc_id; the texts stay on the executors."""
+
+    def run(batches):
+        for b in batches:
+            x = [features(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["doc_id", "x", "y"])
+
+    rows = sorted(examples.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x array<double>, y int").collect())
+    return np.array([r[1] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r[2] for r in rows], int)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, modulus: int, fold: int) -> Model:
+    """The model of ``labels.quality`` from the rows outside the held-out fold."""
+    return fit(*measured(labelled.examples(docs, labels, "quality", modulus, fold)))
+
+
 THRESHOLD = 0.5
 MODULUS, FOLD = 3, 1
 
 
 def op8_bradley_terry(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = labelled.fitted(fit, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", MODULUS, FOLD)
+    model = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), MODULUS, FOLD)
     scored = score(docs, model)
     return scored.select("doc_id", labelled.held_out(MODULUS, FOLD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

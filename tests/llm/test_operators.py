@@ -1,6 +1,8 @@
 """The ten operators against brute force, round trips and held-out accuracy, on small tables; and their edge cases."""
 
 import hashlib
+import itertools
+import math
 import os
 import random
 import re
@@ -40,8 +42,7 @@ OPERATORS = {
     "op4": lambda d: fertility.measure(d),
     "op5": lambda d: mixing.curriculum_mix(d),
     "op6": lambda d: simhash.near_duplicates(d),
-    "op7": lambda d: toxicity.score(d, toxicity.fit([])),
-    "op8": lambda d: ranking.score(d, ranking.fit([])),
+    "op8": lambda d: ranking.score(d, ranking.fit([], [])),
     "op9": lambda d: pieces.round_trips(d),
 }
 
@@ -307,35 +308,122 @@ def test_op6_large_buckets_lose_no_link(monkeypatch):
 # --- 7, 8 ---------------------------------------------------------------------------------------------------------
 
 
-def folds(spark, label, modulus, fold):
-    d = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    out = [(x.text, x[label]) for x in docs.join(labels, "doc_id").collect() if zlib.crc32(str(x.doc_id).encode()) % modulus == fold]
-    return labelled.sample(docs, labels, label, modulus, fold), out
+def held_out_scores(spark, query, label, modulus, fold, d):
+    """(label, score, lang) of the labelled rows of the held-out fold."""
+    labels = {x.doc_id: x[label] for x in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    lang = {x.doc_id: x.lang for x in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    got = query(spark, d).collect()
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % modulus == fold) for x in got)
+    return [(labels[x.doc_id], x.score, lang[x.doc_id]) for x in got if x.held_out and x.doc_id in labels]
 
 
-def test_op7_held_out_texts_and_disguised_insults(spark):
-    train, test = folds(spark, "toxic", 4, 2)
-    model = toxicity.fit(train)
-    p = lambda texts: model.probability(np.maximum(toxicity.text_margins(model, texts, {}), toxicity.LEAST)) >= 0.3
-    assert np.mean(p([t for t, _ in test]) == np.array([y for _, y in test])) >= 0.88
+def test_op7_finds_held_out_toxic_texts_of_every_language(spark):
+    rows = held_out_scores(spark, toxicity.op7_subsequence_svm, "toxic", 4, 2, "/root/testdata/sf0.1")
+    hit = lambda xs: sum(s >= toxicity.THRESHOLD for y, s, _ in xs if y) / max(1, sum(y for y, _, _ in xs))
+    assert hit(rows) >= 0.85 and all(hit([x for x in rows if x[2] == lang]) >= 0.85 for lang in ("en", "de", "fr", "es"))
+    flagged = [y for y, s, _ in rows if s >= toxicity.THRESHOLD]
+    assert sum(flagged) >= 0.9 * len(flagged)
+
+
+def test_op7_disguised_insults(spark):
+    d = "/root/testdata/sf0.1"
+    model = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"), 4, 2)
+    p = lambda texts: model.probability(toxicity.text_features(model, texts, {})) >= 0.3
     assert p(["you are an idiot", "what an i.d.i.o.t", "i d i o t you", "a stuupid idea", "you IDIOT!!"]).all()
     assert not p(["", "12 34", "the sea and the wind", "a kind and lovely day"]).any()
 
 
+def test_op7_the_kernel_is_that_of_enumerated_subsequences():
+    words = ["idiot", "i.d.i.o.t", "ab", "a", "réeuxé", "бездельник", "x" * 30, "日本語"]
+
+    def plain(w):
+        letters = ["^", *(c for c in w if c.isalpha())]
+        out: dict = {}
+        for i, j, k in itertools.combinations(range(len(letters)), 3):
+            if j - i <= toxicity.GAP + 1 and k - j <= toxicity.GAP + 1:
+                key = tuple(letters[x] for x in (i, j, k))
+                out[key] = out.get(key, 0) + toxicity.LAMBDA ** (k - i - 2)
+        return out
+
+    def norm(w):  # each place of a subsequence by itself
+        letters = 1 + sum(c.isalpha() for c in w)
+        gaps = [(j - i, k - j) for i, j, k in itertools.combinations(range(letters), 3)]
+        return max(sum(toxicity.LAMBDA ** (2 * (g + h - 2)) for g, h in gaps if max(g, h) <= toxicity.GAP + 1) ** 0.5, 1e-9)
+
+    f = toxicity.phi(words)
+    assert len({int(toxicity._CODE[ord(c)]) for c in "рабочий"}) > 1
+    for i, a in enumerate(words[:5]):
+        for j, b in enumerate(words[:5]):
+            x, y = plain(a), plain(b)
+            want = sum(v * y.get(k, 0) for k, v in x.items()) / norm(a) / norm(b)
+            assert abs(float(f[i] @ f[j]) - want) < 1e-3, (a, b)
+    r = np.random.default_rng(0)
+    table = r.normal(size=toxicity.TABLE).astype(np.float32)
+    assert np.allclose(toxicity.applied(table, words), f @ table, atol=1e-3)
+    assert np.allclose(toxicity.applied(np.stack([table, 2 * table], 1), words)[:, 1], 2 * (f @ table), atol=1e-3)
+    long = toxicity.applied(table, ["a" * 20 + "idiot" + "b" * 400])  # words over WIDTH in windows that overlap
+    assert np.isfinite(long).all()
+
+
+def test_op7_parts_against_plain_versions():
+    share, n = 0.2, 12
+    for k in range(n + 1):
+        assert abs(np.exp(toxicity.log_tail(k, n, share)) - sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k, n + 1))) < 1e-9
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(80, 3)), np.where(r.random(80) < 0.5, 1.0, -1.0)
+    x[y > 0] += 1
+    weight = np.ones(80)
+    w, b = toxicity.svm(x, y, weight)
+    loss = lambda w, b: toxicity.PENALTY * (w @ w) + (np.maximum(0, 1 - y * (x @ w + b)) ** 2).mean()
+    least = loss(w, b)
+    for _ in range(200):
+        assert loss(w + r.normal(size=3) * 0.05, b + r.normal() * 0.05) >= least - 1e-6
+    p, t = np.array([0.1, 0.4, 0.5, 0.9, 0.95]), np.array([0, 0, 1, 1, 1])
+    assert 0.4 < toxicity.best_cut(p, t) <= 0.5
+
+
 def test_op8_held_out_texts(spark):
-    train, test = folds(spark, "quality", 3, 1)
-    model = ranking.fit(train)
-    p = model.probability(np.array([ranking.features(t) for t, _ in test])) >= 0.5
-    assert np.mean(p == np.array([y for _, y in test])) >= 0.95
+    rows = held_out_scores(spark, ranking.op8_bradley_terry, "quality", 3, 1, "/root/testdata/sf0.01")
+    assert np.mean([(s >= 0.5) == y for y, s, _ in rows]) >= 0.95
+
+
+def test_op8_newton_finds_what_gradient_descent_finds():
+    d = np.random.default_rng(3).normal(size=(60, 4)) + 0.3
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w -= 0.01 * (d.T @ (1 / (1 + np.exp(-d @ w)) - 1) + ranking.PENALTY * w)
+    assert np.allclose(ranking.prefer(d), w, atol=1e-6)
+    x = np.zeros((40, len(ranking.FEATURES)))
+    x[:, 0] = np.arange(40)
+    model = ranking.fit(x, (np.arange(40) >= 25).astype(int))
+    assert ((model.probability(x) >= 0.5) == (np.arange(40) >= 25)).mean() >= 0.95  # the steps are quantiles, so not every place is one
+    assert abs(model.quantile - 25 / 40) < 0.06
+
+
+CLASSIFIERS = ((toxicity, toxicity.op7_subsequence_svm, "toxic"), (ranking, ranking.op8_bradley_terry, "quality"))
+
+
+@pytest.mark.parametrize("module,query,label", CLASSIFIERS)
+def test_classifiers_as_queries_on_edge_tables(spark, tmp_path, module, query, label):
+    docs = [*EDGE, *((100 + i, "you idiot " * (i % 3) + f"text {i}", "en", "s") for i in range(40))]
+    labels = [(r[0], i % 2, i % 3 == 0, "x") for i, r in enumerate(docs)] + [(None, 1, 1, "x"), (3, None, None, "x"), (100, 0, 1, "x")]
+    sets = {"some": (docs, labels), "nolabels": (docs, []), "one": (docs, [(r[0], 1, 1, "x") for r in docs]), "empty": ([], [])}
+    for name, (d, y) in sets.items():
+        at = f"{tmp_path}/{name}"
+        clashing(table(spark, d)).write.parquet(f"{at}/documents.parquet")
+        frame = spark.createDataFrame([(a, int(b) if b is not None else None, int(c) if c is not None else None, t) for a, b, c, t in y], "doc_id long, quality int, toxic int, text string")
+        frame.write.parquet(f"{at}/labels.parquet")
+        got = query(spark, at).collect()
+        assert len(got) == len(d) and all(0 <= x.score <= 1 and x.predicted in (0, 1) for x in got)
+        assert len({x.score for x in got}) <= 1 or name == "some"
 
 
 def test_labels_of_the_held_out_fold_are_not_learnt_from(spark):
-    docs = table(spark, [(i, f"text {i}", "en", "s") for i in range(40)])
+    docs = table(spark, [(i, f"text {i}", "en", "s") for i in range(40)] + [(0, "another", "en", "s")])
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
-    seen = {t for t, _ in labelled.sample(docs, labels, "quality", 3, 1)}
-    assert seen == {f"text {i}" for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1}
-    assert len(labelled.sample(docs, labels, "quality", 3, 1, max_rows=5)) == 5
+    rows = labelled.examples(docs, labels, "quality", 3, 1).collect()
+    assert sorted(x.doc_id for x in rows) == [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1] and all(x.y == x.doc_id % 2 for x in rows)
+    assert labelled.examples(docs, labels, "quality", 3, 1, max_rows=5).count() == 5
 
 
 # --- 9 ------------------------------------------------------------------------------------------------------------
