@@ -1,21 +1,23 @@
 """Main text of web pages by site-template removal.
 
-Pages are parsed into element trees. Each container's subtree (tags and text) is hashed; Spark counts on how many
-different pages of its host every hash occurs; subtrees that recur across many pages of the host are deleted: menus, footers,
-boxes and notices, whatever they are called. What one page says about itself goes too: scripts, styles, forms, elements of
-navigation, and containers whose role, class or id names a menu, an advert, a notice or reader comments, unless they hold
-the article (or, where the page marks none, most of its text). The article, if the page marks one, is what is left of it; else what
+Pages are parsed into element trees. Each block's subtree (tags and text) is hashed; Spark counts on how many different articles
+of its host every hash occurs; subtrees that recur on many are deleted: menus, footers, boxes and notices, whatever they are
+called, outside the article and inside it. What one page says about itself goes too: scripts, styles, forms, elements of
+navigation, and containers whose role, class or id names a menu, an advert, a notice or reader comments, unless they hold the
+article (or, where the page marks none, most of its text). The article, if the page marks one, is what is left of it; else what
 is left of the body.
 
-Copies of a page count once, so that an article copied many times is no template. Paragraphs, headings and lists of an
-article are never deleted for recurring: a sentence that many articles share is part of each.
+What counts as many is a number of articles, so a box on 40,000 of a million pages is found as well as one on 4 of 9; on hosts
+with few pages it is a share. Pages with the same text are one article, so that an article copied many times, under one address or many,
+is no template. Paragraphs, headings, lists and tables are part of an article even if many articles have them; they are
+templates only if nearly all different articles of the host do.
 
 Counts cover all pages. Templates go to the executors as a broadcast while there are at most BROADCAST of them; beyond that they
 are joined to the pages, with the same result.
 
-Cases. Null or empty html: an empty text. Null url, or one without a host: the host "". Html of any length is read whole; what is left open at
-its end is closed. Repeated rows give the same text each. Ties: a subtree exactly at the thresholds is deleted. Empty
-tables give empty results; extra columns are ignored.
+Cases. Null or empty html: an empty text. Null url, or one without a host: the host "". Html of any length is read whole, in one
+pass; what is left open at its end is closed, and a tag that the end cuts is no text. Repeated rows give the same text each. Ties:
+a subtree exactly at the thresholds is deleted. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,22 +33,30 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import cut
 
-#: A subtree is a template of its host if it is on this many different pages and on this share of them.
-MIN_PAGES = 4
-MIN_SHARE = 0.1
-#: The same for containers inside an article.
-INNER_PAGES = 10
+#: A subtree is a template of its host if it is on as many different articles; on hosts with few, if on such a share, but on LEAST_PAGES.
+MANY_PAGES = 12
+LEAST_PAGES = 4
+#: The share for containers outside an article, and for those inside one.
+OUTER_SHARE = 0.3
 INNER_SHARE = 0.5
+#: Paragraphs, lists and the like: on this share of all articles of the host, whatever their number, and on PROSE_PAGES.
+PROSE_SHARE = 0.8
+PROSE_PAGES = 10
+#: Where a subtree stands: outside the article, inside it, or prose.
+OUTER, INNER, PROSE = 0, 1, 2
 #: Most templates that are broadcast; 16 bytes each and the hosts' names.
 BROADCAST = 100_000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(/?)>""", re.S)
+#: The rest of a tag: what stands between its name and the closing bracket. Nothing is tried twice.
+_REST = re.compile(r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW_END = {t: re.compile(rf"</{t}[^>]*+>", re.I) for t in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CELL = frozenset(("td", "th"))
 _GONE = frozenset("head script style noscript template svg math nav footer aside form button select textarea input iframe object embed applet audio video canvas dialog menu title xmp noembed noframes".split())
@@ -96,28 +106,54 @@ class Node:
         return self.tag if self.tag in ("article", "main") else "article" if "role article" in self.names else "main" if "role main" in self.names else ""
 
 
-def parse(page: str) -> Node:
-    root = Node("#root", "")
-    stack = [root]
+def _tokens(page: str):
+    """(what, value, attributes) of the page: text, the name of a tag that begins (or, after "/", ends), or raw text's end. One
+    pass: every character is read once, but for what follows a quote that never closes."""
     at, end = 0, len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            # a tag that the page's end cuts is no text
-            rest = page[at:]
-            open_at = re.search(r"<[a-zA-Z/!][^<>]*\Z", rest)
-            stack[-1].parts.append(rest[: open_at.start()] if open_at else rest)
-            break
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+        i = page.find("<", at)
+        if i < 0:
+            yield "text", page[at:], ""
+            return
+        if i > at:
+            yield "text", page[at:i], ""
+        c = page[i + 1 : i + 2]
+        if c == "!" or c == "?":
+            if page.startswith("<!--", i):
+                close = page.find("-->", i + 4)
+                at = end if close < 0 else close + 3
+            elif page.startswith("<![CDATA[", i):
+                close = page.find("]]>", i + 9)
+                yield "text", page[i + 9 : end if close < 0 else close], ""
+                at = end if close < 0 else close + 3
+            else:
+                close = page.find(">", i + 1)
+                at = end if close < 0 else close + 1
+            continue
+        name = _NAME.match(page, i + 1)
         if name is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].parts.append(m[0][9:-3])
+            yield "text", "<", ""
+            at = i + 1
+            continue
+        rest = _REST.match(page, name.end())
+        if rest is None:  # a tag that the page's end cuts is no text
+            return
+        at, tag = rest.end(), name[0].lower()
+        yield "tag", tag, rest[1]
+        if tag in _RAW:
+            close = _RAW_END[tag].search(page, at)
+            at = close.end() if close else end
+
+
+def parse(page: str) -> Node:
+    root = Node("#root", "")
+    stack = [root]
+    for what, name, attrs in _tokens(page):
+        if what == "text":
+            stack[-1].parts.append(name)
             continue
-        name = name.lower()
-        if m[1]:
+        if name[0] == "/":
+            name = name[1:]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
                     del stack[i:]
@@ -145,15 +181,10 @@ def parse(page: str) -> Node:
                 if stack[i].tag == "head":
                     del stack[i:]
                     break
-        node = Node(name, m[3])
+        node = Node(name, attrs)
         stack[-1].parts.append(node)
-        if name in _VOID or m[4]:
-            continue
-        if name in _RAW:
-            close = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-            continue
-        stack.append(node)
+        if name not in _VOID and name not in _RAW and not attrs.endswith("/"):
+            stack.append(node)
     return root
 
 
@@ -216,22 +247,29 @@ def _spare(root: Node) -> None:
             node.gone = False
 
 
-def candidates(root: Node) -> list[tuple[Node, bool, int]]:
-    """Containers that may be templates: (node, inside an article, hash)."""
+def candidates(root: Node) -> list[tuple[Node, int, int]]:
+    """Subtrees that may be templates: (node, where it stands, hash)."""
     hashes, kept = subtree_hashes(root), _holds_main(root)
-    marked = any(n.main() for n, _ in _walk(root))
-    return [(n, inside, hashes[id(n)]) for n, inside in _walk(root) if id(n) not in kept and n.tag not in _INLINE and n.tag not in _VOID and n.parts and not (inside and n.tag in _PROSE) and not (not marked and n.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th"))]
+    out = []
+    for n, inside in _walk(root):
+        if n.parts and id(n) not in kept and n.tag not in _INLINE and n.tag not in _VOID and n.tag not in _RAW:
+            out.append((n, PROSE if n.tag in _PROSE else INNER if inside else OUTER, hashes[id(n)]))
+    return out
 
 
 def main_text(page: str, templates=None) -> str:
-    """The blocks of the page's article. templates: hashes of the subtrees to delete outside and inside articles."""
+    """The blocks of the page's article. templates: by where they stand, the hashes of the subtrees to delete."""
     root = parse(page)
     _spare(root)
-    outer, inner = templates or (frozenset(), frozenset())
-    if outer or inner:
-        for node, inside, h in candidates(root):
-            if h in (inner if inside else outer):
+    if templates and any(templates):
+        for node, where, h in candidates(root):
+            if h in templates[where]:
                 node.gone = True
+    return text_of(root)
+
+
+def text_of(root: Node) -> str:
+    """The blocks of the article in a tree."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     todo = [(root, frozenset())]
     while todo:
@@ -288,30 +326,33 @@ def host_of(url: str | None) -> str:
 
 
 def _rows(batches):
-    """url, html -> host, version, hash, inner: candidates of each page version once a batch, and a row with hash null
-    for the version itself."""
+    """url, html -> host, version, hash, place: the subtrees of a page, once a batch for each different article, and a row with hash
+    null for the article itself. Pages whose text is the same are one article."""
     for b in batches:
         seen: dict[tuple, None] = {}
-        done: set[tuple[str, int]] = set()
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            host = host_of(url)
-            version = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass")) - 2**63
-            if (host, version) in done:
-                continue
-            done.add((host, version))
-            seen[host, version, None, False] = None
-            for _, inside, h in candidates(parse(page or "")):
-                seen[host, version, h - 2**63, inside] = None
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in seen], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_()))], names=["host", "version", "hash", "inner"])
+            host, root = host_of(url), parse(page or "")
+            found = [(h, where) for _, where, h in candidates(root)]
+            _spare(root)
+            version = xxhash.xxh64_intdigest(text_of(root).encode("utf-8", "surrogatepass")) - 2**63
+            seen[host, version, None, OUTER] = None
+            for h, where in found:
+                seen[host, version, h - 2**63, where] = None
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in seen], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["host", "version", "hash", "place"]
+        )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, hash, inner: subtrees that recur on many pages of their host."""
-    rows = pages.select("url", "html").mapInArrow(_rows, "host string, version long, hash long, inner boolean").distinct()
-    counts = cut(rows.groupBy("host", "hash", "inner").agg(F.count(F.lit(1)).alias("n")))
+    """host, hash, place: subtrees that recur on many articles of their host."""
+    rows = pages.select("url", "html").mapInArrow(_rows, "host string, version long, hash long, place int").distinct()
+    counts = cut(rows.groupBy("host", "hash", "place").agg(F.count(F.lit(1)).alias("n")))
     hosts = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    many = F.when(F.col("inner"), (F.col("n") >= INNER_PAGES) & (F.col("n") >= INNER_SHARE * F.col("pages"))).otherwise((F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("pages")))
-    return counts.where(F.col("hash").isNotNull() & (F.col("n") >= min(MIN_PAGES, INNER_PAGES))).join(hosts, "host").where(many).select("host", "hash", "inner")
+    of_share = lambda share: F.least(F.lit(MANY_PAGES), F.greatest(F.lit(LEAST_PAGES), F.ceil(share * F.col("pages"))))
+    least = F.when(F.col("place") == OUTER, of_share(OUTER_SHARE)).when(F.col("place") == INNER, of_share(INNER_SHARE))
+    least = least.otherwise(F.greatest(F.lit(PROSE_PAGES), F.ceil(PROSE_SHARE * F.col("pages"))))
+    few = counts.where(F.col("hash").isNotNull() & (F.col("n") >= LEAST_PAGES))
+    return few.join(hosts, "host").where(F.col("n") >= least).select("host", "hash", "place")
 
 
 _SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -328,9 +369,9 @@ def extract(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     found = cut(templates(pages))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     if found.limit(broadcast + 1).count() <= broadcast:
-        by_host: dict[str, tuple[set[int], set[int]]] = {}
-        for host, h, inner in found.collect():
-            by_host.setdefault(host, (set(), set()))[bool(inner)].add(h + 2**63)
+        by_host: dict[str, tuple[set[int], ...]] = {}
+        for host, h, place in found.collect():
+            by_host.setdefault(host, (set(), set(), set()))[place].add(h + 2**63)
         shared = spark.sparkContext.broadcast(by_host)
 
         def run(batches):
@@ -341,20 +382,22 @@ def extract(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
 
     def hits(batches):
         for b in batches:
-            out: Counter[tuple[int, str, int, bool]] = Counter()
+            out: Counter[tuple[int, str, int, int]] = Counter()
             for url, page, key in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                for _, inside, h in candidates(parse(page or "")):
-                    out[key, host_of(url), h - 2**63, inside] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.bool_()))], names=["key", "host", "hash", "inner"])
+                for _, where, h in candidates(parse(page or "")):
+                    out[key, host_of(url), h - 2**63, where] = 1
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "host", "hash", "place"])
 
     def run_joined(batches):
         for b in batches:
-            sets = [({h + 2**63 for h in x["o"]}, {h + 2**63 for h in x["i"]}) if x else None for x in b.column(4).to_pylist()]
+            sets = [tuple({h + 2**63 for h in x[k] or ()} for k in "oip") if x else None for x in b.column(4).to_pylist()]
             yield _extracted(b, sets)
 
     keyed = base.withColumn("key", F.xxhash64("url", "html"))
-    pairs = keyed.mapInArrow(hits, "key long, host string, hash long, inner boolean").distinct()
-    own = pairs.join(found, ["host", "hash", "inner"]).groupBy("key").agg(F.struct(F.collect_set(F.when(~F.col("inner"), F.col("hash"))).alias("o"), F.collect_set(F.when(F.col("inner"), F.col("hash"))).alias("i")).alias("t"))
+    pairs = keyed.mapInArrow(hits, "key long, host string, hash long, place int").distinct()
+    of = lambda place, name: F.collect_set(F.when(F.col("place") == place, F.col("hash"))).alias(name)
+    own = pairs.join(found, ["host", "hash", "place"]).groupBy("key").agg(F.struct(of(OUTER, "o"), of(INNER, "i"), of(PROSE, "p")).alias("t"))
     return keyed.join(cut(own), "key", "left").select("page_id", "url", "html", "key", "t").mapInArrow(run_joined, _SCHEMA)
 
 
