@@ -434,33 +434,65 @@ def test_op9_round_trips_and_the_best_path(spark):
     p = pieces.Pieces.at(pieces.model_path())
 
     def brute(s):
+        """Viterbi over the whole text, no window."""
         chars = list(p._chars(s))
-        best, back = [0.0], [0]
+        best, back = [0.0], [(0, None)]
         for e in range(1, len(chars) + 1):
-            top, at = best[e - 1] + p.by_bytes * len(chars[e - 1]), e - 1
+            top, at = best[e - 1] + p.by_bytes * len(chars[e - 1]), (e - 1, None)
             for k in range(1, p.longest + 1):
                 if k > e or any(len(c) > 1 for c in chars[e - k : e]):
                     break
-                x = p.score.get("".join(chars[e - k : e]))
-                if x is not None and best[e - k] + x > top:
-                    top, at = best[e - k] + x, e - k
+                w = "".join(chars[e - k : e])
+                if w in p.score and best[e - k] + p.score[w] > top:
+                    top, at = best[e - k] + p.score[w], (e - k, w)
             best.append(top)
             back.append(at)
-        return p._path(chars, back, len(chars))
+        ids, e = [], len(chars)
+        while e:
+            start, w = back[e]
+            ids = ([p.id_of[w]] if w else [p.bytes[b] for b in chars[start][0].encode()]) + ids
+            e = start
+        return ids
 
     r = random.Random(1)
-    texts = ["".join(r.choice("abthe  erin▁é漢\n😀x,.") for _ in range(r.randrange(150))) for _ in range(200)] + [x.text[:300] for x in spark.read.parquet(f"{DATA}/documents.parquet").limit(30).collect()]
+    texts = ["".join(r.choice("abthe  erin▁é漢\n😀x,.") for _ in range(r.randrange(150))) for _ in range(200)]
+    texts += [x.text[:300] for x in spark.read.parquet(f"{DATA}/documents.parquet").limit(30).collect()]
     for t in texts:
-        assert p.decode(p.encode(t)) == t and p.encode(t) == brute(t) == list(p.stream(p._chars(t))), t
-    commits: list = []
-    assert len(list(p.stream("internationalisation" * 3000, commits))) > 0
-    assert max(np.diff([0, *commits])) < 20 * p.longest  # the window stays small
-    assert len(list(p.stream("x" * 50_000))) > 1000  # paths that never meet cost no more
+        ids = p.encode(t)
+        assert p.decode(ids) == t and ids == (brute(" " + t) if t else []) == (p.stream(p._chars(" " + t)) if t else []), t
     assert all(x.exact for x in pieces.round_trips(spark.read.parquet(f"{DATA}/documents.parquet")).collect())
     again = {x.doc_id: x.text for x in pieces.decode(pieces.encode(spark.read.parquet(f"{DATA}/documents.parquet"))).collect()}
     assert again == {x.doc_id: x.text for x in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
 
 
+def test_op9_commits_where_paths_meet_and_keeps_a_small_window(spark):
+    p = pieces.Pieces.at(pieces.model_path())
+    for text in ("internationalisation" * 3000, "x" * 20_000, "▁the▁old▁mill" * 500):
+        commits: list = []
+        ids = p.stream(text, commits)
+        assert commits[-1] == len(text) and max(np.diff([0, *commits])) <= 4 * p.longest
+        done, at = [], 0
+        for i in ids:  # a commit is a boundary between ids
+            done.append(at := at + len(p.piece[i]))
+        assert set(commits) <= set(done)
+        assert all(ids[: done.index(c) + 1] == p.stream(text[:c] + text[c : c + 40])[: done.index(c) + 1] for c in commits[:20])
+    text = "".join(random.Random(3).choice("the an in of stone river ") for _ in range(3000))
+    commits = []
+    p.stream(p._chars(text), commits)
+    spaces = {i for i in range(1, len(text)) if text[i] == " " and text[i - 1] != " "}
+    assert spaces <= set(commits)  # all paths meet before a space
+
+
+def test_op9_needs_about_as_many_ids_as_the_library(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    p, library = pieces.Pieces.at(pieces.model_path()), SentencePieceProcessor(model_file=pieces.model_path())
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    ours, theirs = sum(len(p.encode(t)) for t in texts), sum(map(len, library.encode(texts)))
+    assert abs(ours / theirs - 1) < 0.02
+    assert [p.piece[i] for i in p.encode("internationalisation")] == library.encode("internationalisation", out_type=str)
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><div id="main-menu"><ul><li><a>x</a></ul></div><main><article class="post"><header><h1>T &amp; U</h1></header>
