@@ -10,14 +10,19 @@ same one. Suffixes matter only to WINDOW bytes and never cross documents.
    windows wholly inside it, whose blocks are alike wherever it stands.
 2. Equal blocks of a bucket are copies: all but the first are removed as a whole. Blocks that one Python batch has twice are
    settled there, before the shuffle, so a passage in a third of all documents is one row a batch.
-3. Buckets that have different blocks are sorted suffix by suffix, one bucket at a time. Texts of those blocks are fetched. For the positions of a
-   difference cover modulo PERIOD, ranks of the following LONG bytes are computed once; two windows that agree in
-   their first bytes are told apart by the ranks at the first position that is in the cover for both, so no comparison is longer than
-   PERIOD bytes. Buckets over LARGE blocks are dealt out by window instead, in Spark.
+3. Buckets that have different blocks are sorted suffix by suffix, one bucket at a time. Texts of those blocks are fetched. For the
+   positions of a difference cover modulo PERIOD, lexicographic ranks of the LONG bytes that follow are computed once. Two windows
+   have, within PERIOD bytes, an offset at which both are on the cover; at every such offset the windows are sorted by the bytes
+   before it, then by the rank there, which settles ties of any length at once, then by the few bytes after it. So no
+   comparison reads more than PERIOD bytes and a rank, and equality is that of bytes. Buckets over LARGE blocks are
+   dealt out by window in Spark (names of 128 bits), as one task could not hold them.
+
+Rows are told apart by doc_id and, in tables where rows share a doc_id, by a hash of their text, which also orders such rows.
 
 Cases. Null text is an empty text; documents under WINDOW bytes lose nothing. Texts of any length are read whole, in overlapping
-segments. A null doc_id sorts before all others. Rows that repeat a doc_id and its text each get that document's
-result; doc_id is the key of a document. Empty tables give empty results; extra columns are ignored.
+segments. A null doc_id sorts before all others. Rows of one doc_id (or none) and different texts are different documents, the
+one with the smaller hash of its text first; rows alike in both each get that document's result. Empty tables give empty results;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ WINDOW = 100
 GRAM = 32
 SPREAD = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
 CHUNK = 2 << 20  # bytes hashed at once; longer texts are read in segments
-PERIOD = 16
+PERIOD = 8
 LONG = WINDOW - PERIOD + 1
 LARGE = 20_000
 SAMPLE_DOCS = 1000
@@ -135,8 +140,8 @@ def common_strings(texts: list[str], share: float = 0.003, least: int = 4) -> np
 
 
 def _segments(b: pa.RecordBatch):
-    """(rows, bases, bytes, bounds) of chunks of about CHUNK bytes; long texts in segments that overlap by a window."""
-    column = b.column(1).cast(pa.large_binary())
+    """Texts (the last column): (rows, bases, bytes, bounds) of chunks of about CHUNK bytes; long texts in segments that overlap by a window."""
+    column = b.column(b.num_columns - 1).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     rows, bases, parts, size = [], [], [], 0
@@ -176,74 +181,75 @@ def merged(start: np.ndarray, end: np.ndarray):
 
 
 def _scan(common: np.ndarray):
-    """doc_id, text -> bucket, hash, doc, at: a block at its place; or, with at < 0, a run that the batch knows to be removed."""
+    """doc, tie, text -> bucket, hash, doc, tie, at: a block at its place; or, with at < 0, a run that the batch knows to be removed."""
+    names = ["bucket", "hash", "doc", "tie", "at"]
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            g_, h_, d_, p_, l_, s_ = [], [], [], [], [], []
+            ids, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
+            g_, h_, r_, p_, l_, s_ = [], [], [], [], [], []
             for rows, bases, data, bounds in _segments(b):
                 g, h, p, first, end = blocks(data, bounds, common)
                 seg = np.searchsorted(bounds, p, side="right") - 1
                 g_.append(g)
                 h_.append(h)
-                d_.append(ids[rows[seg]])
+                r_.append(rows[seg])
                 p_.append(p - bounds[seg] + bases[seg])
                 l_.append(p - first)
                 s_.append(end - first)
             if not g_:
                 continue
-            g, h, d, p, left, span = map(np.concatenate, (g_, h_, d_, p_, l_, s_))
-            o = np.lexsort((p, d, h, g))
-            g, h, d, p, left, span = (x[o] for x in (g, h, d, p, left, span))
+            g, h, r, p, left, span = map(np.concatenate, (g_, h_, r_, p_, l_, s_))
+            d, t = ids[r], ties[r]
+            o = np.lexsort((p, t, d, h, g))
+            g, h, d, t, p, left, span = (x[o] for x in (g, h, d, t, p, left, span))
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
-            again = ~new & np.concatenate([[False], (d[1:] != d[:-1]) | (p[1:] != p[:-1])])  # a row given twice is no copy of itself
-            at = _packed(p[new], left[new], span[new])
-            gs, hs, ds, ats = [g[new]], [h[new]], [d[new]], [at]
+            other = np.concatenate([[False], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1])])
+            again = ~new & other  # a row given twice is no copy of itself
+            out = [[g[new]], [h[new]], [d[new]], [t[new]], [_packed(p[new], left[new], span[new])]]
             if again.any():
-                da, sa, ea = d[again], p[again] - left[again], p[again] - left[again] + span[again]
-                o = np.argsort(da, kind="stable")
-                da, sa, ea = da[o], sa[o], ea[o]
-                cuts = [0, *(np.flatnonzero(np.diff(da)) + 1), len(da)]
+                da, ta, sa, ea = d[again], t[again], p[again] - left[again], p[again] - left[again] + span[again]
+                o = np.lexsort((ta, da))
+                da, ta, sa, ea = da[o], ta[o], sa[o], ea[o]
+                cuts = [0, *(np.flatnonzero((np.diff(da) != 0) | (np.diff(ta) != 0)) + 1), len(da)]
                 for s, e in zip(cuts, cuts[1:]):
                     rs, re = merged(sa[s:e], ea[s:e])
-                    gs.append(_mix(np.full(len(rs), da[s], np.int64).view(np.uint64) + rs.astype(np.uint64)).view(np.int64))
-                    hs.append(np.zeros(len(rs), np.int64))
-                    ds.append(np.full(len(rs), da[s]))
-                    ats.append(_run(rs, re - rs))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (gs, hs, ds, ats)], names=["bucket", "hash", "doc", "at"])
+                    bucket = _mix(np.full(len(rs), da[s], np.int64).view(np.uint64) + rs.astype(np.uint64)).view(np.int64)
+                    for x, y in zip(out, (bucket, np.zeros(len(rs), np.int64), np.full(len(rs), da[s]), np.full(len(rs), ta[s]), _run(rs, re - rs))):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
     return run
 
 
 def _settle(batches):
-    """Rows sorted by bucket, hash, doc, at -> bucket (null for a run to remove), doc, at: runs, and the first of every
+    """Rows sorted by bucket, hash, doc, tie, at -> bucket (null for a run to remove), doc, tie, at: runs, and the first of every
     different block of buckets that have several. Keeps one row between batches."""
     state = None  # the first row of the last block, and whether it has been given out
 
-    def out(bucket, doc, at, run):
-        return pa.RecordBatch.from_arrays([pa.array(bucket, mask=run), pa.array(doc), pa.array(at)], names=["bucket", "doc", "at"])
+    def out(bucket, doc, tie, at, run):
+        return pa.RecordBatch.from_arrays([pa.array(bucket, mask=run), pa.array(doc), pa.array(tie), pa.array(at)], names=["bucket", "doc", "tie", "at"])
 
     for b in batches:
-        g, h, d, at = (b.column(i).to_numpy() for i in range(4))
+        g, h, d, t, at = (b.column(i).to_numpy() for i in range(5))
         runs = at < 0
         if runs.any():
-            yield out(g[runs], d[runs], at[runs], np.ones(int(runs.sum()), bool))
-            g, h, d, at = (x[~runs] for x in (g, h, d, at))
+            yield out(g[runs], d[runs], t[runs], at[runs], np.ones(int(runs.sum()), bool))
+            g, h, d, t, at = (x[~runs] for x in (g, h, d, t, at))
         if not len(g):
             continue
         given = False
         if state is not None:
-            g, h, d, at = (np.concatenate([[s], x]) for s, x in zip(state[:4], (g, h, d, at)))
-            given = state[4]
+            g, h, d, t, at = (np.concatenate([[s], x]) for s, x in zip(state[:5], (g, h, d, t, at)))
+            given = state[5]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
         heads = np.flatnonzero(new)
         again = ~new
         # the same place as the block's first row: a row given twice
         head = heads[np.cumsum(new) - 1]
-        again &= (d != d[head]) | (at >> 16 != at[head] >> 16)
+        again &= (d != d[head]) | (t != t[head]) | (at >> 16 != at[head] >> 16)
         p, left, span = at >> 16, (at >> 8) & 255, at & 255
         same = np.zeros(len(heads), bool)
         same[1:] = g[heads[1:]] == g[heads[:-1]]
@@ -252,12 +258,10 @@ def _settle(batches):
             several[0] = False
         ask = heads[several]
         take = np.flatnonzero(again)
-        yield out(
-            np.concatenate([g[take], g[ask]]), np.concatenate([d[take], d[ask]]),
-            np.concatenate([_run((p - left)[take], span[take]), at[ask]]), np.concatenate([np.ones(len(take), bool), np.zeros(len(ask), bool)]),
-        )
+        both = np.concatenate([take, ask])
+        yield out(g[both], d[both], t[both], np.concatenate([_run((p - left)[take], span[take]), at[ask]]), np.arange(len(both)) < len(take))
         k = heads[-1]
-        state = g[k], h[k], d[k], at[k], bool(several[-1]) or (given and len(heads) == 1)
+        state = g[k], h[k], d[k], t[k], at[k], bool(several[-1]) or (given and len(heads) == 1)
 
 
 def difference_cover(v: int) -> list[int]:
@@ -273,21 +277,57 @@ def difference_cover(v: int) -> list[int]:
 _COVER = np.array(difference_cover(PERIOD))
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Of the windows at ``starts`` in data, which equal one that is earlier by (doc, place)."""
-    prefix = prefix_hashes(data)
+def sample_ranks(data: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """Lexicographic ranks of the LONG bytes at each sampled position; equal strings have equal ranks."""
+    strings = np.lib.stride_tricks.sliding_window_view(data, LONG)[sampled]
+    padded = np.zeros((len(sampled), -(-LONG // 8) * 8), np.uint8)
+    padded[:, :LONG] = strings
+    words = padded.view(">u8").astype(np.uint64)
+    rank = np.zeros(len(sampled), np.int64)  # of the bytes so far
+    open_ = np.arange(len(sampled))  # those whose rank is not theirs alone
+    for k in range(words.shape[1]):
+        o = open_[np.lexsort((words[open_, k], rank[open_]))]
+        differ = (rank[o][1:] != rank[o][:-1]) | (words[o, k][1:] != words[o, k][:-1])
+        start = np.concatenate([[True], differ])
+        group = np.concatenate([[True], rank[o][1:] != rank[o][:-1]])
+        # a rank is the number of smaller strings, so ranks of one group stay below those of the next
+        base = np.flatnonzero(group)[np.cumsum(group) - 1]
+        rank[o] += np.flatnonzero(start)[np.cumsum(start) - 1] - base
+        alone = start & np.concatenate([start[1:], [True]])
+        open_ = o[~alone]
+        if not len(open_):
+            break
+    return rank
+
+
+def _bytes_at(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes at each position (n below 8) as a number, so that numbers sort as the bytes do."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        out = (out << np.uint64(8)) | data[at + i].astype(np.uint64)
+    return out
+
+
+def repeated(data: np.ndarray, starts: np.ndarray, doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of the windows at ``starts`` in data, which equal one that is earlier by (doc, tie, place)."""
     in_cover = np.zeros(PERIOD, bool)
     in_cover[_COVER] = True
-    sampled = np.flatnonzero(np.resize(in_cover, len(data))[: len(data) - LONG + 1])
-    # ranks of the cover's suffixes to LONG bytes, by their names
+    needed = np.zeros(len(data), bool)  # the cover's positions that some window looks at
+    for shift in range(PERIOD):
+        at = starts + shift
+        needed[at[in_cover[at % PERIOD]]] = True
+    sampled = np.flatnonzero(needed)
     rank = np.zeros(len(data) + 1, np.int64)
-    rank[sampled] = np.unique(substring_hashes(prefix, sampled, sampled + LONG), return_inverse=True)[1]
-    order = np.lexsort((place, doc))
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
+    if len(sampled):
+        rank[sampled] = sample_ranks(data, sampled)
+    o = np.lexsort((place, tie, doc))
     # windows of one place and document are the same window
-    o = order
-    first = np.concatenate([[True], (doc[o][1:] != doc[o][:-1]) | (place[o][1:] != place[o][:-1])])
+    first = np.ones(len(o), bool)
+    for x in (doc, tie, place):
+        x = x[o]
+        first[1:] &= x[1:] == x[:-1]
+    first[1:] = ~first[1:]
+    number = np.empty(len(o), np.int64)
     number[o] = np.flatnonzero(first)[np.cumsum(first) - 1]
     out = np.zeros(len(starts), bool)
     for shift in range(PERIOD):
@@ -295,66 +335,69 @@ def repeated(data: np.ndarray, starts: np.ndarray, doc: np.ndarray, place: np.nd
         if not len(mine):
             continue
         s = starts[mine]
-        # the bytes before the cover's position, its rank, and the bytes after the ranked ones
-        key = substring_hashes(prefix, s, s + shift) * np.uint64(3) + _mix(substring_hashes(prefix, s + shift + LONG, s + WINDOW) + rank[s + shift].astype(np.uint64) * _BASE)
-        o = np.lexsort((number[mine], key))
-        k, n = key[o], number[mine][o]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        low = n[new][np.cumsum(new) - 1]
-        out[mine[o]] |= n > low
+        # the bytes before the cover's position, the rank there, and the bytes after the ranked ones
+        keys = _bytes_at(data, s, shift), rank[s + shift], _bytes_at(data, s + shift + LONG, PERIOD - 1 - shift)
+        o = np.lexsort((number[mine], *keys[::-1]))
+        new = np.zeros(len(o), bool)
+        new[0] = True
+        for k in keys:
+            k = k[o]
+            new[1:] |= k[1:] != k[:-1]
+        n = number[mine][o]
+        out[mine[o]] |= n > n[new][np.cumsum(new) - 1]
     return out
 
 
 def _fetch(batches):
-    """doc, text, asked -> bucket, doc, at, bytes of the asked blocks."""
+    """doc, tie, text, asked -> bucket, doc, tie, at, bytes of the asked blocks."""
     for b in batches:
-        bucket, doc, at, cut_out = [], [], [], []
-        for d, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        columns: list[list] = [[] for _ in range(5)]
+        for d, t, text, asked in zip(*(b.column(i).to_pylist() for i in range(4))):
             data = (text or "").encode("utf-8", "surrogatepass")
             for x in asked:
                 p, left, span = x["at"] >> 16, (x["at"] >> 8) & 255, x["at"] & 255
                 piece = data[p - left : p - left + span]
                 if len(piece) == span:
-                    bucket.append(x["bucket"])
-                    doc.append(d)
-                    at.append(x["at"])
-                    cut_out.append(piece)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(cut_out, pa.binary())], names=["bucket", "doc", "at", "piece"])
+                    for c, v in zip(columns, (x["bucket"], d, t, x["at"], piece)):
+                        c.append(v)
+        types = (*[pa.int64()] * 4, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "doc", "tie", "at", "piece"])
 
 
-def _windows(doc: np.ndarray, at: np.ndarray, pieces: list[bytes]):
-    """All windows of the pieces: data, start in it, doc, place in the document."""
+def _windows(at: np.ndarray, pieces: list[bytes], *keys: np.ndarray):
+    """All windows of the pieces: data, start in it, place in the document, then the keys of each window's piece."""
     data = np.frombuffer(b"".join(pieces), np.uint8)
     size = np.array([len(p) for p in pieces])
     base = np.concatenate([[0], np.cumsum(size)[:-1]])
     n = size - WINDOW + 1
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     place = (at >> 16) - ((at >> 8) & 255)
-    return data, np.repeat(base, n) + inside, np.repeat(doc, n), np.repeat(place, n) + inside
+    return data, np.repeat(base, n) + inside, np.repeat(place, n) + inside, *(np.repeat(k, n) for k in keys)
 
 
 def _sort_buckets(batches):
-    """Blocks sorted by bucket -> doc, at: runs to remove. Whole buckets are sorted, several small ones together."""
+    """Blocks sorted by bucket -> doc, tie, at: runs to remove. Whole buckets are sorted, several small ones together."""
     held = None
 
-    def flush(bucket, doc, at, pieces):
-        data, starts, d, place = _windows(doc, at, pieces)
-        hit = repeated(data, starts, d, place)
-        d, place = d[hit], place[hit]
-        o = np.lexsort((place, d))
-        d, place = d[o], place[o]
+    def flush(bucket, doc, tie, at, pieces):
+        data, starts, place, d, t = _windows(at, pieces, doc, tie)
+        hit = repeated(data, starts, d, t, place)
+        d, t, place = d[hit], t[hit], place[hit]
+        o = np.lexsort((place, t, d))
+        d, t, place = d[o], t[o], place[o]
         new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (place[1:] > place[:-1] + WINDOW)
+        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (place[1:] > place[:-1] + WINDOW)
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:] - 1, [len(d) - 1]]) if len(d) else first
-        return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(_run(place[first], place[last] + WINDOW - place[first]))], names=["doc", "at"])
+        runs = _run(place[first], place[last] + WINDOW - place[first])
+        return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(t[first]), pa.array(runs)], names=["doc", "tie", "at"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        rows = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()]
+        rows = [*(b.column(i).to_numpy() for i in range(4)), b.column(4).to_pylist()]
         if held is not None:
-            rows = [*(np.concatenate([x, y]) for x, y in zip(held[:3], rows[:3])), held[3] + rows[3]]
+            rows = [*(np.concatenate([x, y]) for x, y in zip(held[:4], rows[:4])), held[4] + rows[4]]
         bucket = rows[0]
         ends = np.flatnonzero(np.diff(bucket)) + 1
         at = 0
@@ -370,14 +413,15 @@ def _sort_buckets(batches):
 
 
 def _window_rows(batches):
-    """Blocks of large buckets -> name, doc, place of each window; names are 128 bits."""
+    """Blocks of large buckets (doc, tie, at, piece) -> name, doc, tie, place of each window; names are 128 bits."""
     for b in batches:
         for s in range(0, b.num_rows, 2000):
             part = b.slice(s, 2000)
-            data, starts, d, place = _windows(part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3).to_pylist())
+            data, starts, place, d, t = _windows(part.column(2).to_numpy(), part.column(3).to_pylist(), part.column(0).to_numpy(), part.column(1).to_numpy())
             prefix = prefix_hashes(data)
             one, two = substring_hashes(prefix, starts, starts + WINDOW), substring_hashes(prefix, starts, starts + WINDOW // 2)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(d), pa.array(place)], names=["a", "b", "doc", "place"])
+            columns = one.view(np.int64), two.view(np.int64), d, t, place
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "doc", "tie", "place"])
 
 
 def _clean(batches):
@@ -402,35 +446,48 @@ def _clean(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def repeated_runs(docs: DataFrame, large: int = LARGE) -> DataFrame:
-    """doc, at: runs to remove (packed), not yet merged."""
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = few(base.where(F.length("text") <= SAMPLE_CHARS), "doc", SAMPLE_DOCS, docs.count())
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, doc, tie, text: doc and tie tell documents apart and order them. tie is 0 unless rows share a doc_id."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = base.withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63))))
+    shared = base.groupBy("doc").count().where("count > 1").limit(1).count() > 0
+    return base.select("doc_id", "doc", (F.xxhash64("text") if shared else F.lit(0).cast("long")).alias("tie"), "text")
+
+
+def repeated_runs(base: DataFrame, large: int = LARGE) -> DataFrame:
+    """doc, tie, at: runs to remove (packed), not yet merged. base: rows of ``_keyed``."""
+    sample = few(base.where(F.length("text") <= SAMPLE_CHARS), "doc", SAMPLE_DOCS, base.count())
     common = common_strings([r[0] for r in sample.select("text").collect()])
-    rows = base.mapInArrow(_scan(common), "bucket long, hash long, doc long, at long")
-    settled = stored(rows.repartition("bucket").sortWithinPartitions("bucket", "hash", "doc", "at").mapInArrow(_settle, "bucket long, doc long, at long"), "settled")
-    runs = settled.where("bucket is null").select("doc", "at")
+    rows = base.select("doc", "tie", "text").mapInArrow(_scan(common), "bucket long, hash long, doc long, tie long, at long")
+    order = "bucket", "hash", "doc", "tie", "at"
+    settled = rows.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_settle, "bucket long, doc long, tie long, at long")
+    settled = stored(settled, "settled")
+    runs = settled.where("bucket is null").select("doc", "tie", "at")
     asked = settled.where("bucket is not null")
-    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("bucket", "at")).alias("asked"))
-    fetched = base.join(by_doc, "doc").select("doc", "text", "asked").mapInArrow(_fetch, "bucket long, doc long, at long, piece binary")
+    by_doc = asked.groupBy("doc", "tie").agg(F.collect_list(F.struct("bucket", "at")).alias("asked"))
+    whole = base.select("doc", "tie", "text").join(by_doc, ["doc", "tie"]).select("doc", "tie", "text", "asked")
+    fetched = whole.mapInArrow(_fetch, "bucket long, doc long, tie long, at long, piece binary")
     sizes = cut(asked.groupBy("bucket").count().where(F.col("count") > large).select("bucket"))
+    sort = lambda df: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "doc long, tie long, at long")
     if sizes.limit(1).count() == 0:
-        more = fetched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "doc long, at long")
-        return runs.union(more)
+        return runs.union(sort(fetched))
     pieces = stored(fetched, "pieces")
-    small = pieces.join(sizes, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "doc long, at long")
-    windows = stored(pieces.join(sizes, "bucket", "left_semi").select("bucket", "doc", "at", "piece").mapInArrow(_window_rows, "a long, b long, doc long, place long"), "windows")
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "place")).alias("first"))
-    hit = windows.join(first, ["a", "b"]).where(F.struct("doc", "place") > F.col("first"))
-    return runs.union(small).union(hit.select("doc", (-1 - (F.shiftleft("place", 31).bitwiseOR(F.lit(WINDOW).cast("long")))).alias("at")))
+    small = sort(pieces.join(sizes, "bucket", "left_anti").select(*pieces.columns))
+    dealt = pieces.join(sizes, "bucket", "left_semi").select("doc", "tie", "at", "piece")
+    windows = stored(dealt.mapInArrow(_window_rows, "a long, b long, doc long, tie long, place long"), "windows")
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "tie", "place")).alias("first"))
+    hit = windows.join(first, ["a", "b"]).where(F.struct("doc", "tie", "place") > F.col("first"))
+    at = -1 - (F.shiftleft("place", 31).bitwiseOR(F.lit(WINDOW).cast("long")))
+    return runs.union(small).union(hit.select("doc", "tie", at.alias("at")))
 
 
 def dedup(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<start, end>> (byte offsets that are removed)."""
-    runs = repeated_runs(docs, large).groupBy("doc").agg(F.collect_list("at").alias("ats"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63))))
-    joined = base.join(runs, "doc", "left").select("doc_id", "text", "ats")
-    return joined.mapInArrow(_clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+    base = _keyed(docs)
+    runs = repeated_runs(base, large).groupBy("doc", "tie").agg(F.collect_list("at").alias("ats"))
+    joined = base.join(runs, ["doc", "tie"], "left").select("doc_id", "text", "ats")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
+    return joined.mapInArrow(_clean, schema)
 
 
 def op1_suffix_dedup(spark, sf_dir):

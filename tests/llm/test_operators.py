@@ -63,6 +63,7 @@ def test_the_registry_has_all_eleven_queries():
 
 
 def brute_dedup(docs):
+    """docs: key -> text, in order of their keys."""
     seen, out = set(), {}
     for d, t in sorted(docs.items()):
         b = t.encode()
@@ -98,10 +99,40 @@ def test_op1_removes_what_brute_force_removes(spark, large):
     assert {x.doc_id: tuple(x[1:5]) for x in rows} == brute_dedup(docs)
 
 
+def test_op1_rows_that_share_a_doc_id_or_have_none_are_documents_of_their_own(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdef ghij") for _ in range(n))
+    inner = text(150)
+    rows = [(None, inner + text(40) + inner), (None, text(300)), (7, inner + text(40) + inner), (7, text(300)), (7, text(50) + inner), (3, text(200)), (3, inner)]
+    rows += rows[3:5]  # rows given twice
+    hashes = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    want = brute_dedup({(-(2**63) if d is None else d, hashes[t]): t for d, t in rows})
+    for large in (suffixes.LARGE, 1):
+        got = suffixes.dedup(table(spark, [(d, t, "", "") for d, t in rows]).repartition(3), large).collect()
+        assert sorted((x.doc_id or 0, *x[1:5]) for x in got) == sorted((d or 0, *want[-(2**63) if d is None else d, hashes[t]]) for d, t in rows)
+
+
+def test_op1_ranks_are_lexicographic_and_settle_ties():
+    r = random.Random(2)
+    data = np.frombuffer(b"".join(r.choice([b"a" * 40, b"ab", b"c\0", b"\0", bytes([r.randrange(256)])]) for _ in range(400)), np.uint8)
+    at = np.arange(0, len(data) - suffixes.LONG, 3)
+    strings = [data[i : i + suffixes.LONG].tobytes() for i in at]
+    assert suffixes.sample_ranks(data, at).tolist() == [sum(x < y for x in strings) for y in strings]
+    starts = np.arange(len(data) - suffixes.WINDOW + 1)
+    seen, want = set(), []
+    for i in starts:
+        w = data[i : i + suffixes.WINDOW].tobytes()
+        want.append(w in seen)
+        seen.add(w)
+    none = np.zeros(len(starts), np.int64)
+    assert suffixes.repeated(data, starts, none, none, starts).tolist() == want and any(want)
+
+
 def test_op1_repeated_rows_and_segments(spark, monkeypatch):
     assert len({tuple(x) for x in suffixes.dedup(table(spark, [(1, "ab" * 200, "", "")] * 3)).select("doc_id", "n_removed", "kept_sha256").collect()}) == 1
-    cover = suffixes.difference_cover(16)
-    assert {(a - b) % 16 for a in cover for b in cover} == set(range(16))
+    for v in (suffixes.PERIOD, 16):
+        cover = suffixes.difference_cover(v)
+        assert {(a - b) % v for a in cover for b in cover} == set(range(v)) and len(cover) <= v // 2
     monkeypatch.setattr(suffixes, "CHUNK", 300)
     import pyarrow as pa
 
