@@ -279,10 +279,10 @@ def fit_words(
     return (f.T @ (whiten @ w)).astype(np.float32), float(b), marks
 
 
-def counted(rows: DataFrame) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
-    """(word, toxic texts, clean texts) of the examples (doc_id, text, y): all words of two toxic texts or more, and of the rest
-    of the clean texts' words at most CLEAN_WORDS, those with the smallest hash; the same of stems of three toxic texts or
-    more; and the number of words and stems of three texts or more, those that may be telling."""
+def counted(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+    """(word, toxic texts, clean texts) of the examples (doc_id, text, y): the words that may be telling, and of the rest of the
+    clean texts' words at most CLEAN_WORDS, those with the smallest hash; the same of the stems that may be telling; and the
+    number of words and stems of three texts or more."""
     each = rows.select("doc_id", "y", F.explode(F.split(F.lower("text"), _SENTENCE)).alias("s"))
     once = each.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("y").alias("y"))
     words = once.select("doc_id", "y", F.explode(F.split("s", r"\s+")).alias("w"))
@@ -292,9 +292,11 @@ def counted(rows: DataFrame) -> tuple[list[tuple[str, int, int]], list[tuple[str
     each = words.select("doc_id", "y", F.explode(forms).alias("x")).groupBy("x", "doc_id").agg(F.min("y").alias("y"))
     found = each.groupBy("x").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).select("x.k", "x.w", "t", "c").persist()
     n = found.where(F.col("t") + F.col("c") >= 3).count()
-    top = found.where("k = 0 and t >= 2").select("w", "t", "c").collect()
-    stems = found.where("k > 0 and t >= 3").select("w", "t", "c").collect()
-    clean = found.where("k = 0 and t < 2 and c > 0").orderBy(F.xxhash64("w"), "w").limit(CLEAN_WORDS).select("w", "t", "c").collect()
+    more = (F.col("t") * n_clean > 4 * F.col("c") * n_toxic) & (F.col("t") >= F.when(F.col("k") == 0, 2).otherwise(3))
+    top = found.where(more & (F.col("k") == 0)).select("w", "t", "c").collect()
+    stems = found.where(more & (F.col("k") > 0)).select("w", "t", "c").collect()
+    clean = found.where(~more & (F.col("k") == 0) & (F.col("c") > 0)).orderBy(F.xxhash64("w"), "w").limit(CLEAN_WORDS)
+    clean = clean.select("w", "t", "c").collect()
     found.unpersist()
     return [tuple(r) for r in (*top, *clean)], [tuple(r) for r in stems], n
 
@@ -370,7 +372,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, fold: int, max_rows: i
     rows = labelled.examples(docs, labels, "toxic", modulus, fold, max_rows).persist()
     n = rows.groupBy("y").count().collect()
     by = {r["y"]: r["count"] for r in n}
-    words, stems, n_words = counted(rows)
+    words, stems, n_words = counted(rows, by.get(1, 0), by.get(0, 0))
     got = fit_words(words, stems, by.get(1, 0), by.get(0, 0), n_words)
     if got is None:
         share = min(max(by.get(1, 0) / max(sum(by.values()), 1), 1e-3), 0.999) if by else 0.5
