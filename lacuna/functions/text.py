@@ -26,12 +26,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
+def plain_ngrams(name: str, n: int = 3) -> list[str]:
+    """``char_ngrams`` of a fixed name, sorted."""
+    s = "".join(c for c in name.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    return sorted({s[i : i + n] for i in range(max(1, len(s) - n + 1))}) if s else []
+
+
 def generic_score(grams: Column, seeds, n: int = 3) -> Column:
-    """The largest Jaccard of a name's n-grams to those of the seed names; 0 without seeds."""
-    if not seeds:
+    """The largest Jaccard of a name's n-grams to those of the seed names, which are literals; 0 without seeds."""
+    each = [g for g in (plain_ngrams(s, n) for s in seeds) if g]
+    if not each:
         return F.lit(0.0)
-    each = F.array(*[char_ngrams(F.lit(s), n) for s in seeds])
-    return F.array_max(F.transform(each, lambda g: jaccard(grams, g)))
+
+    def score(own: Column, g: list[str]) -> Column:
+        shared = F.size(F.array_intersect(own, strings(g)))
+        return shared / (F.size(own) + len(g) - shared)
+
+    # the lambda binds the name's n-grams, so that they are made once and not for every seed
+    return F.get(F.transform(F.array(grams), lambda own: F.greatest(*(score(own, g) for g in each), F.lit(0.0))), F.lit(0))
 
 
 def tokens(name: Column) -> Column:
@@ -57,6 +69,11 @@ def clean_term(term: Column) -> Column:
     return F.trim(F.regexp_replace(term, "[,:]", " "))
 
 
+def words_of(text: Column) -> Column:
+    """A text's runs of ASCII letters and digits in order, lower case."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+
+
 def mentions(text: Column, term: Column) -> Column:
     """Whether a text holds a term as whole words, without case."""
     pad = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))

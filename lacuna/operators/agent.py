@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators import evidence
@@ -24,8 +24,9 @@ def counted(corpus: Corpus) -> EvidenceProvider:
     return lambda pairs: pairs.join(source.select(F.col("src").alias("a"), F.col("dst").alias("c"), "hits"), ["a", "c"]).select("a", "c", "hits")
 
 
-def run_discover(corpus: Corpus, topics: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), types: DataFrame | None = None, verify: bool = False, provider: EvidenceProvider | None = None, reasoner: Reasoner | None = None) -> DataFrame:
-    links = discover(corpus, topics, config, types)
+def _finished(corpus: Corpus, links: DataFrame, cite: bool, verify: bool, provider: EvidenceProvider | None, reasoner: Reasoner | None) -> DataFrame:
+    if cite and corpus.work_concepts is not None:
+        links = evidence.with_citations(links, corpus.work_concepts, corpus.works)
     hyps = (reasoner or evidence.hypotheses)(links)
     if not verify:
         return hyps
@@ -33,14 +34,27 @@ def run_discover(corpus: Corpus, topics: DataFrame, config: DiscoveryConfig = Di
     return evidence.reranked(evidence.verify(hyps, counts))
 
 
-def run_explain(corpus: Corpus, pairs: DataFrame, config: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
-    """A link for each pair of concepts, in the columns of ``discover``, with its hypothesis."""
-    rows = explain(corpus, pairs, config)
-    w = Window.partitionBy("a", "c").orderBy("b_rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    links = rows.withColumn("bridges", F.collect_list("b_name").over(w)).withColumn("bridge_ids", F.collect_list("b").over(w)).where("b_rank = 1")
+def run_discover(
+    corpus: Corpus, topics: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), types: DataFrame | None = None,
+    verify: bool = False, provider: EvidenceProvider | None = None, reasoner: Reasoner | None = None, cite: bool = True,
+) -> DataFrame:
+    """Links with hypotheses; with the works that are cited for them, where the corpus knows its works; verified and ranked anew if asked."""
+    links = corpus.hold(discover(corpus, topics, config, types), "links")
+    return _finished(corpus, links, cite, verify, provider, reasoner)
+
+
+def run_explain(
+    corpus: Corpus, pairs: DataFrame, config: DiscoveryConfig = DiscoveryConfig(),
+    verify: bool = False, provider: EvidenceProvider | None = None, reasoner: Reasoner | None = None, cite: bool = True,
+) -> DataFrame:
+    """A link for each pair of concepts, in the columns of ``discover``, with its hypothesis, cited works and verdict as in ``run_discover``."""
+    rows = corpus.hold(explain(corpus, pairs, config), "explained")
+    each = lambda x, name: F.transform(F.array_sort(F.collect_list(F.struct("b_rank", F.col(x).alias("x")))), lambda y: y["x"]).alias(name)
+    keys = ["a", "c", "total", "direct", "novelty", "n_bridges"]
+    links = rows.groupBy(*keys).agg(each("b_name", "bridges"), each("b", "bridge_ids"))  # n_bridges rows a pair at most
     name = lambda key, to: corpus.concepts.select(F.col("cid").alias(key), F.col("name").alias(to))
     links = links.join(name("a", "a_name"), "a").join(name("c", "c_name"), "c").withColumn("rank", F.lit(1)).withColumn("comention_count", F.lit(0).cast("long"))
-    return evidence.hypotheses(links.withColumn("bridge_support", F.col("n_bridges")).withColumn("score", F.col("total")))
+    return _finished(corpus, links.withColumn("bridge_support", F.col("n_bridges")).withColumn("score", F.col("total")), cite, verify, provider, reasoner)
 
 
 #: Providers of language models and the variables that hold their keys, the first that is set wins.

@@ -36,3 +36,13 @@ def backtest_summary(links: DataFrame) -> DataFrame:
 def by_year(corpus_of, split_year: int) -> tuple[Corpus, Corpus]:
     """corpus_of(year_from, year_to) -> the corpora up to the split year and after it."""
     return corpus_of(None, split_year), corpus_of(split_year + 1, None)
+
+
+def counted_hits(corpus: Corpus) -> DataFrame:
+    """src, dst, hits: the corpus's independent count of mentions, or its edges where it has none."""
+    return corpus.comentions if corpus.comentions is not None else corpus.edges.select("src", "dst", F.col("cooc").alias("hits"))
+
+
+def run_backtest(past: Corpus, future: Corpus, topics: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), **options) -> DataFrame:
+    """``backtest_links`` on the counts of the two corpora."""
+    return backtest_links(past, topics, counted_hits(past), counted_hits(future), config, **options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import novelty as N
 from lacuna.functions import text as T
 from lacuna.operators.filters import RelevanceFilter, make_filter
-from lacuna.sources.corpus import Corpus, cooccurrence, neighbours
+from lacuna.sources.corpus import Corpus, cooccurrence
 
 MODES = ("concept_lift", "comention", "hybrid")
 
@@ -34,6 +35,8 @@ class DiscoveryConfig:
     comention_novelty_scale: float = 30.0
     min_bridge_support: int = 1
     strict_types: bool = False
+    #: A novelty of one's own: short list (the columns of ``discover`` so far, path_norm, expected_lift) -> Column in place of the mode's.
+    novelty_scorer: Callable[[DataFrame], F.Column] | None = None
 
     @property
     def filter(self) -> RelevanceFilter:
@@ -56,20 +59,26 @@ def bridges(corpus: Corpus, topics: DataFrame, config: DiscoveryConfig) -> tuple
     """topics (a). Returns the pool (a, b, cooc, an): all neighbours of a, normalised before any filter; and the chosen bridges
     (a, b, an, b_key, b_rank, bc, ac), bc and ac being the packed features."""
     flt = config.filter
-    features = flt.features(corpus.concepts)
-    near = neighbours(corpus.edges.join(topics.select(F.col("a").alias("src")).distinct(), "src"), config.bridge_pool)
-    pool = near.select(F.col("src").alias("a"), F.col("dst").alias("b"), "cooc").withColumn("an", N.normalized(F.col("cooc").cast("double"), "a"))
+    near = corpus.neighbours_of(topics.select(F.col("a").alias("src")), config.bridge_pool)
+    pool = corpus.hold(near.select(F.col("src").alias("a"), F.col("dst").alias("b"), "cooc", F.col("norm").alias("an")))
+    features = pool_features(corpus, flt, pool.select("a").union(pool.select("b")))
     pairs = pool.join(_packed(features, "bc", "b"), "b").join(_packed(features, "ac", "a"), "a")
     good = pairs.where(flt.usable("bc", "ac", config.min_level)).withColumn("b_key", F.col("an") * N.specificity(F.col("bc.works_count")))
     w = Window.partitionBy("a").orderBy(rounded("b_key").desc(), "b")
-    return pool, good.withColumn("b_rank", F.row_number().over(w)).where(F.col("b_rank") <= config.n_bridges)
+    return pool, corpus.hold(good.withColumn("b_rank", F.row_number().over(w)).where(F.col("b_rank") <= config.n_bridges))
+
+
+def pool_features(corpus: Corpus, flt: RelevanceFilter, wanted: DataFrame) -> DataFrame:
+    """The filter's features of the wanted concepts (one column of ids) alone."""
+    ids = wanted.toDF("cid").distinct()
+    return corpus.hold(flt.features(corpus.concepts.join(ids, "cid", "left_semi")))
 
 
 def candidates(corpus: Corpus, pool: DataFrame, chosen: DataFrame, config: DiscoveryConfig) -> DataFrame:
     """a, c, support, path, found (structs of a bridge's place, id, name): concepts two hops away that are no neighbours of a."""
-    ends = neighbours(corpus.edges.join(chosen.select(F.col("b").alias("src")).distinct(), "src"), config.bridge_pool)
-    ends = ends.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("cooc").cast("double").alias("n")).withColumn("bn", N.normalized(F.col("n"), "b"))
-    paths = chosen.select("a", "b", "an", F.col("bc.name").alias("b_name")).join(ends.select("b", "c", "bn"), "b").where("c <> a")
+    ends = corpus.neighbours_of(chosen.select(F.col("b").alias("src")), config.bridge_pool)
+    ends = ends.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("norm").alias("bn"))
+    paths = chosen.select("a", "b", "an", F.col("bc.name").alias("b_name")).join(ends, "b").where("c <> a")
     known = pool.select("a", F.col("b").alias("c"))  # the bridges are among them
     fresh = paths.join(known, ["a", "c"], "left_anti")
     found = F.array_sort(F.collect_list(F.struct((-rounded("an")).alias("k"), F.col("b").alias("id"), F.col("b_name").alias("name"))))
@@ -83,10 +92,10 @@ def typed(cands: DataFrame, types: DataFrame, config: DiscoveryConfig, name: str
     rows = cands.join(types.select(F.col("name").alias("_tn"), "letters"), F.col(name) == F.col("_tn"), "left").withColumn("letters", F.coalesce("letters", T.strings(())))
     rows = rows.withColumn("_pool", F.col("p_rank") <= config.n_typed_pool)
     rows = rows.withColumn("_fits", F.col("_pool") & F.arrays_overlap("letters", wanted))
-    topic = Window.partitionBy("a")
-    any_fit = F.max(F.col("_fits").cast("int")).over(topic) == 1  # a fit implies a known type
-    keep = F.col("_fits") if config.strict_types else F.when(any_fit, F.col("_fits")).otherwise(F.lit(True))
-    return rows.withColumn("_keep", keep).where("_keep").drop("_tn", "_pool", "_fits", "_keep")
+    fit = rows.where("_fits")  # a fit implies a known type
+    if not config.strict_types:
+        fit = fit.union(rows.join(fit.select("a").distinct(), "a", "left_anti").select(*fit.columns))
+    return fit.drop("_tn", "_pool", "_fits")
 
 
 def diversity(found, generic=None) -> F.Column:
@@ -100,27 +109,45 @@ def diversity(found, generic=None) -> F.Column:
     return F.when(n <= 1, F.lit(1.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / (n * (n - 1) / 2))), 3))
 
 
+@dataclass(frozen=True)
+class Stages:
+    """What a discovery makes on its way: the chosen bridges, all candidates, the short list that is checked, the links."""
+
+    chosen: DataFrame
+    found: DataFrame
+    checked: DataFrame
+    links: DataFrame
+
+
 def discover(corpus: Corpus, topics: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), types: DataFrame | None = None) -> DataFrame:
     """Links from each topic to concepts that its literature reaches only through bridges.
 
     topics: (a), ids of concepts. Returns a, a_name, c, c_name, c_level, rank, bridges (names, the strongest first), bridge_ids, bridge_support,
     path_strength, direct, expected_lift, novelty, comention_count, diversity, signals, score, n_bridges, n_candidates.
     """
+    return stages(corpus, topics, config, types).links
+
+
+def stages(corpus: Corpus, topics: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), types: DataFrame | None = None) -> Stages:
+    """``discover`` with the frames on its way."""
     if config.novelty_mode not in MODES:
         raise ValueError(f"novelty_mode is one of {MODES}")
     flt = config.filter
     pool, chosen = bridges(corpus, topics, config)
-    found = candidates(corpus, pool, chosen, config)
-    features = flt.features(corpus.concepts)
+    found = corpus.hold(candidates(corpus, pool, chosen, config))
+    features = pool_features(corpus, flt, found.select("a").union(found.select("c")))
     size_row, size = corpus.size_column()
     rows = found.join(_packed(features, "cc", "c"), "c").join(_packed(features, "ac", "a"), "a")
-    rows = rows.withColumn("n_candidates", F.count(F.lit(1)).over(Window.partitionBy("a")))  # before the filter
     rows = rows.where(flt.usable("cc", "ac", config.min_level))
     order = Window.partitionBy("a").orderBy(F.desc("support"), rounded("path").desc(), "c")
-    rows = rows.withColumn("p_rank", F.row_number().over(order))
+    most = config.n_candidates_checked
     if config.target_categories and types is not None:
-        rows = typed(rows, types, config).withColumn("p_rank", F.row_number().over(order))
-    short = rows.where(F.col("p_rank") <= config.n_candidates_checked).withColumn("path_norm", N.normalized(F.col("path"), "a"))
+        rows = typed(rows.withColumn("p_rank", F.row_number().over(order)), types, config).drop("p_rank")
+    rows = rows.withColumn("p_rank", F.row_number().over(order)).where(F.col("p_rank") <= most)
+    # small from here on: at most n_candidates_checked rows a topic
+    n_candidates = found.groupBy("a").agg(F.count(F.lit(1)).alias("n_candidates"))  # before the filter
+    rows = rows.join(n_candidates, "a")
+    short = rows.withColumn("path_norm", N.normalized(F.col("path"), "a"))
     counts = chosen.groupBy("a").agg(F.count(F.lit(1)).alias("n_bridges"))
     short = short.join(counts, "a")
     if size_row is not None:
@@ -128,8 +155,11 @@ def discover(corpus: Corpus, topics: DataFrame, config: DiscoveryConfig = Discov
     short = cooccurrence(corpus.edges, short.withColumnRenamed("a", "src").withColumnRenamed("c", "dst")).withColumnsRenamed({"src": "a", "dst": "c", "cooc": "direct"})
     short = short.withColumn("expected_lift", N.lift(F.col("direct"), F.col("ac.works_count"), F.col("cc.works_count"), size))
     struct = (0.6 * F.col("path_norm") + 0.4 * F.col("support") / F.greatest("n_bridges", F.lit(1))) * N.specificity(F.col("cc.works_count"))
-    short = short.withColumn("diversity", diversity(F.col("found")))
-    if config.novelty_mode == "concept_lift":
+    short = checked = corpus.hold(short.withColumn("diversity", diversity(F.col("found"))))
+    if config.novelty_scorer is not None:
+        short = short.withColumn("novelty", config.novelty_scorer(short)).withColumn("comention_count", F.lit(0).cast("long"))
+        signals = F.create_map(F.lit("own"), F.col("novelty"), F.lit("diversity"), F.col("diversity"))
+    elif config.novelty_mode == "concept_lift":
         short = short.where(F.col("expected_lift") <= config.max_lift).withColumn("novelty", 1 / (1 + F.col("expected_lift"))).withColumn("comention_count", F.lit(0).cast("long"))
         signals = F.create_map(F.lit("lift"), F.col("novelty"), F.lit("diversity"), F.col("diversity"))
     else:
@@ -153,28 +183,28 @@ def discover(corpus: Corpus, topics: DataFrame, config: DiscoveryConfig = Discov
         short = short.where(F.col("support") >= config.min_bridge_support)
     w = Window.partitionBy("a").orderBy(rounded("score").desc(), "c")
     out = short.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= config.max_results)
-    return out.select(
+    links = out.select(
         "a", F.col("ac.name").alias("a_name"), "c", F.col("cc.name").alias("c_name"), F.col("cc.level").alias("c_level"), "rank", F.transform("found", lambda x: x["name"]).alias("bridges"),
         F.transform("found", lambda x: x["id"]).alias("bridge_ids"), F.col("support").alias("bridge_support"), F.col("path").alias("path_strength"), "direct", "expected_lift", "novelty", "comention_count",
         "diversity", "signals", "score", "n_bridges", "n_candidates",
     )
+    return Stages(chosen, found, checked, links)
 
 
 def explain(corpus: Corpus, pairs: DataFrame, config: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
     """The bridges that a and c share. pairs: (a, c). Returns a row for each: a, c, b, b_name, b_rank, strength, total (sum over the chosen bridges),
     direct, novelty, n_bridges. Only the name tests and the level hold here, and words shared with a."""
     flt = config.filter
-    features = flt.features(corpus.concepts)
-    ends = pairs.select(F.col("a").alias("src")).union(pairs.select(F.col("c").alias("src"))).distinct()
-    near = neighbours(corpus.edges.join(ends, "src"), config.bridge_pool).withColumn("norm", N.normalized(F.col("cooc").cast("double"), "src")).select("src", "dst", "norm")
+    pairs = corpus.hold(pairs.select("a", "c").distinct())
+    ends = pairs.select(F.col("a").alias("src")).union(pairs.select(F.col("c").alias("src")))
+    near = corpus.hold(corpus.neighbours_of(ends, config.bridge_pool).select("src", "dst", "norm"))
     one = near.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("norm").alias("an"))
     two = near.select(F.col("src").alias("c"), F.col("dst").alias("b"), F.col("norm").alias("cn"))
-    both = pairs.select("a", "c").distinct().join(one, "a").join(two, ["c", "b"]).where("b <> a and b <> c")
+    both = corpus.hold(pairs.join(one, "a").join(two, ["c", "b"]).where("b <> a and b <> c"))
+    features = pool_features(corpus, flt, both.select("a").union(both.select("b")))
     rows = both.join(_packed(features, "bc", "b"), "b").join(_packed(features, "ac", "a"), "a")
-    words = F.coalesce(F.arrays_overlap(T.distinctive_tokens(F.col("bc.name")), T.distinctive_tokens(F.col("ac.name"))), F.lit(False)) if flt.name_stop or flt.generic_tokens else F.lit(False)
-    if type(flt).__name__ == "LevelFilter":
-        words = F.lit(False)
-    rows = rows.where((F.coalesce(F.col("bc.level"), F.lit(0)) >= config.min_level) & ~F.col("bc.generic") & ~F.col("bc.bad") & ~words).withColumn("strength", N.leg(F.col("an"), F.col("cn")))
+    ok = (F.coalesce(F.col("bc.level"), F.lit(0)) >= config.min_level) & ~F.col("bc.generic") & ~F.col("bc.bad") & ~flt.shares_words("bc", "ac")
+    rows = rows.where(ok).withColumn("strength", N.leg(F.col("an"), F.col("cn")))
     w = Window.partitionBy("a", "c").orderBy(rounded("strength").desc(), "b")
     top = rows.withColumn("b_rank", F.row_number().over(w)).where(F.col("b_rank") <= config.n_bridges)
     pair = Window.partitionBy("a", "c")
@@ -183,6 +213,9 @@ def explain(corpus: Corpus, pairs: DataFrame, config: DiscoveryConfig = Discover
     return top.select("a", "c", "b", F.col("bc.name").alias("b_name"), "b_rank", "strength", "total", "direct", (1 / (1 + F.col("direct"))).alias("novelty"), "n_bridges")
 
 
-def stats(links: DataFrame) -> DataFrame:
-    """One row a topic: bridges, candidates, results."""
-    return links.groupBy("a").agg(F.max("n_bridges").alias("bridges"), F.max("n_candidates").alias("candidates"), F.count(F.lit(1)).alias("results"))
+def stats(topics: DataFrame, run: Stages) -> DataFrame:
+    """One row a topic, whether or not it has links: a, bridges, candidates, checked (before the novelty gate), results."""
+    out = topics.select("a").distinct()
+    for name, frame in (("bridges", run.chosen), ("candidates", run.found), ("checked", run.checked), ("results", run.links)):
+        out = out.join(frame.groupBy("a").agg(F.count(F.lit(1)).alias(name)), "a", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import novelty as N
 from lacuna.functions import text as T
 from lacuna.operators.discovery import rounded
-from lacuna.sources.corpus import works_with_all
+from lacuna.sources.corpus import text_comentions, works_with_all
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,51 @@ def citations(links: DataFrame, work_concepts: DataFrame, works: DataFrame | Non
     return found.drop("set_id", "cids", "r", "w_rank")
 
 
+def with_citations(links: DataFrame, work_concepts: DataFrame, works: DataFrame | None = None) -> DataFrame:
+    """links with works_cited (structs of work and, with ``works``, title, year, url; in the order of bridges and legs) and n_citations."""
+    found = citations(links.select("a", "c", "bridge_ids"), work_concepts, works)
+    kept = [c for c in ("work", "title", "year", "url") if c in found.columns]
+    each = found.groupBy("a", "c").agg(F.array_sort(F.collect_list(F.struct("k", "leg", *kept))).alias("_w"))
+    out = links.join(each, ["a", "c"], "left").withColumn("works_cited", F.transform("_w", lambda x: F.struct(*[x[c].alias(c) for c in kept])))
+    return out.withColumn("n_citations", F.coalesce(F.size("_w"), F.lit(0)).cast("long")).drop("_w")
+
+
+def from_texts(works: DataFrame, limit: int = 4):
+    """A provider: works whose title or text mentions both names, the most cited ones as items."""
+
+    def provide(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.struct("a", "c").alias("pair_id"), "a_name", "c_name").distinct()
+        return text_comentions(works, asked, limit).select("pair_id.a", "pair_id.c", "hits", "items")
+
+    return provide
+
+
+def from_search(results: DataFrame, limit: int = 4):
+    """A provider over results of searches that were made for pairs: results (a, c, place, title, excerpts array, url). Hits are the results
+    whose title or excerpts hold both names, without case; items are the first results, whether they do or not."""
+
+    def provide(pairs: DataFrame) -> DataFrame:
+        text = F.lower(F.concat_ws(" ", "title", F.array_join(F.coalesce("excerpts", T.strings(())), " ")))
+        both = F.contains(text, F.lower("a_name")) & F.contains(text, F.lower("c_name"))
+        rows = results.join(pairs.select("a", "c", "a_name", "c_name").distinct(), ["a", "c"]).withColumn("_both", both)
+        w = Window.partitionBy("a", "c").orderBy("place")
+        rows = rows.withColumn("_r", F.row_number().over(w))
+        item = F.when(F.col("_r") <= limit, F.struct("place", "title", "url"))
+        return rows.groupBy("a", "c").agg(F.count_if("_both").alias("hits"), F.array_sort(F.collect_list(item)).alias("items"))
+
+    return provide
+
+
+#: Kinds of providers, the best first.
+PROVIDERS = ("listing", "search", "texts", "counts")
+
+
+def choose_provider(available: dict, prefer: str | None = None):
+    """The provider (name, function) that is preferred, or else the best there is; None if there is none."""
+    order = ([prefer] if prefer else []) + list(PROVIDERS)
+    return next(((n, available[n]) for n in order if available.get(n) is not None), None)
+
+
 def explained(links: DataFrame) -> DataFrame:
     """One line a link."""
     direct = F.when(F.col("comention_count") > 0, F.concat(F.lit(", comention="), F.col("comention_count").cast("string"))).otherwise("")

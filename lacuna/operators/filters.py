@@ -57,6 +57,13 @@ class RelevanceFilter:
         out = out.withColumn("grams", T.char_ngrams(n, self.ngram_n)).withColumn("own", T.distinctive_tokens(n, self.generic_tokens))
         return out.withColumn("generic", generic).withColumn("bad", self.bad_parenthetical(n)).drop("semantic")
 
+    def shares_words(self, c: str, a: str) -> Column:
+        """Whether two concepts (struct columns) share a word that tells names apart; false if the filter has no word lists."""
+        if not (self.name_stop or self.generic_tokens):
+            return F.lit(False)
+        words = lambda x: T.distinctive_tokens(F.col(x)["name"])
+        return F.coalesce(F.arrays_overlap(words(c), words(a)), F.lit(False))
+
     def usable(self, c: str, a: str, min_level: int) -> Column:
         """For a frame with the features of a concept (struct column ``c``) and of the topic (``a``)."""
         x, y = F.col(c), F.col(a)
@@ -75,6 +82,9 @@ class LevelFilter(RelevanceFilter):
         empty = T.strings(())
         return concepts.withColumns({"grams": empty, "own": empty, "generic": F.lit(False), "bad": F.lit(False)})
 
+    def shares_words(self, c: str, a: str) -> Column:
+        return F.lit(False)
+
     def usable(self, c: str, a: str, min_level: int) -> Column:
         x, y = F.col(c), F.col(a)
         return (x["cid"] != y["cid"]) & (F.coalesce(x["level"], F.lit(0)) >= max(min_level, self.min_level_floor))

@@ -2,19 +2,21 @@
 
 The corpus: works are orders, concepts are brand and type of the parts on them, the year is the order's. A second count,
 by customer in place of order, is the independent signal. Names are codes, so only the level filters (brand number modulo 5,
-plus 1). Topics are the five first concepts. Sort keys are rounded to 9 decimals and ties go to the smaller id in both engines.
+plus 1). Every concept is a topic. Sort keys are rounded to 9 decimals and ties go to the smaller id in both engines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import constants as K
 from lacuna.functions import novelty as N
 from lacuna.functions import text as T
-from lacuna.operators import backtest, evidence, mining, typing
-from lacuna.operators.discovery import DiscoveryConfig, bridges, candidates, discover, diversity, explain, rounded
+from lacuna.operators import agent, backtest, evidence, mining, typing
+from lacuna.operators.discovery import DiscoveryConfig, bridges, candidates, discover, diversity, explain, stages, stats
 from lacuna.operators.filters import LevelFilter, RelevanceFilter, generic_source, make_filter, nonsense_target
 from lacuna.session import table
 from lacuna.sources import corpus as C
@@ -41,11 +43,20 @@ def names(wc: DataFrame) -> DataFrame:
 def the_corpus(spark: SparkSession, d: str, year_from: int | None = None, year_to: int | None = None) -> C.Corpus:
     wc = work_concepts(spark, d)
     by_customer = C.cooccurrence_edges(wc.select(F.col("customer").alias("work"), "cid")).withColumnRenamed("cooc", "hits")
-    return C.Corpus.from_work_concepts(wc, names(wc), comentions=by_customer, year_from=year_from, year_to=year_to).kept()
+    return C.Corpus.from_work_concepts(wc, names(wc), comentions=by_customer, year_from=year_from, year_to=year_to).kept(POOL)
+
 
+def the_topics(c: C.Corpus) -> DataFrame:
+    return c.concepts.select(F.col("cid").alias("a"))
 
-def the_topics(c: C.Corpus, n: int = 5) -> DataFrame:
-    return c.concepts.select(F.col("cid").alias("a")).orderBy("a").limit(n)
+
+def against_all(queries: DataFrame, rows: DataFrame, on: F.Column, block: int = 5000) -> DataFrame:
+    """Every query row with every row that fits it: the queries go out in blocks of bounded size, one after another."""
+    n = max(1, -(-queries.count() // block))
+    if n == 1:
+        return rows.join(F.broadcast(queries), on)
+    part = F.pmod(F.xxhash64(*queries.columns), F.lit(n))
+    return C.union_all([rows.join(F.broadcast(queries.where(part == i)), on) for i in range(n)])
 
 
 SQL_CORPUS = """
@@ -55,7 +66,7 @@ names AS (SELECT DISTINCT cid, cid AS name, coalesce(nullif(regexp_extract(cid,
 concepts AS MATERIALIZED (SELECT names.*, w.works_count FROM names JOIN (SELECT cid, count(DISTINCT work) AS works_count FROM wc GROUP BY cid) w USING (cid)),
 size AS (SELECT count(DISTINCT work) AS size FROM wc),
 edges AS MATERIALIZED (SELECT x.cid AS src, y.cid AS dst, count(*) AS cooc FROM (SELECT DISTINCT work, cid FROM wc WHERE {years}) x JOIN (SELECT DISTINCT work, cid FROM wc WHERE {years}) y USING (work) WHERE x.cid <> y.cid GROUP BY ALL),
-topics AS (SELECT cid AS a FROM concepts ORDER BY cid LIMIT 5),
+topics AS (SELECT cid AS a FROM concepts),
 spec AS (SELECT cid, level, works_count, 1 / (1 + log10(greatest(works_count::DOUBLE, 10))) AS spec FROM concepts),
 near AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cooc DESC, dst) AS r FROM edges) WHERE r <= 25),
 normed AS MATERIALIZED (SELECT src, dst, cooc, cooc::DOUBLE / max(cooc) OVER (PARTITION BY src) AS n FROM near)"""
@@ -125,10 +136,11 @@ def neighbors_topk(spark, d):
     return C.neighbours(the_corpus(spark, d).edges, POOL).select("src", "dst", "cooc", F.col("n_rank").cast("long").alias("n_rank"))
 
 
-@query(sql(" SELECT t.a AS src, c.cid AS dst, coalesce(cooc, 0)::BIGINT AS cooc FROM topics t CROSS JOIN concepts c LEFT JOIN edges ON src = t.a AND dst = c.cid WHERE c.cid <> t.a", "corpus"))
+@query(sql(" SELECT x.cid AS src, y.cid AS dst, coalesce(cooc, 0)::BIGINT AS cooc FROM concepts x JOIN concepts y ON x.level = y.level AND x.cid <> y.cid LEFT JOIN edges ON src = x.cid AND dst = y.cid", "corpus"))
 def cooccurrence_count(spark, d):
+    """The pairs asked for: all concepts of one level with each other, whether they occur together or not."""
     c = the_corpus(spark, d)
-    pairs = c.concepts.select(F.col("cid").alias("dst")).join(F.broadcast(the_topics(c).select(F.col("a").alias("src"))), F.col("src") != F.col("dst"))  # five topics
+    pairs = c.concepts.select(F.col("cid").alias("src"), "level").join(c.concepts.select(F.col("cid").alias("dst"), "level"), "level").where("src <> dst")
     return C.cooccurrence(c.edges, pairs).select("src", "dst", "cooc")
 
 
@@ -159,6 +171,7 @@ _WORKS_WITH_ALL = sql(
 
 @query(_WORKS_WITH_ALL)
 def works_with_all(spark, d):
+    """The sets asked for: every concept with each of its three strongest neighbours."""
     c = the_corpus(spark, d)
     near = C.neighbours(c.edges.join(the_topics(c).select(F.col("a").alias("src")), "src"), 3)
     sets = near.select(F.concat_ws(";", "src", "dst").alias("set_id"), F.array("src", "dst").alias("cids"))
@@ -246,7 +259,7 @@ def comention_mode(spark, d):
 
 @query(
     sql(
-        """, pairs AS (SELECT * FROM (SELECT a, c, row_number() OVER (PARTITION BY a ORDER BY support DESC, round(path, 9) DESC, c) AS k FROM cand) WHERE k <= 3),
+        """, pairs AS (SELECT a, c FROM cand),
     both_ AS (SELECT p.a, p.c, x.dst AS b, sqrt(greatest(x.n, 1e-6) * greatest(y.n, 1e-6)) AS strength FROM pairs p JOIN normed x ON x.src = p.a JOIN normed y ON y.src = p.c AND y.dst = x.dst JOIN spec ON cid = x.dst WHERE level >= 2 AND x.dst <> p.a AND x.dst <> p.c),
     top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, c ORDER BY round(strength, 9) DESC, b) AS b_rank FROM both_) WHERE b_rank <= 10)
     SELECT t.a, t.c, t.b, b_rank, round(strength, 6) AS strength, round(sum(strength) OVER (PARTITION BY t.a, t.c), 6) AS total, coalesce(cooc, 0)::BIGINT AS direct, round(1::DOUBLE / (1 + coalesce(cooc, 0)), 6) AS novelty,
@@ -255,19 +268,21 @@ def comention_mode(spark, d):
     )
 )
 def closed_discovery(spark, d):
+    """Every pair of a concept and a candidate of it is explained."""
     c = the_corpus(spark, d)
-    found = candidates(c, *bridges(c, the_topics(c), CONFIG), CONFIG)
-    w = Window.partitionBy("a").orderBy(F.desc("support"), rounded("path").desc(), "c")
-    pairs = found.withColumn("k", F.row_number().over(w)).where("k <= 3").select("a", "c")
+    pairs = candidates(c, *bridges(c, the_topics(c), CONFIG), CONFIG).select("a", "c")
     return explain(c, pairs, CONFIG).select("a", "c", "b", F.col("b_rank").cast("long").alias("b_rank"), *r6("strength", "total"), "direct", *r6("novelty"), "n_bridges")
 
 
-@query(sql(" SELECT a, max(nb)::BIGINT AS bridges, max(n_candidates)::BIGINT AS candidates, count(*) AS results FROM links JOIN (SELECT a, count(*) AS n_candidates FROM cand GROUP BY a) USING (a) GROUP BY a"))
-def run_stats(spark, d):
-    from lacuna.operators.discovery import stats
+_STATS = """ SELECT t.a, (SELECT count(*) FROM chosen x WHERE x.a = t.a) AS bridges, (SELECT count(*) FROM cand x WHERE x.a = t.a) AS candidates,
+    (SELECT count(*) FROM short x WHERE x.a = t.a) AS checked, (SELECT count(*) FROM links x WHERE x.a = t.a) AS results FROM topics t"""
+
 
+@query(sql(_STATS, gate="lift <= 0.9"))
+def run_stats(spark, d):
+    """Every topic has a row, also one whose links are all gated away."""
     c = the_corpus(spark, d)
-    return stats(discover(c, the_topics(c), CONFIG))
+    return stats(the_topics(c), stages(c, the_topics(c), CONFIG.with_(max_lift=0.9)))
 
 
 _TYPE_OF = "CASE WHEN contains(c, 'PROMO') THEN 'D' WHEN contains(c, 'ECONOMY') THEN 'C' ELSE 'E' END"
@@ -400,9 +415,8 @@ picked AS (SELECT *, novel_as_of_split AND row_number() OVER (PARTITION BY a ORD
 def backtested(spark, d) -> DataFrame:
     wc = work_concepts(spark, d)
     n = names(wc)
-    past, future = backtest.by_year(lambda lo, hi: C.Corpus.from_work_concepts(wc, n, year_from=lo, year_to=hi).kept(), SPLIT)
-    hits = lambda c: c.edges.withColumnRenamed("cooc", "hits")
-    return backtest.backtest_links(past, the_topics(past), hits(past), hits(future), CONFIG)
+    past, future = backtest.by_year(lambda lo, hi: C.Corpus.from_work_concepts(wc, n, year_from=lo, year_to=hi).kept(POOL), SPLIT)
+    return backtest.run_backtest(past, future, the_topics(past), CONFIG)
 
 
 @query(_BT + " SELECT a, c, round(score, 6) AS score, past_comentions::BIGINT AS past_comentions, future_comentions, novel_as_of_split, emerged, novel_as_of_split AND emerged AS hit, chosen FROM picked")
@@ -499,15 +513,15 @@ def nonsense_names(spark, d):
 
 @query(
     f"""WITH {_SEED_GRAMS}, {_NAME_FLAGS}, a AS (SELECT *, {_GRAMS.format(s='s')} AS ag, list_filter({_TOKENS.format(n='name')}, lambda t: NOT list_contains({_sql_list(K.GENERIC_TOKENS_BIOMED)}, t)) AS own FROM flags)
-    SELECT x.p_partkey AS topic, y.p_partkey AS concept FROM (SELECT * FROM a WHERE p_partkey <= 3) x JOIN a y ON x.p_partkey <> y.p_partkey
+    SELECT x.p_partkey AS topic, y.p_partkey AS concept FROM (SELECT * FROM a WHERE p_partkey % 100 = 0) x JOIN a y ON x.p_partkey <> y.p_partkey
     WHERE y.level >= 2 AND NOT y.generic AND NOT y.bad AND {_JACCARD.format(a='x.ag', b='y.ag')} < 0.6 AND len(list_intersect(x.own, y.own)) = 0"""
 )
 def usable_pairs(spark, d):
+    """The topics asked for: every part whose key is divisible by 100, against all parts."""
     flt = make_filter("biomed")
     f = flt.features(made_names(spark, d).withColumnRenamed("p_partkey", "cid"))
     packed = lambda n: f.select(F.struct(*f.columns).alias(n))
-    topics = packed("a").where("a.cid <= 3")  # three rows
-    return packed("c").join(F.broadcast(topics), flt.usable("c", "a", 2)).select(F.col("a.cid").alias("topic"), F.col("c.cid").alias("concept"))
+    return against_all(packed("a").where("a.cid % 100 = 0"), packed("c"), flt.usable("c", "a", 2)).select(F.col("a.cid").alias("topic"), F.col("c.cid").alias("concept"))
 
 
 @query("SELECT doc_id, nullif(regexp_extract(text, '((?:19|20)[0-9]{2})', 1), '')::INT AS year, substr(text, 1, 240) AS snippet, trim(regexp_replace(source || ', ' || lang || ':', '[,:]', ' ', 'g')) AS clean FROM documents")
@@ -539,12 +553,14 @@ def rebuilt_abstract(spark, d):
 @query(
     """WITH v AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0)
     SELECT q.vec_id AS a, v.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS cosine
-    FROM q JOIN v ON q.label = v.label AND q.vec_id <> v.vec_id"""
+    FROM q JOIN v ON q.vec_id <> v.vec_id"""
 )
 def cosine_pairs(spark, d):
+    """The vectors asked for: every one whose id is divisible by 100, against all others."""
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    return q.join(v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")), "label").where("a <> b").select("a", "b", F.round(T.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    rows = v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return against_all(q, rows, F.col("a") != F.col("b")).select("a", "b", F.round(T.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
 @query(
@@ -589,26 +605,44 @@ def text_comentions(spark, d):
     return found.select("pair_id", "hits", F.coalesce(F.array_join(F.transform("items", lambda i: i["work"].cast("string")), ","), F.lit("")).alias("works"))
 
 
-_TITLES = "(SELECT doc_id AS paper, left(text, 40) || ' (' || regexp_extract(text, '([A-Za-z]{6,12})', 1) || ') therapy of ' || source AS title FROM documents)"
+_TITLES = """(SELECT p_name AS topic, p_partkey AS paper, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' and (' || p_type || ' Mix' || (p_size % 5) || ') as a drug'
+    ELSE p_type || ' Compound' || (p_size % 7) || ' therapy of ' || p_name END AS title FROM part)"""
 
 
 def titles(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
-    word = F.regexp_extract("text", "([A-Za-z]{6,12})", 1)
-    return docs.select(F.col("doc_id").alias("paper"), F.concat(F.left("text", F.lit(40)), F.lit(" ("), word, F.lit(") therapy of "), "source").alias("title"))
+    """topic, paper, title: made from the parts; every second one has its phrase in parentheses, the others before a marker."""
+    size = lambda m: (F.col("p_size") % m).cast("string")
+    one = F.concat("p_name", F.lit(" and ("), "p_type", F.lit(" Mix"), size(5), F.lit(") as a drug"))
+    two = F.concat("p_type", F.lit(" Compound"), size(7), F.lit(" therapy of "), "p_name")
+    return table(spark, d, "part").select(F.col("p_name").alias("topic"), F.col("p_partkey").alias("paper"), F.when(F.col("p_partkey") % 2 == 0, one).otherwise(two).alias("title"))
+
+
+_MINED = f"""{_SEED_GRAMS}, papers AS (SELECT *, list_filter({_TOKENS.format(n='topic')}, lambda t: length(t) >= 3 AND NOT list_contains({_sql_list(K.TITLE_STOP)}, t)) AS terms FROM {_TITLES}),
+    hits AS (SELECT topic, paper, title, terms, unnest(list_concat(regexp_extract_all(title, '{K.PHRASE_IN_PARENTHESES}', 1), regexp_extract_all(title, '{K.PHRASE_BEFORE_MARKER}', 1))) AS raw FROM papers
+             WHERE regexp_matches(lower(title), '{K.INTERVENTION}') AND (len(terms) = 0 OR len(list_filter(terms, lambda t: contains(lower(title), t))) > 0)),
+    m AS (SELECT topic, paper, title, terms, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS target FROM hits WHERE NOT list_contains(terms, lower(trim(raw)))),
+    w AS (SELECT *, regexp_replace(lower(target), '[^a-z0-9]', '', 'g') AS s, {_TOKENS.format(n='target')} AS words FROM m),
+    near_seed AS (SELECT s, max({_JACCARD.format(a='gs', b='sg')}) AS score FROM (SELECT DISTINCT s, {_GRAMS.format(s='s')} AS gs FROM w) CROSS JOIN seeds GROUP BY s),
+    fine AS (SELECT w.* FROM w JOIN near_seed USING (s) WHERE length(target) >= 4 AND score < 0.55 AND NOT list_contains({_sql_list(K.NAME_STOP_BIOMED)}, lower(target))
+             AND len(list_filter(words, lambda t: NOT list_contains({_sql_list(K.GENERIC_TOKENS_BIOMED)}, t))) > 0
+             AND len(list_filter(words, lambda t: NOT list_contains({_sql_list(K.TITLE_STOP)}, t))) > 0 AND len(list_intersect(words, terms)) = 0),
+    proposed AS (SELECT * FROM (SELECT topic, target, count(*) AS paper_count, count(DISTINCT paper) AS distinct_papers, array_to_string(list(substr(title, 1, 80) ORDER BY paper)[1:2], '|') AS supporting,
+                 least(count(*), 2) AS n_supporting, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, target) AS rank FROM fine GROUP BY topic, target) WHERE rank <= %LIMIT%)"""
+
+
+@query("WITH " + _MINED.replace("%LIMIT%", "8") + " SELECT topic, target, paper_count, distinct_papers, supporting, rank FROM proposed")
+def phrase_mining(spark, d):
+    """Targets mined from whole titles for every topic, with the first two titles that support each."""
+    found = mining.mined(titles(spark, d))
+    return found.select("topic", "target", "paper_count", "distinct_papers", F.array_join("supporting", "|").alias("supporting"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(
-    f"""WITH {_SEED_GRAMS}, p AS (SELECT paper, title FROM {_TITLES} WHERE contains(lower(title), 'src1')), f AS (SELECT paper, title, unnest(regexp_extract_all(title, '\\(([A-Za-z][\\w\\-]+(?:\\s[\\w\\-]+){{0,3}})\\)', 1)) AS target FROM p),
-    m AS (SELECT paper, title, trim(regexp_replace(target, '\\s+', ' ', 'g')) AS target, regexp_replace(lower(target), '[^a-z0-9]', '', 'g') AS s FROM f),
-    scored AS (SELECT s, max({_JACCARD.format(a='gs', b='sg')}) AS score FROM (SELECT DISTINCT s, {_GRAMS.format(s='s')} AS gs FROM m) CROSS JOIN seeds GROUP BY s),
-    ok AS (SELECT m.* FROM m JOIN scored USING (s) WHERE length(target) >= 4 AND score < 0.55 AND NOT list_contains({_sql_list(K.NAME_STOP_BIOMED)}, lower(target)) AND NOT list_contains({_sql_list((*K.GENERIC_TOKENS_BIOMED, *K.TITLE_STOP))}, lower(target)) AND lower(target) <> 'src1')
-    SELECT target, paper_count, distinct_papers, rank FROM (SELECT target, count(*) AS paper_count, count(DISTINCT paper) AS distinct_papers, row_number() OVER (ORDER BY count(*) DESC, target) AS rank FROM ok GROUP BY target) WHERE rank <= 8"""
-)
-def phrase_mining(spark, d):
-    """Names in parentheses; the words before a marker follow a parenthesis here, so that pattern never fits."""
-    papers = titles(spark, d).select(F.lit("src1").alias("topic"), "paper", "title")
-    return mining.mined(papers).select("target", "paper_count", "distinct_papers", F.col("rank").cast("long").alias("rank"))
+@query("WITH " + _MINED.replace("%LIMIT%", "8") + """ SELECT topic AS a_name, target AS c_name, 3 AS c_level, rank, greatest(1, n_supporting)::BIGINT AS bridge_support, paper_count % 3 AS direct, 0.7::DOUBLE AS novelty,
+    paper_count::DOUBLE AS score FROM proposed""")
+def proposals(spark, d):
+    """Mined proposals as links; a count of works that mention both is taken as it is."""
+    found = mining.mined(titles(spark, d)).withColumn("direct_hits", F.col("paper_count") % 3)
+    return mining.proposals_as_links(found).select("a_name", "c_name", "c_level", F.col("rank").cast("long").alias("rank"), "bridge_support", "direct", "novelty", "score")
 
 
 @query("SELECT doc_id, 1 + (doc_id % 3) AS place, 'Title ' || doc_id || '-' || doc_id % 3 AS title, 'https://doi.org/10.1/' || doc_id AS url, lang || ' says' AS abstract, 'id' || doc_id AS id, source AS source, '20' || (10 + doc_id % 10) AS date, 'A. Author' AS authors FROM documents")
@@ -629,13 +663,171 @@ def listing_count(spark, d):
     return table(spark, d, "orders").select("o_orderkey", result_count(output, k % 5).alias("hits"))
 
 
+_CITED = """, legs AS (SELECT a, c, k, string_split(bridges, ';')[k] AS b FROM links, (VALUES (1), (2)) v(k) WHERE k <= support),
+    ends AS (SELECT a, c, k, 0 AS leg, a AS x, b AS y FROM legs UNION ALL SELECT a, c, k, 1, b, c FROM legs), w2 AS (SELECT DISTINCT work, cid FROM wc),
+    found AS (SELECT a, c, k, leg, p.work, row_number() OVER (PARTITION BY a, c, k, leg ORDER BY o_totalprice DESC, p.work) AS r FROM ends JOIN w2 p ON p.cid = x JOIN w2 q ON q.cid = y AND q.work = p.work JOIN orders ON p.work = o_orderkey),
+    cites AS (SELECT a, c, count(DISTINCT work) AS n_citations FROM found WHERE r = 1 GROUP BY a, c)"""
+_TEXT_LENGTH = "length('Works on ' || a || ' mention ' || bridges || ', and so do works on ' || c) > 20 AND length('Vary ' || c || ' under control, measure ' || a) > 15"
+
+
+def cited_works(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("work"), F.col("o_totalprice").alias("cited"), F.lit(None).cast("string").alias("title"))
+
+
+def compared(spark, d) -> DataFrame:
+    """Every concept as a topic of the graph, and every name of a part, which no concept has, as a topic of titles."""
+    c = replace(the_corpus(spark, d), works=cited_works(spark, d))
+    topics = c.concepts.select(F.col("cid").alias("topic"), F.col("cid").alias("a")).union(part_names(spark, d).select("name", F.lit(None).cast("string")))
+    return mining.run_compare(c, topics, titles(spark, d), CONFIG)
+
+
+_COMPARED = sql(
+    _CITED + ", " + _MINED.replace("%LIMIT%", "6") + f""", every AS (SELECT cid AS topic, true AS known FROM concepts UNION ALL SELECT DISTINCT p_name, false FROM part),
+    x AS (SELECT a AS topic, 'graph' AS pipeline, c AS target, score, n_citations AS citations, level < 2 AS nonsense, {_TEXT_LENGTH} AS actionable FROM links JOIN cites USING (a, c)
+      UNION ALL SELECT topic, 'graph', '(none)', 0, 0, true, false FROM every WHERE NOT known
+      UNION ALL SELECT topic, 'titles', target, paper_count, n_supporting, false, true FROM proposed
+      UNION ALL SELECT topic, 'titles', '(none)', 0, 0, false, false FROM every WHERE topic NOT IN (SELECT topic FROM proposed))""", results=6
+)
+
+
+@query(_COMPARED + " SELECT topic, pipeline, target, round(score::DOUBLE, 6) AS score, citations::BIGINT AS citations, nonsense, actionable FROM x")
+def compare(spark, d):
+    return compared(spark, d).select("topic", "pipeline", "target", *r6("score"), "citations", "nonsense", "actionable")
+
+
+@query(_COMPARED + """ SELECT pipeline, count(*) AS count, round(avg(nonsense::INT)::DOUBLE, 9) AS nonsense_rate, round(avg(actionable::INT)::DOUBLE, 9) AS actionable_rate,
+    round(avg(citations)::DOUBLE, 9) AS avg_citations FROM x GROUP BY pipeline""")
+def compare_summary(spark, d):
+    out = mining.compare_summary(compared(spark, d))
+    return out.select("pipeline", "count", *[F.round(c, 9).alias(c) for c in ("nonsense_rate", "actionable_rate", "avg_citations")])
+
+
+# --- whole runs, extension points and the rest of the survey ------------------------------------------------------
+
+
+@query(sql(_VERIFIED + _CITED.replace("found AS", "found_ AS").replace("FROM found WHERE", "FROM found_ WHERE") + """ SELECT a, c, hits, verdict, plausibility, n_citations::BIGINT AS n_citations,
+    row_number() OVER (PARTITION BY a ORDER BY round(verified_novelty * greatest(plausibility, 0.05), 9) DESC, rank, c) AS final_rank FROM bands JOIN cites USING (a, c)"""))
+def discover_run(spark, d):
+    """A whole run: links, hypotheses, cited works, verification, new order."""
+    c = replace(the_corpus(spark, d), works=cited_works(spark, d))
+    out = agent.run_discover(c, the_topics(c), CONFIG, verify=True)
+    return out.select("a", "c", "hits", "verdict", "plausibility", "n_citations", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query(sql(""", pairs AS (SELECT a, c FROM links),
+    both_ AS (SELECT p.a, p.c, x.dst AS b, sqrt(greatest(x.n, 1e-6) * greatest(y.n, 1e-6)) AS strength FROM pairs p JOIN normed x ON x.src = p.a JOIN normed y ON y.src = p.c AND y.dst = x.dst JOIN spec ON cid = x.dst WHERE level >= 2 AND x.dst <> p.a AND x.dst <> p.c),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, c ORDER BY round(strength, 9) DESC, b) AS b_rank FROM both_) WHERE b_rank <= 10),
+    told AS (SELECT a, c, sum(strength) AS total, count(*) AS n, string_agg(b, ';' ORDER BY b_rank) AS via FROM top GROUP BY a, c)
+    SELECT a, c, via, n AS bridge_support, round(total, 6) AS score, coalesce(h, 0)::BIGINT AS hits, CASE WHEN coalesce(h, 0) = 0 THEN 'open' WHEN h <= 30 THEN 'emerging' ELSE 'established' END AS verdict
+    FROM told """ + _HITS))
+def explain_run(spark, d):
+    """Every link explained, with its hypothesis, cited works and verdict."""
+    c = replace(the_corpus(spark, d), works=cited_works(spark, d))
+    out = agent.run_explain(c, discover(c, the_topics(c), CONFIG).select("a", "c"), CONFIG, verify=True)
+    return out.select("a", "c", F.array_join("bridge_ids", ";").alias("via"), "bridge_support", *r6("score"), "hits", "verdict")
+
+
+@query(sql(_LINK, gate="support >= 2 AND lift <= 1.0"))
+def support_gate(spark, d):
+    c = the_corpus(spark, d)
+    return link_columns(discover(c, the_topics(c), CONFIG.with_(min_bridge_support=2)))
+
+
+@query(sql(_LINK, novelty="1.0::DOUBLE / (1 + direct)", gate="true"))
+def own_novelty(spark, d):
+    """A scorer of one's own in place of a mode."""
+    c = the_corpus(spark, d)
+    return link_columns(discover(c, the_topics(c), CONFIG.with_(novelty_scorer=lambda short: 1 / (1 + F.col("direct")))))
+
+
+@query(sql(""" SELECT src, dst, cooc, r AS n_rank, name FROM near JOIN names ON dst = cid""", "corpus"))
+def grouped_neighbours(spark, d):
+    c = the_corpus(spark, d)
+    return C.group_neighbours(c.edges, c.concepts, POOL).select("src", "dst", "cooc", F.col("n_rank").cast("long").alias("n_rank"), "name")
+
+
+@query(sql(""" SELECT cid, CASE WHEN hash_level = 0 THEN level ELSE hash_level END AS level, CASE WHEN hash_level = 0 THEN works_count ELSE 7 END AS works_count
+    FROM (SELECT *, CASE WHEN cid LIKE '%PROMO' THEN 0 ELSE 3 END AS hash_level FROM concepts)""", "corpus"))
+def hydrated(spark, d):
+    """Concepts of unknown level get level and count of the graph's; the others keep theirs."""
+    c = the_corpus(spark, d)
+    known = F.when(F.endswith("cid", F.lit("PROMO")), 0).otherwise(3)
+    frame = c.concepts.select("cid", known.alias("level"), F.lit(7).cast("long").alias("works_count"))
+    return C.with_meta(frame, c.concepts).select("cid", "level", "works_count")
+
+
+_WORK_TEXTS = "(SELECT o_orderkey AS work, 'order of ' || string_agg(DISTINCT p_name, ' and ' ORDER BY p_name) AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey)"
+
+
 @query(
-    sql(f"""{_VERIFIED}, x AS (SELECT 'graph' AS pipeline, level < 2 AS nonsense, true AS actionable, 0 AS citations FROM links UNION ALL SELECT 'titles', false, true, 0 FROM links WHERE rank <= 2)
-    SELECT pipeline, count(*) AS count, avg(nonsense::INT)::DOUBLE AS nonsense_rate, avg(actionable::INT)::DOUBLE AS actionable_rate, avg(citations)::DOUBLE AS avg_citations FROM x GROUP BY pipeline""")
+    f"""WITH t AS MATERIALIZED (SELECT DISTINCT p_name AS topic FROM part), texts AS MATERIALIZED (SELECT work, ' ' || trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM {_WORK_TEXTS}),
+    found AS (SELECT topic, work FROM t JOIN texts ON contains(texts.t, ' ' || lower(topic) || ' ')),
+    wc AS (SELECT DISTINCT l_orderkey AS work, p_brand || ' ' || p_name AS cid FROM lineitem JOIN part ON l_partkey = p_partkey),
+    g AS (SELECT topic, cid, count(*) AS n FROM found JOIN wc USING (work) GROUP BY ALL),
+    o AS (SELECT *, len(list_intersect({_TOKENS.format(n='topic')}, list_filter({_TOKENS.format(n='cid')}, lambda t: NOT list_contains({_sql_list(K.TOPIC_STOP)}, t)))) AS overlap FROM g)
+    SELECT topic, cid, overlap::INT AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY overlap DESC, n DESC, cid) AS r FROM o WHERE overlap > 0) WHERE r = 1"""
 )
-def compare_summary(spark, d):
+def resolve_from_works(spark, d):
+    """The concept of works that mention a name, for every name of a part."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("work"), "p_name", F.concat_ws(" ", "p_brand", "p_name").alias("cid")).distinct()
+    works = lines.groupBy("work").agg(F.concat(F.lit("order of "), F.array_join(F.array_sort(F.collect_set("p_name")), " and ")).alias("title")).withColumn("text", F.lit(""))
+    concepts = lines.select("cid").distinct().select("cid", F.col("cid").alias("name"), F.lit(3).alias("level"))
+    topics = part_names(spark, d).withColumnRenamed("name", "topic")
+    return C.resolve_from_works(topics, works, lines.select("work", "cid"), concepts).select("topic", "cid", "overlap")
+
+
+@query(sql(""" SELECT a, c, 'Source: ' || a || chr(10) || 'Target: ' || c || chr(10) || 'Bridges: ' || replace(bridges, ';', ', ') || chr(10) || 'Works:' || chr(10) || '- ' || a || chr(10) || '- ' || c AS prompt FROM links"""))
+def prompts(spark, d):
     c = the_corpus(spark, d)
-    hyps = evidence.hypotheses(discover(c, the_topics(c), CONFIG))
-    a = mining.compare_rows("graph", hyps, verified=False)
-    b = mining.compare_rows("titles", hyps.where("rank <= 2"), verified=False)
-    return mining.compare_summary(C.union_all([a, b]))
+    links = discover(c, the_topics(c), CONFIG).withColumn("titles", F.array("a_name", "c_name"))
+    return evidence.prompts(links, "titles").select("a", "c", "prompt")
+
+
+@query("""SELECT event_id, coalesce(length(trim(m)), 0) > 20 AND coalesce(length(trim(e)), 0) > 15 AS actionable FROM
+    (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE repeat('m ', (event_id % 19)::INT) END AS m, repeat('e', (event_id % 23)::INT) || '  ' AS e FROM events)""")
+def actionable_texts(spark, d):
+    k = F.col("event_id")
+    m = F.when(k % 5 != 0, F.expr("repeat('m ', cast(event_id % 19 as int))"))
+    e = F.concat(F.expr("repeat('e', cast(event_id % 23 as int))"), F.lit("  "))
+    return table(spark, d, "events").select("event_id", evidence.actionable(m, e).alias("actionable"))
+
+
+_SEED_VECS = "s AS (SELECT embedding FROM embeddings WHERE vec_id < 4)"
+_COS = "list_sum(list_transform(range(1, 65), lambda i: {x}[i]::DOUBLE * {y}[i]::DOUBLE)) / sqrt(list_sum(list_transform({x}, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform({y}, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+@query(f"WITH {_SEED_VECS}, v AS (SELECT vec_id, max({_COS.format(x='e.embedding', y='s.embedding')}) AS top FROM embeddings e CROSS JOIN s GROUP BY vec_id) SELECT vec_id, top >= 0.3 AS generic FROM v")
+def semantic_filter(spark, d):
+    """The four first vectors stand for stop names; what is near to one of them is generic."""
+    v = table(spark, d, "embeddings")
+    named = v.select("vec_id", F.when(F.col("vec_id") < 4, F.format_string("stop name %d", "vec_id")).otherwise(F.format_string("qqqq%d", F.col("vec_id") * 7919)).alias("name"), F.col("embedding").alias("vec"))
+    flt = RelevanceFilter(name_stop=tuple(f"stop name {i}" for i in range(4)), ngram_generic_threshold=2.0, generic_semantic_threshold=0.3, embeddings=named)
+    concepts = named.select(F.col("vec_id").alias("cid"), "name", F.lit(3).alias("level"), F.lit(10).alias("works_count"))
+    return flt.features(concepts).select(F.col("cid").alias("vec_id"), "generic")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN o_totalprice / (o_custkey % 3) ELSE -1 END AS ratio FROM orders""")
+def safe_ratio(spark, d):
+    k = F.col("o_custkey") % 3
+    return table(spark, d, "orders").select("o_orderkey", N.safe_div(F.col("o_totalprice"), k, -1.0).alias("ratio"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'name ' || label ELSE NULL END AS heading FROM embeddings""")
+def canonical_headings(spark, d):
+    """The heading of a query translation; every third text has one."""
+    name = F.concat(F.lit("name "), F.col("label").cast("string"))
+    text = F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit('("'), name, F.lit('"[MeSH Terms] OR "x"[All Fields])'))).otherwise(F.concat(name, F.lit("[All Fields]")))
+    return table(spark, d, "embeddings").select("vec_id", typing.canonical_heading(text).alias("heading"))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey % 50 AS a, p_name AS c_name, l_partkey AS place, p_name || ' ' || p_type AS title, p_brand AS excerpt FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0),
+    u AS (SELECT DISTINCT * FROM r) SELECT a, c_name, count(*) FILTER (contains(lower(title || ' ' || excerpt), 'promo') AND contains(lower(title || ' ' || excerpt), lower(c_name))) AS hits FROM u GROUP BY ALL"""
+)
+def search_evidence(spark, d):
+    """Results of searches as evidence: hits are those that mention both names."""
+    lines = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    cols = F.col("l_orderkey") % 50, F.col("p_name"), F.col("l_partkey"), F.concat_ws(" ", "p_name", "p_type"), F.array("p_brand"), F.lit(None).cast("string")
+    results = lines.select(*[c.alias(n) for c, n in zip(cols, ("a", "c", "place", "title", "excerpts", "url"))]).distinct()
+    pairs = results.select("a", "c").distinct().select("a", "c", F.lit("promo").alias("a_name"), F.col("c").alias("c_name"))
+    return evidence.from_search(results)(pairs).select("a", F.col("c").alias("c_name"), "hits")

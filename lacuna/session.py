@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "lacuna", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -28,3 +30,35 @@ def local_session(app: str = "lacuna", cores: int | str = "*", shuffle_partition
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A table of a test data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; on
+    a cluster that would be a folder that executors don't share, so it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    jsc = spark.sparkContext._jsc.sc()
+    if not found and jsc.getCheckpointDir().isDefined():
+        found = jsc.getCheckpointDir().get()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lacuna-shared-")
+        spark.sparkContext.setCheckpointDir(found)
+    elif jsc.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def stored(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same rows read back from Parquet in the shared folder, and their path: computed once, with no lineage to lose, and of a
+    size that the optimiser knows."""
+    path = f"{shared_dir(frame.sparkSession)}/lacuna-{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes what ``stored`` wrote."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

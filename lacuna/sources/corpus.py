@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import constants as K
 from lacuna.functions import text as T
+from lacuna.session import forget, stored
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,10 @@ class Corpus:
     work_concepts: DataFrame | None = None
     works: DataFrame | None = None
     comentions: DataFrame | None = None
+    #: The tables that plans over this corpus have written; and, of a kept one, the ranked neighbours of every concept.
+    held: list = field(default_factory=list, compare=False)
+    near: DataFrame | None = None
+    near_limit: int | None = None
 
     @classmethod
     def from_work_concepts(cls, work_concepts: DataFrame, names: DataFrame | None = None, works: DataFrame | None = None, comentions: DataFrame | None = None, *, year_from: int | None = None, year_to: int | None = None, as_of_metadata: bool = False) -> "Corpus":
@@ -37,11 +42,38 @@ class Corpus:
         size = meta.agg(F.countDistinct("work").alias("size"))
         return cls(concepts, cooccurrence_edges(within), size, within, works, comentions)
 
-    def kept(self) -> "Corpus":
-        """The same with the graph persisted, in memory and on disk: a plan reads the edges several times, and they are built
-        once. Lost blocks are recomputed; sessions that are done with a graph clear it with ``spark.catalog.clearCache()``."""
-        keep = lambda x: x.persist() if isinstance(x, DataFrame) else x
-        return replace(self, concepts=keep(self.concepts), edges=keep(self.edges), size=keep(self.size), comentions=keep(self.comentions))
+    def kept(self, pool: int | None = None) -> "Corpus":
+        """The same with the graph written once to the shared folder: a plan reads the edges several times. With ``pool`` the
+        strongest neighbours of every concept are ranked once, too. Nothing depends on an executor's memory; ``release``
+        deletes the tables."""
+        keep = lambda x, name: self.hold(x, name) if isinstance(x, DataFrame) else x
+        out = replace(self, **{n: keep(getattr(self, n), n) for n in ("concepts", "edges", "size", "comentions")})
+        return replace(out, near=out.hold(ranked(out.edges, pool), "near"), near_limit=pool) if pool else out
+
+    def hold(self, frame: DataFrame, name: str = "part") -> DataFrame:
+        """The frame, written to the shared folder and read back: for what one plan reads several times. Without this, each use would
+        be planned and run anew, and uses of uses multiply."""
+        out, path = stored(frame, name)
+        self.held.append((frame.sparkSession, path))
+        return out
+
+    def release(self) -> None:
+        """Deletes what has been written for this corpus."""
+        while self.held:
+            forget(*self.held.pop())
+
+    def __enter__(self) -> "Corpus":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+    def neighbours_of(self, wanted: DataFrame, limit: int) -> DataFrame:
+        """src, dst, cooc, n_rank, norm: the strongest ``limit`` neighbours of the concepts in ``wanted`` (src)."""
+        wanted = wanted.select("src").distinct()
+        if self.near is not None and self.near_limit == limit:
+            return self.near.join(wanted, "src", "left_semi")
+        return ranked(self.edges.join(wanted, "src", "left_semi"), limit)
 
     def size_column(self) -> tuple[DataFrame | None, F.Column]:
         """A one-row frame to cross join, or none, and the column of the size."""
@@ -85,6 +117,13 @@ def neighbours(edges: DataFrame, limit: int) -> DataFrame:
     return edges.withColumn("n_rank", F.row_number().over(w)).where(F.col("n_rank") <= limit)
 
 
+def ranked(edges: DataFrame, limit: int) -> DataFrame:
+    """``neighbours`` with norm, the count over the largest of its src."""
+    near = neighbours(edges, limit)
+    top = F.max(F.col("cooc").cast("double")).over(Window.partitionBy("src"))
+    return near.withColumn("norm", F.when(top > 0, F.col("cooc").cast("double") / top).otherwise(F.lit(0.0)))
+
+
 def group_neighbours(edges: DataFrame, concepts: DataFrame, limit: int) -> DataFrame:
     """Like neighbours, then without unnamed concepts and broad fields: these take up places but don't appear."""
     named = neighbours(edges, limit).join(concepts.select(F.col("cid").alias("dst"), F.col("name")), "dst")
@@ -118,20 +157,45 @@ def works_with_all(work_concepts: DataFrame, sets: DataFrame, works: DataFrame |
     return have.withColumn("w_rank", F.row_number().over(w)).where(F.col("w_rank") <= limit)
 
 
+def mentioned(works: DataFrame, terms: DataFrame, longest: int | None = None) -> DataFrame:
+    """works (work, _t), terms (term) -> work, term: the works whose text holds a term as whole words, without case.
+
+    Each text is normalised once and cut into runs of as many words as a term has; runs and terms are joined by equality, so no
+    term is held against every text. Terms without a letter or digit are in no text. longest: the largest number of words of a term."""
+    asked = terms.select("term", T.words_of(F.col("term")).alias("k")).distinct()
+    asked = asked.select("term", F.size("k").alias("n"), F.array_join("k", " ").alias("run")).where("n > 0")
+    longest = longest or asked.agg(F.max("n")).first()[0] or 1
+    words = works.select("work", T.words_of(F.col("_t")).alias("w"))
+    at = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))
+    runs = F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(i + n - 1 <= F.size("w"), F.array_join(F.slice("w", i, n), " "))))
+    found = words.select("work", F.explode(F.array_distinct(F.flatten(runs))).alias("run")).where("run <> ''")
+    return found.join(asked, "run").select("work", "term").distinct()
+
+
 def text_comentions(works: DataFrame, pairs: DataFrame, limit: int = 4) -> DataFrame:
-    """Works whose title or text mentions both terms. pairs: (pair_id, a_name, c_name), few. Returns pair_id, hits and the ``limit`` most
-    cited works as items. Each pair reads the works once, filtered, so the pairs are turned into one condition each."""
-    text = F.concat_ws(" ", "title", "text")
-    terms = pairs.select("pair_id", T.clean_term(F.col("a_name")).alias("a_name"), T.clean_term(F.col("c_name")).alias("c_name"))
-    both = works.select("work", "title", "year", "cited", text.alias("_t")).join(F.broadcast(terms) if _few(terms) else terms, T.mentions(F.col("_t"), F.col("a_name")) & T.mentions(F.col("_t"), F.col("c_name")))
+    """Works whose title or text mentions both terms. pairs: (pair_id, a_name, c_name). Returns pair_id, hits and the ``limit`` most
+    cited works as items. The works are read once, whatever the number of pairs."""
+    asked = pairs.select("pair_id", T.clean_term(F.col("a_name")).alias("a_term"), T.clean_term(F.col("c_name")).alias("c_term"))
+    terms = asked.select(F.col("a_term").alias("term")).union(asked.select("c_term"))
+    found = mentioned(works.select("work", F.concat_ws(" ", "title", "text").alias("_t")), terms)
+    one = asked.join(found.withColumnRenamed("term", "a_term"), "a_term").select("pair_id", "c_term", "work")
+    both = one.join(found.withColumnRenamed("term", "c_term"), ["c_term", "work"]).select("pair_id", "work")
+    cited = both.join(works.select("work", "title", "year", "cited"), "work")
     w = Window.partitionBy("pair_id").orderBy(F.coalesce("cited", F.lit(0)).desc(), "work")
-    ranked = both.withColumn("r", F.row_number().over(w))
-    some = ranked.groupBy("pair_id").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list(F.when(F.col("r") <= limit, F.struct("r", "work", "title", "year")))).alias("items"))
-    return pairs.join(some, "pair_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
+    best = cited.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)
+    items = best.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("r", "work", "title", "year"))).alias("items"))
+    hits = both.groupBy("pair_id").agg(F.count(F.lit(1)).alias("hits"))
+    return pairs.join(hits, "pair_id", "left").join(items, "pair_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
 
 
-def _few(frame: DataFrame, most: int = 10_000) -> bool:
-    return frame.limit(most + 1).count() <= most
+def within(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """needles (q), haystacks (n) -> q, n: each needle with every haystack that holds it. Joined on the needle's first three
+    characters (fewer where it is shorter), so only names that share them meet."""
+    keyed = needles.select("q").distinct().withColumn("k", F.substring("q", 1, 3))
+    at = F.sequence(F.lit(1), F.greatest(F.length("n"), F.lit(1)))
+    parts = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda m: F.substring("n", i, m))))
+    held = haystacks.select("n").distinct().select("n", F.explode(F.array_distinct(parts)).alias("k"))
+    return keyed.join(held, "k").where(F.contains("n", "q")).select("q", "n")
 
 
 def resolve(topics: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -139,7 +203,10 @@ def resolve(topics: DataFrame, concepts: DataFrame) -> DataFrame:
     cid. An empty topic has no concept. Names are compared in lower case, trimmed."""
     t = topics.select("topic", F.lower(F.trim("topic")).alias("q")).where("q <> ''").distinct()
     c = concepts.select("cid", F.lower("name").alias("n"), F.coalesce("works_count", F.lit(0)).alias("works"))
-    hit = c.join(F.broadcast(t) if _few(t) else t, F.contains("n", "q") | F.contains("q", "n"))
+    names, asked = c.select("n").where("n <> ''"), t.select("q")
+    over = within(names.withColumnRenamed("n", "q"), asked.withColumnRenamed("q", "n")).select(F.col("n").alias("q"), F.col("q").alias("n"))
+    pairs = within(asked, names).union(over).distinct()
+    hit = c.join(pairs, "n").join(t, "q")
     w = Window.partitionBy("topic").orderBy((F.col("n") == F.col("q")).desc(), F.desc("works"), "cid")
     return hit.withColumn("r", F.row_number().over(w)).where("r = 1").select("topic", "cid")
 
@@ -163,8 +230,8 @@ def resolve_from_works(topics: DataFrame, works: DataFrame, work_concepts: DataF
     from lacuna.operators.filters import generic_source
 
     words = lambda c: F.array_except(T.tokens(c), T.strings(K.TOPIC_STOP))
-    t = topics.select("topic").distinct()
-    found = works.select("work", F.concat_ws(" ", "title", "text").alias("_t")).join(F.broadcast(t) if _few(t) else t, T.mentions(F.col("_t"), F.col("topic"))).select("topic", "work")
+    t = topics.select(F.col("topic").alias("term")).distinct()
+    found = mentioned(works.select("work", F.concat_ws(" ", "title", "text").alias("_t")), t).withColumnRenamed("term", "topic")
     groups = found.join(work_concepts.select("work", "cid").distinct(), "work").groupBy("topic", "cid").agg(F.count(F.lit(1)).alias("n"))
     named = groups.join(concepts, "cid").where(~F.lower(F.trim("name")).isin(*K.ROOT_FIELDS) & (F.trim("name") != ""))
     scored = named.withColumn("overlap", F.size(F.array_intersect(words(F.col("topic")), words(F.col("name"))))).where((F.col("overlap") > 0) | (F.size(words(F.col("topic"))) == 0))
