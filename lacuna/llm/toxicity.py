@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import labelled
+from lacuna.llm.common import few
 
 GAP = 2
 LAMBDA = 0.7
@@ -295,8 +296,7 @@ def counted(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[tuple[str
     more = (F.col("t") * n_clean > 4 * F.col("c") * n_toxic) & (F.col("t") >= F.when(F.col("k") == 0, 2).otherwise(3))
     top = found.where(more & (F.col("k") == 0)).select("w", "t", "c").collect()
     stems = found.where(more & (F.col("k") > 0)).select("w", "t", "c").collect()
-    clean = found.where(~more & (F.col("k") == 0) & (F.col("c") > 0)).orderBy(F.xxhash64("w"), "w").limit(CLEAN_WORDS)
-    clean = clean.select("w", "t", "c").collect()
+    clean = few(found.where(~more & (F.col("k") == 0) & (F.col("c") > 0)), "w", CLEAN_WORDS).select("w", "t", "c").collect()
     found.unpersist()
     return [tuple(r) for r in (*top, *clean)], [tuple(r) for r in stems], n
 
