@@ -2,44 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna import session
+
 #: The white space of the contracts, as a regex class body: space, tab to carriage return.
 WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one set here where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if not found and jsc.getCheckpointDir().isDefined():
-        found = jsc.getCheckpointDir().get()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lacuna-checkpoints-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
+    session.shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows as Parquet in the shared folder; for what is read more than once and wider than a few numbers."""
-    path = f"{shared_dir(df.sparkSession)}/lacuna-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.stored(df, name)[0]
 
 
 def few(df: DataFrame, key: str, k: int, n: int | None = None) -> DataFrame:
@@ -98,3 +81,30 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column, nulls as empty ones."""
     return [t or "" for t in column.to_pylist()]
+
+
+def groups(batches, keys: int):
+    """Batches of rows that are sorted by their first ``keys`` columns -> the columns of one group after another: numpy arrays, or lists for
+    what isn't a number. A task holds one group and a batch."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [c.to_numpy() if pa.types.is_integer(c.type) else c.to_pylist() for c in b.columns]
+        key = np.stack(columns[:keys], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for s, e in zip(cuts, cuts[1:]):
+            part = [c[s:e] for c in columns]
+            if held is not None and all(h[0][0] == p[0] for h, p in zip(held[:keys], part)):
+                for h, p in zip(held, part):
+                    h.append(p)
+                continue
+            if held is not None:
+                yield [_together(h) for h in held]
+            held = [[p] for p in part]
+    if held is not None:
+        yield [_together(h) for h in held]
+
+
+def _together(parts: list):
+    return np.concatenate(parts) if isinstance(parts[0], np.ndarray) else [x for p in parts for x in p]

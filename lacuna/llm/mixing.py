@@ -119,6 +119,29 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     return each.withColumn("text", text).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def positions(mixed: DataFrame, slopes=SLOPES, slice_digits: int = SLICE_DIGITS) -> DataFrame:
+    """The rows of ``mixed_documents`` with their position in training, worked out from the rows alone, as files keep no order.
+
+    Of a document's rows the longest come first, so a cut last pass is its last. A source's pass p is all rows that are their document's
+    p-th; its words follow those of the passes before it. The prefix sum is the two-level one, by (source, pass, slice)."""
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+    rows = mixed.select("doc_id", "text", skey.alias("skey"), word_count("text").alias("size"), digest.alias("h"))
+    nth = Window.partitionBy("skey", "doc_id").orderBy(F.desc("size"))
+    rows = rows.withColumn("pass", F.row_number().over(nth)).withColumn("slice", F.substring("h", 1, slice_digits))
+    slices = rows.groupBy("skey", "pass", "slice").agg(F.sum("size").alias("ssz"))
+    order = Window.partitionBy("skey").orderBy("pass", "slice")  # 4096 rows a pass of a source at most
+    starts = slices.withColumn("start", F.sum("ssz").over(order) - F.col("ssz"))
+    by_name = Window.orderBy("skey")  # one row a source
+    slope = F.element_at(F.array(*[F.lit(float(x)) for x in slopes]), ((F.row_number().over(by_name) - 1) % len(slopes) + 1).cast("int"))
+    targets = slices.groupBy("skey").agg(F.sum("ssz").alias("target")).withColumn("slope", slope)
+    inside = Window.partitionBy("skey", "pass", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("ahead", F.sum("size").over(inside) - F.col("size"))
+    offsets = starts.join(targets, "skey").select("skey", "pass", "slice", "start", "target", "slope")
+    placed = rows.join(offsets, ["skey", "pass", "slice"])
+    return placed.select("doc_id", "text", _position(F.col("start") + F.col("ahead")).alias("position"))
+
+
 def op5_curriculum_mix(spark, sf_dir):
     return curriculum_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

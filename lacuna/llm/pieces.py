@@ -211,19 +211,21 @@ class Pieces:
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass").removeprefix(" ")
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids array<int>."""
+def encode(docs: DataFrame, path: str | None = None, carry: str | None = None) -> DataFrame:
+    """doc_id, the column ``carry`` (a double) if asked, ids array<int>."""
     path = path or model_path()
+    names = ["doc_id", *([carry] if carry else []), "ids"]
 
     def run(batches):
         pieces = Pieces.at(path)
         for b in batches:
             for at in range(0, b.num_rows, 512):  # ids of a few texts at a time
                 part = b.slice(at, 512)
-                ids = [pieces.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ids = [pieces.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    kept = [F.col("doc_id").cast("long").alias("doc_id"), *([F.col(carry).cast("double").alias(carry)] if carry else [])]
+    return docs.select(*kept, "text").mapInArrow(run, ", ".join(["doc_id long", *([f"{carry} double"] if carry else []), "ids array<int>"]))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

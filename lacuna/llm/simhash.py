@@ -1,15 +1,21 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Fingerprints at Hamming distance 3 or less are linked. Of the two 32-bit halves of such a pair, one differs in at most
-half the radius, that is one bit. So every fingerprint emits, for either half, the half itself and all its variants
+``near_duplicates`` links fingerprints at Hamming distance 3 or less. Of the two 32-bit halves of such a pair, one differs in at
+most half the radius, that is one bit. So every fingerprint emits, for either half, the half itself and all its variants
 within one bit (the ball of half the radius: 2 x 33 rows); the variants are shuffled; a pair meets in a bucket where the
 half of one is exact and lies in the other's ball. Colliding pairs are verified on all 64 bits. No link is lost: the
 half that differs in at most one bit always meets. (Balls of radius 2 over all 64 bits would be 2,081 rows each.)
 
-Only distinct fingerprints take part, with the smallest doc_id of each as its node. A bucket gives a spanning forest of
-its verified links, not its pairs; components over all buckets are the same. Buckets over BLOCK fingerprints are divided
-by the bytes of the other half: a pair that differs there in at most three of four bytes shares one byte, so nothing is
-lost and no caps are needed.
+``similar`` links texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more. At 0.8 two fingerprints
+differ in 15 % of their bits, far beyond what one ball reaches, so each text has several independent fingerprints of few bits:
+PARTS of them, each emitting its ball of radius 1, so that a pair meets where one part differs in two bits or less. ``plan``
+sets the bits by the number of texts, so that buckets stay small at any size, and the number of parts so that a pair at the
+threshold meets with a probability of RECALL or more (closer pairs meet more surely). Pairs whose bits all together are
+too far apart for the threshold are left out, and the rest are verified exactly, on their sets of shingles.
+
+Only distinct fingerprints, or texts, take part, with the smallest doc_id of each as its node. A bucket gives a spanning forest of
+its links, not its pairs; components over all buckets are the same. A bucket over LARGE rows is not held in one task but dealt out
+in Spark as pairs of blocks, and so is a group of texts to verify over BLOCK_SHINGLES; nothing is lost and nothing capped.
 
 Cases. Null or empty text, or white space only: fingerprint 0, linked like any other. Fewer words than a shingle: the
 whole sequence is one shingle. Repeated rows share a component. A null doc_id is fingerprinted but linked
@@ -19,6 +25,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -27,13 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import connected_components, forest, stored
+from lacuna.llm.common import connected_components, forest, groups, stored
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
 #: Fingerprints of a bucket that are compared all with all at once.
 BLOCK = 2048
+#: Rows of a bucket that one task holds.
+LARGE = 50_000
+#: ``similar``: words of a shingle, the similarity that links, the least probability with which a pair at that similarity is found.
+WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
+#: Shingles of the texts that a task verifies against each other, for either block.
+BLOCK_SHINGLES = 1_000_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -64,7 +77,7 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 
 def _balls(batches):
-    """fp, node -> key, fp, node: both halves, exact and with each bit turned."""
+    """fp, node -> key, node, f0: both halves, exact and with each bit turned."""
     turn = np.concatenate([[0], 1 << np.arange(32, dtype=np.uint64)]).astype(np.uint64)
     for b in batches:
         fp = b.column(0).to_numpy().view(np.uint64)
@@ -72,43 +85,50 @@ def _balls(batches):
         for half in (0, 1):
             part = (fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
             key = ((part[:, None] ^ turn) | np.uint64(half << 32)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, 33).view(np.int64)), pa.array(np.repeat(node, 33))], names=["key", "fp", "node"])
+            columns = pa.array(key.view(np.int64)), pa.array(np.repeat(node, 33)), pa.array(np.repeat(fp, 33).view(np.int64))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["key", "node", "f0"])
 
 
-def _close(fa, fb):
-    return np.bitwise_count(fa ^ fb) <= RADIUS
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; a, b: (..., words) of 64 bits."""
+    return sum(np.bitwise_count(a[..., i] ^ b[..., i]).astype(np.int16) for i in range(a.shape[-1]))
 
 
-def _group_edges(fp: np.ndarray, node: np.ndarray, half: int, quarter: int = 4):
-    """Links inside one bucket, whose fingerprints agree in a half up to a bit of either, as a forest."""
-    if len(fp) > BLOCK and quarter > 3:
-        us, vs = [], []
-        # at most RADIUS bits of the other half differ: over four bytes, one byte at least is equal
-        for q in range(4):
-            byte = (fp >> np.uint64(32 * (1 - half) + 8 * q)) & np.uint64(255)
-            order = np.argsort(byte, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(byte[order])) + 1):
-                if len(part) > 1:
-                    u, v = _group_edges(fp[part], node[part], half, q)
-                    us.append(u)
-                    vs.append(v)
-        return forest(np.concatenate(us), np.concatenate(vs)) if us else (node[:0], node[:0])
+def _bucket_links(fp: np.ndarray, node: np.ndarray, radius: int, left: np.ndarray | None = None, right: np.ndarray | None = None):
+    """Links of one bucket as a forest: of all its rows, or of the rows in ``left`` with those in ``right``. fp: (rows, words)."""
     us, vs = [node[:0]], [node[:0]]
-    for i in range(0, len(fp), BLOCK):
-        for j in range(i, len(fp), BLOCK):
-            a, b = np.nonzero(_close(fp[i : i + BLOCK, None], fp[None, j : j + BLOCK]))
-            keep = a + i < b + j
-            u, v = forest(node[i + a[keep]], node[j + b[keep]])
+    same = left is None
+    left = np.arange(len(node)) if same else left
+    right = left if same else right
+    for i in range(0, len(left), BLOCK):
+        for j in range(i if same else 0, len(right), BLOCK):
+            l, r = left[i : i + BLOCK], right[j : j + BLOCK]
+            a, b = np.nonzero(distances(fp[l][:, None], fp[r][None]) <= radius)
+            keep = l[a] != r[b]
+            u, v = forest(node[l[a[keep]]], node[r[b[keep]]])
             us.append(u)
             vs.append(v)
     return forest(np.concatenate(us), np.concatenate(vs))
 
 
-def _links(batches):
-    """Rows sorted by key -> forest edges of the verified links; a bucket that batches divide is put together again."""
-    held = None
+def _edges(u: np.ndarray, v: np.ndarray, words: int) -> pa.RecordBatch:
+    none = pa.array(np.zeros(len(u), np.int64), mask=np.ones(len(u), bool))
+    return pa.RecordBatch.from_arrays([none, pa.array(u, pa.int64()), pa.array(v, pa.int64()), *[none] * words], names=_names(words))
+
+
+def _names(words: int) -> list[str]:
+    return ["key", "u", "v", *(f"f{i}" for i in range(words))]
+
+
+def _links(radius: int, words: int = 1, large: int = LARGE):
+    """Rows (key, node, f0, f1, ...) sorted by key -> rows of (key, u, v, f0, ...): key null: a forest edge (u, v) of the links; else a row
+    (u the node) of a bucket of over ``large`` rows, which is passed on. A task holds ``large`` rows of a bucket and a batch."""
+
+    def passed(key, node, fp):
+        none = pa.array(np.zeros(len(key), np.int64), mask=np.ones(len(key), bool))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), none, *(pa.array(fp[:, i].view(np.int64)) for i in range(words))], names=_names(words))
 
-    def flush(key, fp, node):
+    def flush(key, node, fp):
         change = np.flatnonzero(np.diff(key)) + 1
         start, end = np.concatenate([[0], change]), np.concatenate([change, [len(key)]])
         size = end - start
@@ -120,43 +140,232 @@ def _links(batches):
             i = index[index + d < row_end]
             if not len(i):
                 break
-            ok = _close(fp[i], fp[i + d])
+            ok = distances(fp[i], fp[i + d]) <= radius
             us.append(node[i[ok]])
             vs.append(node[(i + d)[ok]])
         for s, e in zip(start[~small], end[~small]):
-            u, v = _group_edges(fp[s:e], node[s:e], int(key[s] >> 32))
+            u, v = _bucket_links(fp[s:e], node[s:e], radius)
             us.append(u)
             vs.append(v)
         u, v = (np.concatenate(us), np.concatenate(vs)) if us else (node[:0], node[:0])
-        u, v = forest(u, v)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        return _edges(*forest(u, v), words)
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, fp, node = (b.column(i).to_numpy() for i in range(3))
-        fp = fp.view(np.uint64)
+    def run(batches):
+        held = None
+        passing = None  # the key of a bucket that is passed on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            fp = np.stack([b.column(2 + i).to_numpy().view(np.uint64) for i in range(words)], axis=1)
+            if passing is not None:
+                n = np.searchsorted(key, passing, side="right")
+                if n:
+                    yield passed(key[:n], node[:n], fp[:n])
+                if n == len(key):
+                    continue
+                key, node, fp, passing = key[n:], node[n:], fp[n:], None
+            if held is not None:
+                key, node, fp = (np.concatenate([x, y]) for x, y in zip(held, (key, node, fp)))
+            at = np.searchsorted(key, key[-1])  # the last bucket may go on
+            if at:
+                yield flush(key[:at], node[:at], fp[:at])
+            held = key[at:], node[at:], fp[at:]
+            if len(held[0]) > large:
+                passing = held[0][0]
+                yield passed(*held)
+                held = None
         if held is not None:
-            key, fp, node = (np.concatenate([x, y]) for x, y in zip(held, (key, fp, node)))
-        at = np.searchsorted(key, key[-1])  # the last bucket may go on
-        held = key[at:], fp[at:], node[at:]
-        if at:
-            yield flush(key[:at], fp[:at], node[:at])
-    if held is not None:
-        yield flush(*held)
+            yield flush(*held)
+
+    return run
+
+
+def _block_links(radius: int, words: int):
+    """Rows (key, low, high, block, node, f0, ...) sorted by key, low, high -> forest edges between blocks low and high of a bucket."""
+
+    def one(rows):
+        fp = np.stack([r.view(np.uint64) for r in rows[5:]], axis=1)
+        low, high = np.flatnonzero(rows[3] == rows[1][0]), np.flatnonzero(rows[3] == rows[2][0])
+        return _edges(*_bucket_links(fp, rows[4], radius, low, high), words)
+
+    return lambda batches: (one(x) for x in groups(batches, 3))
+
+
+def ball_links(rows: DataFrame, radius: int, words: int = 1, large: int = LARGE) -> DataFrame:
+    """u, v: forests of the links, at ``radius`` or less, within each bucket. rows: key, node, f0, f1, ..."""
+    columns = ", ".join(f"{n} long" for n in _names(words))
+    found = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius, words, large), columns), "links")
+    edges, passed = found.where("key is null").select("u", "v"), found.where("key is not null")
+    if passed.limit(1).count() == 0:
+        return edges
+    fp = [f"f{i}" for i in range(words)]
+    parts = passed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (large / 2)).cast("int").alias("blocks"))
+    dealt = passed.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("u", *fp), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col("u").alias("node"), *fp)
+    more = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_block_links(radius, words), columns)
+    return edges.union(more.select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """doc_id, fp long, component_id: the smallest doc_id reachable over links, itself included."""
     fps = stored(fingerprints(docs, n), "fingerprints")
     nodes = stored(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    rows = nodes.mapInArrow(_balls, "key long, fp long, node long")
-    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+    edges = ball_links(nodes.mapInArrow(_balls, "key long, node long, f0 long"), RADIUS)
     comp = connected_components(edges)
     named = stored(nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "components")
     return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+# --- texts by their sets of shingles ------------------------------------------------------------------------------
+
+
+def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
+    """Sorted 64-bit hashes of the different n-word shingles; of the whole sequence if it is shorter, of nothing if it is empty."""
+    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(b" ".join(words[i : i + n]), SEED) for i in range(max(1, len(words) - n + 1))), np.uint64))
+
+
+def plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int]:
+    """Bits of a part, number of parts, and the largest distance over all parts together, for n texts.
+
+    Two sets of Jaccard similarity s have a cosine of 2 s / (1 + s) if they are alike in size, so each bit differs with the chance
+    acos of that over pi. A part has four bits more than it takes to number the texts would leave buckets of one, so chance meetings
+    stay a few a text. The distance allowed is three standard deviations beyond the mean."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(16, math.ceil(math.log2(max(n, 2))) + 2)
+    meets = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    parts = math.ceil(math.log(1 - recall) / math.log(1 - meets))
+    total = bits * parts
+    return bits, parts, math.floor(total * p + 3 * math.sqrt(total * p * (1 - p)))
+
+
+def wide_fingerprint(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """SimHash of a set of shingle hashes with as many bits as asked, in words of 64; unused bits are 0."""
+    out = np.zeros(-(-bits // 64), np.uint64)
+    for w in range(len(out)):
+        sums = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), 65536):
+            h = shingles[at : at + 65536] + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            sums += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[w] = np.packbits(2 * sums > len(shingles), bitorder="little").view(np.uint64)[0]
+    if bits % 64:
+        out[-1] &= np.uint64((1 << bits % 64) - 1)
+    return out
+
+
+def _described(n: int, bits: int, words: int):
+    """doc_id, h, text -> doc_id, h, node (a hash of the set of shingles), f0, f1, ..."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, n) for t in b.column(2).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            fp = np.array([wide_fingerprint(x, bits) for x in sets], np.uint64).reshape(len(sets), words)
+            columns = [b.column(0), b.column(1), pa.array(node), *(pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(words))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", *(f"f{i}" for i in range(words))])
+
+    return run
+
+
+def _part_balls(bits: int, parts: int, words: int):
+    """node, f0, f1, ... -> key, node, f0, f1, ...: each part, exact and with each of its bits turned."""
+    turn = np.concatenate([[0], 1 << np.arange(bits, dtype=np.uint64)]).astype(np.uint64)
+
+    def run(batches):
+        for b in batches:
+            node = b.column(0).to_numpy()
+            fp = np.stack([b.column(1 + i).to_numpy().view(np.uint64) for i in range(words)] + [np.zeros(len(node), np.uint64)], axis=1)
+            wide = [pa.array(np.repeat(x, bits + 1)) for x in (node, *(np.ascontiguousarray(fp[:, i]).view(np.int64) for i in range(words)))]
+            for k in range(parts):
+                w, shift = divmod(k * bits, 64)
+                part = fp[:, w] >> np.uint64(shift)
+                if shift + bits > 64:
+                    part = part | (fp[:, w + 1] << np.uint64(64 - shift))
+                part &= np.uint64((1 << bits) - 1)
+                key = ((part[:, None] ^ turn) | np.uint64(k << bits)).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *wide], names=["key", "node", *(f"f{i}" for i in range(words))])
+
+    return run
+
+
+def verified(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of sets whose Jaccard similarity is high enough. A search from set to set: each one reached is held against
+    those not reached yet, so a large group of copies costs little more than one comparison a member."""
+    us, vs = [], []
+    size = np.array([len(x) for x in sets])
+    left = np.arange(len(sets))
+    todo: list[int] = []
+    while len(left):
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+        values = np.concatenate([sets[i] for i in left]) if len(left) else np.zeros(0, np.uint64)
+        starts = np.cumsum(size[left]) - size[left]
+        there = np.ones(len(left), bool)  # those of ``left`` not reached
+        while todo and there.any():
+            i = todo.pop()
+            if there.sum() < len(left) / 2:
+                todo.append(i)
+                break
+            at = np.searchsorted(sets[i], values)
+            at[at == size[i]] = 0
+            shared = np.add.reduceat((sets[i][at] == values).astype(np.int64), starts)
+            near = there & (shared >= similarity * (size[left] + size[i] - shared) - 1e-9)
+            new = left[near]
+            us += [node[i]] * len(new)
+            vs += node[new].tolist()
+            todo += new.tolist()
+            there &= ~near
+        left = left[there]
+    return forest(np.array(us, np.int64), np.array(vs, np.int64))
+
+
+def _verify(similarity: float, n: int):
+    """Rows (component, low, high, block, node, text) sorted by component, low, high -> u, v: a forest of the verified links."""
+
+    def run(batches):
+        for x in groups(batches, 3):
+            u, v = verified(np.asarray(x[4]), [shingle_set(t, n) for t in x[5]], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def similar(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, large: int = LARGE) -> DataFrame:
+    """doc_id, h (hash of the text), component_id: the smallest doc_id reachable over links between texts whose sets of n-word
+    shingles have ``similarity`` or more; rows without a doc_id have none and link with nothing."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    bits, parts, radius = plan(base.count(), similarity, recall)
+    words = -(-bits * parts // 64)
+    fp = [f"f{i}" for i in range(words)]
+    described = base.mapInArrow(_described(n, bits * parts, words), ", ".join(f"{x} long" for x in ("doc_id", "h", "node", *fp)))
+    described = stored(described, "described")
+    known = described.where("doc_id is not null")
+    nodes = stored(known.groupBy("node", *fp).agg(F.min(F.struct("doc_id", "h")).alias("first")), "texts")
+    balls = nodes.select("node", *fp).mapInArrow(_part_balls(bits, parts, words), ", ".join(f"{x} long" for x in ("key", "node", *fp)))
+    loose = connected_components(ball_links(balls, radius, words, large)).withColumnRenamed("component", "loose")
+    members = stored(nodes.join(loose, "node").select("node", "loose", "first.*"), "members")
+    # the texts of groups, one a node, verified against each other; large groups as pairs of blocks
+    texts = base.join(members, ["doc_id", "h"]).groupBy("loose", "node").agg(F.min("text").alias("text"))
+    texts = stored(texts, "members-texts")
+    many = texts.groupBy("loose").agg(F.ceil(F.sum(F.length("text") / 6) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = texts.join(many, "loose").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
+    dealt = dealt.select("loose", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "text")
+    links = dealt.repartition("loose", "low", "high").sortWithinPartitions("loose", "low", "high", "node").mapInArrow(_verify(similarity, n), "u long, v long")
+    comp = connected_components(links)
+    named = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("first.doc_id").alias("low"))
+    named = stored(named, "named")
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    of = named.join(lows, "component").select("node", "component_id")
+    return described.join(of, "node", "left").select("doc_id", "h", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def op6_simhash_balls(spark, sf_dir):
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

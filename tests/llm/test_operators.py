@@ -12,6 +12,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -295,7 +296,11 @@ def test_op5_each_pass_has_its_place_in_training(spark):
             assert abs((done + x.words / 2) - ((1 - x.slope) * t + x.slope * t * t) * x.target) <= x["size"]
             done += x.words
         assert abs(done - own[0].target) <= 1
-    order = [x.doc_id for x in mixing.mixed_documents(docs).where("source = 'a'").collect()]
+    mixed = mixing.mixed_documents(docs)
+    again = sorted((x.doc_id, x.position) for x in mixing.positions(mixed.repartition(5)).collect())
+    want = sorted((x.doc_id, x.position) for x in passes)
+    assert [d for d, _ in again] == [d for d, _ in want] and all(abs(x - y) < 0.01 for (_, x), (_, y) in zip(again, want))  # a cut pass differs in its middle
+    order = [x.doc_id for x in mixed.where("source = 'a'").collect()]
     assert len(order) == 60 and order[:20] == order[20:40] == order[40:] and len(set(order)) == 20
 
 
@@ -326,15 +331,83 @@ def test_op6_links_what_brute_force_links(spark):
     assert [x.component_id for x in got] == low.tolist() and len(set(low)) < len(low)
 
 
-def test_op6_large_buckets_lose_no_link(monkeypatch):
+def test_op6_fingerprints_are_those_of_64_counters():
+    r = random.Random(9)
+    for t in [None, "", " \n", "One", "a b", "a b c", "x\u00a0y z\x0bq  w"] + [" ".join(r.choice(["ab", "Ä", "Cd", "e"]) for _ in range(r.randrange(60))) for _ in range(60)]:
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) if w]
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))] if words else []
+        want = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(t) == want, t
+
+
+def test_op6_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 64)
     r = np.random.default_rng(1)
     fp = np.unique((r.integers(0, 1 << 12, 600).astype(np.uint64) << np.uint64(32)) | np.uint64(7))
-    node = np.arange(len(fp))
-    u, v = simhash._group_edges(fp, node, 0)
     a, b = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None]) <= 3, 1))
-    label = lambda u, v: simhash.forest(u, v)
-    assert sorted(zip(*label(u, v))) == sorted(zip(*label(node[a], node[b])))
+    want = sorted(zip(*simhash.forest(a, b)))
+    assert sorted(zip(*simhash._bucket_links(fp[:, None], np.arange(len(fp)), 3))) == want
+    rows = spark.createDataFrame([(k, i, int(x)) for k in (5, 9) for i, x in enumerate(fp.view(np.int64).tolist())] + [(7, 3, 0)], "key long, node long, f0 long").repartition(6)
+    for large in (50, 10_000):  # dealt out as blocks, and in one task
+        got = np.array([tuple(x) for x in simhash.ball_links(rows, 3, 1, large).collect()]).T
+        assert sorted(zip(*simhash.forest(got[0], got[1]))) == want
+
+
+def jaccard_groups(texts, n=5, similarity=0.8):
+    """Smallest index reachable over pairs of texts whose sets of n-word shingles are alike enough, by all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))})
+    low = list(range(len(sets)))
+    near = [[j for j, y in enumerate(sets) if len(x & y) >= similarity * len(x | y)] for x in sets]
+    while True:
+        new = [min(low[j] for j in js) for js in near]
+        if new == low:
+            return low
+        low = new
+
+
+@pytest.mark.parametrize("large", [simhash.LARGE, 20])
+def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 4000 if large == 20 else simhash.BLOCK_SHINGLES)
+    r = random.Random(4)
+    words = ["w%d" % i for i in range(800)]
+    base = [[r.choice(words) for _ in range(200)] for _ in range(12)]
+    rows = [x for x in EDGE if x[0] is not None]
+    for i in range(160):
+        t = list(base[i % 12] if i % 5 else base[0])  # one large group
+        for _ in range(i % 6):
+            t[r.randrange(200)] = r.choice(words)
+        rows.append((100 + i, " ".join(t), "en", "s"))
+    got = sorted({(x.doc_id, x.component_id) for x in simhash.similar(clashing(table(spark, rows)).repartition(5), large=large).collect()})
+    ids = sorted({d: t for d, t, *_ in rows}.items())
+    low = jaccard_groups([t for _, t in ids])
+    want = [(d, ids[low[i]][0]) for i, (d, _) in enumerate(ids)]
+    assert sum(x == y for x, y in zip(got, want)) >= 0.97 * len(want) and len(got) == len(want)
+    exact = {d: c for d, c in want}
+    assert all(exact[d] == exact[c] for d, c in got)  # nothing is joined that all pairs don't join
+    assert simhash.similar(table(spark, rows).where("false")).count() == 0 and simhash.similar(table(spark, [(None, "a b", "", "")])).first().component_id is None
+
+
+def test_the_plan_for_similar_texts_holds_its_recall_at_any_size():
+    for n in (100, 10**5, 10**9, 10**12):
+        bits, parts, radius = simhash.plan(n)
+        assert parts << bits < 2**62 and 2**bits >= n
+        r = np.random.default_rng(0)
+        p = math.acos(1.6 / 1.8) / math.pi
+        differ = r.random((4000, parts, bits)) < p
+        assert (differ.sum(2).min(1) <= 2).mean() >= simhash.RECALL - 0.02 and (differ.sum((1, 2)) <= radius).mean() > 0.99
+
+
+def test_op6_verified_links_by_search_are_those_of_all_pairs():
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        sets = [np.unique(r.integers(0, 30, r.integers(1, 25)).astype(np.uint64)) for _ in range(25)]
+        node = np.arange(25) * 7
+        pairs = [(i, j) for i in range(25) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j])) - 1e-9]
+        want = simhash.forest(node[[i for i, _ in pairs]], node[[j for _, j in pairs]]) if pairs else ((), ())
+        assert sorted(zip(*simhash.verified(node, sets, 0.5))) == sorted(zip(*want))
 
 
 # --- 7, 8 ---------------------------------------------------------------------------------------------------------
