@@ -1,7 +1,10 @@
 """A corpus made ready for training: STAGES one after another, each over all that its predecessor kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents (the last: doc_id and ids),
-which is written as Parquet and read again as the next one's docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents (the last: doc_id,
+position in training, ids), which is written as Parquet and read again as the next one's docs.
+
+The mix puts documents in training order; Parquet files have none, so the last stage works the order out again from the rows (a pass
+over a source is all its documents, by the MD5 of doc_id) and gives it as a column.
 
 Cases. Null texts and empty ones have no words, so the first stage drops them; later stages handle them all the same. Repeated rows
 and near copies leave one document of each group. An empty table stays empty through all stages. Extra columns are
@@ -24,14 +27,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return fertility.keep(docs.select(*COLUMNS))
 
 
+#: At most so many rows that are taken out go to the executors as a broadcast (16 bytes each); beyond that they are joined.
+BROADCAST = 1_000_000
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document with the smallest doc_id; of rows that share that doc_id, the
-    one whose text hash and then whose other columns are smallest. Rows without a doc_id stay."""
-    groups = simhash.near_duplicates(docs)
-    stay = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = docs.join(stay, "doc_id", "left_semi")
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    return kept.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *rest)).alias("r")).select("doc_id", *[f"r.{c}" for c in rest]).select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """Of each group of texts that are alike by 0.8 or more in their sets of five-word shingles, found by SimHash balls, the document
+    with the smallest doc_id; of rows that share that doc_id, the one whose row hash is smallest. Rows without a doc_id stay."""
+    row = F.xxhash64(*COLUMNS)
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), row.alias("row"))
+    groups = simhash.similar(docs).where("doc_id is not null").select("doc_id", "h", "component_id").distinct()
+    rows = stored(own.join(groups, ["doc_id", "h"]).groupBy("component_id", "doc_id", "row").agg(F.count(F.lit(1)).alias("n")), "rows")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.doc_id", "x.row")
+    gone = stored(rows.join(first, ["doc_id", "row"], "left_anti").select("doc_id", "row"), "gone")
+    few = gone.limit(BROADCAST + 1).count() <= BROADCAST
+    kept = docs.select(*COLUMNS).withColumn("row", row).join(F.broadcast(gone) if few else gone, ["doc_id", "row"], "left_anti").select(*COLUMNS)
+    # rows alike in every column: one of them
+    twice = rows.where("n > 1").join(first, ["doc_id", "row"], "left_semi").select("doc_id").distinct()
+    if twice.limit(1).count() == 0:
+        return kept
+    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates()
+    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).union(again.select(*COLUMNS))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +61,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the ids of the text."""
-    return pieces.encode(docs)
+    """doc_id, position (in training, as the mix has set it) and the ids of the text, in order of position."""
+    return pieces.encode(mixing.positions(docs), carry="position").orderBy("position", "doc_id")
 
 
 STAGES = [("quality", quality), ("near_duplicates", deduplicate), ("private", private), ("mix", mix), ("encode", encode)]
