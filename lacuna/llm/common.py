@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +84,21 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def arrays_of(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a column of lists of numbers without nulls, as arrays over its buffer."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    return [values[e - n : e] for e, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist())]
+
+
 def groups(batches, keys: int):
     """Batches of rows that are sorted by their first ``keys`` columns -> the columns of one group after another: numpy arrays, or lists for
-    what isn't a number. A task holds one group and a batch."""
+    what isn't a number (of arrays for lists of numbers). A task holds one group and a batch."""
     held = None
     for b in batches:
         if not b.num_rows:
             continue
-        columns = [c.to_numpy() if pa.types.is_integer(c.type) else c.to_pylist() for c in b.columns]
+        columns = [c.to_numpy() if pa.types.is_integer(c.type) else arrays_of(c) if pa.types.is_list(c.type) else c.to_pylist() for c in b.columns]
         key = np.stack(columns[:keys], axis=1)
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
         for s, e in zip(cuts, cuts[1:]):

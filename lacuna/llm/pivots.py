@@ -1,19 +1,24 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-Reference points (pivots) are vectors of a bounded sample. Each vector is described by its nearest pivots in order. Inverted lists
-hold, for each two pivots, the vectors that have both among their nearest: vectors that share at least two pivots meet there.
-A pair is looked at in one list only, that of the two smallest pivots it shares, and verified by cosine in double
-precision. The index holds every vector; only the pivots are a sample: those of the PIVOTS_MAX rows with the smallest hash, 2 sqrt(n)
-of n vectors and at least PIVOTS_MIN.
+Reference points (pivots) are vectors of a bounded sample. Each vector is described by the permutation of its NEAREST pivots, the nearest
+first. Inverted lists hold, for each pivot, the vectors that have it among their nearest, with their permutations. Two vectors are
+candidates if they share at least SHARED pivots and the shared ones stand near the front of both: the sum over shared pivots of
+(NEAREST - place) in the one times the same in the other is at least ORDER. Candidates are verified by cosine in double precision. The
+index holds every vector; only the pivots are a sample: for each length of vector those of the PIVOTS_MAX rows with the smallest hash, 2
+sqrt(n) of n vectors and at least PIVOTS_MIN.
+
+Two vectors that share SHARED of NEAREST pivots share one among the first NEAREST - SHARED + 1 of each in order of pivot number, so a
+vector is posted to those lists alone; a pair is looked at in one list only, that of the smallest pivot it shares.
 
 Equal vectors are one entry with a count, so copies cost nothing; a vector's links are counted with them. A list gives counts per vector and a
 spanning forest of its verified links, never its pairs. Lists over BLOCK entries are dealt out as pairs of blocks, so no
-task holds more than two blocks, and nothing is capped.
+task holds more than two blocks, and nothing is capped. Postings carry the vector as the table has it (float or double).
 
 Cases. Null vectors, zero vectors and those with a null or non-finite component link with nothing: no links, a component of
-their own. Vectors of different lengths don't link. A null vec_id links with nothing and has a null component. Rows that repeat a
-vec_id are rows of their own, linked like any. Ties in distance to pivots: the pivot of the smaller number is nearer. Cosine
-exactly at the threshold links. Empty tables give empty results; extra columns are ignored.
+their own. Vectors of different lengths don't link; where a length has fewer vectors than NEAREST, all are on one list. A null vec_id
+links with nothing and has a null component. Rows that repeat a vec_id are rows of their own, linked like any. Ties in distance to
+pivots: the pivot of the smaller number is nearer. Cosine exactly at the threshold links. Empty tables give empty results; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import connected_components, cut, few, forest, stored
+from lacuna.llm.common import arrays_of, connected_components, cut, few, forest, groups, stored
 
 THRESHOLD = 0.95
-NEAREST = 6
+NEAREST = 8
+SHARED = 3
+ORDER = 30
+#: Lists that a vector is posted to.
+POSTINGS = NEAREST - SHARED + 1
 PIVOTS_MIN, PIVOTS_MAX = 64, 4096
 BLOCK = 2048
 
@@ -45,108 +54,84 @@ def nearest(x: np.ndarray, pivots: np.ndarray, k: int = NEAREST) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k]
 
 
-def _entries(pivots: dict[int, np.ndarray]):
-    """node, weight, embedding -> an entry for each two of its nearest pivots: list, node, weight, embedding, near."""
+def _described(pivots: dict[int, np.ndarray]):
+    """node, embedding -> node, order: numbers of its nearest pivots, the nearest first; of the lists' names, that is with the length."""
 
     def run(batches):
         for b in batches:
-            rows = b.column(2).to_pylist()
+            rows = arrays_of(b.column(1))
             sizes = np.array([len(r) for r in rows], np.int64)
-            lists, index, near_out = [], [], []
-            for d in np.unique(sizes):
+            out: list = [None] * len(rows)
+            for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
-                own = pivots.get(int(d))
-                if own is None or len(own) < NEAREST:  # too few of this length for an index: one list, dealt out in blocks
-                    lists.append(np.full(len(at), -int(d)))
-                    index.append(at)
-                    near_out += [[] for _ in at]
-                    continue
-                near = np.sort(nearest(unit([rows[i] for i in at]), own), axis=1)
-                for i in range(NEAREST):
-                    for j in range(i + 1, NEAREST):
-                        lists.append(((int(d) * PIVOTS_MAX + near[:, i]) * PIVOTS_MAX + near[:, j]))
-                        index.append(at)
-                        near_out += near.tolist()
-            if not index:
-                continue
-            take = pa.array(np.concatenate(index))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(near_out, pa.list_(pa.int32()))], names=["list", "node", "weight", "embedding", "near"])
+                own = pivots.get(d)
+                if own is None or len(own) < NEAREST:  # fewer vectors than a permutation has places
+                    near = np.full((len(at), 1), d * PIVOTS_MAX, np.int64)
+                else:
+                    near = d * PIVOTS_MAX + nearest(unit([rows[i] for i in at]), own)
+                for i, x in zip(at.tolist(), near.tolist()):
+                    out[i] = x
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "order"])
 
     return run
 
 
-def _other_shared(near: list[list[int]], first: int, second: int) -> np.ndarray:
-    """(vectors, pivots) 0/1: pivots below ``second`` other than ``first``; two vectors with one in common meet in another list."""
-    of: dict[int, int] = {}
-    cells = [(r, of.setdefault(p, len(of))) for r, row in enumerate(near) for p in row if p < second and p != first]
-    out = np.zeros((len(near), max(1, len(of))), np.float32)
-    if cells:
-        out[tuple(np.array(cells).T)] = 1
-    return out
+def order_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of permutations (pairs, places): the sum over shared pivots of (places - place) in the one times that in the other."""
+    weight = np.arange(a.shape[1], 0, -1)
+    return ((a[:, :, None] == b[:, None, :]) * (weight[:, None] * weight)).sum((1, 2))
 
 
-def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    return a @ b.T >= threshold
+def candidate_pairs(name: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right) 0/1 for the permutations (vectors, places) on the list ``name``: whether they share enough pivots in good order and
+    none smaller than ``name``."""
+    if left.shape[1] < NEAREST:
+        return np.ones((len(left), len(right)), bool)
+    ids, flat = np.unique(np.concatenate([left.ravel(), right.ravel()]), return_inverse=True)
+    both = np.zeros((len(left) + len(right), len(ids)), np.float32)
+    both[np.repeat(np.arange(len(both)), left.shape[1]), flat] = 1
+    l, r = both[: len(left)], both[len(left) :]
+    smaller = int(np.searchsorted(ids, name))
+    ok = (l @ r.T >= SHARED) & (l[:, :smaller] @ r[:, :smaller].T == 0)
+    p, q = np.nonzero(ok)
+    for at in range(0, len(p), 200_000):
+        pp, qq = p[at : at + 200_000], q[at : at + 200_000]
+        ok[pp, qq] = order_scores(left[pp], right[qq]) >= ORDER
+    return ok
 
 
 def _verify(threshold: float):
-    """Entries of a partition, sorted by list and blocks -> kind 0: (node, links); kind 1: an edge (node, node)."""
-
-    def one(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        node, weight = np.array(rows["node"]), np.array(rows["weight"])
-        x = unit(rows["embedding"])
-        name = rows["list"][0]
-        shared = None
-        if name >= 0:
-            shared = _other_shared(rows["near"], name // PIVOTS_MAX % PIVOTS_MAX, name % PIVOTS_MAX)
-        block = np.array(rows["block"])
-        low, high = rows["low"][0], rows["high"][0]
+    """Postings (list, low, high, node, weight, block, order, embedding) of a partition, sorted by list and blocks -> kind 0: (node, links);
+    kind 1: an edge (node, node)."""
+
+    def one(rows) -> pa.RecordBatch:
+        name, low, high, node, weight, block = rows[0][0], rows[1][0], rows[2][0], *rows[3:6]
+        orders, x = np.array(rows[6]), unit(rows[7])
         count = np.zeros(len(node), np.int64)
         us, vs = [node[:0]], [node[:0]]
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         for i in range(0, len(left), BLOCK):
             for j in range(0, len(right), BLOCK):
                 l, r = left[i : i + BLOCK], right[j : j + BLOCK]
-                ok = linked(x[l], x[r], threshold)
-                if shared is not None:
-                    ok &= shared[l] @ shared[r].T == 0
+                ok = candidate_pairs(int(name), orders[l], orders[r])
                 if low == high:
                     ok &= l[:, None] < r[None, :]
+                if not ok.any():
+                    continue
+                ok &= x[l] @ x[r].T >= threshold
                 count[l] += ok @ weight[r]
                 count[r] += weight[l] @ ok
                 p, q = np.nonzero(ok)
                 u, v = forest(node[l[p]], node[r[q]])
                 us.append(u)
                 vs.append(v)
-        return count, *forest(np.concatenate(us), np.concatenate(vs))
-
-    names = ["list", "low", "high", "node", "weight", "embedding", "near", "block"]
+        u, v = forest(np.concatenate(us), np.concatenate(vs))
+        some = np.flatnonzero(count)
+        kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(u), np.int32)])
+        columns = kind, np.concatenate([node[some], u]), np.concatenate([count[some], v])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "u", "v"])
 
-    def run(batches):
-        held: dict | None = None
-
-        def flush(held):
-            count, u, v = one(held)
-            some = np.flatnonzero(count)
-            node = np.array(held["node"])[some]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(len(some), np.int32), np.ones(len(u), np.int32)])), pa.array(np.concatenate([node, u])), pa.array(np.concatenate([count[some], v]))], names=["kind", "u", "v"])
-
-        for b in batches:
-            key = np.array([b.column(i).to_numpy() for i in range(3)]).T
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
-            for s, e in zip(cuts, cuts[1:]):
-                same = held is not None and (held["list"][0], held["low"][0], held["high"][0]) == tuple(key[s])
-                if held is not None and not same:
-                    if len(held["node"]) > 1:
-                        yield flush(held)
-                    held = None
-                part = {n: b.column(i).slice(s, e - s).to_pylist() for i, n in enumerate(names)} if e > s else None
-                if part:
-                    held = part if held is None else {n: held[n] + part[n] for n in names}
-        if held is not None and len(held["node"]) > 1:
-            yield flush(held)
-
-    return run
+    return lambda batches: (one(x) for x in groups(batches, 3) if len(x[0]) > 1)
 
 
 def usable(vectors: DataFrame) -> F.Column:
@@ -154,35 +139,37 @@ def usable(vectors: DataFrame) -> F.Column:
     return F.coalesce(F.col("vec_id").isNotNull() & good & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def choose_pivots(nodes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Pivots by length of vector: a sample of at most PIVOTS_MAX nodes, those with the smallest hash."""
-    k = min(PIVOTS_MAX, max(PIVOTS_MIN, 2 * math.isqrt(n)))
-    rows = few(nodes, "node", k, n).select("embedding").collect()
-    by_size: dict[int, list] = {}
-    for (e,) in rows:
-        by_size.setdefault(len(e), []).append(e)
-    return {d: unit(x) for d, x in by_size.items()}
+def choose_pivots(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots by length of vector: a sample of at most PIVOTS_MAX nodes of each, those with the smallest hash."""
+    out = {}
+    for size, n in nodes.groupBy(F.size("embedding")).count().collect():  # a row a length
+        k = min(PIVOTS_MAX, max(PIVOTS_MIN, 2 * math.isqrt(n)))
+        out[size] = unit([r[0] for r in few(nodes.where(F.size("embedding") == size), "node", k, n).select("embedding").collect()])
+    return out
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     ok = base.where(usable(base)).withColumn("node", F.xxhash64("embedding"))
     nodes = stored(ok.groupBy("node", "embedding").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("low_id")), "vectors")
-    pivots = choose_pivots(nodes, nodes.count())
-    entries = nodes.select("node", "weight", "embedding").mapInArrow(_entries(pivots), "list long, node long, weight long, embedding array<double>, near array<int>")
-    sizes = nodes.select("node", F.lit(1).cast("long").alias("weight"), "embedding").mapInArrow(_entries(pivots), "list long, node long, weight long, embedding array<double>, near array<int>").groupBy("list").count()
-    large = cut(sizes.where(F.col("count") > BLOCK).select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    dealt = entries.join(large, "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    pivots = choose_pivots(nodes)
+    orders = stored(nodes.select("node", "embedding").mapInArrow(_described(pivots), "node long, order array<long>"), "permutations")
+    postings = orders.select("node", "order", F.explode(F.slice(F.array_sort("order"), 1, POSTINGS)).alias("list"))
+    sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))  # a row a pivot
+    dealt = postings.join(F.broadcast(sizes), "list")  # no more rows than pivots, PIVOTS_MAX a length
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select("list", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "weight", "embedding", "near", "block")
-    found = stored(rows.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high", "node").mapInArrow(_verify(threshold), "kind int, u long, v long"), "links")
+    rows = dealt.join(nodes.select("node", "weight", "embedding"), "node")
+    rows = rows.select("list", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "weight", "block", "order", "embedding")
+    rows = rows.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high", "node")
+    found = stored(rows.mapInArrow(_verify(threshold), "kind int, u long, v long"), "links")
     counts = found.where("kind = 0").groupBy(F.col("u").alias("node")).agg(F.sum("v").alias("links"))
     comp = connected_components(found.where("kind = 1").select("u", "v"))
-    named = nodes.join(comp, "node", "left").select("node", "weight", "low_id", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("node", "weight", "low_id").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    each = cut(named.join(lows, "component").join(counts, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+    each = cut(named.join(lows, "component").join(counts, "node", "left").select("node", n_links, "component_id"))
     keys = base.select("vec_id", F.when(usable(base), F.xxhash64("embedding")).alias("node"))
     out = keys.join(each, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -171,6 +171,55 @@ def test_op2_links_what_brute_force_links(spark):
     assert pivots.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def plain_links(u):
+    """Links and components of unit vectors by all pairs, in blocks."""
+    links, label = np.zeros(len(u), int), np.arange(len(u))
+    near = [np.flatnonzero(u @ x >= 0.95) for x in u]
+    links = np.array([len(n) - 1 for n in near])
+    while True:
+        low = np.array([label[n].min() for n in near])
+        if (low == label).all():
+            return links, label
+        label = low
+
+
+@pytest.mark.parametrize("n,dim,block", [(4000, 64, pivots.BLOCK), (4000, 256, 100), (20_000, 64, pivots.BLOCK)])
+def test_op2_recall_on_planted_pairs(spark, n, dim, block):
+    r = np.random.default_rng(n + dim)
+    x = r.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, n // 2, 2):  # pairs at cosines over the threshold, and below it
+        c = (0.952, 0.97, 0.99, 0.9)[i // 2 % 4]
+        y = r.normal(size=dim)
+        y -= (y @ x[i]) * x[i]
+        x[i + 1] = c * x[i] + (1 - c * c) ** 0.5 * y / np.linalg.norm(y)
+    x[-30:] = x[-1] + r.normal(size=(30, dim)) * 0.1 / dim**0.5  # a cluster
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(pivots.near_duplicates(rows, block=block).collect())
+    links, label = plain_links(pivots.unit(x))
+    found = np.array([g.n_links for g in got])
+    assert found.sum() >= 0.95 * links.sum() > 0 and (found <= links).all()
+    assert np.mean([g.component_id == c for g, c in zip(got, label)]) > 0.99
+
+
+def test_op2_candidates_are_those_of_counted_shared_pivots():
+    r = np.random.default_rng(3)
+    perms = np.array([r.permutation(14)[: pivots.NEAREST] for _ in range(40)])
+    for name in range(14):
+        on = perms[(np.sort(perms, 1)[:, : pivots.POSTINGS] == name).any(1)]
+        got = pivots.candidate_pairs(name, on, on)
+        for i, p in enumerate(on.tolist()):
+            for j, q in enumerate(on.tolist()):
+                both = set(p) & set(q)
+                score = sum((pivots.NEAREST - p.index(z)) * (pivots.NEAREST - q.index(z)) for z in both)
+                assert got[i, j] == (len(both) >= pivots.SHARED and min(both) == name and score >= pivots.ORDER)
+    for p in perms:  # pairs with enough in common meet in the list of the smallest pivot they share
+        for q in perms:
+            both = set(p) & set(q)
+            assert len(both) < pivots.SHARED or all(min(both) in np.sort(v)[: pivots.POSTINGS] for v in (p, q))
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------
 
 
