@@ -5,10 +5,10 @@ plain and in disguised forms, and look-alikes that are none (versions, dates, pr
 labels each character as outside or as part of an email, ip, card, phone or secret.
 
 Texts are read in windows of WIDTH characters that overlap by half. Each window is decoded by Viterbi over the CRF. Windows see an entity
-twice or cut it, so all windows of a document are reconciled together: spans that touch an inner edge of their window are left to the neighbour, and among
-overlapping spans those with the largest sum of scores are chosen by weighted interval scheduling. A span counts only if
+twice or cut it, so all windows of a document are reconciled together: pieces that an edge cuts are followed into the neighbouring window and
+joined to one span, of any length, and among overlapping spans those with the largest sum of scores are chosen by weighted interval scheduling. A span counts only if
 it has the form of its kind (``well_formed``). Each kind needs a digit, an at sign or a bracketed "at", so windows without any
-can't hold a span and aren't decoded; this loses nothing, whatever the text.
+can't be where a span begins to be found and aren't decoded, unless a span reaches into them.
 
 Base spans are exact patterns, leftmost and non-overlapping per kind, and always stay; the network adds spans that overlap
 none of them.
@@ -356,36 +356,69 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
+def joined_halves(halves: list[tuple[int, int, int, float, bool, bool]]) -> list[tuple[int, int, int, float]]:
+    """Spans longer than windows overlap: pieces (start, kind, end, score, cut at the left, cut at the right) of one kind that overlap or touch
+    are one span, if its own ends aren't cut; its score is the pieces' mean a character times its length."""
+    out = []
+    for kind in range(len(KINDS)):
+        run: list = []
+        for piece in [*sorted(h for h in halves if h[1] == kind), None]:
+            if run and (piece is None or piece[0] > max(h[2] for h in run)):
+                s, e = run[0][0], max(h[2] for h in run)
+                if not all(h[4] for h in run if h[0] == s) and not all(h[5] for h in run if h[2] == e):
+                    out.append((s, kind, e, (e - s) * sum(h[3] for h in run) / sum(h[2] - h[0] for h in run)))
+                run = []
+            if piece is not None:
+                run.append(piece)
+    return out
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans of the network in each text, reconciled over its windows."""
+    """Spans of the network in each text, reconciled over its windows. A span that a window cuts is followed into the next window, however
+    long it is."""
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    todo: list[tuple[int, int]] = []
-
-    def flush():
-        x = np.full((len(todo), WIDTH), 131)
-        for r, (i, at) in enumerate(todo):
+    halves: list[list[tuple[int, int, int, float, bool, bool]]] = [[] for _ in texts]
+    seen: list[set[int]] = [set(windows(t)) for t in texts]
+    todo = [(i, at) for i, starts in enumerate(seen) for at in sorted(starts)]
+    more: list[tuple[int, int]] = []
+
+    def decode(part: list[tuple[int, int]]) -> None:
+        x = np.full((len(part), WIDTH), 131)
+        for r, (i, at) in enumerate(part):
             c = codes(texts[i][at : at + WIDTH])
             x[r, : len(c)] = c
         e = tagger.emissions(x)
         tags = tagger.decode(e).T
         for r, kind, s, end in _runs(tags):
-            i, at = todo[r]
+            i, at = part[r]
             text, end = texts[i], min(end, len(texts[i]) - at)
-            if end <= s or (s == 0 and at > 0) or (at + end < len(text) and end == WIDTH):
-                continue  # cut by an inner edge
-            a, b = _edges(text, at + s, at + end, kind)
+            if end <= s:
+                continue
+            score = float((e[s:end, r, kind + 1] - e[s:end, r, 0]).sum()) + 1e-3
+            left, right = s == 0 and at > 0, end == WIDTH and at + end < len(text)
+            if left or right:
+                halves[i].append((at + s, kind, at + end, score, left, right))
+                for beyond in (at - STEP,) * left + (at + STEP,) * right:
+                    if beyond not in seen[i]:
+                        seen[i].add(beyond)
+                        more.append((i, beyond))
+            else:
+                found[i].append((at + s, kind, at + end, score))
+
+    while todo:
+        for at in range(0, len(todo), BATCH):
+            decode(todo[at : at + BATCH])
+        todo, more = more, []
+    out = []
+    for text, whole, cut in zip(texts, found, halves):
+        good = []
+        # a piece may go on in a span that another window sees whole
+        for s, kind, e, score in whole + joined_halves(cut + [(*x, False, False) for x in whole if any(h[1] == x[1] and h[0] <= x[2] and x[0] <= h[2] for h in cut)]):
+            a, b = _edges(text, s, e, kind)
             if a < b and well_formed(kind, text[a:b]):
-                found[i].append((a, kind, b, float((e[s:end, r, kind + 1] - e[s:end, r, 0]).sum()) + 1e-3))
-        todo.clear()
-
-    for i, text in enumerate(texts):
-        for at in windows(text):
-            todo.append((i, at))
-            if len(todo) == BATCH:
-                flush()
-    if todo:
-        flush()
-    return [reconcile(x) if x else [] for x in found]
+                good.append((a, kind, b, score))
+        out.append(reconcile(good) if good else [])
+    return out
 
 
 def all_spans(texts: list[str], tagger: Tagger):

@@ -263,6 +263,61 @@ def test_op3_the_network_finds_disguised_data_and_leaves_the_rest_alone(spark):
     assert masked[0].text == "mail <EMAIL> now" and masked[0].n_chars == 16 and masked[1].text is None
 
 
+def test_op3_the_crf_is_that_of_enumeration_and_gradients_are_right():
+    tagger = pii.Tagger(3)
+    tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
+    r = np.random.default_rng(0)
+    tagger.p["A"] = r.normal(0, 0.5, tagger.p["A"].shape)
+    x, y = r.integers(97, 123, (1, 4)), r.integers(0, pii.TAGS, (1, 4))
+    paths = list(itertools.product(range(pii.TAGS), repeat=4))
+
+    def scores():
+        e, a = tagger.emissions(x)[:, 0], tagger.p["A"]
+        return np.array([sum(e[t, p[t]] for t in range(4)) + sum(a[p[t], p[t + 1]] for t in range(3)) for p in paths])
+
+    def loss():  # of the labels, by all paths
+        s = scores()
+        return np.log(np.exp(s - s.max()).sum()) + s.max() - s[paths.index(tuple(y[0].tolist()))]
+
+    assert tuple(tagger.decode(tagger.emissions(x))[:, 0].tolist()) == paths[int(scores().argmax())]
+    g = tagger._gradients(x, y)
+    for name in tagger.p:
+        for _ in range(6):
+            at = tuple(int(r.integers(n)) for n in tagger.p[name].shape)
+            if name == "E":
+                at = int(x[0, r.integers(4)]), at[1]
+            keep, eps, both = tagger.p[name][at], 1e-3, []  # states are kept in single precision
+            for d in (eps, -eps):
+                tagger.p[name][at] = keep + d
+                both.append(loss())
+            tagger.p[name][at] = keep
+            assert abs((both[0] - both[1]) / (2 * eps) - g[name][at]) < 2e-3 * max(1, abs(g[name][at])), name
+
+
+def test_op3_spans_longer_than_windows_overlap_are_whole():
+    join = pii.joined_halves
+    assert join([(10, 0, 192, 5.0, False, True), (96, 0, 288, 5.0, True, True), (192, 0, 300, 5.0, True, False)]) == [(10, 0, 300, 290 * 15 / 482)]
+    assert join([(96, 0, 288, 5.0, True, True)]) == [] and join([(5, 0, 192, 1.0, False, True), (96, 1, 200, 1.0, True, False)]) == []
+
+    class Marks:  # labels every "x" as an email, whatever stands around it
+        def emissions(self, x):
+            e = np.zeros((x.shape[1], x.shape[0], pii.TAGS), np.float32)
+            e[:, :, 1] = np.where(x.T == ord("x"), 3, -3)
+            return e
+
+        decode = pii.Tagger.decode
+        p = {"A": np.zeros((pii.TAGS, pii.TAGS), np.float32)}
+
+    r = random.Random(1)
+    for n in (5, 95, 97, 150, 191, 192, 193, 500, 2000):
+        mail = "x" * n + "@" + "x.x"
+        text = "a " * r.randrange(300) + mail + " a" * r.randrange(300)
+        tagger = Marks()
+        tagger.emissions = lambda x, f=Marks.emissions: np.where(np.isin(x.T, [ord(c) for c in "x@."])[:, :, None] & (np.arange(pii.TAGS) == 1), 3.0, np.where(np.arange(pii.TAGS) == 1, -3.0, 0.0)).astype(np.float32)
+        (got,) = pii.model_spans([text], tagger)
+        assert [text[s:e] for s, _, e in got] == [mail], n
+
+
 def test_op3_reconciles_windows_globally():
     r = random.Random(2)
     for _ in range(300):
