@@ -362,6 +362,35 @@ def test_op4_base_counts_and_bands(spark):
     assert [fertility.script_of(t) for t in ("abc", "привет", "日本", "123", "ばか")] == ["latin", "cyrillic", "han", "none", "kana"]
 
 
+def test_op4_measures_are_those_of_a_plain_computation():
+    import tiktoken
+
+    f = fertility.Fertility.at(fertility.vocabulary_path())
+    r = random.Random(7)
+    for t in ["a", "日本語 тест 😀", *(" ".join(r.choice(["river", "Straße", "été", "😀", "日", "###", "\n", "x"]) for _ in range(r.randrange(1, 80))) for _ in range(60))]:
+        ids = f.encoding.encode_ordinary(t)
+        counts = [ids.count(i) for i in set(ids)]
+        entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts) / math.log2(len(ids)) if len(ids) > 1 else 1.0
+        partial = sum(not f.encoding.decode_single_token_bytes(i).decode("utf-8", "ignore") for i in ids)
+        n, ratio, share, got = f.measures(t)
+        assert n == len(ids) and abs(ratio - len(t) / len(ids)) < 1e-12 and abs(share - partial / len(ids)) < 1e-12 and abs(got - entropy) < 1e-9, t
+    assert isinstance(f.encoding, tiktoken.Encoding) and f.measures("") == (0, None, None, None)
+
+
+def test_op4_bands_by_language_then_by_script(spark):
+    rows = [("xx", 3.0, 0.0, 0.9), ("xx", 3.2, 0.02, 0.8)] * 20 + [("yy", 1.0, 0.0, 0.5)] * 3
+    bands = fertility.fitted_bands(rows)
+    assert list(bands) == ["xx"] and bands["xx"].chars_per_token[0] == 2.8 and bands["xx"].entropy[0] == 0.7
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = fertility.measure(spark.read.parquet(f"{d}/documents.parquet")).where("not base_failed").join(labels, "doc_id").collect()
+    other = [x for x in got if zlib.crc32(str(x.doc_id).encode()) % 2 == 1]  # the half that the bands weren't set on
+    clean, junk = [x.kept for x in other if x.quality == 1], [x.kept for x in other if x.quality == 0]
+    assert sum(clean) >= 0.995 * len(clean) and sum(junk) <= 0.6 * len(junk)
+    text = "The river ran past the old mill and on to the sea, where boats lay waiting for the tide to turn and the wind to rise."
+    assert fertility.in_band(text, 30, 2.0, 0.0, 0.9) and not fertility.in_band(text, 30, 2.0, 0.0, 0.9, lang="en")
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 
 

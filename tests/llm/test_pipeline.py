@@ -26,7 +26,7 @@ def rows(df):
 
 def test_stages(kept):
     raw, good, single, masked, mixed, ids = kept
-    want = [x for x in rows(raw) if fertility._judge(x[1] or "", fertility.vocabulary_path(), fertility.BANDS)[6]]
+    want = [x for x in rows(raw) if fertility._judge(x[1] or "", fertility.vocabulary_path(), fertility.BANDS, x[2])[6]]
     assert rows(good) == want
     low = jaccard_groups([x[1] for x in want])
     exact = [x for i, x in enumerate(want) if low[i] == i]  # rows are in order of doc_id
