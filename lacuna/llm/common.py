@@ -23,7 +23,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows as Parquet in the shared folder; for what is read more than once and wider than a few numbers."""
-    return session.stored(df, name)[0]
+    out, path = session.stored(df, name)
+    _written.append(path)
+    return out
+
+
+#: Paths that ``stored`` has written and nobody has deleted.
+_written: list[str] = []
+
+
+def written() -> int:
+    """A mark for ``sweep``."""
+    return len(_written)
+
+
+def sweep(spark, mark: int, keep: DataFrame | None = None) -> None:
+    """Deletes what ``stored`` has written since ``mark``, but for the table ``keep`` reads. For callers that have written what they made of it."""
+    kept = [] if keep is None else [f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()]
+    for path in _written[mark:]:
+        if not any(path.split(":", 1)[-1].lstrip("/") == k for k in kept):
+            session.forget(spark, path)
+    _written[mark:] = [p for p in _written[mark:] if any(p.split(":", 1)[-1].lstrip("/") == k for k in kept)]
 
 
 def few(df: DataFrame, key: str, k: int, n: int | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions of them."""
 
+import os
+
 import pytest
 
 import corpus_pipeline as cp
@@ -49,6 +51,11 @@ def test_stages(kept):
 
 
 def test_run_gives_the_last_stage(spark, kept):
+    from lacuna.llm import common
+
+    mark = common.written()
+    cp.run(spark, DATA).count()
+    assert common.written() == mark + 1 and os.path.isdir(common._written[-1])  # of all it has written, the input of the last stage is left
     assert sorted((x.doc_id, tuple(x.ids)) for x in cp.run(spark, DATA).collect()) == sorted((x.doc_id, tuple(x.ids)) for x in kept[-1].collect())
 
 
