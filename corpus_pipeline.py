@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import fertility, mixing, pieces, pii, simhash
-from lacuna.llm.common import stored
+from lacuna.llm.common import stored, sweep, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -72,9 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents. Each stage's table is deleted when the next one's is written, and so is what a stage
+    has written on its way."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = written()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"stage-{name}")
+            sweep(spark, mark, docs)
     return docs
