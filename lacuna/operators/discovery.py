@@ -60,7 +60,9 @@ def bridges(corpus: Corpus, topics: DataFrame, config: DiscoveryConfig) -> tuple
     (a, b, an, b_key, b_rank, bc, ac), bc and ac being the packed features."""
     flt = config.filter
     near = corpus.neighbours_of(topics.select(F.col("a").alias("src")), config.bridge_pool)
-    pool = corpus.hold(near.select(F.col("src").alias("a"), F.col("dst").alias("b"), "cooc", F.col("norm").alias("an")))
+    pool = near.select(F.col("src").alias("a"), F.col("dst").alias("b"), "cooc", F.col("norm").alias("an"))
+    if corpus.near is None:  # else it is a scan of what is written
+        pool = corpus.hold(pool)
     features = pool_features(corpus, flt, pool.select("a").union(pool.select("b")))
     pairs = pool.join(_packed(features, "bc", "b"), "b").join(_packed(features, "ac", "a"), "a")
     good = pairs.where(flt.usable("bc", "ac", config.min_level)).withColumn("b_key", F.col("an") * N.specificity(F.col("bc.works_count")))
@@ -70,6 +72,8 @@ def bridges(corpus: Corpus, topics: DataFrame, config: DiscoveryConfig) -> tuple
 
 def pool_features(corpus: Corpus, flt: RelevanceFilter, wanted: DataFrame) -> DataFrame:
     """The filter's features of the wanted concepts (one column of ids) alone."""
+    if not flt.costly:
+        return flt.features(corpus.concepts)
     ids = wanted.toDF("cid").distinct()
     return corpus.hold(flt.features(corpus.concepts.join(ids, "cid", "left_semi")))
 

@@ -30,6 +30,8 @@ class RelevanceFilter:
     generic_semantic_threshold: float = 0.78
     a_similarity_threshold: float = 0.82
     embeddings: DataFrame | None = None
+    #: Whether features are worth writing down: they read names and vectors.
+    costly = True
 
     @property
     def seeds(self) -> tuple[str, ...]:
@@ -78,6 +80,8 @@ class RelevanceFilter:
 class LevelFilter(RelevanceFilter):
     """Only the level counts; for corpora whose names are codes."""
 
+    costly = False
+
     def features(self, concepts: DataFrame) -> DataFrame:
         empty = T.strings(())
         return concepts.withColumns({"grams": empty, "own": empty, "generic": F.lit(False), "bad": F.lit(False)})

@@ -27,7 +27,7 @@ class Corpus:
     comentions: DataFrame | None = None
     #: The tables that plans over this corpus have written; and, of a kept one, the ranked neighbours of every concept.
     held: list = field(default_factory=list, compare=False)
-    near: DataFrame | None = None
+    near: dict | None = field(default=None, compare=False)
     near_limit: int | None = None
 
     @classmethod
@@ -43,12 +43,11 @@ class Corpus:
         return cls(concepts, cooccurrence_edges(within), size, within, works, comentions)
 
     def kept(self, pool: int | None = None) -> "Corpus":
-        """The same with the graph written once to the shared folder: a plan reads the edges several times. With ``pool`` the
-        strongest neighbours of every concept are ranked once, too. Nothing depends on an executor's memory; ``release``
+        """The same with the graph written once to the shared folder: a plan reads the edges several times. With ``pool`` that many
+        of the strongest neighbours of every concept are ranked once, too, when they are first asked for. Nothing depends on an executor's memory; ``release``
         deletes the tables."""
         keep = lambda x, name: self.hold(x, name) if isinstance(x, DataFrame) else x
-        out = replace(self, **{n: keep(getattr(self, n), n) for n in ("concepts", "edges", "size", "comentions")})
-        return replace(out, near=out.hold(ranked(out.edges, pool), "near"), near_limit=pool) if pool else out
+        return replace(self, **{n: keep(getattr(self, n), n) for n in ("concepts", "edges", "size")}, near={}, near_limit=pool)
 
     def hold(self, frame: DataFrame, name: str = "part") -> DataFrame:
         """The frame, written to the shared folder and read back: for what one plan reads several times. Without this, each use would
@@ -72,7 +71,9 @@ class Corpus:
         """src, dst, cooc, n_rank, norm: the strongest ``limit`` neighbours of the concepts in ``wanted`` (src)."""
         wanted = wanted.select("src").distinct()
         if self.near is not None and self.near_limit == limit:
-            return self.near.join(wanted, "src", "left_semi")
+            if limit not in self.near:
+                self.near[limit] = self.hold(ranked(self.edges, limit), "near")
+            return self.near[limit].join(wanted, "src", "left_semi")
         return ranked(self.edges.join(wanted, "src", "left_semi"), limit)
 
     def size_column(self) -> tuple[DataFrame | None, F.Column]:
