@@ -61,8 +61,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, position (in training, as the mix has set it) and the ids of the text, in order of position."""
-    return pieces.encode(mixing.positions(docs), carry="position").orderBy("position", "doc_id")
+    """doc_id, position (in training, as the mix has set it) and the ids of the text. Rows come in no order: whoever trains sorts by position."""
+    return pieces.encode(mixing.positions(docs), carry="position")
 
 
 STAGES = [("quality", quality), ("near_duplicates", deduplicate), ("private", private), ("mix", mix), ("encode", encode)]
