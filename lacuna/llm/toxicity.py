@@ -135,7 +135,8 @@ def phi(words: list[str]) -> np.ndarray:
     for index, ok, w in _subsequences(codes):
         row, at = np.nonzero(ok)
         np.add.at(out, (row, index[row, at]), np.float32(w))
-    return out / _norms(codes)[:, None].astype(np.float32)
+    out /= _norms(codes)[:, None].astype(np.float32)
+    return out
 
 
 def applied(table: np.ndarray, words: list[str]) -> np.ndarray:
@@ -231,16 +232,16 @@ def telling(counts: list[tuple[str, int, int]], stems: list[tuple[str, int, int]
 
 def spread(words: list[str], k: int) -> list[str]:
     """At most k of the words: the first, then always the one that is least like those chosen."""
-    words = words[: 8 * k]
-    f = phi(words)
-    near = f @ f[0]
-    chosen = [0]
+    if not words:
+        return []
+    like = lambda w: applied(phi([w])[0], words)  # noqa: E731  one row of the kernel; all of phi would be TABLE numbers a word
+    chosen, near = [0], like(words[0])
     while len(chosen) < min(k, len(words)):
         at = int(near.argmin())
         if near[at] > 0.999:
             break
         chosen.append(at)
-        near = np.maximum(near, f @ f[at])
+        near = np.maximum(near, like(words[at]))
     return [words[i] for i in chosen]
 
 
@@ -255,18 +256,15 @@ def fit_words(
         return None
     marks = spread(sure, landmarks // 2)
     marks += [w for w, _ in sorted(clean, key=lambda x: (-x[1], x[0]))[: landmarks - len(marks)]]
-    f = phi(marks)
-    values, vectors = np.linalg.eigh((f @ f.T).astype(float))
+    columns = np.ascontiguousarray(phi(marks).T)
+    values, vectors = np.linalg.eigh((columns.T @ columns).astype(float))
     good = values > 1e-4
     whiten = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2) up to a rotation
-    columns = np.ascontiguousarray(f.T)
     features = lambda ws: applied(columns, ws) @ whiten
     known_clean = np.array([w for w, _ in clean])
     x_sure, x_clean = features(sure), features(known_clean.tolist())
     # each telling word weighs by how alone it stands, so that a large family of forms doesn't outweigh a single insult
-    g = phi(sure[:4000])
-    alone = 1 / (g @ g.T > 0.5).sum(1)
-    alone = np.concatenate([alone, np.full(len(sure) - len(alone), alone.min())])
+    alone = 1 / np.concatenate([(x_sure[at : at + 500] @ x_sure.T > 0.5).sum(1) for at in range(0, len(sure), 500)]).clip(1)
     weight_clean = np.log1p(np.array([c for _, c in clean], float))
     picked = np.zeros(len(clean), bool)
     picked[:: max(1, len(clean) // 4000)] = True
@@ -277,7 +275,7 @@ def fit_words(
         weight[y > 0] *= weight[y < 0].sum() / weight[y > 0].sum()
         w, b = svm(np.concatenate([x_sure, x_clean[at]]), y, weight)
         picked[np.argsort(-(x_clean @ w), kind="stable")[:1000]] = True
-    return (f.T @ (whiten @ w)).astype(np.float32), float(b), marks
+    return (columns @ (whiten @ w).astype(np.float32)).astype(np.float32), float(b), marks
 
 
 def counted(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
