@@ -9,7 +9,10 @@ from lacuna.operators.discovery import DiscoveryConfig, discover, rounded
 from lacuna.sources.corpus import Corpus
 
 
-def backtest_links(past: Corpus, topics: DataFrame, past_hits: DataFrame, future_hits: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), k: int = 10, emergence_threshold: int = 3, novelty_ceiling: int = 2) -> DataFrame:
+def backtest_links(
+    past: Corpus, topics: DataFrame, past_hits: DataFrame, future_hits: DataFrame, config: DiscoveryConfig = DiscoveryConfig(),
+    k: int = 10, emergence_threshold: int = 3, novelty_ceiling: int = 2,
+) -> DataFrame:
     """All links of the pool with flags: a, c, score, past_comentions, future_comentions, novel_as_of_split, emerged, hit, chosen (the k best novel ones).
 
     past_hits, future_hits: (src, dst, hits). The pool has max(8 k, 80) candidates and results, the lift gate is off, and there is no
@@ -29,7 +32,8 @@ def backtest_links(past: Corpus, topics: DataFrame, past_hits: DataFrame, future
 def backtest_summary(links: DataFrame) -> DataFrame:
     """a, pool_size, n_novel_in_pool, n_links, n_hits, precision_at_k: hits over the links chosen, 0 without any."""
     n = lambda c: F.count_if(c)
-    out = links.groupBy("a").agg(F.count(F.lit(1)).alias("pool_size"), n(F.col("novel_as_of_split")).alias("n_novel_in_pool"), n(F.col("chosen")).alias("n_links"), n(F.col("chosen") & F.col("hit")).alias("n_hits"))
+    counts = (n(F.col("novel_as_of_split")).alias("n_novel_in_pool"), n(F.col("chosen")).alias("n_links"), n(F.col("chosen") & F.col("hit")).alias("n_hits"))
+    out = links.groupBy("a").agg(F.count(F.lit(1)).alias("pool_size"), *counts)
     return out.withColumn("precision_at_k", F.when(F.col("n_links") > 0, F.col("n_hits") / F.col("n_links")).otherwise(F.lit(0.0)))
 
 

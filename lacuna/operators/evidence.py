@@ -24,15 +24,21 @@ def hypotheses(links: DataFrame) -> DataFrame:
     via = T.joined(F.col("bridges"))
     plausible = F.least(F.lit(1.0), 0.4 + 0.15 * F.col("bridge_support"))
     out = links.withColumn("statement", F.concat("c_name", F.lit(" may act on "), "a_name", F.lit(" by way of "), via, F.lit(".")))
-    out = out.withColumn("mechanism", F.concat(F.lit("Works on "), "a_name", F.lit(" mention "), via, F.lit(", and so do works on "), "c_name", F.lit("; "), F.col("bridge_support").cast("string"), F.lit(" path(s) of two steps join them, while "), F.col("direct").cast("string"), F.lit(" work(s) mention both.")))
-    out = out.withColumn("experiment", F.concat(F.lit("Vary "), "c_name", F.lit(" under control, measure "), F.coalesce(F.get("bridges", F.lit(0)), F.lit("the intermediate")), F.lit(" as mediator, and record a marker of "), "a_name", F.lit(" against a prediction made beforehand.")))
+    paths, works = F.col("bridge_support").cast("string"), F.col("direct").cast("string")
+    both = (paths, F.lit(" path(s) of two steps join them, while "), works, F.lit(" work(s) mention both."))
+    mechanism = F.concat(F.lit("Works on "), "a_name", F.lit(" mention "), via, F.lit(", and so do works on "), "c_name", F.lit("; "), *both)
+    first = F.coalesce(F.get("bridges", F.lit(0)), F.lit("the intermediate"))
+    measured = (F.lit(" under control, measure "), first, F.lit(" as mediator, and record a marker of "), "a_name")
+    experiment = F.concat(F.lit("Vary "), "c_name", *measured, F.lit(" against a prediction made beforehand."))
+    out = out.withColumn("mechanism", mechanism).withColumn("experiment", experiment)
     return critiqued(out.withColumn("rationale", F.col("mechanism")).withColumn("plausibility", plausible)).withColumn("generated_by", F.lit("fallback"))
 
 
 def critiqued(hyps: DataFrame) -> DataFrame:
     """Plausibility down by a fifth for a single bridge; notes on single bridges and on well supported links that nobody has stated."""
     single, strong = F.col("bridge_support") <= 1, (F.col("direct") == 0) & (F.col("bridge_support") >= 3)
-    note = F.concat(F.when(single, " [critique] One bridge only: speculative until another is found.").otherwise(""), F.when(strong, " [critique] Several bridges and no work that mentions both: worth a look.").otherwise(""))
+    alone = F.when(single, " [critique] One bridge only: speculative until another is found.").otherwise("")
+    note = F.concat(alone, F.when(strong, " [critique] Several bridges and no work that mentions both: worth a look.").otherwise(""))
     p = F.when(single, F.col("plausibility") * 0.8).otherwise(F.col("plausibility"))
     return hyps.withColumn("rationale", F.concat("rationale", note)).withColumn("plausibility", F.round(F.least(F.lit(1.0), p), 3))
 
@@ -115,14 +121,17 @@ def choose_provider(available: dict, prefer: str | None = None):
 def explained(links: DataFrame) -> DataFrame:
     """One line a link."""
     direct = F.when(F.col("comention_count") > 0, F.concat(F.lit(", comention="), F.col("comention_count").cast("string"))).otherwise("")
-    line = F.concat("a_name", F.lit(" -> ["), F.array_join(F.slice("bridges", 1, 5), ", "), F.lit("] -> "), "c_name", F.format_string(" (bridges=%d, direct=%d", "bridge_support", "direct"), direct, F.format_string(", score=%.3f)", "score"))
+    via = (F.lit(" -> ["), F.array_join(F.slice("bridges", 1, 5), ", "), F.lit("] -> "))
+    counts = (F.format_string(" (bridges=%d, direct=%d", "bridge_support", "direct"), direct, F.format_string(", score=%.3f)", "score"))
+    line = F.concat("a_name", *via, "c_name", *counts)
     return links.withColumn("explanation", line)
 
 
 def prompts(links: DataFrame, titles: str | None = None) -> DataFrame:
     """A prompt a link, with the titles (array column) of supporting works as bullets."""
     bullets = F.array_join(F.transform(F.col(titles), lambda t: F.concat(F.lit("- "), t)), "\n") if titles else F.lit("- none")
-    return links.withColumn("prompt", F.concat(F.lit("Source: "), "a_name", F.lit("\nTarget: "), "c_name", F.lit("\nBridges: "), F.array_join("bridges", ", "), F.lit("\nWorks:\n"), bullets))
+    ends = (F.lit("Source: "), "a_name", F.lit("\nTarget: "), "c_name")
+    return links.withColumn("prompt", F.concat(*ends, F.lit("\nBridges: "), F.array_join("bridges", ", "), F.lit("\nWorks:\n"), bullets))
 
 
 def actionable(mechanism: F.Column, experiment: F.Column) -> F.Column:

@@ -15,7 +15,9 @@ from lacuna.sources.corpus import Corpus, union_all
 def bad_target(phrase: F.Column, terms: F.Column) -> F.Column:
     flt = RelevanceFilter()
     words = T.tokens(phrase)
-    return (F.length(phrase) < 4) | flt.is_generic(phrase) | flt.bad_parenthetical(phrase) | F.coalesce(F.arrays_overlap(words, terms), F.lit(False)) | (F.size(F.array_except(words, T.strings(K.TITLE_STOP))) == 0)
+    own = F.coalesce(F.arrays_overlap(words, terms), F.lit(False))
+    empty = F.size(F.array_except(words, T.strings(K.TITLE_STOP))) == 0
+    return (F.length(phrase) < 4) | flt.is_generic(phrase) | flt.bad_parenthetical(phrase) | own | empty
 
 
 def mined(papers: DataFrame, limit: int = 8) -> DataFrame:
@@ -62,12 +64,18 @@ def compare_rows(pipeline: str, hyps: DataFrame, verified: bool = True, *keep: s
 
     verdict = F.col("verdict") if verified else F.lit("—")
     cited = F.col("n_citations") if "n_citations" in hyps.columns else F.lit(0)
-    return hyps.select(*keep, F.lit(pipeline).alias("pipeline"), F.col("c_name").alias("target"), F.array_join(F.slice("bridges", 1, 3), ", ").alias("bridges"), "score", verdict.alias("verdict"), cited.cast("long").alias("citations"), nonsense_target(F.col("c_name"), F.col("c_level")).alias("nonsense"), actionable(F.col("mechanism"), F.col("experiment")).alias("actionable"), F.concat(F.lit("A="), "a_name").alias("note"))
+    return hyps.select(
+        *keep, F.lit(pipeline).alias("pipeline"), F.col("c_name").alias("target"), F.array_join(F.slice("bridges", 1, 3), ", ").alias("bridges"),
+        "score", verdict.alias("verdict"), cited.cast("long").alias("citations"),
+        nonsense_target(F.col("c_name"), F.col("c_level")).alias("nonsense"),
+        actionable(F.col("mechanism"), F.col("experiment")).alias("actionable"), F.concat(F.lit("A="), "a_name").alias("note"),
+    )
 
 
 def compare_summary(rows: DataFrame) -> DataFrame:
     """Per pipeline: count, nonsense_rate, actionable_rate, avg_citations."""
-    return rows.groupBy("pipeline").agg(F.count(F.lit(1)).alias("count"), F.avg(F.col("nonsense").cast("double")).alias("nonsense_rate"), F.avg(F.col("actionable").cast("double")).alias("actionable_rate"), F.avg("citations").alias("avg_citations"))
+    rate = lambda c: F.avg(F.col(c).cast("double")).alias(f"{c}_rate")
+    return rows.groupBy("pipeline").agg(F.count(F.lit(1)).alias("count"), rate("nonsense"), rate("actionable"), F.avg("citations").alias("avg_citations"))
 
 
 def placeholders(topics: DataFrame, pipeline: str, target: str, note: str) -> DataFrame:
@@ -77,7 +85,10 @@ def placeholders(topics: DataFrame, pipeline: str, target: str, note: str) -> Da
     return topics.select("topic", *columns)
 
 
-def run_compare(corpus: Corpus, topics: DataFrame, papers: DataFrame | None = None, config: DiscoveryConfig = DiscoveryConfig(), max_rows: int = 6, verify: bool = False, provider=None) -> DataFrame:
+def run_compare(
+    corpus: Corpus, topics: DataFrame, papers: DataFrame | None = None, config: DiscoveryConfig = DiscoveryConfig(),
+    max_rows: int = 6, verify: bool = False, provider=None,
+) -> DataFrame:
     """The rows of both pipelines for each topic: the graph's links, and targets mined from titles.
 
     topics: (topic, a), a null where the topic has no concept. papers: (topic, paper, title) of searches, None where there is no source

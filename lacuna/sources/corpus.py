@@ -31,7 +31,10 @@ class Corpus:
     near_limit: int | None = None
 
     @classmethod
-    def from_work_concepts(cls, work_concepts: DataFrame, names: DataFrame | None = None, works: DataFrame | None = None, comentions: DataFrame | None = None, *, year_from: int | None = None, year_to: int | None = None, as_of_metadata: bool = False) -> "Corpus":
+    def from_work_concepts(
+        cls, work_concepts: DataFrame, names: DataFrame | None = None, works: DataFrame | None = None, comentions: DataFrame | None = None,
+        *, year_from: int | None = None, year_to: int | None = None, as_of_metadata: bool = False,
+    ) -> "Corpus":
         """Edges from (work, cid[, year]), of works in [year_from, year_to]. names: (cid, name, level). The counts of
         works and the corpus size are those of all years, unless as_of_metadata is set."""
         within = in_years(work_concepts, year_from, year_to)
@@ -141,7 +144,8 @@ def with_meta(frame: DataFrame, meta: DataFrame, key: str = "cid") -> DataFrame:
     m = meta.select(F.col("cid").alias(key), F.col("level").alias("m_level"), F.col("works_count").alias("m_works"))
     unknown = (F.coalesce("level", F.lit(0)) == 0) | (F.coalesce("works_count", F.lit(0)) == 0)
     out = frame.join(m, key, "left")
-    out = out.withColumns({"level": F.when(unknown, F.coalesce("m_level", "level")).otherwise(F.col("level")), "works_count": F.when(unknown, F.coalesce("m_works", "works_count")).otherwise(F.col("works_count"))})
+    better = lambda m, c: F.when(unknown, F.coalesce(m, c)).otherwise(F.col(c))
+    out = out.withColumns({"level": better("m_level", "level"), "works_count": better("m_works", "works_count")})
     return out.drop("m_level", "m_works")
 
 
