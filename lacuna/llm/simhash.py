@@ -40,7 +40,7 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 #: Fingerprints of a bucket that are compared all with all at once.
-BLOCK = 2048
+BLOCK = 512
 #: Rows of a bucket that one task holds.
 LARGE = 50_000
 #: ``similar``: words of a shingle, the similarity that links, the least probability with which a pair at that similarity is found.
