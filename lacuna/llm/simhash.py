@@ -232,10 +232,10 @@ def plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tupl
     """Bits of a part, number of parts, and the largest distance over all parts together, for n texts.
 
     Two sets of Jaccard similarity s have a cosine of 2 s / (1 + s) if they are alike in size, so each bit differs with the chance
-    acos of that over pi. A part has four bits more than it takes to number the texts would leave buckets of one, so chance meetings
-    stay a few a text. The distance allowed is three standard deviations beyond the mean."""
+    acos of that over pi. A part has two bits more than it takes to number the texts, and 20 at least, so that chance meetings stay a
+    few dozen a text at any number of them. The distance allowed is three standard deviations beyond the mean."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = max(16, math.ceil(math.log2(max(n, 2))) + 2)
+    bits = max(20, math.ceil(math.log2(max(n, 2))) + 2)
     meets = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     parts = math.ceil(math.log(1 - recall) / math.log(1 - meets))
     total = bits * parts
