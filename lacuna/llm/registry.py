@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.llm import fertility, html, mixing, pieces, pii, pivots, ranking, simhash, suffixes, toxicity
+from lacuna.llm import audit, chat, fertility, html, mixing, periods, pieces, pii, pivots, ranking, simhash, suffixes, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,10 +17,13 @@ QUERIES = {
         ranking.op8_bradley_terry,
         pieces.op9_streaming_viterbi,
         html.op10_site_templates,
+        periods.op11_periodic_runs,
+        chat.op12_budgeted_windows,
+        audit.op13_filter_audit,
     )
 }
 
-ORACLES = {"op5_curriculum_mix": mixing.ORACLE}
+ORACLES = {"op5_curriculum_mix": mixing.ORACLE, "op12_budgeted_windows": chat.ORACLE, "op13_filter_audit": audit.ORACLE}
 
 
 def queries() -> dict:
