@@ -26,6 +26,8 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("topic")
     d.add_argument("--max", type=int, default=8)
     d.add_argument("--target", choices=sorted(TARGET_PRESETS), default="any")
+    d.add_argument("--types", help="Parquet or JSON lines of name, letters (array of tree letters): the categories that --target looks at")
+    d.add_argument("--strict-types", action="store_true", help="no link rather than one of another category")
     d.add_argument("--novelty-mode", default="concept_lift")
     d.add_argument("--filter-profile", default="biomed")
     d.add_argument("--bridge-diversity", type=float, default=0.0, help="weight of unlike bridges in the score")
@@ -55,6 +57,13 @@ def provider(spark, args, graph):
     return evidence.choose_provider(available, None if args.evidence == "auto" else args.evidence)[1]
 
 
+def types_of(spark, path: str | None):
+    """(name, letters) of a file, or None."""
+    if not path:
+        return None
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.schema("name string, letters array<string>").json(path)
+
+
 def table(rows: list[dict]) -> str:
     return "\n".join("  ".join(f"{k}={v}" for k, v in r.items()) for r in rows)
 
@@ -70,6 +79,8 @@ def main(argv=None) -> int:
     from lacuna.sources.corpus import fixture, resolve
 
     args = parser().parse_args(argv)
+    if args.command == "discover" and resolve_target(args.target) and not args.types:
+        parser().error("--target needs --types, the categories of names")
     spark = local_session("lacuna", 2, 4, "2g")
     graph = fixture(spark, args.graph)
     wanted = [args.a, args.c] if args.command == "explain" else [args.topic]
@@ -97,10 +108,10 @@ def main(argv=None) -> int:
         layer = spark.read.parquet(args.embeddings) if args.embeddings and not args.no_semantic else None
         cfg = DiscoveryConfig(
             max_results=args.max, novelty_mode=args.novelty_mode, filter_profile=args.filter_profile, target_categories=resolve_target(args.target),
-            bridge_diversity_weight=args.bridge_diversity, apply_diversity=args.bridge_diversity > 0, filters=make_filter(args.filter_profile, embeddings=layer) if layer else None,
+            bridge_diversity_weight=args.bridge_diversity, apply_diversity=args.bridge_diversity > 0, strict_types=args.strict_types, filters=make_filter(args.filter_profile, embeddings=layer) if layer else None,
         )
         topic = spark.createDataFrame([(found[args.topic],)], "a string")
-        hyps = agent.run_discover(graph, topic, cfg, verify=args.verify, provider=provider(spark, args, graph))
+        hyps = agent.run_discover(graph, topic, cfg, types_of(spark, args.types), verify=args.verify, provider=provider(spark, args, graph))
         bundle = report.report(args.topic, hyps, args.verify)
     else:
         pair = spark.createDataFrame([(found[args.a], found[args.c])], "a string, c string")

@@ -74,10 +74,9 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def mentions(text: Column, term: Column) -> Column:
-    """Whether a text holds a term as whole words, without case."""
-    pad = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
-    return (F.trim(pad(term)) != "") & F.contains(pad(text), pad(term))
+def short_id(link: Column) -> Column:
+    """The last part of a link, trimmed; an id that is none stays as it is."""
+    return F.trim(F.element_at(F.split(F.regexp_replace(F.trim(link), "/+$", ""), "/"), -1))
 
 
 def joined(items: Column, none: str = "an intermediate") -> Column:

@@ -20,7 +20,7 @@ Reasoner = Callable[[DataFrame], DataFrame]
 
 def counted(corpus: Corpus) -> EvidenceProvider:
     """The local provider: the corpus's independent count, or its edges where it has none."""
-    source = corpus.comentions if corpus.comentions is not None else corpus.edges.withColumnRenamed("cooc", "hits")
+    source = corpus.comentions if corpus.comentions is not None else corpus.graph().withColumnRenamed("cooc", "hits")
     return lambda pairs: pairs.join(source.select(F.col("src").alias("a"), F.col("dst").alias("c"), "hits"), ["a", "c"]).select("a", "c", "hits")
 
 

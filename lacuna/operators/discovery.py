@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import novelty as N
 from lacuna.functions import text as T
 from lacuna.operators.filters import RelevanceFilter, make_filter
+from lacuna.operators.similarity import diversity_of, mean_cosine
 from lacuna.sources.corpus import Corpus, cooccurrence
 
 MODES = ("concept_lift", "comention", "hybrid")
@@ -91,18 +92,26 @@ def candidates(corpus: Corpus, pool: DataFrame, chosen: DataFrame, config: Disco
 
 def typed(cands: DataFrame, types: DataFrame, config: DiscoveryConfig, name: str = "cc.name") -> DataFrame:
     """Candidates whose category is asked for, out of the first n_typed_pool of each topic. Where no type is known, or none fits, a topic keeps
-    all its candidates, unless strict_types is set. types: (name, letters array<string>)."""
+    all its candidates, unless strict_types is set. types: (name, letters array<string>). Types are looked up for the pool alone."""
     wanted = T.strings(config.target_categories)
-    rows = cands.join(types.select(F.col("name").alias("_tn"), "letters"), F.col(name) == F.col("_tn"), "left").withColumn("letters", F.coalesce("letters", T.strings(())))
-    rows = rows.withColumn("_pool", F.col("p_rank") <= config.n_typed_pool)
-    rows = rows.withColumn("_fits", F.col("_pool") & F.arrays_overlap("letters", wanted))
-    fit = rows.where("_fits")  # a fit implies a known type
-    if not config.strict_types:
-        fit = fit.union(rows.join(fit.select("a").distinct(), "a", "left_anti").select(*fit.columns))
-    return fit.drop("_tn", "_pool", "_fits")
+    known = types.select(F.col("name").alias("_tn"), "letters").where(F.arrays_overlap("letters", wanted)).select("_tn").distinct()
+    fit = cands.where(F.col("p_rank") <= config.n_typed_pool).join(known, F.col(name) == F.col("_tn"), "left_semi")
+    if config.strict_types:
+        return fit
+    return fit.union(cands.join(fit.select("a").distinct(), "a", "left_anti").select(*fit.columns))
 
 
-def diversity(found, generic=None) -> F.Column:
+def with_diversity(rows: DataFrame, embeddings: DataFrame | None) -> DataFrame:
+    """rows (a, c, found, ...) with the diversity of their bridges: by vectors (name, vec), where there are some, else by words. A bridge without a
+    vector is like none."""
+    if embeddings is None:
+        return rows.withColumn("diversity", diversity(F.col("found")))
+    each = rows.select(F.struct("a", "c").alias("g"), F.explode("found.name").alias("name")).join(embeddings.select("name", "vec").dropDuplicates(["name"]), "name", "left")
+    means = mean_cosine(each, "g").select("g.a", "g.c", diversity_of(F.col("mean_cosine")).alias("diversity"))
+    return rows.join(means, ["a", "c"], "left").withColumn("diversity", F.coalesce("diversity", F.lit(1.0)))
+
+
+def diversity(found) -> F.Column:
     """Mean of 1 - Jaccard over pairs of bridges, on the words that tell them apart, or all words where none does; 1 up to
     one bridge; 3 decimals."""
     words = lambda n: F.when(F.size(T.distinctive_tokens(n)) > 0, T.distinctive_tokens(n)).otherwise(T.tokens(n))
@@ -156,10 +165,10 @@ def stages(corpus: Corpus, topics: DataFrame, config: DiscoveryConfig = Discover
     short = short.join(counts, "a")
     if size_row is not None:
         short = short.crossJoin(F.broadcast(size_row))  # one row
-    short = cooccurrence(corpus.edges, short.withColumnRenamed("a", "src").withColumnRenamed("c", "dst")).withColumnsRenamed({"src": "a", "dst": "c", "cooc": "direct"})
+    short = cooccurrence(corpus.graph(), short.withColumnRenamed("a", "src").withColumnRenamed("c", "dst")).withColumnsRenamed({"src": "a", "dst": "c", "cooc": "direct"})
     short = short.withColumn("expected_lift", N.lift(F.col("direct"), F.col("ac.works_count"), F.col("cc.works_count"), size))
     struct = (0.6 * F.col("path_norm") + 0.4 * F.col("support") / F.greatest("n_bridges", F.lit(1))) * N.specificity(F.col("cc.works_count"))
-    short = checked = corpus.hold(short.withColumn("diversity", diversity(F.col("found"))))
+    short = checked = corpus.hold(with_diversity(short, flt.embeddings))
     if config.novelty_scorer is not None:
         short = short.withColumn("novelty", config.novelty_scorer(short)).withColumn("comention_count", F.lit(0).cast("long"))
         signals = F.create_map(F.lit("own"), F.col("novelty"), F.lit("diversity"), F.col("diversity"))
@@ -213,7 +222,7 @@ def explain(corpus: Corpus, pairs: DataFrame, config: DiscoveryConfig = Discover
     top = rows.withColumn("b_rank", F.row_number().over(w)).where(F.col("b_rank") <= config.n_bridges)
     pair = Window.partitionBy("a", "c")
     top = top.withColumn("total", F.sum("strength").over(pair)).withColumn("n_bridges", F.count(F.lit(1)).over(pair))
-    top = cooccurrence(corpus.edges, top.withColumnsRenamed({"a": "src", "c": "dst"})).withColumnsRenamed({"src": "a", "dst": "c", "cooc": "direct"})
+    top = cooccurrence(corpus.graph(), top.withColumnsRenamed({"a": "src", "c": "dst"})).withColumnsRenamed({"src": "a", "dst": "c", "cooc": "direct"})
     return top.select("a", "c", "b", F.col("bc.name").alias("b_name"), "b_rank", "strength", "total", "direct", (1 / (1 + F.col("direct"))).alias("novelty"), "n_bridges")
 
 

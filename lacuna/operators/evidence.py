@@ -82,28 +82,42 @@ def with_citations(links: DataFrame, work_concepts: DataFrame, works: DataFrame
     return out.withColumn("n_citations", F.coalesce(F.size("_w"), F.lit(0)).cast("long")).drop("_w")
 
 
+#: What an item of evidence has, whatever found it.
+ITEM = ("place", "title", "url", "snippet", "source", "year", "kind")
+
+
 def from_texts(works: DataFrame, limit: int = 4):
-    """A provider: works whose title or text mentions both names, the most cited ones as items."""
+    """A provider: works whose title or text mentions both names; the most cited ones as items, with the beginning of their text."""
 
     def provide(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.struct("a", "c").alias("pair_id"), "a_name", "c_name").distinct()
-        return text_comentions(works, asked, limit).select("pair_id.a", "pair_id.c", "hits", "items")
+        found = text_comentions(works, asked, limit).select("pair_id", "hits", F.explode_outer("items").alias("i"))
+        told = works.select(F.col("work").alias("_w"), F.col("url") if "url" in works.columns else F.lit(None).cast("string").alias("url"), T.snippet(F.col("text")).alias("snippet"))
+        rows = found.join(told, F.col("i.work") == F.col("_w"), "left")
+        columns = (F.col("i.r"), F.col("i.title"), F.col("url"), F.coalesce("snippet", F.lit("")), F.lit("corpus"), F.col("i.year"), F.lit("paper"))
+        item = F.when(F.col("i").isNotNull(), F.struct(*[c.alias(n) for c, n in zip(columns, ITEM)]))
+        return rows.groupBy("pair_id").agg(F.max("hits").alias("hits"), F.array_sort(F.collect_list(item)).alias("items")).select("pair_id.a", "pair_id.c", "hits", "items")
 
     return provide
 
 
-def from_search(results: DataFrame, limit: int = 4):
-    """A provider over results of searches that were made for pairs: results (a, c, place, title, excerpts array, url). Hits are the results
-    whose title or excerpts hold both names, without case; items are the first results, whether they do or not."""
+def from_search(results: DataFrame, limit: int = 4, read: int | None = None):
+    """A provider over results of searches that were made for pairs: results (a, c, place, title, excerpts array, url[, source, date]). Hits are those of the first
+    ``read`` results (twice the limit, unless given) whose title or excerpts hold both names, without case; items are the first results, whether they do or
+    not, with the beginning of their excerpts and the year of their date."""
+    read = 2 * limit if read is None else read
+    optional = lambda c: F.col(c) if c in results.columns else F.lit(None).cast("string")
 
     def provide(pairs: DataFrame) -> DataFrame:
-        text = F.lower(F.concat_ws(" ", "title", F.array_join(F.coalesce("excerpts", T.strings(())), " ")))
+        said = F.array_join(F.coalesce("excerpts", T.strings(())), " ")
+        text = F.lower(F.concat_ws(" ", "title", said))
         both = F.contains(text, F.lower("a_name")) & F.contains(text, F.lower("c_name"))
         rows = results.join(pairs.select("a", "c", "a_name", "c_name").distinct(), ["a", "c"]).withColumn("_both", both)
-        w = Window.partitionBy("a", "c").orderBy("place")
-        rows = rows.withColumn("_r", F.row_number().over(w))
-        item = F.when(F.col("_r") <= limit, F.struct("place", "title", "url"))
-        return rows.groupBy("a", "c").agg(F.count_if("_both").alias("hits"), F.array_sort(F.collect_list(item)).alias("items"))
+        w = Window.partitionBy("a", "c").orderBy("place", "title")
+        rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(read, limit))
+        columns = (F.col("place"), F.col("title"), F.col("url"), T.snippet(said), F.coalesce(optional("source"), F.lit("")), T.year_from(optional("date")), F.lit("web"))
+        item = F.when(F.col("_r") <= limit, F.struct(*[c.alias(n) for c, n in zip(columns, ITEM)]))
+        return rows.groupBy("a", "c").agg(F.count_if(F.col("_both") & (F.col("_r") <= read)).alias("hits"), F.array_sort(F.collect_list(item)).alias("items"))
 
     return provide
 

@@ -39,6 +39,9 @@ def as_text(bundle: dict) -> str:
     lines = [f"Topic: {bundle['topic']}  ({bundle['source_concept'] or 'not found'})", ""]
     for i, h in enumerate(bundle["hypotheses"], 1):
         lines += [f"{i}. {h['statement']}", f"   via {', '.join(h['bridges'])}", f"   score {h['score']:.3f}  novelty {h['novelty']:.3f}  plausibility {h['plausibility']:.3f}" + (f"  {h['verdict']}" if "verdict" in h else "")]
+        lines += [f"   cites {w['title'] or w['work']}" + (f" ({w['year']})" if w.get("year") else "") + (f" {w['url']}" if w.get("url") else "") for w in h.get("works_cited") or []]
+        lines += [f"   {h['verification_note']}"] if h.get("verification_note") else []
+        lines += [f"   evidence [{i.get('kind') or 'paper'}] {i['title']}" + (f" ({i['year']})" if i.get("year") else "") + (f" {i['url']}" if i.get("url") else "") for i in h.get("items") or []]
     return "\n".join([*lines, "", *(f"[{t['step']}] {t['detail']}" for t in bundle["trace"])])
 
 

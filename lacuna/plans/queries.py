@@ -18,9 +18,13 @@ from lacuna.functions import text as T
 from lacuna.operators import agent, backtest, evidence, mining, typing
 from lacuna.operators.discovery import DiscoveryConfig, bridges, candidates, discover, diversity, explain, stages, stats
 from lacuna.operators.filters import LevelFilter, RelevanceFilter, generic_source, make_filter, nonsense_target
-from lacuna.session import table
+from lacuna.operators.lookups import Memo
+from lacuna.operators.similarity import diversity_of, mean_cosine, similar_sets
+from lacuna.session import owned, scratch, stored, table
 from lacuna.sources import corpus as C
+from lacuna.sources import works as W
 from lacuna.sources.papers import parse_papers, result_count
+from lacuna.streaming.edges import merge_works, merged
 
 POOL, MAX_LIFT = 25, 1.0
 CONFIG = DiscoveryConfig(bridge_pool=POOL, max_lift=MAX_LIFT, min_level=2, filters=LevelFilter())
@@ -28,11 +32,12 @@ SPLIT = 1998
 
 
 def work_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """work, cid, year, customer."""
+    """work, cid, year, customer: distinct rows, written once, as every part of a corpus is made of them."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("|", "p_brand", "p_type").alias("cid"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("customer"))
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    return lines.join(part, "l_partkey").join(orders, "l_orderkey").select(F.col("l_orderkey").alias("work"), "cid", "year", "customer").distinct()
+    rows = lines.join(part, "l_partkey").join(orders, "l_orderkey").select(F.col("l_orderkey").alias("work"), "cid", "year", "customer").distinct()
+    return stored(rows, "rows")[0]
 
 
 def names(wc: DataFrame) -> DataFrame:
@@ -179,28 +184,40 @@ def works_with_all(spark, d):
     return C.works_with_all(c.work_concepts, sets, works).select("set_id", "work", F.col("w_rank").cast("long").alias("w_rank"))
 
 
+_ASKED = "SELECT DISTINCT lower(p_brand) AS topic FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT p_brand || '|' || left(p_type, 4) FROM part UNION SELECT DISTINCT ' the ' || p_brand || '|' || p_type || ' line' FROM part UNION SELECT ''"
+
+
+def asked_topics(spark, d) -> DataFrame:
+    """Brands, types, names of parts, beginnings of concepts and texts that hold one, and an empty topic."""
+    part = table(spark, d, "part")
+    cid = F.concat_ws("|", "p_brand", "p_type")
+    forms = (F.lower("p_brand"), F.col("p_type"), F.col("p_name"), F.concat_ws("|", "p_brand", F.left("p_type", F.lit(4))), F.concat(F.lit(" the "), cid, F.lit(" line")), F.lit(""))
+    return part.select(F.explode(F.array(*forms)).alias("topic")).distinct()
+
+
 @query(
-    """WITH t AS (SELECT * FROM (VALUES ('Brand#11|STANDARD'), ('brand#1'), ('brand#23|econ'), ('xyz'), ('')) v(topic)), wc AS (SELECT DISTINCT l_orderkey AS work, p_brand || '|' || p_type AS cid FROM lineitem JOIN part ON l_partkey = p_partkey),
+    f"""WITH t AS ({_ASKED}), wc AS (SELECT DISTINCT l_orderkey AS work, p_brand || '|' || p_type AS cid FROM lineitem JOIN part ON l_partkey = p_partkey),
     c AS (SELECT cid, lower(cid) AS n, count(*) AS works FROM wc GROUP BY cid), q AS (SELECT topic, lower(trim(topic)) AS q FROM t WHERE trim(topic) <> '')
     SELECT topic, cid FROM (SELECT topic, cid, row_number() OVER (PARTITION BY topic ORDER BY (n = q) DESC, works DESC, cid) AS r FROM q JOIN c ON contains(n, q) OR contains(q, n)) WHERE r = 1"""
 )
 def resolve_topic(spark, d):
-    t = spark.createDataFrame([("Brand#11|STANDARD",), ("brand#1",), ("brand#23|econ",), ("xyz",), ("",)], "topic string")
-    return C.resolve(t, the_corpus(spark, d).concepts)
+    return C.resolve(asked_topics(spark, d), the_corpus(spark, d).concepts)
 
 
 _RESOLVE_STOP = ", ".join(f"'{w}'" for w in K.TOPIC_STOP)
 
 
 @query(
-    f"""WITH t AS (SELECT * FROM (VALUES ('steel widget'), ('the small gear of'), ('zzz')) v(topic)), c AS (SELECT p_name AS cid, max(p_size) % 4 + 1 AS level, count(*) AS works FROM part GROUP BY p_name),
+    f"""WITH t AS (SELECT DISTINCT p_type || ' ' || p_name || ' of the ' || lower(p_brand) AS topic FROM part), c AS (SELECT p_name AS cid, max(p_size) % 4 + 1 AS level, count(*) AS works FROM part GROUP BY p_name),
     tw AS (SELECT DISTINCT topic, unnest(string_split_regex(lower(topic), '[^a-z0-9]+')) AS word FROM t), cw AS (SELECT DISTINCT cid, level, works, unnest(string_split_regex(lower(cid), '[^a-z0-9]+')) AS word FROM c WHERE level >= 2 AND cid NOT IN ({", ".join(f"'{w}'" for w in K.ROOT_FIELDS)}))
     SELECT topic, cid, overlap FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY overlap DESC, level DESC, works DESC, cid) AS r FROM
       (SELECT topic, cid, level, works, count(*) AS overlap FROM tw JOIN cw USING (word) WHERE word <> '' AND word NOT IN ({_RESOLVE_STOP}) GROUP BY ALL)) WHERE r = 1"""
 )
 def resolve_by_tokens(spark, d):
-    t = spark.createDataFrame([("steel widget",), ("the small gear of",), ("zzz",)], "topic string")
-    c = table(spark, d, "part").groupBy(F.col("p_name").alias("cid")).agg((F.max("p_size") % 4 + 1).alias("level"), F.count(F.lit(1)).alias("works_count")).withColumn("name", F.col("cid"))
+    """Every type, name and brand that a part has together, as a text about it."""
+    part = table(spark, d, "part")
+    t = part.select(F.concat(F.concat_ws(" ", "p_type", "p_name"), F.lit(" of the "), F.lower("p_brand")).alias("topic")).distinct()
+    c = part.groupBy(F.col("p_name").alias("cid")).agg((F.max("p_size") % 4 + 1).alias("level"), F.count(F.lit(1)).alias("works_count")).withColumn("name", F.col("cid"))
     return C.resolve_by_tokens(t, c)
 
 
@@ -404,12 +421,17 @@ def citations(spark, d):
 
 # --- back-test ----------------------------------------------------------------------------------------------------
 
-_BT = sql(
-    """, fut AS (SELECT x.cid AS src, y.cid AS dst, count(*) AS f FROM (SELECT DISTINCT work, cid FROM wc WHERE year > 1998) x JOIN (SELECT DISTINCT work, cid FROM wc WHERE year > 1998) y USING (work) WHERE x.cid <> y.cid GROUP BY ALL),
+def back_test_sql(split: int) -> str:
+    return sql(
+        f""", fut AS (SELECT x.cid AS src, y.cid AS dst, count(*) AS f FROM (SELECT DISTINCT work, cid FROM wc WHERE year > {split}) x JOIN (SELECT DISTINCT work, cid FROM wc WHERE year > {split}) y USING (work) WHERE x.cid <> y.cid GROUP BY ALL),
 flags AS (SELECT a, c, score, direct AS past_comentions, coalesce(f, 0)::BIGINT AS future_comentions, direct <= 2 AS novel_as_of_split, coalesce(f, 0) >= 3 AS emerged FROM links LEFT JOIN fut ON src = a AND dst = c),
 picked AS (SELECT *, novel_as_of_split AND row_number() OVER (PARTITION BY a ORDER BY novel_as_of_split DESC, round(score, 9) DESC, c) <= 10 AS chosen FROM flags)""",
-    years="year <= 1998", gate="true", checked=80, results=80,
-)
+        years=f"year <= {split}", gate="true", checked=80, results=80,
+    )
+
+
+_BT = back_test_sql(SPLIT)
+_SUMMED = "SELECT a, count(*) AS pool_size, count(*) FILTER (novel_as_of_split) AS n_novel_in_pool, count(*) FILTER (chosen) AS n_links, count(*) FILTER (chosen AND emerged) AS n_hits, CASE WHEN count(*) FILTER (chosen) = 0 THEN 0 ELSE (count(*) FILTER (chosen AND emerged))::DOUBLE / count(*) FILTER (chosen) END AS precision_at_k FROM picked GROUP BY a"
 
 
 def backtested(spark, d) -> DataFrame:
@@ -424,7 +446,7 @@ def backtest_links(spark, d):
     return backtested(spark, d).select("a", "c", *r6("score"), "past_comentions", "future_comentions", "novel_as_of_split", "emerged", "hit", "chosen")
 
 
-@query(_BT + " SELECT a, count(*) AS pool_size, count(*) FILTER (novel_as_of_split) AS n_novel_in_pool, count(*) FILTER (chosen) AS n_links, count(*) FILTER (chosen AND emerged) AS n_hits, CASE WHEN count(*) FILTER (chosen) = 0 THEN 0 ELSE (count(*) FILTER (chosen AND emerged))::DOUBLE / count(*) FILTER (chosen) END AS precision_at_k FROM picked GROUP BY a")
+@query(f"{_BT} {_SUMMED}")
 def backtest_summary(spark, d):
     return backtest.backtest_summary(backtested(spark, d))
 
@@ -592,15 +614,21 @@ def type_names(spark, d):
 # --- full text, listings, comparison ------------------------------------------------------------------------------
 
 
+_ITEM_WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
 @query(
-    """WITH w AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, n_chars FROM documents), p AS (SELECT * FROM (VALUES (1, 'the', 'ing'), (2, 'version', 'License'), (3, 'no such', 'word')) v(pair_id, a_name, c_name)),
-    h AS (SELECT pair_id, doc_id, row_number() OVER (PARTITION BY pair_id ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER (PARTITION BY pair_id) AS hits FROM p JOIN w ON contains(t, ' ' || lower(a_name) || ' ') AND contains(t, ' ' || lower(c_name) || ' '))
+    f"""WITH w AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, n_chars FROM documents),
+    p AS (SELECT item_id AS pair_id, array_to_string({_ITEM_WORDS}[1:2], ' ') AS a, array_to_string({_ITEM_WORDS}[5:6], ' ') AS c FROM benchmark),
+    h AS (SELECT pair_id, doc_id, row_number() OVER (PARTITION BY pair_id ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER (PARTITION BY pair_id) AS hits FROM p JOIN w ON contains(t, ' ' || a || ' ') AND contains(t, ' ' || c || ' '))
     SELECT p.pair_id, coalesce(max(hits), 0)::BIGINT AS hits, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 4), '') AS works FROM p LEFT JOIN h USING (pair_id) GROUP BY p.pair_id"""
 )
 def text_comentions(spark, d):
+    """The documents that mention the first two words and the fifth and sixth of a benchmark item, for every item."""
     docs = table(spark, d, "documents")
     works = docs.select(F.col("doc_id").alias("work"), F.lit("").alias("title"), "text", F.lit(None).cast("int").alias("year"), F.col("n_chars").alias("cited"))
-    pairs = spark.createDataFrame([(1, "the", "ing"), (2, "version", "License"), (3, "no such", "word")], "pair_id int, a_name string, c_name string")
+    words = T.words_of(F.col("text"))
+    pairs = table(spark, d, "benchmark").select(F.col("item_id").alias("pair_id"), F.array_join(F.slice(words, 1, 2), " ").alias("a_name"), F.array_join(F.slice(words, 5, 2), " ").alias("c_name"))
     found = C.text_comentions(works, pairs)
     return found.select("pair_id", "hits", F.coalesce(F.array_join(F.transform("items", lambda i: i["work"].cast("string")), ","), F.lit("")).alias("works"))
 
@@ -821,13 +849,142 @@ def canonical_headings(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey % 50 AS a, p_name AS c_name, l_partkey AS place, p_name || ' ' || p_type AS title, p_brand AS excerpt FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0),
-    u AS (SELECT DISTINCT * FROM r) SELECT a, c_name, count(*) FILTER (contains(lower(title || ' ' || excerpt), 'promo') AND contains(lower(title || ' ' || excerpt), lower(c_name))) AS hits FROM u GROUP BY ALL"""
+    """WITH r AS (SELECT DISTINCT l_suppkey AS a, p_name AS c_name, l_orderkey AS place, p_name || ' ' || p_type AS title, p_brand AS excerpt, o_orderdate FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+    u AS (SELECT *, row_number() OVER (PARTITION BY a, c_name ORDER BY place, title, excerpt) AS r FROM r)
+    SELECT a, c_name, count(*) FILTER (r <= 8 AND contains(lower(title || ' ' || excerpt), 'promo') AND contains(lower(title || ' ' || excerpt), lower(c_name))) AS hits,
+      string_agg(place || '/' || title || '/' || excerpt || '/' || year(o_orderdate), ';' ORDER BY r) FILTER (r <= 4) AS items FROM u GROUP BY ALL"""
 )
 def search_evidence(spark, d):
-    """Results of searches as evidence: hits are those that mention both names."""
-    lines = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    cols = F.col("l_orderkey") % 50, F.col("p_name"), F.col("l_partkey"), F.concat_ws(" ", "p_name", "p_type"), F.array("p_brand"), F.lit(None).cast("string")
-    results = lines.select(*[c.alias(n) for c, n in zip(cols, ("a", "c", "place", "title", "excerpts", "url"))]).distinct()
+    """Results of searches as evidence, for every supplier and name: hits are those of the first eight that mention both names, items the first four with snippet and year."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("string").alias("date"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(part, "l_partkey").join(orders, "l_orderkey")
+    results = lines.select(
+        F.col("l_suppkey").alias("a"), F.col("p_name").alias("c"), F.col("l_orderkey").alias("place"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.array("p_brand").alias("excerpts"),
+        F.lit(None).cast("string").alias("url"), F.lit("orders").alias("source"), "date",
+    ).distinct()
     pairs = results.select("a", "c").distinct().select("a", "c", F.lit("promo").alias("a_name"), F.col("c").alias("c_name"))
-    return evidence.from_search(results)(pairs).select("a", F.col("c").alias("c_name"), "hits")
+    told = F.transform("items", lambda i: F.concat_ws("/", i["place"].cast("string"), i["title"], i["snippet"], i["year"].cast("string")))
+    return evidence.from_search(results)(pairs).select("a", F.col("c").alias("c_name"), "hits", F.array_join(told, ";").alias("items"))
+
+
+# --- sources, slices of time, late works, look-ups ------------------------------------------------------------------
+
+
+def written_lines(lines: DataFrame, name: str, by: str | None = None) -> str:
+    """The column ``value`` as text files in the shared folder, in a folder by ``by``; their path."""
+    path = scratch(lines.sparkSession, name)
+    writer = lines.write.partitionBy(by) if by else lines.write
+    writer.text(path)
+    return owned(lines.sparkSession, path)
+
+
+@query(sql(" SELECT src, dst, cooc FROM edges", "corpus", years="year BETWEEN 1996 AND 1998"))
+def plugged_source(spark, d):
+    """The graph of three years, from a source that is plugged in: works as JSON records in folders by year, of which the window's alone are read."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("|", "p_brand", "p_type").alias("id"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey")
+    sets = lines.groupBy("l_orderkey").agg(F.collect_set(F.struct("id", F.col("id").alias("display_name"))).alias("concepts"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast("long").alias("cited_by_count"))
+    record = F.to_json(F.struct(F.concat(F.lit("https://works.example/"), "l_orderkey").alias("id"), F.col("year").alias("publication_year"), "cited_by_count", "concepts"))
+    path = written_lines(sets.join(orders, "l_orderkey").select(record.alias("value"), "year"), "plugged", "year")
+    W.register(spark)
+    return W.corpus_from(spark, year_from=1996, year_to=1998, path=path).edges
+
+
+_TORN, _NAMELESS = "doc_id % 7 = 3", "doc_id % 11 = 5"
+
+
+def records(spark, d) -> DataFrame:
+    """Documents as nested records, one a row: text as an inverted index, language and source as concepts. Every seventh is torn in the middle, every
+    eleventh has no id."""
+    docs = table(spark, d, "documents")
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    index = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "ps"))).alias("abstract_inverted_index"))
+    concept = lambda c, level: F.struct(F.concat(F.lit(f"https://works.example/{c}-"), c).alias("id"), F.col(c).alias("display_name"), F.lit(level).alias("level"))
+    rows = docs.select(
+        "doc_id", F.when(~F.expr(_NAMELESS), F.concat(F.lit("https://works.example/W"), "doc_id")).alias("id"), F.left("text", F.lit(60)).alias("display_name"),
+        T.year_from(F.col("text")).alias("publication_year"), F.col("n_chars").alias("cited_by_count"), F.array(concept("lang", 1), concept("source", 2)).alias("concepts"),
+    ).join(index, "doc_id")
+    value = F.to_json(F.struct("id", "display_name", "publication_year", "cited_by_count", "abstract_inverted_index", "concepts"))
+    return rows.select(F.when(F.expr(_TORN), F.left(value, (F.length(value) / 2).cast("int"))).otherwise(value).alias("value"))
+
+
+@query(f"""SELECT 'W' || doc_id AS work, coalesce(nullif(trim(left(text, 60)), ''), '(untitled)') AS title, nullif(regexp_extract(text, '((?:19|20)[0-9]{{2}})', 1), '')::INT AS year, n_chars AS cited, md5(text) AS text_md5,
+    'lang-' || lang || ';source-' || source AS concepts FROM documents WHERE NOT ({_TORN}) AND NOT ({_NAMELESS})""")
+def ingested_works(spark, d):
+    """Works read from nested records: their abstracts are put together again from the index, their concepts stand in order."""
+    got = W.ingest(records(spark, d))
+    concepts = got.work_concepts.groupBy("work").agg(F.array_join(F.array_sort(F.collect_set("cid")), ";").alias("concepts"))
+    return got.works.join(concepts, "work").select("work", "title", "year", "cited", F.md5(F.col("text").cast("binary")).alias("text_md5"), "concepts")
+
+
+@query(f"""SELECT CASE WHEN {_TORN} THEN 'malformed' ELSE 'no id' END AS reason, count(*) AS n FROM documents WHERE {_TORN} OR {_NAMELESS} GROUP BY 1""")
+def rejected_works(spark, d):
+    """What an ingest sets aside, by reason."""
+    return W.ingest(records(spark, d)).rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SPLITS = tuple(range(1995, 2001))
+
+
+@query(" UNION ALL ".join(f"SELECT {y} AS split, * FROM ({back_test_sql(y)} {_SUMMED})" for y in _SPLITS))
+def backtest_splits(spark, d):
+    """Back-tests at every year but the last, in one plan over counts by year."""
+    wc = work_concepts(spark, d)
+    cube = backtest.TimeCube.from_work_concepts(wc, names(wc))
+    topics = cube.concepts.select(F.col("cid").alias("a"))
+    return backtest.splits_summary(backtest.run_splits(cube, topics, _SPLITS, CONFIG))
+
+
+@query(sql(" SELECT src, dst, cooc FROM edges", "corpus"))
+def late_works(spark, d):
+    """The whole graph from a stream in which a work's concepts come in several batches, some of them twice."""
+    rows = work_concepts(spark, d).select("work", "cid")
+    path = owned(spark, scratch(spark, "late"))
+    rows.where("pmod(xxhash64(work, cid), 3) < 2").repartition(2, "cid").write.parquet(f"{path}/in")
+    rows.where("pmod(xxhash64(work, cid), 3) > 0").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream.writeStream.foreachBatch(merge_works(path)).option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start().awaitTermination()
+    return merged(spark, path)
+
+
+@query("SELECT DISTINCT p_name AS key, CASE WHEN length(p_name) % 5 = 0 THEN NULL ELSE p_type || ' of ' || p_name END AS answer FROM (SELECT p_name, min(p_type) AS p_type FROM part GROUP BY p_name)")
+def remembered_lookups(spark, d):
+    """Names looked up at a caller's service, first half of them, then all: the second time only what isn't known is asked. Names of a length that five divides fail."""
+    kinds = {r.p_name: r.t for r in table(spark, d, "part").groupBy("p_name").agg(F.min("p_type").alias("t")).orderBy("p_name").collect()}
+    memo = Memo(spark)
+    owned(spark, memo.path)
+    service = lambda keys: ((k, f"{kinds[k]} of {k}" if len(k) % 5 else None) for k in keys)
+    asked = part_names(spark, d).withColumnRenamed("name", "key")
+    memo.ask(asked.where(F.length("key") % 2 == 0), service).count()
+    return memo.ask(asked, service).select("key", "answer")
+
+
+# --- similarity without all pairs -----------------------------------------------------------------------------------
+
+_LONG_NAMES = f"g AS MATERIALIZED (SELECT name, {_GRAMS.format(s='s')} AS g FROM (SELECT DISTINCT p_brand || ' ' || p_type || ' ' || p_name AS name, regexp_replace(lower(p_brand || ' ' || p_type || ' ' || p_name), '[^a-z0-9]', '', 'g') AS s FROM part))"
+
+
+@query(
+    f"""WITH {_LONG_NAMES}, e AS (SELECT name, len(g) AS n, unnest(g) AS item FROM g), p AS (SELECT x.name AS a, y.name AS b, count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) AS j FROM e x JOIN e y ON x.item = y.item AND x.name < y.name GROUP BY ALL)
+    SELECT a, b, round(j, 6) AS jaccard FROM p WHERE round(j, 9) >= 0.8"""
+)
+def similar_names(spark, d):
+    """Full names alike at 0.8 or more of their n-grams, by prefixes of rare n-grams."""
+    full = table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("name")).distinct()
+    return similar_sets(full.withColumn("g", T.char_ngrams(F.col("name"))), 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT l_orderkey AS work, l_partkey AS part FROM lineitem), v AS (SELECT work, part, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM l LEFT JOIN embeddings ON vec_id = part),
+    u AS (SELECT work, part, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
+    p AS (SELECT x.work, avg(coalesce(list_sum(list_transform(range(1, 65), lambda i: x.e[i] * y.e[i])), 0)) AS m FROM u x JOIN u y ON x.work = y.work AND x.part < y.part GROUP BY x.work)
+    SELECT l.work, count(*) AS n, round(coalesce(max(m), 0)::DOUBLE, 6) AS mean_cosine, coalesce(round(greatest(0, least(1, 1 - max(m)))::DOUBLE, 3), 1)::DOUBLE AS diversity FROM l LEFT JOIN p ON p.work = l.work GROUP BY l.work"""
+)
+def bridge_diversity_vectors(spark, d):
+    """The diversity of an order's parts by vectors, a part without one being like none."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("work"), F.col("l_partkey").alias("vec_id")).distinct()
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    means = mean_cosine(lines.join(vectors, "vec_id", "left"), "work")
+    return means.select("work", "n", F.round(F.coalesce("mean_cosine", F.lit(0.0)), 6).alias("mean_cosine"), diversity_of(F.col("mean_cosine")).alias("diversity"))

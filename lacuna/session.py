@@ -49,11 +49,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/lacuna-{name}-{uuid.uuid4().hex}"
+
+
+def owned(spark: SparkSession, path: str) -> str:
+    """The same path; what is written there is deleted when the driver ends, if nobody has before."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def stored(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The same rows read back from Parquet in the shared folder, and their path: computed once, with no lineage to lose, and of a
     size that the optimiser knows."""
-    path = f"{shared_dir(frame.sparkSession)}/lacuna-{name}-{uuid.uuid4().hex}"
+    path = scratch(frame.sparkSession, name)
     frame.write.parquet(path)
+    owned(frame.sparkSession, path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path), path
 
 

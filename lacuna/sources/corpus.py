@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,11 +46,18 @@ class Corpus:
         return cls(concepts, cooccurrence_edges(within), size, within, works, comentions)
 
     def kept(self, pool: int | None = None) -> "Corpus":
-        """The same with the graph written once to the shared folder: a plan reads the edges several times. With ``pool`` that many
-        of the strongest neighbours of every concept are ranked once, too, when they are first asked for. Nothing depends on an executor's memory; ``release``
-        deletes the tables."""
-        keep = lambda x, name: self.hold(x, name) if isinstance(x, DataFrame) else x
-        return replace(self, **{n: keep(getattr(self, n), n) for n in ("concepts", "edges", "size")}, near={}, near_limit=pool)
+        """The same, where what plans read several times is written once to the shared folder, when it is first read: the concepts, the size, a count of
+        its own and, by ``graph``, the edges. With ``pool`` that many of the strongest neighbours of every concept are ranked once, too.
+        Nothing depends on an executor's memory; ``release`` deletes the tables."""
+        return _Kept(**{f.name: object.__getattribute__(self, f.name) for f in fields(self)} | {"near": {}, "near_limit": pool})
+
+    def graph(self) -> DataFrame:
+        """The edges for more than one use: of a kept corpus written once. ``edges`` themselves are planned at each use."""
+        if self.near is None:
+            return self.edges
+        if "edges" not in self.near:
+            self.near["edges"] = self.hold(self.edges, "edges")
+        return self.near["edges"]
 
     def hold(self, frame: DataFrame, name: str = "part") -> DataFrame:
         """The frame, written to the shared folder and read back: for what one plan reads several times. Without this, each use would
@@ -75,9 +82,9 @@ class Corpus:
         wanted = wanted.select("src").distinct()
         if self.near is not None and self.near_limit == limit:
             if limit not in self.near:
-                self.near[limit] = self.hold(ranked(self.edges, limit), "near")
+                self.near[limit] = self.hold(ranked(self.graph(), limit), "near")
             return self.near[limit].join(wanted, "src", "left_semi")
-        return ranked(self.edges.join(wanted, "src", "left_semi"), limit)
+        return ranked(self.graph().join(wanted, "src", "left_semi"), limit)
 
     def size_column(self) -> tuple[DataFrame | None, F.Column]:
         """A one-row frame to cross join, or none, and the column of the size."""
@@ -86,6 +93,19 @@ class Corpus:
         return self.size, F.col("size")
 
 
+class _Kept(Corpus):
+    """A corpus whose tables are written when they are first asked for."""
+
+    def __getattribute__(self, name: str):
+        value = super().__getattribute__(name)
+        if name not in ("concepts", "comentions", "size") or not isinstance(value, DataFrame):
+            return value
+        known = super().__getattribute__("near")
+        if name not in known:
+            known[name] = value.first()[0] if name == "size" else self.hold(value, name)
+        return known[name]
+
+
 def in_years(frame: DataFrame, year_from: int | None, year_to: int | None) -> DataFrame:
     """Whole years, both ends included; an open end has no bound."""
     if year_from is not None:
@@ -95,13 +115,42 @@ def in_years(frame: DataFrame, year_from: int | None, year_to: int | None) -> Da
     return frame
 
 
-def cooccurrence_edges(work_concepts: DataFrame, include_self: bool = False) -> DataFrame:
+#: Concepts of a work that one task pairs with each other.
+BLOCK = 512
+
+
+def concept_pairs(wc: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(src, dst), src < dst: every pair of a work's concepts, a row a work. wc: distinct (work, cid); where it has a year, one a row, so have
+    the pairs: the later one of the two.
+
+    A work with more than ``block`` concepts has them dealt out to blocks of about so many, and each pair of blocks, half of the square, is a key
+    of its own: a work of d concepts goes to (d / block)^2 / 2 keys of block^2 pairs at most, whichever tasks they fall to, and each of
+    its rows is sent d / block + 1 times. Other works are one block, one key."""
+    many = wc.groupBy("work").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("work", F.ceil(F.col("n") / block).alias("k"))
+    rows = wc.join(many, "work", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("cid"), F.col("k")))
+    dated = "year" in wc.columns
+    year = lambda name: [F.col("year").alias(name)] if dated else []
+    left = rows.select("work", F.col("cid").alias("x"), *year("u"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("k") - 1)).alias("j"))
+    right = rows.select("work", F.col("cid").alias("y"), *year("v"), F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("i"), F.col("at").alias("j"))
+    both = left.join(right, ["work", "i", "j"]).where("i < j or x < y")
+    return both.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), *([F.greatest("u", "v").alias("year")] if dated else []))
+
+
+def mirrored(pairs: DataFrame) -> DataFrame:
+    """Each row of (src, dst, ...) and the same with the ends exchanged."""
+    rest = [c for c in pairs.columns if c not in ("src", "dst")]
+    turned = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
+    return pairs.select(turned, *rest).select("e.src", "e.dst", *rest)
+
+
+def cooccurrence_edges(work_concepts: DataFrame, include_self: bool = False, block: int = BLOCK) -> DataFrame:
     """(src, dst, cooc): number of works that have both. A work's concepts count once; both directions are rows.
 
-    Pairs are made once per work as src < dst, counted with partial aggregation, and only then mirrored."""
+    Pairs are made once per work as src < dst, counted with partial aggregation, and only then mirrored, a row into two, so that
+    nothing is planned twice."""
     wc = work_concepts.select("work", "cid").where("work is not null and cid is not null").distinct()
-    pairs = wc.withColumnRenamed("cid", "src").join(wc.withColumnRenamed("cid", "dst"), "work").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cooc"))
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cooc"))
+    both = mirrored(concept_pairs(wc, block).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cooc")))
     if include_self:
         both = both.unionByName(wc.groupBy(F.col("cid").alias("src"), F.col("cid").alias("dst")).agg(F.count(F.lit(1)).alias("cooc")))
     return both
@@ -151,9 +200,18 @@ def with_meta(frame: DataFrame, meta: DataFrame, key: str = "cid") -> DataFrame:
 
 def works_with_all(work_concepts: DataFrame, sets: DataFrame, works: DataFrame | None = None, limit: int = 2) -> DataFrame:
     """Relational division: for each set (set_id, cids array) the works that have all its concepts, the most cited
-    first, ties by work. Returns set_id, work, w_rank and, with ``works``, title, year, cited, url."""
-    asked = sets.select("set_id", F.size(F.array_distinct("cids")).alias("k"), F.explode(F.array_distinct("cids")).alias("cid"))
-    have = work_concepts.select("work", "cid").distinct().join(asked, "cid").groupBy("set_id", "work", "k").agg(F.count(F.lit(1)).alias("n")).where("n = k").select("set_id", "work")
+    first, ties by work. Returns set_id, work, w_rank and, with ``works``, title, year, cited, url.
+
+    The set's rarest concept, by count, gives the works that can have them all; these are looked up by (work, concept) for each of the
+    others. So a set costs what its rarest concept has, however frequent the others are, and no frequent concept is a join's key."""
+    wc = work_concepts.select("work", "cid").distinct()
+    asked = sets.select("set_id", F.array_distinct("cids").alias("cids")).where(F.size("cids") > 0)
+    members = asked.select("set_id", F.explode("cids").alias("cid"))
+    counts = wc.join(members.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+    rarest = members.join(counts, "cid").groupBy("set_id").agg(F.min(F.struct("n", "cid")).alias("low"), F.count(F.lit(1)).alias("met"))
+    led = asked.join(rarest, "set_id").where("met = size(cids)").select("set_id", F.col("low.cid").alias("cid"), F.array_except("cids", F.array("low.cid")).alias("rest"))
+    able = led.join(wc, "cid").select("set_id", "work", F.size("rest").alias("k"), F.explode_outer("rest").alias("cid"))
+    have = able.join(wc.withColumn("has", F.lit(1)), ["work", "cid"], "left").groupBy("set_id", "work", "k").agg(F.count("has").alias("n")).where("n = k").select("set_id", "work")
     cited = F.lit(0)
     if works is not None:
         have = have.join(works, "work", "left").withColumn("title", F.coalesce("title", F.lit("(untitled)")))
@@ -162,14 +220,25 @@ def works_with_all(work_concepts: DataFrame, sets: DataFrame, works: DataFrame |
     return have.withColumn("w_rank", F.row_number().over(w)).where(F.col("w_rank") <= limit)
 
 
-def mentioned(works: DataFrame, terms: DataFrame, longest: int | None = None) -> DataFrame:
+#: Terms, and their characters, up to which an automaton of all of them goes to every task.
+MOST_TERMS, MOST_CHARS = 100_000, 4_000_000
+
+
+def mentioned(works: DataFrame, terms: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """works (work, _t), terms (term) -> work, term: the works whose text holds a term as whole words, without case.
 
-    Each text is normalised once and cut into runs of as many words as a term has; runs and terms are joined by equality, so no
-    term is held against every text. Terms without a letter or digit are in no text. longest: the largest number of words of a term."""
+    Each text is read once, by an automaton of the terms, whose size is counted before it is sent; where there are more than ``most``, texts are cut into
+    runs of as many words as a term has, and runs and terms are joined by equality. No term is held against every text either way. Terms
+    without a letter or digit are in no text."""
     asked = terms.select("term", T.words_of(F.col("term")).alias("k")).distinct()
     asked = asked.select("term", F.size("k").alias("n"), F.array_join("k", " ").alias("run")).where("n > 0")
-    longest = longest or asked.agg(F.max("n")).first()[0] or 1
+    count, chars, longest = asked.agg(F.count(F.lit(1)), F.sum(F.length("run")), F.max("n")).first()
+    if count <= most and (chars or 0) <= MOST_CHARS:
+        runs = [r.run for r in asked.select("run").distinct().collect()]
+        padded = works.select("work", F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce("_t", F.lit(""))), "[^a-z0-9]+", " "), F.lit(" ")).alias("t"))
+        kind = works.schema["work"].dataType.simpleString()
+        found = padded.mapInArrow(finder(runs), f"work {kind}, run string")
+        return found.join(F.broadcast(asked), "run").select("work", "term")
     words = works.select("work", T.words_of(F.col("_t")).alias("w"))
     at = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))
     runs = F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(i + n - 1 <= F.size("w"), F.array_join(F.slice("w", i, n), " "))))
@@ -177,30 +246,60 @@ def mentioned(works: DataFrame, terms: DataFrame, longest: int | None = None) ->
     return found.join(asked, "run").select("work", "term").distinct()
 
 
+def finder(runs: list[str]):
+    """For mapInArrow over (key, text of words between single spaces): key, run of every run that the text holds."""
+
+    def find(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for i, run in enumerate(runs):
+            automaton.add_word(f" {run} ", i)
+        if not runs:
+            return
+        automaton.make_automaton()
+        for b in batches:
+            rows, found = [], []
+            for row, text in enumerate(b.column(1).to_pylist()):
+                hits = {i for _, i in automaton.iter(text)}
+                rows += [row] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([runs[i] for i in found], pa.string())], ["work", "run"])
+
+    return find
+
+
 def text_comentions(works: DataFrame, pairs: DataFrame, limit: int = 4) -> DataFrame:
     """Works whose title or text mentions both terms. pairs: (pair_id, a_name, c_name). Returns pair_id, hits and the ``limit`` most
-    cited works as items. The works are read once, whatever the number of pairs."""
+    cited works as items. The texts are read once, whatever the number of pairs: the mentions found are written and read back."""
     asked = pairs.select("pair_id", T.clean_term(F.col("a_name")).alias("a_term"), T.clean_term(F.col("c_name")).alias("c_term"))
     terms = asked.select(F.col("a_term").alias("term")).union(asked.select("c_term"))
-    found = mentioned(works.select("work", F.concat_ws(" ", "title", "text").alias("_t")), terms)
+    found, _ = stored(mentioned(works.select("work", F.concat_ws(" ", "title", "text").alias("_t")), terms), "mentions")
     one = asked.join(found.withColumnRenamed("term", "a_term"), "a_term").select("pair_id", "c_term", "work")
     both = one.join(found.withColumnRenamed("term", "c_term"), ["c_term", "work"]).select("pair_id", "work")
     cited = both.join(works.select("work", "title", "year", "cited"), "work")
     w = Window.partitionBy("pair_id").orderBy(F.coalesce("cited", F.lit(0)).desc(), "work")
-    best = cited.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)
-    items = best.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("r", "work", "title", "year"))).alias("items"))
-    hits = both.groupBy("pair_id").agg(F.count(F.lit(1)).alias("hits"))
-    return pairs.join(hits, "pair_id", "left").join(items, "pair_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
+    item = F.when(F.col("r") <= limit, F.struct("r", "work", "title", "year"))
+    told = cited.withColumn("r", F.row_number().over(w)).groupBy("pair_id").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list(item)).alias("items"))
+    return pairs.join(told, "pair_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
 
 
 def within(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
-    """needles (q), haystacks (n) -> q, n: each needle with every haystack that holds it. Joined on the needle's first three
-    characters (fewer where it is shorter), so only names that share them meet."""
-    keyed = needles.select("q").distinct().withColumn("k", F.substring("q", 1, 3))
+    """needles (q), haystacks (n) -> q, n: each needle with every haystack that holds it.
+
+    Haystacks are posted under their strings of one to three characters. A needle is looked up under the one of its strings of three
+    (itself, where it is shorter) that fewest haystacks have; one of which a string is in none is held by none. So needles that begin alike don't
+    meet on one frequent string."""
     at = F.sequence(F.lit(1), F.greatest(F.length("n"), F.lit(1)))
     parts = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda m: F.substring("n", i, m))))
-    held = haystacks.select("n").distinct().select("n", F.explode(F.array_distinct(parts)).alias("k"))
-    return keyed.join(held, "k").where(F.contains("n", "q")).select("q", "n")
+    posted = haystacks.select("n").distinct().select("n", F.explode(F.array_distinct(parts)).alias("k"))
+    size = F.length("q")
+    threes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring("q", i, F.lit(3))))
+    keyed = needles.select("q").where("q <> ''").distinct().withColumn("ks", threes).select("q", F.size("ks").alias("of"), F.explode("ks").alias("k"))
+    counts = posted.join(keyed.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    rarest = keyed.join(counts, "k").groupBy("q", "of").agg(F.min(F.struct("c", "k")).alias("low"), F.count(F.lit(1)).alias("met")).where("met = of")
+    return rarest.select("q", F.col("low.k").alias("k")).join(posted, "k").where(F.contains("n", "q")).select("q", "n")
 
 
 def resolve(topics: DataFrame, concepts: DataFrame) -> DataFrame:
