@@ -4,11 +4,13 @@ Pages are parsed into element trees. Each block's subtree (tags and text) is has
 of its host every hash occurs; subtrees that recur on many are deleted: menus, footers, boxes and notices, whatever they are
 called, outside the article and inside it. What one page says about itself goes too: scripts, styles, forms, elements of
 navigation, and containers whose role, class or id names a menu, an advert, a notice or reader comments, unless they hold the
-article (or, where the page marks none, most of its text). The article, if the page marks one, is what is left of it; else what
+article (or, where the page marks none, most of its text). Inside an article a name counts only as a whole: "ad-box" or "cookie-notice" are of
+such words alone, "ad-hoc-analysis" and "page-header" aren't. The article, if the page marks one, is what is left of it; else what
 is left of the body.
 
-What counts as many is a number of articles, so a box on 40,000 of a million pages is found as well as one on 4 of 9; on hosts
-with few pages it is a share. Pages with the same text are one article, so that an article copied many times, under one address or many,
+Outside articles what counts as many is a number of articles, so a box on 40,000 of a million pages is found as well as one on 4 of 9; on hosts
+with few pages it is a share. Inside them a box has to be on half of the host's articles, or on a tenth and at nearly all of them the first
+or the last of what it stands in, as notices and adverts are; what a few articles share, wherever, is theirs. Pages with the same text are one article, so that an article copied many times, under one address or many,
 is no template. Paragraphs, headings, lists and tables are part of an article even if many articles have them; they are
 templates only if nearly all different articles of the host do.
 
@@ -39,6 +41,9 @@ LEAST_PAGES = 4
 #: The share for containers outside an article, and for those inside one.
 OUTER_SHARE = 0.3
 INNER_SHARE = 0.5
+#: Inside an article: the share that is enough, on MANY_PAGES at least, for what is first, or last, of its siblings on such a share of its articles.
+EDGE_SHARE = 0.1
+EDGE_PLACES = 0.9
 #: Paragraphs, lists and the like: on this share of all articles of the host, whatever their number, and on PROSE_PAGES.
 PROSE_SHARE = 0.8
 PROSE_PAGES = 10
@@ -56,7 +61,7 @@ _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_RAW_END = {t: re.compile(rf"</{t}[^>]*+>", re.I) for t in _RAW}
+_RAW_END = {t: re.compile(rf"</{t}", re.I) for t in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CELL = frozenset(("td", "th"))
 _GONE = frozenset("head script style noscript template svg math nav footer aside form button select textarea input iframe object embed applet audio video canvas dialog menu title xmp noembed noframes".split())
@@ -69,6 +74,8 @@ _NAMES = frozenset(
     "breadcrumb breadcrumbs footer masthead comment comments commentlist disqus replies respond related recommended share sharing social newsletter subscribe subscription popup modal overlay "
     "widget widgets toolbar pagination pager login signup skip paywall".split()
 )
+#: Parts of names that say nothing of what a container holds.
+_PLAIN = frozenset("bar box block button buttons container inner link links list section slot text top bottom left right unit wrap wrapper".split())
 _COMMENTS = frozenset("comment comments reply".split())
 _HEADER = frozenset("header topbar".split())
 _OWN = frozenset("article entry post story content".split())
@@ -78,18 +85,26 @@ _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption caption".split())
 
 
+def _telling(name: str) -> bool:
+    """Whether a class or id inside an article says by all of its parts that it is no part of it."""
+    parts = [x for x in re.split(r"[_-]+", name) if x]
+    return any(x in _NAMES for x in parts) and all(x in _NAMES or x in _PLAIN for x in parts)
+
+
 class Node:
-    __slots__ = ("tag", "names", "gone", "hidden", "parts")
+    __slots__ = ("tag", "names", "gone", "hidden", "parts", "inside")
 
-    def __init__(self, tag: str, attrs: str):
-        self.tag, self.parts = tag, []
+    def __init__(self, tag: str, attrs: str, inside: bool = False):
+        self.tag, self.parts, self.inside = tag, [], inside  # inside an article
         self.names: frozenset[str] = frozenset()
         self.gone, self.hidden = tag in _GONE, False
         if attrs:
             names: list[str] = []
+            whole: list[str] = []
             for m in _ATTR.finditer(attrs):
                 key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if key in ("class", "id"):
+                    whole += value.split()
                     names += re.split(r"[\s_-]+", value)
                 elif key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     self.gone = True
@@ -97,7 +112,11 @@ class Node:
                 elif key == "role" and value in ("article", "main"):
                     names.append(f"role {value}")
             self.names = frozenset(names)
-            if tag not in ("html", "body", "main", "article") and (self.names & _NAMES or self.names & _HEADER and not self.names & _OWN):
+            if tag in ("html", "body", "main"):
+                pass
+            elif inside and tag != "article":
+                self.gone |= any(_telling(x) for x in whole)
+            elif tag != "article" and (self.names & _NAMES or self.names & _HEADER and not self.names & _OWN):
                 self.gone = True
             elif tag == "article" and self.names & _COMMENTS:
                 self.gone = True
@@ -142,49 +161,62 @@ def _tokens(page: str):
         yield "tag", tag, rest[1]
         if tag in _RAW:
             close = _RAW_END[tag].search(page, at)
-            at = close.end() if close else end
+            at = page.find(">", close.end()) + 1 if close else 0
+            at = at or end  # the first end tag is the end, if it is closed
+
+
+class _Open:
+    """The open elements. Where the last of a name is open, and the last that isn't inline, is known, so that no tag looks through them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+        self.block, self.wall = [0], [0]  # for each: the last place up to it that isn't inline; that is neither inline nor p
+
+    def push(self, node: Node) -> None:
+        i, inline = len(self.stack), node.tag in _INLINE
+        self.at.setdefault(node.tag, []).append(i)
+        self.block.append(self.block[-1] if inline else i)
+        self.wall.append(self.wall[-1] if inline or node.tag == "p" else i)
+        self.stack.append(node)
+
+    def last(self, *names: str) -> int:
+        """The place of the last open element of these names; 0 if there is none."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
+
+    def cut(self, i: int) -> None:
+        for node in self.stack[i:]:
+            self.at[node.tag].pop()
+        del self.stack[i:], self.block[i:], self.wall[i:]
 
 
 def parse(page: str) -> Node:
     root = Node("#root", "")
-    stack = [root]
+    opened = _Open(root)
     for what, name, attrs in _tokens(page):
         if what == "text":
-            stack[-1].parts.append(name)
+            opened.stack[-1].parts.append(name)
             continue
         if name[0] == "/":
-            name = name[1:]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-                if name in _INLINE and stack[i].tag not in _INLINE and stack[i].tag not in ("p",):
-                    break  # an inline end tag closes nothing beyond its block
+            i = opened.last(name[1:])
+            if i and (name[1:] not in _INLINE or i > opened.wall[-1]):  # an inline end tag closes nothing beyond its block
+                opened.cut(i)
             continue
         if name in _P_ENDS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in _INLINE:
-                    break
+            i = opened.block[-1]
+            if opened.stack[i].tag == "p":
+                opened.cut(i)
         elif name in _SAME:
             ends, bounds = _SAME[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in bounds:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-        elif name == "body":  # ends an open head
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "head":
-                    del stack[i:]
-                    break
-        node = Node(name, attrs)
-        stack[-1].parts.append(node)
+            i = opened.last(*ends)
+            if i > opened.last(*bounds):
+                opened.cut(i)
+        elif name == "body" and opened.last("head"):  # ends an open head
+            opened.cut(opened.last("head"))
+        above = opened.stack[-1]
+        node = Node(name, attrs, above.inside or above.main() != "")
+        above.parts.append(node)
         if name not in _VOID and name not in _RAW and not attrs.endswith("/"):
-            stack.append(node)
+            opened.push(node)
     return root
 
 
@@ -247,6 +279,17 @@ def _spare(root: Node) -> None:
             node.gone = False
 
 
+def _edges(root: Node) -> dict[int, int]:
+    """By id(node): 1 for the first of its siblings, 2 for the last, 3 for one alone; text counts as a sibling, white space doesn't."""
+    out: dict[int, int] = {}
+    for node, _ in _walk(root):
+        told = [x for x in node.parts if isinstance(x, Node) or x.strip()]
+        for bit, x in ((1, told[:1]), (2, told[-1:])):
+            if x and isinstance(x[0], Node):
+                out[id(x[0])] = out.get(id(x[0]), 0) | bit
+    return out
+
+
 def candidates(root: Node) -> list[tuple[Node, int, int]]:
     """Subtrees that may be templates: (node, where it stands, hash)."""
     hashes, kept = subtree_hashes(root), _holds_main(root)
@@ -326,33 +369,40 @@ def host_of(url: str | None) -> str:
 
 
 def _rows(batches):
-    """url, html -> host, version, hash, place: the subtrees of a page, once a batch for each different article, and a row with hash
-    null for the article itself. Pages whose text is the same are one article."""
+    """url, html -> host, version, hash, place, edge: the subtrees of a page, once a batch for each different article, and a row with hash
+    null for the article itself. Pages whose text is the same are one article. edge: at which ends it stands wherever it is on the page."""
     for b in batches:
-        seen: dict[tuple, None] = {}
+        seen: dict[tuple, int] = {}
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             host, root = host_of(url), parse(page or "")
-            found = [(h, where) for _, where, h in candidates(root)]
+            edges = _edges(root)
+            found = [(h, where, edges.get(id(n), 0)) for n, where, h in candidates(root)]
             _spare(root)
             version = xxhash.xxh64_intdigest(text_of(root).encode("utf-8", "surrogatepass")) - 2**63
-            seen[host, version, None, OUTER] = None
-            for h, where in found:
-                seen[host, version, h - 2**63, where] = None
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in seen], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["host", "version", "hash", "place"]
-        )
+            seen[host, version, None, OUTER] = 0
+            for h, where, edge in found:
+                key = (host, version, h - 2**63, where)
+                seen[key] = seen.get(key, 3) & edge
+        columns = [*zip(*((*k, e) for k, e in seen.items()))] or [[]] * 5
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "version", "hash", "place", "edge"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, hash, place: subtrees that recur on many articles of their host."""
-    rows = pages.select("url", "html").mapInArrow(_rows, "host string, version long, hash long, place int").distinct()
-    counts = cut(rows.groupBy("host", "hash", "place").agg(F.count(F.lit(1)).alias("n")))
+    rows = pages.select("url", "html").mapInArrow(_rows, "host string, version long, hash long, place int, edge int")
+    rows = rows.groupBy("host", "version", "hash", "place").agg(F.bit_and("edge").alias("edge"))
+    at = lambda bit: F.count_if(F.col("edge").bitwiseAND(bit) > 0).alias(f"at{bit}")
+    counts = cut(rows.groupBy("host", "hash", "place").agg(F.count(F.lit(1)).alias("n"), at(1), at(2)))
     hosts = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    of_share = lambda share: F.least(F.lit(MANY_PAGES), F.greatest(F.lit(LEAST_PAGES), F.ceil(share * F.col("pages"))))
-    least = F.when(F.col("place") == OUTER, of_share(OUTER_SHARE)).when(F.col("place") == INNER, of_share(INNER_SHARE))
-    least = least.otherwise(F.greatest(F.lit(PROSE_PAGES), F.ceil(PROSE_SHARE * F.col("pages"))))
+    share = lambda x: F.ceil(F.round(x * F.col("pages"), 6))
+    n, edge = F.col("n"), F.greatest("at1", "at2") >= EDGE_PLACES * F.col("n")
+    outer = n >= F.least(F.lit(MANY_PAGES), F.greatest(F.lit(LEAST_PAGES), share(OUTER_SHARE)))
+    inner = (n >= F.greatest(F.lit(LEAST_PAGES), share(INNER_SHARE))) | (edge & (n >= F.greatest(F.lit(MANY_PAGES), share(EDGE_SHARE))))
+    prose = n >= F.greatest(F.lit(PROSE_PAGES), share(PROSE_SHARE))
+    many = F.when(F.col("place") == OUTER, outer).when(F.col("place") == INNER, inner).otherwise(prose)
     few = counts.where(F.col("hash").isNotNull() & (F.col("n") >= LEAST_PAGES))
-    return few.join(hosts, "host").where(F.col("n") >= least).select("host", "hash", "place")
+    return few.join(hosts, "host").where(many).select("host", "hash", "place")
 
 
 _SCHEMA = "page_id long, url string, text string, n_chars long"
