@@ -92,13 +92,14 @@ def _telling(name: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "names", "gone", "hidden", "parts", "inside")
+    __slots__ = ("tag", "names", "gone", "hidden", "parts", "inside", "kind")
 
     def __init__(self, tag: str, attrs: str, inside: bool = False):
         self.tag, self.parts, self.inside = tag, [], inside  # inside an article
         self.names: frozenset[str] = frozenset()
         self.gone, self.hidden = tag in _GONE, False
-        if attrs:
+        self.kind = tag if tag == "article" or tag == "main" else ""  # what it marks
+        if attrs and "=" in attrs or "hidden" in attrs:
             names: list[str] = []
             whole: list[str] = []
             for m in _ATTR.finditer(attrs):
@@ -110,7 +111,7 @@ class Node:
                     self.gone = True
                     self.hidden |= key != "role"
                 elif key == "role" and value in ("article", "main"):
-                    names.append(f"role {value}")
+                    self.kind = self.kind or value
             self.names = frozenset(names)
             if tag in ("html", "body", "main"):
                 pass
@@ -121,9 +122,6 @@ class Node:
             elif tag == "article" and self.names & _COMMENTS:
                 self.gone = True
 
-    def main(self) -> str:
-        return self.tag if self.tag in ("article", "main") else "article" if "role article" in self.names else "main" if "role main" in self.names else ""
-
 
 def _tokens(page: str):
     """(what, value, attributes) of the page: text, the name of a tag that begins (or, after "/", ends), or raw text's end. One
@@ -165,92 +163,92 @@ def _tokens(page: str):
             at = at or end  # the first end tag is the end, if it is closed
 
 
-class _Open:
-    """The open elements. Where the last of a name is open, and the last that isn't inline, is known, so that no tag looks through them."""
+#: Where a tag stands among the open ones: 0 inline, 1 a paragraph, 2 anything else.
+_RANK = dict.fromkeys(_INLINE, 0) | {"p": 1}
 
-    def __init__(self, root: Node):
-        self.stack, self.at = [root], {}
-        self.block, self.wall = [0], [0]  # for each: the last place up to it that isn't inline; that is neither inline nor p
 
-    def push(self, node: Node) -> None:
-        i, inline = len(self.stack), node.tag in _INLINE
-        self.at.setdefault(node.tag, []).append(i)
-        self.block.append(self.block[-1] if inline else i)
-        self.wall.append(self.wall[-1] if inline or node.tag == "p" else i)
-        self.stack.append(node)
+def parse(page: str) -> Node:
+    """The tree of a page. Where the last of each name is open, and the last that isn't inline, is known, so no tag looks through the open ones."""
+    root = Node("#root", "")
+    stack, at = [root], {}
+    block, wall = [0], [0]  # for each: the last place up to it that isn't inline; that is neither inline nor p
+    text = root.parts.append
 
-    def last(self, *names: str) -> int:
+    def last(names) -> int:
         """The place of the last open element of these names; 0 if there is none."""
-        return max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
-
-    def cut(self, i: int) -> None:
-        for node in self.stack[i:]:
-            self.at[node.tag].pop()
-        del self.stack[i:], self.block[i:], self.wall[i:]
+        return max((at[x][-1] for x in names if at.get(x)), default=0)
 
-
-def parse(page: str) -> Node:
-    root = Node("#root", "")
-    opened = _Open(root)
     for what, name, attrs in _tokens(page):
         if what == "text":
-            opened.stack[-1].parts.append(name)
+            text(name)
             continue
+        cut = 0
         if name[0] == "/":
-            i = opened.last(name[1:])
-            if i and (name[1:] not in _INLINE or i > opened.wall[-1]):  # an inline end tag closes nothing beyond its block
-                opened.cut(i)
-            continue
-        if name in _P_ENDS:
-            i = opened.block[-1]
-            if opened.stack[i].tag == "p":
-                opened.cut(i)
-        elif name in _SAME:
-            ends, bounds = _SAME[name]
-            i = opened.last(*ends)
-            if i > opened.last(*bounds):
-                opened.cut(i)
-        elif name == "body" and opened.last("head"):  # ends an open head
-            opened.cut(opened.last("head"))
-        above = opened.stack[-1]
-        node = Node(name, attrs, above.inside or above.main() != "")
-        above.parts.append(node)
-        if name not in _VOID and name not in _RAW and not attrs.endswith("/"):
-            opened.push(node)
+            name = name[1:]
+            open_ = at.get(name)
+            if not open_ or _RANK.get(name, 2) == 0 and open_[-1] < wall[-1]:  # an inline end tag closes nothing beyond its block
+                continue
+            cut = open_[-1]
+            new = False
+        else:
+            new = True
+            if name in _P_ENDS:
+                cut = block[-1] if stack[block[-1]].tag == "p" else 0
+            elif name in _SAME:
+                ends, bounds = _SAME[name]
+                cut = last(ends)
+                cut = cut if cut > last(bounds) else 0
+            elif name == "body":  # ends an open head
+                cut = last(("head",))
+        if cut:
+            for node in stack[cut:]:
+                at[node.tag].pop()
+            del stack[cut:], block[cut:], wall[cut:]
+        above = stack[-1]
+        if new:
+            node = Node(name, attrs, above.inside or above.kind != "")
+            above.parts.append(node)
+            if name not in _VOID and name not in _RAW and not attrs.endswith("/"):
+                i, rank = len(stack), _RANK.get(name, 2)
+                if name in at:
+                    at[name].append(i)
+                else:
+                    at[name] = [i]
+                block.append(i if rank else block[-1])
+                wall.append(i if rank == 2 else wall[-1])
+                stack.append(node)
+                above = node
+        text = above.parts.append
     return root
 
 
-def _walk(root: Node):
-    """Every node with its depth-first state: (node, inside an article), parents first; gone subtrees are entered too."""
-    todo = [(root, False)]
+def nodes_of(root: Node) -> list[Node]:
+    """Every node, parents first; gone subtrees are entered too."""
+    out, todo = [], [root]
     while todo:
-        node, inside = todo.pop()
-        yield node, inside
-        inner = inside or node.main() != ""
-        todo += [(x, inner) for x in reversed(node.parts) if isinstance(x, Node)]
+        node = todo.pop()
+        out.append(node)
+        todo += [x for x in reversed(node.parts) if isinstance(x, Node)]
+    return out
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
+def subtree_hashes(order: list[Node]) -> dict[int, int]:
     """64-bit hash of each container's subtree by id(node), children before parents; without recursion."""
-    order = [n for n, _ in _walk(root)]
     out: dict[int, int] = {}
+    plain = _SPACE.sub
     for node in reversed(order):
-        h = xxhash.xxh64(node.tag.encode())
+        told = [node.tag.encode()]
         for x in node.parts:
-            if isinstance(x, Node):
-                h.update(out[id(x)].to_bytes(8, "little"))
-            else:
-                h.update(_SPACE.sub(" ", x).encode("utf-8", "surrogatepass"))
-        out[id(node)] = h.intdigest()
+            told.append(out[id(x)].to_bytes(8, "little") if isinstance(x, Node) else plain(" ", x).encode("utf-8", "surrogatepass"))
+        out[id(node)] = xxhash.xxh64_intdigest(b"".join(told))
     return out
 
 
-def _holds_main(root: Node) -> set[int]:
+def _holds_main(order: list[Node]) -> set[int]:
     """Nodes that are or hold an article or main element, the page's own elements included: never templates."""
     out: set[int] = set()
-    order = [n for n, _ in _walk(root)]
     for node in reversed(order):
-        if node.tag in ("#root", "html", "body") or node.main() or any(isinstance(x, Node) and id(x) in out for x in node.parts):
+        if node.kind or node.tag in ("#root", "html", "body") or any(isinstance(x, Node) and id(x) in out for x in node.parts):
             out.add(id(node))
     return out
 
@@ -268,7 +266,7 @@ def _spare(root: Node) -> None:
     size: dict[int, int] = {}
     for node in reversed(order):
         size[id(node)] = sum(size.get(id(x), 0) if isinstance(x, Node) else len(x.strip()) for x in node.parts)
-    found = [n for n in order if n.main() and not (n.gone and n.names & _COMMENTS)]
+    found = [n for n in order if n.kind and not (n.gone and n.names & _COMMENTS)]
     least = max((size[id(n)] for n in found), default=0) / 2
     holds = {id(n) for n in found if size[id(n)] >= least}
     for node in reversed(order):
@@ -282,22 +280,29 @@ def _spare(root: Node) -> None:
 def _edges(root: Node) -> dict[int, int]:
     """By id(node): 1 for the first of its siblings, 2 for the last, 3 for one alone; text counts as a sibling, white space doesn't."""
     out: dict[int, int] = {}
-    for node, _ in _walk(root):
-        told = [x for x in node.parts if isinstance(x, Node) or x.strip()]
-        for bit, x in ((1, told[:1]), (2, told[-1:])):
-            if x and isinstance(x[0], Node):
-                out[id(x[0])] = out.get(id(x[0]), 0) | bit
+    todo = [root]
+    while todo:
+        parts = todo.pop().parts
+        for bit, ordered in ((1, parts), (2, reversed(parts))):
+            for x in ordered:
+                if isinstance(x, Node):
+                    out[id(x)] = out.get(id(x), 0) | bit
+                    break
+                if not x.isspace():
+                    break
+        todo += [x for x in parts if isinstance(x, Node)]
     return out
 
 
+_NO_TEMPLATE = _INLINE | _VOID | _RAW
+
+
 def candidates(root: Node) -> list[tuple[Node, int, int]]:
     """Subtrees that may be templates: (node, where it stands, hash)."""
-    hashes, kept = subtree_hashes(root), _holds_main(root)
-    out = []
-    for n, inside in _walk(root):
-        if n.parts and id(n) not in kept and n.tag not in _INLINE and n.tag not in _VOID and n.tag not in _RAW:
-            out.append((n, PROSE if n.tag in _PROSE else INNER if inside else OUTER, hashes[id(n)]))
-    return out
+    order = nodes_of(root)
+    hashes, kept = subtree_hashes(order), _holds_main(order)
+    fit = [n for n in order if n.parts and n.tag not in _NO_TEMPLATE and id(n) not in kept]
+    return [(n, PROSE if n.tag in _PROSE else INNER if n.inside else OUTER, hashes[id(n)]) for n in fit]
 
 
 def main_text(page: str, templates=None) -> str:
@@ -319,7 +324,7 @@ def text_of(root: Node) -> str:
         node, above = todo.pop()
         if node.gone:
             continue
-        kind = node.main()
+        kind = node.kind
         if kind and kind not in above:
             found[kind].append(node)
         above = above | {kind}
