@@ -8,10 +8,11 @@ half that differs in at most one bit always meets. (Balls of radius 2 over all 6
 
 ``similar`` links texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more. At 0.8 two fingerprints
 differ in 15 % of their bits, far beyond what one ball reaches, so each text has several independent fingerprints of few bits:
-PARTS of them, each emitting its ball of radius 1, so that a pair meets where one part differs in two bits or less. ``plan``
-sets the bits by the number of texts, so that buckets stay small at any size, and the number of parts so that a pair at the
-threshold meets with a probability of RECALL or more (closer pairs meet more surely). Pairs whose bits all together are
-too far apart for the threshold are left out, and the rest are verified exactly, on their sets of shingles.
+parts, each emitting its ball of radius 1, so that a pair meets where one part differs in two bits or less. ``plan``
+sets the bits by the number of texts, so that chance meetings stay a few dozen a variant at any size, and the number of parts so that a pair at the
+threshold meets with a probability of RECALL or more (closer pairs meet more surely). Variants that begin with the same bits go to the same
+task, so they are shipped as one row and told apart there: a part costs one row and one for each of its leading bits, not one for each of all.
+Pairs whose bits all together are too far apart for the threshold are left out, and the rest are verified exactly, on their sets of shingles.
 
 Only distinct fingerprints, or texts, take part, with the smallest doc_id of each as its node. A bucket gives a spanning forest of
 its links, not its pairs; components over all buckets are the same. A bucket over LARGE rows is not held in one task but dealt out
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,10 @@ BLOCK = 512
 LARGE = 50_000
 #: ``similar``: words of a shingle, the similarity that links, the least probability with which a pair at that similarity is found.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
+#: Rows of one beginning that a task holds, the rows it tells apart at once, and the fewest bits by which two texts are compared.
+HELD, SLICE, LEAST_BITS = 1_000_000, 50_000, 128
+#: Comparisons of one variant's rows that a task makes; beyond, they are dealt out.
+COMPARED = LARGE**2 // 2
 #: Shingles of the texts that a task verifies against each other, for either block.
 BLOCK_SHINGLES = 1_000_000
 
@@ -228,18 +234,45 @@ def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((h(b" ".join(words[i : i + n]), SEED) for i in range(max(1, len(words) - n + 1))), np.uint64))
 
 
-def plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int]:
-    """Bits of a part, number of parts, and the largest distance over all parts together, for n texts.
+@dataclass(frozen=True)
+class Plan:
+    """Bits of a part, number of parts, leading bits by which variants are shipped, bits of the whole fingerprint, largest distance over all of them."""
+
+    bits: int
+    parts: int
+    top: int
+    total: int
+    radius: int
+
+    @property
+    def words(self) -> int:
+        return -(-self.total // 64)
+
+    @property
+    def rows(self) -> int:
+        """Rows that are shuffled for a text."""
+        return self.parts * (1 + self.top)
+
+    @property
+    def bytes(self) -> int:
+        """Bytes of these rows: key, node and fingerprint."""
+        return self.rows * 8 * (2 + self.words)
+
+
+def plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL, held: int = HELD) -> Plan:
+    """How n texts are compared.
 
     Two sets of Jaccard similarity s have a cosine of 2 s / (1 + s) if they are alike in size, so each bit differs with the chance
-    acos of that over pi. A part has two bits more than it takes to number the texts, and 20 at least, so that chance meetings stay a
-    few dozen a text at any number of them. The distance allowed is three standard deviations beyond the mean."""
+    acos of that over pi. A part has one bit less than it takes to number the texts, so that about as many texts as twice its bits meet at a
+    variant by chance, at any number of them. The distance allowed is three standard deviations beyond the mean. As many leading bits are
+    shipped as leave ``held`` rows a task."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = max(20, math.ceil(math.log2(max(n, 2))) + 2)
+    bits = max(4, math.ceil(math.log2(max(n, 2))) - 1)
     meets = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     parts = math.ceil(math.log(1 - recall) / math.log(1 - meets))
-    total = bits * parts
-    return bits, parts, math.floor(total * p + 3 * math.sqrt(total * p * (1 - p)))
+    top = next(t for t in range(min(3, bits), bits + 1) if t == bits or n * (1 + t) <= held << t)
+    total = max(bits * parts, LEAST_BITS)
+    return Plan(bits, parts, top, total, math.floor(total * p + 3 * math.sqrt(total * p * (1 - p))))
 
 
 def wide_fingerprint(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -273,27 +306,162 @@ def _described(n: int, bits: int, words: int):
     return run
 
 
-def _part_balls(bits: int, parts: int, words: int):
-    """node, f0, f1, ... -> key, node, f0, f1, ...: each part, exact and with each of its bits turned."""
-    turn = np.concatenate([[0], 1 << np.arange(bits, dtype=np.uint64)]).astype(np.uint64)
+def part_of(fp: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th part of fingerprints (rows, words)."""
+    w, shift = divmod(k * bits, 64)
+    part = fp[:, w] >> np.uint64(shift)
+    if shift + bits > 64:
+        part = part | (fp[:, w + 1] << np.uint64(64 - shift))
+    return part & np.uint64((1 << bits) - 1)
+
+
+def _part_balls(p: Plan):
+    """node, f0, f1, ... -> key, node, f0, f1, ...: of each part's ball of radius 1 the part itself, standing for all variants that begin as it does, and its
+    variants with a leading bit turned. key: the number of the part, then the variant."""
+    turn = np.concatenate([[0], 1 << np.arange(p.bits - p.top, p.bits, dtype=np.uint64)]).astype(np.uint64)
 
     def run(batches):
         for b in batches:
             node = b.column(0).to_numpy()
-            fp = np.stack([b.column(1 + i).to_numpy().view(np.uint64) for i in range(words)] + [np.zeros(len(node), np.uint64)], axis=1)
-            wide = [pa.array(np.repeat(x, bits + 1)) for x in (node, *(np.ascontiguousarray(fp[:, i]).view(np.int64) for i in range(words)))]
-            for k in range(parts):
-                w, shift = divmod(k * bits, 64)
-                part = fp[:, w] >> np.uint64(shift)
-                if shift + bits > 64:
-                    part = part | (fp[:, w + 1] << np.uint64(64 - shift))
-                part &= np.uint64((1 << bits) - 1)
-                key = ((part[:, None] ^ turn) | np.uint64(k << bits)).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *wide], names=["key", "node", *(f"f{i}" for i in range(words))])
+            fp = np.stack([b.column(1 + i).to_numpy().view(np.uint64) for i in range(p.words)], axis=1)
+            wide = [pa.array(np.repeat(x, len(turn))) for x in (node, *(np.ascontiguousarray(fp[:, i]).view(np.int64) for i in range(p.words)))]
+            for k in range(p.parts):
+                key = ((part_of(fp, k, p.bits)[:, None] ^ turn) | np.uint64(k << p.bits)).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *wide], names=["key", "node", *(f"f{i}" for i in range(p.words))])
 
     return run
 
 
+def _variants(key: np.ndarray, whole: np.ndarray, turned) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and the rows they are of: every key, and those of the rows in ``whole`` with each bit of ``turned`` turned."""
+    rows = np.flatnonzero(whole)
+    more = [key[rows] ^ np.int64(1 << i) for i in turned]
+    return np.concatenate([key, *more]), np.concatenate([np.arange(len(key)), *[rows] * len(more)])
+
+
+def _meetings(key: np.ndarray, row: np.ndarray, own: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int):
+    """(u, v, dealt): links of the rows that share a key, and the places of those whose key has too many to compare here. Rows of the same exact part
+    are compared at that part alone, not again at each of its variants."""
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    us, vs, dealt = [], [], []
+    small = size <= 128
+    ends = np.repeat(np.where(small, start + size, start), size)
+    i = np.arange(len(key))
+    for d in range(1, int(size[small].max(initial=1))):
+        i = i[i + d < ends[i]]
+        a, b = row[i], row[i + d]
+        near = distances(fp[a], fp[b]) <= radius
+        us.append(node[a[near]])
+        vs.append(node[b[near]])
+    for s, n in zip(start[~small].tolist(), size[~small].tolist()):
+        at, home = row[s : s + n], own[row[s : s + n]]
+        here = at[home == key[s]]
+        homes, counts = np.unique(home[home != key[s]], return_counts=True)
+        hot = homes[counts > 1000]
+        rest = at[(home != key[s]) & ~np.isin(home, hot)]
+        groups_ = [at[home == h] for h in hot]
+        pairs = len(here) * n + len(rest) * n + sum(len(g) for g in groups_) ** 2 - sum(len(g) ** 2 for g in groups_)
+        if pairs > COMPARED:
+            dealt.append(order[s : s + n])
+            continue
+        them = [(here, None), (here, rest), (rest, None)]
+        for j, g in enumerate(groups_):
+            them += [(here, g), (rest, g), *((g, x) for x in groups_[j + 1 :])]
+        for left, right in them:
+            if len(left) and (right is None or len(right)):
+                both = left if right is None else np.concatenate([left, right])
+                sides = () if right is None else (np.arange(len(left)), np.arange(len(left), len(both)))
+                u, v = _bucket_links(fp[both], node[both], radius, *sides)
+                us.append(u)
+                vs.append(v)
+    u, v = (np.concatenate(us), np.concatenate(vs)) if us else (node[:0], node[:0])
+    return *forest(u, v), np.concatenate(dealt) if dealt else np.zeros(0, np.int64)
+
+
+def _part_links(p: Plan, held: int):
+    """Rows (key, node, f0, ...) sorted by key -> rows of (key, u, v, f0, ...): key null: a forest edge of the links; else a row (u the node) of a whole
+    variant that has too many to compare in one task. A task holds the rows of one beginning, ``held`` of them, and a slice of their variants."""
+    low = p.bits - p.top
+
+    def out(key, node, fp):
+        none = pa.array(np.zeros(len(key), np.int64), mask=np.ones(len(key), bool))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), none, *(pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(p.words))], names=_names(p.words))
+
+    def own_keys(key, fp):
+        k = int(key[0] >> p.bits)
+        return part_of(fp, k, p.bits).astype(np.int64) | np.int64(k << p.bits)
+
+    def links(key, node, fp):
+        own = own_keys(key, fp)
+        more = min(low, max(0, math.ceil(math.log2(max(1, len(key) / SLICE)))))  # further leading bits, told apart here
+        keys, rows = _variants(key, key == own, range(low - more, low))
+        whole = keys == own[rows]
+        order = np.argsort(keys >> (low - more), kind="stable")
+        keys, rows, whole = keys[order], rows[order], whole[order]
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(keys >> (low - more)) != 0, [True]]))
+        us, vs = [], []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            each, of = _variants(keys[s:e], whole[s:e], range(low - more))
+            u, v, dealt = _meetings(each, rows[s:e][of], own, node, fp, p.radius)
+            us.append(u)
+            vs.append(v)
+            if len(dealt):
+                r = rows[s:e][of[dealt]]
+                yield out(each[dealt], node[r], fp[r])
+        yield _edges(*forest(np.concatenate(us), np.concatenate(vs)), p.words)
+
+    def passed(key, node, fp):
+        for s in range(0, len(key), SLICE):
+            k, n, f = key[s : s + SLICE], node[s : s + SLICE], fp[s : s + SLICE]
+            each, of = _variants(k, k == own_keys(k, f), range(low))
+            yield out(each, n[of], f[of])
+
+    def run(batches):
+        kept: list[tuple] = []
+        beginning, passing = None, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            fp = np.stack([b.column(2 + i).to_numpy().view(np.uint64) for i in range(p.words)], axis=1)
+            top = key >> low
+            cuts = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1], [True]]))
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if top[s] != beginning:
+                    if kept:
+                        yield from links(*map(np.concatenate, zip(*kept)))
+                    kept, beginning, passing = [], top[s], False
+                part = key[s:e], node[s:e], fp[s:e]
+                if passing:
+                    yield from passed(*part)
+                    continue
+                kept.append(part)
+                if sum(len(x[0]) for x in kept) > held:
+                    passing = True
+                    yield from passed(*map(np.concatenate, zip(*kept)))
+                    kept = []
+        if kept:
+            yield from links(*map(np.concatenate, zip(*kept)))
+
+    return run
+
+
+def part_links(nodes: DataFrame, p: Plan, held: int = HELD, large: int = LARGE) -> DataFrame:
+    """u, v: forests of the links at the plan's radius or less between nodes that meet in a part's balls. nodes: node, f0, f1, ... A beginning of more than
+    twice ``held`` rows is shipped variant by variant, and so is a variant that has too many rows to compare in a task."""
+    fp = [f"f{i}" for i in range(p.words)]
+    balls = nodes.select("node", *fp).mapInArrow(_part_balls(p), ", ".join(f"{x} long" for x in ("key", "node", *fp)))
+    dealt = balls.repartition(F.shiftright("key", p.bits - p.top)).sortWithinPartitions("key")
+    found = stored(dealt.mapInArrow(_part_links(p, 2 * held), ", ".join(f"{x} long" for x in _names(p.words))), "links")
+    edges, passed = found.where("key is null").select("u", "v"), found.where("key is not null")
+    if passed.limit(1).count() == 0:
+        return edges
+    return edges.union(ball_links(passed.select("key", F.col("u").alias("node"), *fp), p.radius, p.words, large))
+
+
 def verified(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the pairs of sets whose Jaccard similarity is high enough. A search from set to set: each one reached is held against
     those not reached yet, so a large group of copies costs little more than one comparison a member."""
@@ -336,19 +504,17 @@ def _verify(similarity: float, n: int):
     return run
 
 
-def similar(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, large: int = LARGE) -> DataFrame:
+def similar(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, large: int = LARGE, held: int = HELD) -> DataFrame:
     """doc_id, h (hash of the text), component_id: the smallest doc_id reachable over links between texts whose sets of n-word
     shingles have ``similarity`` or more; rows without a doc_id have none and link with nothing."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    bits, parts, radius = plan(base.count(), similarity, recall)
-    words = -(-bits * parts // 64)
-    fp = [f"f{i}" for i in range(words)]
-    described = base.mapInArrow(_described(n, bits * parts, words), ", ".join(f"{x} long" for x in ("doc_id", "h", "node", *fp)))
+    p = plan(base.count(), similarity, recall, held)
+    fp = [f"f{i}" for i in range(p.words)]
+    described = base.mapInArrow(_described(n, p.total, p.words), ", ".join(f"{x} long" for x in ("doc_id", "h", "node", *fp)))
     described = stored(described, "described")
     known = described.where("doc_id is not null")
     nodes = stored(known.groupBy("node", *fp).agg(F.min(F.struct("doc_id", "h")).alias("first")), "texts")
-    balls = nodes.select("node", *fp).mapInArrow(_part_balls(bits, parts, words), ", ".join(f"{x} long" for x in ("key", "node", *fp)))
-    loose = connected_components(ball_links(balls, radius, words, large)).withColumnRenamed("component", "loose")
+    loose = connected_components(part_links(nodes, p, held, large)).withColumnRenamed("component", "loose")
     members = stored(nodes.join(loose, "node").select("node", "loose", "first.*"), "members")
     # the texts of groups, one a node, verified against each other; large groups as pairs of blocks
     texts = base.join(members, ["doc_id", "h"]).groupBy("loose", "node").agg(F.min("text").alias("text"))

@@ -501,8 +501,8 @@ def jaccard_groups(texts, n=5, similarity=0.8):
         low = new
 
 
-@pytest.mark.parametrize("large", [simhash.LARGE, 20])
-def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, large):
+@pytest.mark.parametrize("large, held", [(simhash.LARGE, simhash.HELD), (20, 12)])
+def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, large, held):
     monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 4000 if large == 20 else simhash.BLOCK_SHINGLES)
     r = random.Random(4)
     words = ["w%d" % i for i in range(800)]
@@ -513,7 +513,7 @@ def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, large):
         for _ in range(i % 6):
             t[r.randrange(200)] = r.choice(words)
         rows.append((100 + i, " ".join(t), "en", "s"))
-    got = sorted({(x.doc_id, x.component_id) for x in simhash.similar(clashing(table(spark, rows)).repartition(5), large=large).collect()})
+    got = sorted({(x.doc_id, x.component_id) for x in simhash.similar(clashing(table(spark, rows)).repartition(5), large=large, held=held).collect()})
     ids = sorted({d: t for d, t, *_ in rows}.items())
     low = jaccard_groups([t for _, t in ids])
     want = [(d, ids[low[i]][0]) for i, (d, _) in enumerate(ids)]
@@ -523,14 +523,42 @@ def test_similar_texts_are_those_of_all_pairs(spark, monkeypatch, large):
     assert simhash.similar(table(spark, rows).where("false")).count() == 0 and simhash.similar(table(spark, [(None, "a b", "", "")])).first().component_id is None
 
 
-def test_the_plan_for_similar_texts_holds_its_recall_at_any_size():
-    for n in (100, 10**5, 10**9, 10**12):
-        bits, parts, radius = simhash.plan(n)
-        assert parts << bits < 2**62 and 2**bits >= n
+def test_the_plan_for_similar_texts_holds_its_recall_and_its_size():
+    for n in (2, 100, 10**5, 10**7, 10**9, 10**12):
+        x = simhash.plan(n)
+        assert x.parts << x.bits < 2**62 and x.top <= x.bits and x.total >= x.bits * x.parts and (x.top == x.bits or n * (1 + x.top) <= simhash.HELD << x.top)
         r = np.random.default_rng(0)
         p = math.acos(1.6 / 1.8) / math.pi
-        differ = r.random((4000, parts, bits)) < p
-        assert (differ.sum(2).min(1) <= 2).mean() >= simhash.RECALL - 0.02 and (differ.sum((1, 2)) <= radius).mean() > 0.99
+        differ = r.random((3000, x.total)) < p
+        parts = differ[:, : x.parts * x.bits].reshape(3000, x.parts, x.bits)
+        assert (parts.sum(2).min(1) <= 2).mean() >= simhash.RECALL - 0.02 and (differ.sum(1) <= x.radius).mean() > 0.99
+        print(f"{n} texts: {x.bits} bits, {x.parts} parts, {x.rows} rows, {x.bytes} bytes shuffled a text")
+    assert simhash.plan(13_300_000).bytes < 2 * 2200  # a document has 2.2 KB of input
+
+
+@pytest.mark.parametrize("held, compared, piece", [(10**6, 10**9, 50_000), (10**6, 400, 7), (60, 10**9, 20)])
+def test_parts_meet_where_their_balls_do(spark, monkeypatch, held, compared, piece):
+    """Every pair that has a part with two differing bits or less, and not too many in all, is linked; nothing else is; whatever is dealt out."""
+    monkeypatch.setattr(simhash, "SLICE", piece)
+    monkeypatch.setattr(simhash, "COMPARED", compared)
+    r = np.random.default_rng(1)
+    for bits, parts, top in ((9, 3, 3), (9, 3, 0), (9, 3, 9), (40, 2, 4)):
+        p = simhash.Plan(bits, parts, top, 128, 28)
+        base = r.integers(0, 2**63, (30, 2), np.uint64)
+        fp = base[r.integers(0, 30, 900) ** 2 // 31]  # one fingerprint has many neighbours
+        for _ in range(14):
+            fp[np.arange(900), r.integers(0, 2, 900)] ^= np.uint64(1) << r.integers(0, 64, 900).astype(np.uint64)
+        fp = np.unique(fp, axis=0)
+        n = len(fp)
+        near = np.zeros((n, n), bool)
+        for k in range(parts):
+            x = simhash.part_of(fp, k, bits)
+            near |= np.bitwise_count(x[:, None] ^ x[None]) <= 2
+        near &= simhash.distances(fp[:, None], fp[None]) <= 28
+        want = sorted(zip(*simhash.forest(*np.nonzero(np.triu(near, 1)))))
+        rows = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(fp.view(np.int64).tolist())], "node long, f0 long, f1 long").repartition(4)
+        got = np.array([tuple(e) for e in simhash.part_links(rows, p, held, 50).collect()], np.int64).reshape(-1, 2).T
+        assert len(want) > 20 and sorted(zip(*simhash.forest(got[0], got[1]))) == want
 
 
 def test_op6_verified_links_by_search_are_those_of_all_pairs():
@@ -784,7 +812,7 @@ def plain_templates(rows):
         host, text = html.host_of(url), html.main_text(page or "")
         articles.setdefault(host, set()).add(text)
         root = html.parse(page or "")
-        parents = {id(x): n for n, _ in html._walk(root) for x in n.parts if isinstance(x, html.Node)}
+        parents = {id(x): n for n in html.nodes_of(root) for x in n.parts if isinstance(x, html.Node)}
         for n, where, h in html.candidates(root):
             told = [x for x in parents[id(n)].parts if isinstance(x, html.Node) or x.strip()]
             first, last = on.setdefault((host, h, where), {}).get(text, (True, True))
