@@ -53,8 +53,10 @@ OUTER, INNER, PROSE = 0, 1, 2
 BROADCAST = 100_000
 
 #: The rest of a tag: what stands between its name and the closing bracket. Nothing is tried twice.
-_REST = re.compile(r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+_REST = r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>"""
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+#: A text, or a whole tag.
+_TOKEN = re.compile(rf"([^<]++)|<(/?[a-zA-Z][^\s/>]*+){_REST}")
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
@@ -126,41 +128,36 @@ class Node:
 def _tokens(page: str):
     """(what, value, attributes) of the page: text, the name of a tag that begins (or, after "/", ends), or raw text's end. One
     pass: every character is read once, but for what follows a quote that never closes."""
-    at, end = 0, len(page)
+    at, end, token = 0, len(page), _TOKEN.match
     while at < end:
-        i = page.find("<", at)
-        if i < 0:
-            yield "text", page[at:], ""
-            return
-        if i > at:
-            yield "text", page[at:i], ""
-        c = page[i + 1 : i + 2]
-        if c == "!" or c == "?":
-            if page.startswith("<!--", i):
-                close = page.find("-->", i + 4)
+        m = token(page, at)
+        if m:
+            at = m.end()
+            if m.lastindex == 1:
+                yield "text", m[1], ""
+                continue
+            tag = m[2].lower()
+            yield "tag", tag, m[3]
+            if tag in _RAW:
+                close = _RAW_END[tag].search(page, at)
+                at = page.find(">", close.end()) + 1 if close else 0
+                at = at or end  # the first end tag is the end, if it is closed
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            if page.startswith("<!--", at):
+                close = page.find("-->", at + 4)
                 at = end if close < 0 else close + 3
-            elif page.startswith("<![CDATA[", i):
-                close = page.find("]]>", i + 9)
-                yield "text", page[i + 9 : end if close < 0 else close], ""
+            elif page.startswith("<![CDATA[", at):
+                close = page.find("]]>", at + 9)
+                yield "text", page[at + 9 : end if close < 0 else close], ""
                 at = end if close < 0 else close + 3
             else:
-                close = page.find(">", i + 1)
+                close = page.find(">", at + 1)
                 at = end if close < 0 else close + 1
-            continue
-        name = _NAME.match(page, i + 1)
-        if name is None:
-            yield "text", "<", ""
-            at = i + 1
-            continue
-        rest = _REST.match(page, name.end())
-        if rest is None:  # a tag that the page's end cuts is no text
+        elif _NAME.match(page, at + 1):  # a tag that the page's end cuts is no text
             return
-        at, tag = rest.end(), name[0].lower()
-        yield "tag", tag, rest[1]
-        if tag in _RAW:
-            close = _RAW_END[tag].search(page, at)
-            at = page.find(">", close.end()) + 1 if close else 0
-            at = at or end  # the first end tag is the end, if it is closed
+        else:
+            yield "text", "<", ""
+            at += 1
 
 
 #: Where a tag stands among the open ones: 0 inline, 1 a paragraph, 2 anything else.
