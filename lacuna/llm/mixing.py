@@ -90,11 +90,13 @@ def _taken(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = CAP, carr
 
 
 def curriculum_mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = CAP, carry: tuple[str, ...] = (), slice_digits: int = SLICE_DIGITS) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken, position (that of the first pass, null if nothing is taken),
-    then the carried columns; range-sorted by position, documents that aren't taken last."""
+    """One row a document: doc_id, size, source_size, target, taken, position (that of the first pass), positions (array, of every pass; both null if
+    nothing is taken), then the carried columns; range-sorted by position, documents that aren't taken last."""
     rows = _taken(docs, weights, slopes, cap, carry, slice_digits)
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, _position(F.col("ahead"))))
-    out = rows.select("doc_id", "size", "source_size", "target", "taken", "position", (F.col("ahead") / F.greatest("source_size", F.lit(1))).alias("_late"), *[F.col(f"c_{c}").alias(c) for c in carry])
+    every = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int") - 1)  # cap of them at most
+    rows = rows.withColumn("positions", F.when(F.col("taken") > 0, F.transform(every, lambda p: _position(p * F.col("source_size") + F.col("ahead")))))
+    out = rows.select("doc_id", "size", "source_size", "target", "taken", "position", "positions", (F.col("ahead") / F.greatest("source_size", F.lit(1))).alias("_late"), *[F.col(f"c_{c}").alias(c) for c in carry])
     return out.orderBy(F.coalesce("position", F.col("_late") + 1), "doc_id").drop("_late")
 
 
@@ -143,7 +145,9 @@ def positions(mixed: DataFrame, slopes=SLOPES, slice_digits: int = SLICE_DIGITS)
 
 
 def op5_curriculum_mix(spark, sf_dir):
-    return curriculum_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """positions: in billionths of the training, joined by commas."""
+    rows = curriculum_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.withColumn("positions", F.array_join(F.transform("positions", lambda t: F.round(t * 1e9).cast("long").cast("string")), ","))
 
 
 ORACLE = r"""
@@ -164,9 +168,11 @@ placed AS (SELECT doc_id, size, source_size, target, slope,
                   floor(target + 0.5)::BIGINT AS goal
            FROM d JOIN targets USING (skey)),
 taken AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE goal // greatest(source_size, 1) * size
-                              + greatest(0, least(size, goal % greatest(source_size, 1) - ahead)) END::BIGINT AS taken,
-                 least(1.0, (ahead + size::DOUBLE / 2) / greatest(target, 1.0))::DOUBLE AS u FROM placed)
-SELECT doc_id, size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) END, 9) END AS position
-FROM taken
+                              + greatest(0, least(size, goal % greatest(source_size, 1) - ahead)) END::BIGINT AS taken, row_number() OVER () AS n FROM placed),
+-- every pass over a document: its words are the source's from (pass - 1) * source_size + ahead on
+passes AS (SELECT *, unnest(range(0, CASE WHEN taken > 0 THEN greatest(1, ceil(taken::DOUBLE / greatest(size, 1)))::BIGINT ELSE 1 END)) AS p FROM taken),
+timed AS (SELECT *, least(1.0, (p * source_size + ahead + size::DOUBLE / 2) / greatest(target, 1.0))::DOUBLE AS u FROM passes),
+set_out AS (SELECT *, CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) END, 9) END AS position FROM timed)
+SELECT doc_id, size, source_size, target, taken, min(position) AS position, string_agg(round(position * 1e9)::BIGINT::VARCHAR, ',' ORDER BY p) AS positions
+FROM set_out GROUP BY n, doc_id, size, source_size, target, taken
 """

@@ -403,7 +403,8 @@ def test_op5_matches_its_sql_and_targets(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = con.execute(mixing.ORACLE).fetchall()
     key = lambda x: (x[0] is None, x[0] or 0, x[1], x[4], x[5] or 0)
-    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, mixing.op5_curriculum_mix(spark, str(tmp_path)).collect()), key=key) == sorted(want, key=key)
+    assert all((x.positions or [None])[0] == x.position and len(x.positions or []) == -(-x.taken // max(x["size"], 1)) for x in got)
     assert all(x.taken <= 3 * x["size"] for x in got)
     sums: dict = {}
     for x in got:
