@@ -961,6 +961,26 @@ def remembered_lookups(spark, d):
     return memo.ask(asked, service).select("key", "answer")
 
 
+@query(
+    sql(""", p AS (SELECT src, dst, cooc, 'the ' || dst || ' line' AS c_name FROM near JOIN topics ON src = a WHERE r <= 3 UNION ALL SELECT cid, NULL, 0, 'nobody knows ' || level FROM concepts)
+    SELECT upper(src) AS a_name, c_name, src AS a, dst AS c, cooc::BIGINT AS hits FROM p""", "corpus")
+)
+def comention_by_names(spark, d):
+    """Every concept by its name in capitals, with its three strongest neighbours by a text that holds theirs, and with a name that nothing has."""
+    c = the_corpus(spark, d)
+    near = C.neighbours(c.graph(), 3).select(F.upper("src").alias("a_name"), F.concat(F.lit("the "), "dst", F.lit(" line")).alias("c_name"))
+    unknown = c.concepts.select(F.upper("cid").alias("a_name"), F.concat(F.lit("nobody knows "), F.col("level").cast("string")).alias("c_name"))
+    return C.comentions_by_name(c, near.union(unknown))
+
+
+@query(sql(""" SELECT src || ';' || dst AS set_id, 'stand-in:' || src || ';' || dst AS work, src || ' and ' || dst AS title, 2011 AS year FROM near""", "corpus"))
+def stand_in_works(spark, d):
+    """Works for every pair of a concept and a neighbour, as a graph without works has none."""
+    c = the_corpus(spark, d)
+    sets = C.neighbours(c.graph(), POOL).select(F.concat_ws(";", "src", "dst").alias("set_id"), F.array("src", "dst").alias("cids"))
+    return C.stand_in_works(sets, c.concepts).select("set_id", "work", "title", "year")
+
+
 # --- similarity without all pairs -----------------------------------------------------------------------------------
 
 _LONG_NAMES = f"g AS MATERIALIZED (SELECT name, {_GRAMS.format(s='s')} AS g FROM (SELECT DISTINCT p_brand || ' ' || p_type || ' ' || p_name AS name, regexp_replace(lower(p_brand || ' ' || p_type || ' ' || p_name), '[^a-z0-9]', '', 'g') AS s FROM part))"

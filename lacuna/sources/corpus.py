@@ -315,6 +315,26 @@ def resolve(topics: DataFrame, concepts: DataFrame) -> DataFrame:
     return hit.withColumn("r", F.row_number().over(w)).where("r = 1").select("topic", "cid")
 
 
+def comentions_by_name(corpus: Corpus, pairs: DataFrame) -> DataFrame:
+    """pairs (a_name, c_name, ...) with a, c (null where a name has no concept) and hits, the works that have both: 0 where one is unknown or there
+    are none. Names are resolved as topics are; a name that is asked for often is resolved once."""
+    names = pairs.select(F.col("a_name").alias("topic")).union(pairs.select("c_name")).where("topic is not null").distinct()
+    known = resolve(names, corpus.concepts)
+    named = lambda name, cid: known.select(F.col("topic").alias(name), F.col("cid").alias(cid))
+    both = pairs.join(named("a_name", "a"), "a_name", "left").join(named("c_name", "c"), "c_name", "left")
+    edges = corpus.graph().select(F.col("src").alias("a"), F.col("dst").alias("c"), F.col("cooc").cast("long").alias("hits"))
+    return both.join(edges, ["a", "c"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))).select(*pairs.columns, "a", "c", "hits")
+
+
+def stand_in_works(sets: DataFrame, concepts: DataFrame, year: int = 2011) -> DataFrame:
+    """For a graph that has no works: one for each set (set_id, cids array), in the columns of ``works_with_all``: its title names the
+    concepts in the order of the set, the id stands for a name that isn't known; cited 0, no url."""
+    each = sets.select("set_id", F.posexplode("cids").alias("p", "cid")).join(concepts.select("cid", "name"), "cid", "left")
+    told = each.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("name", "cid").alias("n")))).alias("ns"))
+    title = T.joined(F.transform("ns", lambda x: x["n"]))
+    return told.select("set_id", F.concat(F.lit("stand-in:"), F.col("set_id").cast("string")).alias("work"), title.alias("title"), F.lit(year).alias("year"), F.lit(0).cast("long").alias("cited"), F.lit(None).cast("string").alias("url"), F.lit(1).alias("w_rank"))
+
+
 def resolve_by_tokens(topics: DataFrame, concepts: DataFrame, min_level: int = 2) -> DataFrame:
     """topics (topic) -> topic, cid by shared words, then level, then works_count, then cid; broad fields and low levels are no topics.
     Words are joined on, so no topic meets every concept."""

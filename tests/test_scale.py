@@ -179,3 +179,46 @@ def test_what_was_answered_is_not_asked_again(spark, tmp_path):
     assert {(r.n, r.answer) for r in memo.ask(keys, service, "name").collect()} == want
     assert {(r.n, r.answer) for r in Memo(spark, str(tmp_path / "memo")).ask(keys.unionByName(spark.createDataFrame([("b", 6)], "name string, n int")), service, "name").collect()} == want | {(6, "B")}
     assert sorted(p.name for p in log.iterdir()) == ["a-0", "b-0", "down-0", "down-1", "empty-0"]
+
+
+def test_names_are_resolved_before_they_are_counted(spark):
+    concepts = spark.createDataFrame([("A", "Red Sea", 2, 5), ("B", "Blue Moon", 2, 3), ("C", None, 2, 1)], "cid string, name string, level int, works_count long")
+    graph = C.Corpus(concepts, spark.createDataFrame([("A", "B", 4), ("B", "A", 4)], "src string, dst string, cooc long"), 10)
+    pairs = spark.createDataFrame([("red sea", " BLUE moon "), ("the red sea now", "moon"), ("red sea", "green"), (None, "moon"), ("", "moon"), ("red sea", "red sea"), ("red sea", "red sea")], "a_name string, c_name string")
+    got = sorted(((r.a_name, r.c_name, r.a, r.c, r.hits) for r in C.comentions_by_name(graph, pairs).collect()), key=str)
+    assert got == sorted([("red sea", " BLUE moon ", "A", "B", 4), ("the red sea now", "moon", "A", "B", 4), ("red sea", "green", "A", None, 0), (None, "moon", None, "B", 0), ("", "moon", None, "B", 0)] + [("red sea", "red sea", "A", "A", 0)] * 2, key=str)
+    made = C.stand_in_works(spark.createDataFrame([("s", ["B", "A", "C"]), ("t", ["A"])], "set_id string, cids array<string>"), concepts).orderBy("set_id").collect()
+    assert [(r.work, r.title, r.year, r.cited) for r in made] == [("stand-in:s", "Blue Moon, Red Sea and C", 2011, 0), ("stand-in:t", "Red Sea", 2011, 0)]
+
+
+def test_evidence_has_snippets_years_and_sources_and_reads_the_first_results(spark):
+    from lacuna.operators import evidence, report
+
+    pairs = spark.createDataFrame([("A", "C", "alpha", "gamma")], "a string, c string, a_name string, c_name string")
+    results = spark.createDataFrame([("A", "C", i, f"Alpha {i}", ["gamma" if i % 2 else "none", "x" * 300], f"u{i}", "web", f"May {2000 + i}") for i in range(12)] + [("Z", "C", 1, "Alpha gamma", None, None, None, None)], "a string, c string, place int, title string, excerpts array<string>, url string, source string, date string")
+    row = evidence.from_search(results, 3)(pairs).first()
+    assert row.hits == 3 and [(i.place, i.year, i.source, i.kind, len(i.snippet)) for i in row["items"]] == [(0, 2000, "web", "web", 240), (1, 2001, "web", "web", 240), (2, 2002, "web", "web", 240)]
+    assert evidence.from_search(results, 3, read=12)(pairs).first().hits == 6
+    works = spark.createDataFrame([(1, "Alpha", "of gamma and more", 1999, 5, "http://x"), (2, "", "gamma alpha", None, 9, None), (3, "", "alpha", 2001, 1, None)], "work long, title string, text string, year int, cited int, url string")
+    both = spark.createDataFrame([("A", "C", "alpha", "gamma"), ("A", "D", "alpha", "delta")], "a string, c string, a_name string, c_name string")
+    got = {r.c: (r.hits, [tuple(i) for i in r["items"]]) for r in evidence.from_texts(works)(both).collect()}
+    assert got == {"C": (2, [(1, "", None, "gamma alpha", "corpus", None, "paper"), (2, "Alpha", "http://x", "of gamma and more", "corpus", 1999, "paper")]), "D": (0, [])}
+    hyp = {"statement": "s", "bridges": ["b"], "score": 1.0, "novelty": 1.0, "plausibility": 1.0, "works_cited": [{"work": 1, "title": "T", "year": 2000, "url": "u"}], "items": [{"title": "I", "year": None, "url": None, "kind": "web"}], "verification_note": "note"}
+    text = report.as_text({"topic": "t", "source_concept": "c", "hypotheses": [hyp], "trace": []})
+    assert "cites T (2000) u" in text and "evidence [web] I" in text and "note" in text
+
+
+def test_targets_need_types_on_the_command_line(spark, tmp_path, capsys):
+    import json
+    import os
+
+    from lacuna.__main__ import main
+
+    graph = os.path.join(os.path.dirname(__file__), "fixtures", "graph.json")
+    types = tmp_path / "types.json"
+    types.write_text("".join(json.dumps({"name": n, "letters": x}) + "\n" for n, x in (("Fish oil", ["D"]), ("Eicosapentaenoic acid", ["D"]), ("Serotonin", []))))
+    with pytest.raises(SystemExit):
+        main(["--graph", graph, "discover", "Raynaud disease", "--target", "drug"])
+    capsys.readouterr()
+    assert main(["--graph", graph, "--json", "discover", "Raynaud disease", "--target", "drug", "--types", str(types)]) == 0
+    assert [h["c_name"] for h in json.loads(capsys.readouterr().out)["hypotheses"]] == ["Fish oil", "Eicosapentaenoic acid"]
