@@ -87,7 +87,7 @@ ITEM = ("place", "title", "url", "snippet", "source", "year", "kind")
 
 
 def from_texts(works: DataFrame, limit: int = 4):
-    """A provider: works whose title or text mentions both names; the most cited ones as items, with the beginning of their text."""
+    """A provider: works whose title or text mentions both names; the most cited ones as items, with the beginning of their text and the work."""
 
     def provide(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.struct("a", "c").alias("pair_id"), "a_name", "c_name").distinct()
@@ -95,7 +95,7 @@ def from_texts(works: DataFrame, limit: int = 4):
         told = works.select(F.col("work").alias("_w"), F.col("url") if "url" in works.columns else F.lit(None).cast("string").alias("url"), T.snippet(F.col("text")).alias("snippet"))
         rows = found.join(told, F.col("i.work") == F.col("_w"), "left")
         columns = (F.col("i.r"), F.col("i.title"), F.col("url"), F.coalesce("snippet", F.lit("")), F.lit("corpus"), F.col("i.year"), F.lit("paper"))
-        item = F.when(F.col("i").isNotNull(), F.struct(*[c.alias(n) for c, n in zip(columns, ITEM)]))
+        item = F.when(F.col("i").isNotNull(), F.struct(*[c.alias(n) for c, n in zip(columns, ITEM)], F.col("i.work").alias("work")))
         return rows.groupBy("pair_id").agg(F.max("hits").alias("hits"), F.array_sort(F.collect_list(item)).alias("items")).select("pair_id.a", "pair_id.c", "hits", "items")
 
     return provide

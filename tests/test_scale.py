@@ -202,7 +202,7 @@ def test_evidence_has_snippets_years_and_sources_and_reads_the_first_results(spa
     works = spark.createDataFrame([(1, "Alpha", "of gamma and more", 1999, 5, "http://x"), (2, "", "gamma alpha", None, 9, None), (3, "", "alpha", 2001, 1, None)], "work long, title string, text string, year int, cited int, url string")
     both = spark.createDataFrame([("A", "C", "alpha", "gamma"), ("A", "D", "alpha", "delta")], "a string, c string, a_name string, c_name string")
     got = {r.c: (r.hits, [tuple(i) for i in r["items"]]) for r in evidence.from_texts(works)(both).collect()}
-    assert got == {"C": (2, [(1, "", None, "gamma alpha", "corpus", None, "paper"), (2, "Alpha", "http://x", "of gamma and more", "corpus", 1999, "paper")]), "D": (0, [])}
+    assert got == {"C": (2, [(1, "", None, "gamma alpha", "corpus", None, "paper", 2), (2, "Alpha", "http://x", "of gamma and more", "corpus", 1999, "paper", 1)]), "D": (0, [])}
     hyp = {"statement": "s", "bridges": ["b"], "score": 1.0, "novelty": 1.0, "plausibility": 1.0, "works_cited": [{"work": 1, "title": "T", "year": 2000, "url": "u"}], "items": [{"title": "I", "year": None, "url": None, "kind": "web"}], "verification_note": "note"}
     text = report.as_text({"topic": "t", "source_concept": "c", "hypotheses": [hyp], "trace": []})
     assert "cites T (2000) u" in text and "evidence [web] I" in text and "note" in text
