@@ -222,3 +222,16 @@ def test_targets_need_types_on_the_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert main(["--graph", graph, "--json", "discover", "Raynaud disease", "--target", "drug", "--types", str(types)]) == 0
     assert [h["c_name"] for h in json.loads(capsys.readouterr().out)["hypotheses"]] == ["Fish oil", "Eicosapentaenoic acid"]
+
+
+def test_concepts_alike_are_compared_once_and_every_pair_comes_out(spark):
+    from lacuna.operators.filters import LevelFilter, make_filter, usable_pairs
+
+    names = ["fish oil", "oil of fish", "magnesium", "disease", "Magnesium (film)", None, "blood viscosity"]
+    rows = spark.createDataFrame([(i, names[i * 7 % 11 % 7], i % 5 if i % 6 else None) for i in range(120)], "cid long, name string, level int")
+    for flt in (make_filter("biomed"), LevelFilter()):
+        f = flt.features(rows)
+        packed = lambda n: f.select(F.struct(*f.columns).alias(n))
+        want = packed("a").where("a.cid % 3 = 0").crossJoin(packed("c")).where(flt.usable("c", "a", 2)).select("a.cid", "c.cid").collect()
+        got = usable_pairs(flt, rows.where("cid % 3 = 0"), rows, 2, most=40, sent=3).collect()
+        assert len(got) == len(want) > 100 and {tuple(r) for r in got} == {tuple(r) for r in want}
