@@ -113,11 +113,13 @@ def from_search(results: DataFrame, limit: int = 4, read: int | None = None):
         text = F.lower(F.concat_ws(" ", "title", said))
         both = F.contains(text, F.lower("a_name")) & F.contains(text, F.lower("c_name"))
         rows = results.join(pairs.select("a", "c", "a_name", "c_name").distinct(), ["a", "c"]).withColumn("_both", both)
-        w = Window.partitionBy("a", "c").orderBy("place", "title")
+        # every column a result is told by decides, so that no tie is left to the order of rows
+        w = Window.partitionBy("a", "c").orderBy("place", "title", said, "url", optional("source"), optional("date"))
         rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(read, limit))
         columns = (F.col("place"), F.col("title"), F.col("url"), T.snippet(said), F.coalesce(optional("source"), F.lit("")), T.year_from(optional("date")), F.lit("web"))
-        item = F.when(F.col("_r") <= limit, F.struct(*[c.alias(n) for c, n in zip(columns, ITEM)]))
-        return rows.groupBy("a", "c").agg(F.count_if(F.col("_both") & (F.col("_r") <= read)).alias("hits"), F.array_sort(F.collect_list(item)).alias("items"))
+        item = F.when(F.col("_r") <= limit, F.struct("_r", F.struct(*[c.alias(n) for c, n in zip(columns, ITEM)]).alias("i")))
+        items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["i"])
+        return rows.groupBy("a", "c").agg(F.count_if(F.col("_both") & (F.col("_r") <= read)).alias("hits"), items.alias("items"))
 
     return provide
 

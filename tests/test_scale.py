@@ -235,3 +235,13 @@ def test_concepts_alike_are_compared_once_and_every_pair_comes_out(spark):
         want = packed("a").where("a.cid % 3 = 0").crossJoin(packed("c")).where(flt.usable("c", "a", 2)).select("a.cid", "c.cid").collect()
         got = usable_pairs(flt, rows.where("cid % 3 = 0"), rows, 2, most=40, sent=3).collect()
         assert len(got) == len(want) > 100 and {tuple(r) for r in got} == {tuple(r) for r in want}
+
+
+def test_results_of_one_place_and_title_come_in_the_order_of_their_excerpts(spark):
+    from lacuna.operators import evidence
+
+    pairs = spark.createDataFrame([("A", "C", "alpha", "gamma")], "a string, c string, a_name string, c_name string")
+    made = [("A", "C", 1, "Alpha", [f"{'gamma' if i < 2 else 'none'} {i}"], None) for i in range(6)]
+    for rows in (made, made[::-1], made[3:] + made[:3]):
+        row = evidence.from_search(spark.createDataFrame(rows, "a string, c string, place int, title string, excerpts array<string>, url string"), 2, read=3)(pairs).first()
+        assert row.hits == 2 and [i.snippet for i in row["items"]] == ["gamma 0", "gamma 1"]
