@@ -245,3 +245,16 @@ def test_results_of_one_place_and_title_come_in_the_order_of_their_excerpts(spar
     for rows in (made, made[::-1], made[3:] + made[:3]):
         row = evidence.from_search(spark.createDataFrame(rows, "a string, c string, place int, title string, excerpts array<string>, url string"), 2, read=3)(pairs).first()
         assert row.hits == 2 and [i.snippet for i in row["items"]] == ["gamma 0", "gamma 1"]
+
+
+def test_cosines_by_blocks_are_those_pair_by_pair(spark):
+    rng = random.Random(5)
+    some = lambda i: None if i % 19 == 3 else [] if i % 19 == 4 else [1.0, None, 2.0] if i % 19 == 5 else [0.0] * 4 if i % 19 == 6 else [rng.gauss(0, 1) for _ in range(3 + (i % 23 == 0))]
+    for make in (some, lambda i: [rng.gauss(0, 1) for _ in range(5)]):
+        rows = spark.createDataFrame([(i, make(i)) for i in range(150)], "k long, v array<float>").localCheckpoint()
+        q = rows.where("k % 7 = 0")
+        pairs = q.select(F.col("k").alias("a"), F.col("v").alias("x")).crossJoin(rows.select(F.col("k").alias("b"), F.col("v").alias("y"))).where("a <> b")
+        want = {(r.a, r.b): r.c for r in pairs.select("a", "b", F.round(T.cosine(F.col("x"), F.col("y")), 6).alias("c")).collect()}
+        got = similarity.cosines(q, rows, "k", "v", block=9).collect()
+        assert {(r.a, r.b): r.cosine for r in got} == want and len(got) == len(want)
+    assert similarity.cosines(q.where("false"), rows, "k", "v").count() == 0
