@@ -258,3 +258,12 @@ def test_cosines_by_blocks_are_those_pair_by_pair(spark):
         got = similarity.cosines(q, rows, "k", "v", block=9).collect()
         assert {(r.a, r.b): r.cosine for r in got} == want and len(got) == len(want)
     assert similarity.cosines(q.where("false"), rows, "k", "v").count() == 0
+
+
+def test_a_text_is_indexed_within_its_row(spark):
+    texts = ["a b a  c", "", " ", "x", "b a\nb é b", "w " * 3000, None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("index", T.inverted_index(F.col("t")))
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    for r in frame.withColumn("again", T.rebuilt_abstract(F.col("index"), 1 << 30)).collect():
+        want = None if r.t is None else {w: [p for p, x in enumerate(r.t.split(" ")) if x == w] for w in set(r.t.split(" "))}
+        assert r["index"] == want and r.again == (r.t or "")
