@@ -9,6 +9,7 @@ from lacuna.functions import constants as K
 from lacuna.functions import text as T
 from lacuna.operators.discovery import DiscoveryConfig
 from lacuna.operators.filters import RelevanceFilter, nonsense_target
+from lacuna.session import stored
 from lacuna.sources.corpus import Corpus, union_all
 
 
@@ -23,17 +24,21 @@ def bad_target(phrase: F.Column, terms: F.Column) -> F.Column:
 def mined(papers: DataFrame, limit: int = 8) -> DataFrame:
     """papers (topic, paper, title[, date]) in the order of ``paper``; the same paper may come up in several searches and then counts each time. Returns topic, target,
     paper_count (occurrences), distinct_papers, supporting (the first two titles, at most 80 characters), rank <= limit."""
-    rows = papers.withColumn("terms", T.topic_terms(F.col("topic"))).where(F.coalesce(F.col("title"), F.lit("")) != "")
-    rows = rows.where(T.mentions_topic(F.col("title"), F.col("terms"))).select("topic", "paper", "title", "terms", F.posexplode(T.phrases(F.col("title"), F.col("terms"))).alias("k", "target"))
+    papers = papers.select("topic", "paper", "title").where(F.coalesce(F.col("title"), F.lit("")) != "")
+    # a title is read once a topic, whichever papers have it; written, as Spark would push what tests its phrases down to every paper
+    titles, _ = stored(papers.select("topic", "title").distinct().repartition(papers.sparkSession.sparkContext.defaultParallelism), "titles")
+    titles = titles.withColumn("terms", T.topic_terms(F.col("topic"))).where(T.mentions_topic(F.col("title"), F.col("terms")))
+    said, _ = stored(titles.select("topic", "title", "terms", F.posexplode(T.phrases(F.col("title"), F.col("terms"))).alias("k", "target")), "phrases")
     # a phrase is judged once a topic, however often it occurs
-    good = rows.select("topic", "terms", "target").distinct().where(~bad_target(F.col("target"), F.col("terms"))).select("topic", "target")
-    rows = rows.join(good, ["topic", "target"])
+    good = said.select("topic", "terms", "target").distinct().where(~bad_target(F.col("target"), F.col("terms"))).select("topic", "target")
+    said, _ = stored(said.drop("terms").join(good, ["topic", "target"]), "targets")
+    rows = papers.join(said, [papers["topic"].eqNullSafe(said["topic"]), papers["title"] == said["title"]]).select(said["topic"], "paper", said["title"], "k", "target")
     place = Window.partitionBy("topic", "target").orderBy("paper", "k")
-    rows = rows.withColumn("place", F.row_number().over(place))
-    counts = rows.groupBy("topic", "target").agg(
-        F.count(F.lit(1)).alias("paper_count"), F.countDistinct("paper").alias("distinct_papers"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 2, F.struct("place", F.substring("title", 1, 80).alias("t"))))), lambda x: x["t"]).alias("supporting"),
-    )
+    # no more than two rows of a target leave a task for this, and a row a paper for the counts
+    first = rows.withColumn("place", F.row_number().over(place)).where("place <= 2").groupBy("topic", "target")
+    first = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.substring("title", 1, 80).alias("t")))), lambda x: x["t"]).alias("supporting"))
+    each = rows.groupBy("topic", "target", "paper").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.groupBy("topic", "target").agg(F.sum("n").alias("paper_count"), F.count("paper").alias("distinct_papers")).join(first, ["topic", "target"])
     w = Window.partitionBy("topic").orderBy(F.desc("paper_count"), "target")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("score", F.col("paper_count").cast("double"))
 

@@ -267,3 +267,14 @@ def test_a_text_is_indexed_within_its_row(spark):
     for r in frame.withColumn("again", T.rebuilt_abstract(F.col("index"), 1 << 30)).collect():
         want = None if r.t is None else {w: [p for p, x in enumerate(r.t.split(" ")) if x == w] for w in set(r.t.split(" "))}
         assert r["index"] == want and r.again == (r.t or "")
+
+
+def test_a_title_is_read_once_whichever_papers_have_it(spark):
+    from lacuna.operators import mining
+
+    titles = ["magnesium and (Magnesium sulfate Mix1) as a drug", "Fish Compound3 therapy of magnesium", "magnesium alone"]
+    papers = spark.createDataFrame([("magnesium", i, titles[i % 3]) for i in range(30)] + [("magnesium", 0, titles[0]), ("oil", 1, titles[1])], "topic string, paper int, title string")
+    found = mining.mined(papers)
+    got = {(r.topic, r.target): (r.paper_count, r.distinct_papers, r.supporting) for r in found.collect()}
+    assert got == {("magnesium", "Fish Compound3"): (10, 10, [titles[1]] * 2)}
+    assert "regexp_extract_all" not in found._jdf.queryExecution().executedPlan().toString()
