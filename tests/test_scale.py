@@ -278,3 +278,12 @@ def test_a_title_is_read_once_whichever_papers_have_it(spark):
     got = {(r.topic, r.target): (r.paper_count, r.distinct_papers, r.supporting) for r in found.collect()}
     assert got == {("magnesium", "Fish Compound3"): (10, 10, [titles[1]] * 2)}
     assert "regexp_extract_all" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_of_late_works_is_as_many_files_as_it_needs(spark, monkeypatch):
+    from lacuna.plans import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(Q, "FILE_ROWS", 2000)
+    want = {tuple(r) for r in Q.cooccurrence_edges(spark, d).collect()}
+    assert {tuple(r) for r in Q.late_works(spark, d).collect()} == want and want
