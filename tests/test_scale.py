@@ -110,6 +110,19 @@ def test_prefixes_meet_few_pairs(spark):
     assert few < all_ / 10
 
 
+def test_a_vector_goes_in_few_rows(spark):
+    rng = random.Random(3)
+    rows = [(g, [rng.uniform(-1, 1) for _ in range(k)]) for g, k in ((1, 70), (1, 64), (1, 3), (2, 70), (2, 70))] + [(2, None), (3, None), (3, [0.0])]
+    frame = spark.createDataFrame(rows, "g int, vec array<double>")
+    unit = [(g, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for g, v in rows if v and any(v)]
+    pairs = {g: [sum(a * b for a, b in zip(u, v)) for (h, u), (i, v) in itertools.combinations(unit, 2) if h == i == g] for g in (1, 2, 3)}
+    got = {r.g: (r.n, r.mean_cosine) for r in similarity.mean_cosine(frame, "g", members=frame.select("g")).collect()}
+    assert {g: n for g, (n, _) in got.items()} == {1: 3, 2: 3, 3: 2}
+    assert all(m == pytest.approx(sum(pairs[g]) / 3) for g, (_, m) in got.items())
+    plan = similarity.mean_cosine(frame, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and similarity.STRIP == 64  # rows go by strips, not by components
+
+
 def test_mean_cosine_is_the_mean_over_pairs(spark):
     rng = random.Random(3)
     rows = [(g, None if rng.random() < 0.1 else [rng.gauss(0, 1) if rng.random() < 0.9 else 0.0 for _ in range(5)]) for g in ("a", "b", None) for _ in range(9)]
