@@ -33,17 +33,18 @@ class Corpus:
     @classmethod
     def from_work_concepts(
         cls, work_concepts: DataFrame, names: DataFrame | None = None, works: DataFrame | None = None, comentions: DataFrame | None = None,
-        *, year_from: int | None = None, year_to: int | None = None, as_of_metadata: bool = False,
+        *, year_from: int | None = None, year_to: int | None = None, as_of_metadata: bool = False, tasks: int | None = None,
     ) -> "Corpus":
         """Edges from (work, cid[, year]), of works in [year_from, year_to]. names: (cid, name, level). The counts of
-        works and the corpus size are those of all years, unless as_of_metadata is set."""
+        works and the corpus size are those of all years, unless as_of_metadata is set. tasks: to how many the works are dealt out; the session's number, if
+        not given (``session.tasks`` has one that grows with the rows)."""
         within = in_years(work_concepts, year_from, year_to)
         meta = within if as_of_metadata else work_concepts
-        counts = meta.groupBy("cid").agg(F.countDistinct("work").alias("works_count"))
+        counts = by_work(meta, tasks).groupBy("cid").agg(F.count("work").alias("works_count"))
         names = names if names is not None else counts.select("cid", F.col("cid").cast("string").alias("name"), F.lit(0).alias("level"))
         concepts = names.join(counts, "cid", "left").withColumn("works_count", F.coalesce("works_count", F.lit(0)))
-        size = meta.agg(F.countDistinct("work").alias("size"))
-        return cls(concepts, cooccurrence_edges(within), size, within, works, comentions)
+        size = dealt(meta.select("work").where("work is not null"), tasks).distinct().agg(F.count(F.lit(1)).alias("size"))
+        return cls(concepts, cooccurrence_edges(within, tasks=tasks), size, within, works, comentions)
 
     def kept(self, pool: int | None = None) -> "Corpus":
         """The same, where what plans read several times is written once to the shared folder, when it is first read: the concepts, the size, a count of
@@ -115,26 +116,38 @@ def in_years(frame: DataFrame, year_from: int | None, year_to: int | None) -> Da
     return frame
 
 
+def dealt(frame: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The rows dealt out by work, once for all that is then grouped or joined by it: to so many tasks, or the session's number."""
+    return frame.repartition(tasks, "work") if tasks else frame.repartition("work")
+
+
+def by_work(work_concepts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(work, cid), distinct, a work's in one task."""
+    return dealt(work_concepts.select("work", "cid"), tasks).distinct()
+
+
 #: Concepts of a work that one task pairs with each other.
 BLOCK = 512
 
 
-def concept_pairs(wc: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(src, dst), src < dst: every pair of a work's concepts, a row a work. wc: distinct (work, cid); where it has a year, one a row, so have
-    the pairs: the later one of the two.
+def concept_pairs(wc: DataFrame, block: int = BLOCK, tasks: int | None = None, keep: bool = False) -> DataFrame:
+    """(src, dst), src < dst: every pair of a work's concepts, a row a work; with ``keep`` its work, too. wc: distinct (work, cid); where it has a year, one a
+    row, so have the pairs: the later one of the two.
 
-    A work with more than ``block`` concepts has them dealt out to blocks of about so many, and each pair of blocks, half of the square, is a key
-    of its own: a work of d concepts goes to (d / block)^2 / 2 keys of block^2 pairs at most, whichever tasks they fall to, and each of
-    its rows is sent d / block + 1 times. Other works are one block, one key."""
-    many = wc.groupBy("work").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("work", F.ceil(F.col("n") / block).alias("k"))
-    rows = wc.join(many, "work", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("cid"), F.col("k")))
+    Works are dealt out once, and paired where they are. A work with more than ``block`` concepts has them dealt out to blocks of about so many, and each
+    pair of blocks, half of the square, is a key of its own: a work of d concepts goes to (d / block)^2 / 2 keys of block^2 pairs at most, whichever
+    tasks they fall to, and each of its rows is sent d / block + 1 times."""
+    sized = dealt(wc, tasks).withColumn("k", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("work")) / block))
     dated = "year" in wc.columns
     year = lambda name: [F.col("year").alias(name)] if dated else []
+    least, most = F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")
+    ends = [*([F.col("work")] if keep else []), least, most, *([F.greatest("u", "v").alias("year")] if dated else [])]
+    side = lambda cid, at: sized.where("k <= 1").select("work", F.col("cid").alias(cid), *year(at))
+    most_works = side("x", "u").join(side("y", "v"), "work").where("x < y").select(*ends)
+    rows = sized.where("k > 1").withColumn("at", F.pmod(F.xxhash64("cid"), F.col("k")))
     left = rows.select("work", F.col("cid").alias("x"), *year("u"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("k") - 1)).alias("j"))
     right = rows.select("work", F.col("cid").alias("y"), *year("v"), F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("i"), F.col("at").alias("j"))
-    both = left.join(right, ["work", "i", "j"]).where("i < j or x < y")
-    return both.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), *([F.greatest("u", "v").alias("year")] if dated else []))
+    return most_works.unionByName(left.join(right, ["work", "i", "j"]).where("i < j or x < y").select(*ends))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -144,23 +157,23 @@ def mirrored(pairs: DataFrame) -> DataFrame:
     return pairs.select(turned, *rest).select("e.src", "e.dst", *rest)
 
 
-def cooccurrence_edges(work_concepts: DataFrame, include_self: bool = False, block: int = BLOCK) -> DataFrame:
+def cooccurrence_edges(work_concepts: DataFrame, include_self: bool = False, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
     """(src, dst, cooc): number of works that have both. A work's concepts count once; both directions are rows.
 
     Pairs are made once per work as src < dst, counted with partial aggregation, and only then mirrored, a row into two, so that
     nothing is planned twice."""
-    wc = work_concepts.select("work", "cid").where("work is not null and cid is not null").distinct()
-    both = mirrored(concept_pairs(wc, block).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cooc")))
+    wc = by_work(work_concepts.where("work is not null and cid is not null"), tasks)
+    both = mirrored(concept_pairs(wc, block, tasks).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cooc")))
     if include_self:
         both = both.unionByName(wc.groupBy(F.col("cid").alias("src"), F.col("cid").alias("dst")).agg(F.count(F.lit(1)).alias("cooc")))
     return both
 
 
-def anchored_edges(work_concepts: DataFrame, anchors: DataFrame) -> DataFrame:
+def anchored_edges(work_concepts: DataFrame, anchors: DataFrame, tasks: int | None = None) -> DataFrame:
     """Edges of a few concepts only (anchors: cid), without building the graph: the works that have an anchor, then
     what else those have."""
-    wc = work_concepts.select("work", "cid").distinct()
-    of = wc.join(anchors.select("cid").distinct(), "cid").withColumnRenamed("cid", "src")
+    wc = by_work(work_concepts, tasks)
+    of = dealt(work_concepts.select("work", "cid").join(anchors.select("cid").distinct(), "cid"), tasks).distinct().withColumnRenamed("cid", "src")
     return of.join(wc.withColumnRenamed("cid", "dst"), "work").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cooc"))
 
 

@@ -110,6 +110,20 @@ def test_prefixes_meet_few_pairs(spark):
     assert few < all_ / 10
 
 
+def test_works_are_dealt_out_by_the_number_of_rows(spark, monkeypatch):
+    from lacuna import session
+
+    rows = spark.createDataFrame([(w, f"c{(w * k) % 7}") for w in range(40) for k in range(4)] + [(None, "c1")], "work long, cid string")
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10)
+    assert session.tasks(rows) == 17 and session.tasks(rows.limit(5)) == spark.sparkContext.defaultParallelism
+    dealt, plain = (C.Corpus.from_work_concepts(rows, tasks=n) for n in (session.tasks(rows), None))
+    for of in (lambda c: c.edges, lambda c: c.concepts, lambda c: c.size, lambda c: C.anchored_edges(rows, spark.createDataFrame([("c1",), ("c4",)], "cid string"), 17)):
+        assert sorted(of(dealt).collect()) == sorted(of(plain).collect())
+    assert dealt.size.first()[0] == 40
+    kept = C.concept_pairs(C.by_work(rows.dropna(), 17), tasks=17, keep=True)
+    assert kept.rdd.getNumPartitions() >= 17 and kept.groupBy("src", "dst").count().count() * 2 == dealt.edges.count()
+
+
 def test_a_vector_goes_in_few_rows(spark):
     rng = random.Random(3)
     rows = [(g, [rng.uniform(-1, 1) for _ in range(k)]) for g, k in ((1, 70), (1, 64), (1, 3), (2, 70), (2, 70))] + [(2, None), (3, None), (3, [0.0])]
