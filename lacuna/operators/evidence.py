@@ -62,20 +62,20 @@ def verdict_histogram(hyps: DataFrame) -> DataFrame:
     return hyps.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-def citations(links: DataFrame, work_concepts: DataFrame, works: DataFrame | None = None) -> DataFrame:
+def citations(links: DataFrame, work_concepts: DataFrame, works: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """For the first two bridges of each link the most cited work of either leg; each work once a link: a, c, work and, with works, its columns."""
     legs = links.select("a", "c", F.posexplode(F.slice("bridge_ids", 1, 2)).alias("k", "b"))
     legs = legs.select("a", "c", "k", F.posexplode(F.array(F.array("a", "b"), F.array("b", "c"))).alias("leg", "cids"))
     sets = legs.withColumn("set_id", F.array_join(F.array_sort("cids"), "\u0001"))
-    best = works_with_all(work_concepts, sets.select("set_id", "cids").dropDuplicates(["set_id"]), works, 1)
+    best = works_with_all(work_concepts, sets.select("set_id", "cids").dropDuplicates(["set_id"]), works, 1, tasks)
     w = Window.partitionBy("a", "c", "work").orderBy("k", "leg")
     found = sets.join(best, "set_id").withColumn("r", F.row_number().over(w)).where("r = 1")
     return found.drop("set_id", "cids", "r", "w_rank")
 
 
-def with_citations(links: DataFrame, work_concepts: DataFrame, works: DataFrame | None = None) -> DataFrame:
+def with_citations(links: DataFrame, work_concepts: DataFrame, works: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """links with works_cited (structs of work and, with ``works``, title, year, url; in the order of bridges and legs) and n_citations."""
-    found = citations(links.select("a", "c", "bridge_ids"), work_concepts, works)
+    found = citations(links.select("a", "c", "bridge_ids"), work_concepts, works, tasks)
     kept = [c for c in ("work", "title", "year", "url") if c in found.columns]
     each = found.groupBy("a", "c").agg(F.array_sort(F.collect_list(F.struct("k", "leg", *kept))).alias("_w"))
     out = links.join(each, ["a", "c"], "left").withColumn("works_cited", F.transform("_w", lambda x: F.struct(*[x[c].alias(c) for c in kept])))

@@ -29,6 +29,8 @@ class Corpus:
     held: list = field(default_factory=list, compare=False)
     near: dict | None = field(default=None, compare=False)
     near_limit: int | None = None
+    #: To how many tasks works are dealt out; None: the session's number.
+    tasks: int | None = None
 
     @classmethod
     def from_work_concepts(
@@ -44,7 +46,7 @@ class Corpus:
         names = names if names is not None else counts.select("cid", F.col("cid").cast("string").alias("name"), F.lit(0).alias("level"))
         concepts = names.join(counts, "cid", "left").withColumn("works_count", F.coalesce("works_count", F.lit(0)))
         size = dealt(meta.select("work").where("work is not null"), tasks).distinct().agg(F.count(F.lit(1)).alias("size"))
-        return cls(concepts, cooccurrence_edges(within, tasks=tasks), size, within, works, comentions)
+        return cls(concepts, cooccurrence_edges(within, tasks=tasks), size, within, works, comentions, tasks=tasks)
 
     def kept(self, pool: int | None = None) -> "Corpus":
         """The same, where what plans read several times is written once to the shared folder, when it is first read: the concepts, the size, a count of
@@ -130,14 +132,14 @@ def by_work(work_concepts: DataFrame, tasks: int | None = None) -> DataFrame:
 BLOCK = 512
 
 
-def concept_pairs(wc: DataFrame, block: int = BLOCK, tasks: int | None = None, keep: bool = False) -> DataFrame:
+def concept_pairs(wc: DataFrame, block: int = BLOCK, keep: bool = False) -> DataFrame:
     """(src, dst), src < dst: every pair of a work's concepts, a row a work; with ``keep`` its work, too. wc: distinct (work, cid); where it has a year, one a
     row, so have the pairs: the later one of the two.
 
-    Works are dealt out once, and paired where they are. A work with more than ``block`` concepts has them dealt out to blocks of about so many, and each
+    Works are paired where ``by_work`` has dealt them out, else they are dealt out here. A work with more than ``block`` concepts has them dealt out to blocks of about so many, and each
     pair of blocks, half of the square, is a key of its own: a work of d concepts goes to (d / block)^2 / 2 keys of block^2 pairs at most, whichever
     tasks they fall to, and each of its rows is sent d / block + 1 times."""
-    sized = dealt(wc, tasks).withColumn("k", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("work")) / block))
+    sized = wc.withColumn("k", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("work")) / block))
     dated = "year" in wc.columns
     year = lambda name: [F.col("year").alias(name)] if dated else []
     least, most = F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")
@@ -163,7 +165,7 @@ def cooccurrence_edges(work_concepts: DataFrame, include_self: bool = False, blo
     Pairs are made once per work as src < dst, counted with partial aggregation, and only then mirrored, a row into two, so that
     nothing is planned twice."""
     wc = by_work(work_concepts.where("work is not null and cid is not null"), tasks)
-    both = mirrored(concept_pairs(wc, block, tasks).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cooc")))
+    both = mirrored(concept_pairs(wc, block).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cooc")))
     if include_self:
         both = both.unionByName(wc.groupBy(F.col("cid").alias("src"), F.col("cid").alias("dst")).agg(F.count(F.lit(1)).alias("cooc")))
     return both
@@ -211,23 +213,38 @@ def with_meta(frame: DataFrame, meta: DataFrame, key: str = "cid") -> DataFrame:
     return out.drop("m_level", "m_works")
 
 
-def works_with_all(work_concepts: DataFrame, sets: DataFrame, works: DataFrame | None = None, limit: int = 2) -> DataFrame:
+#: Sets, or their concepts, up to which they go to every task.
+MOST_SETS = 100_000
+
+
+def works_with_all(work_concepts: DataFrame, sets: DataFrame, works: DataFrame | None = None, limit: int = 2, tasks: int | None = None, most: int = MOST_SETS) -> DataFrame:
     """Relational division: for each set (set_id, cids array) the works that have all its concepts, the most cited
-    first, ties by work. Returns set_id, work, w_rank and, with ``works``, title, year, cited, url.
+    first, ties by work. Returns set_id, work, w_rank and, with ``works``, title, year, cited, url. Running jobs, it counts and writes the sets.
 
-    The set's rarest concept, by count, gives the works that can have them all; these are looked up by (work, concept) for each of the
-    others. So a set costs what its rarest concept has, however frequent the others are, and no frequent concept is a join's key."""
-    wc = work_concepts.select("work", "cid").distinct()
+    A set is met by its two rarest concepts: each work is read once, for the pairs of those of its concepts that are asked for, whatever the number of sets;
+    works found are looked up by (work, concept) for the rest of a set. Up to ``most`` sets are sent to every task, more are joined by equality."""
     asked = sets.select("set_id", F.array_distinct("cids").alias("cids")).where(F.size("cids") > 0)
-    members = asked.select("set_id", F.explode("cids").alias("cid"))
-    counts = wc.join(members.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
-    rarest = members.join(counts, "cid").groupBy("set_id").agg(F.min(F.struct("n", "cid")).alias("low"), F.count(F.lit(1)).alias("met"))
-    led = asked.join(rarest, "set_id").where("met = size(cids)").select("set_id", F.col("low.cid").alias("cid"), F.array_except("cids", F.array("low.cid")).alias("rest"))
-    able = led.join(wc, "cid").select("set_id", "work", F.size("rest").alias("k"), F.explode_outer("rest").alias("cid"))
-    have = able.join(wc.withColumn("has", F.lit(1)), ["work", "cid"], "left").groupBy("set_id", "work", "k").agg(F.count("has").alias("n")).where("n = k").select("set_id", "work")
+    counts = work_concepts.groupBy("cid").agg(F.count(F.lit(1)).alias("n"))  # only the order of a set's concepts depends on it
+    placed = asked.select("set_id", F.explode("cids").alias("cid")).join(counts, "cid", "left")
+    led = placed.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "cid"))).alias("m")).select("set_id", F.transform("m", lambda x: x["cid"]).alias("m"))
+    low, high = F.array_min(F.slice("m", 1, 2)), F.array_max(F.slice("m", 1, 2))
+    led, _ = stored(led.select("set_id", F.size("m").alias("of"), low.alias("src"), high.alias("dst"), F.slice("m", F.lit(3), F.greatest(F.size("m") - 2, F.lit(0))).alias("rest"), "m"), "sets")
+    n_sets, n_one, n_more, longest = led.agg(F.count(F.lit(1)), F.count_if(F.col("of") == 1), F.count_if(F.col("of") > 2), F.sum("of")).first()
+    sent = F.broadcast if n_sets <= most and (longest or 0) <= most else lambda f: f
+    wanted = led.select(F.explode("m").alias("cid")).distinct()
+    wc = by_work(work_concepts.where("work is not null").join(sent(wanted), "cid", "left_semi"), tasks)
+    have = concept_pairs(wc, keep=True).join(sent(led.where("of > 1").select("set_id", "src", "dst", "rest")), ["src", "dst"]).select("set_id", "work", "rest")
+    if n_more:
+        each = have.where(F.size("rest") > 0).select("set_id", "work", F.size("rest").alias("k"), F.explode("rest").alias("cid"))
+        rest = each.join(wc, ["work", "cid"]).groupBy("set_id", "work", "k").agg(F.count(F.lit(1)).alias("n")).where("n = k").select("set_id", "work")
+        have = have.where(F.size("rest") == 0).select("set_id", "work").unionByName(rest)
+    else:
+        have = have.select("set_id", "work")
+    if n_one:
+        have = have.unionByName(wc.join(sent(led.where("of = 1").select("set_id", F.col("src").alias("cid"))), "cid").select("set_id", "work"))
     cited = F.lit(0)
     if works is not None:
-        have = have.join(works, "work", "left").withColumn("title", F.coalesce("title", F.lit("(untitled)")))
+        have = dealt(have, tasks).join(dealt(works, tasks), "work", "left").withColumn("title", F.coalesce("title", F.lit("(untitled)")))
         cited = F.coalesce("cited", F.lit(0))
     w = Window.partitionBy("set_id").orderBy(cited.desc(), "work")
     return have.withColumn("w_rank", F.row_number().over(w)).where(F.col("w_rank") <= limit)

@@ -120,10 +120,22 @@ def test_works_are_dealt_out_by_the_number_of_rows(spark, monkeypatch):
     for of in (lambda c: c.edges, lambda c: c.concepts, lambda c: c.size, lambda c: C.anchored_edges(rows, spark.createDataFrame([("c1",), ("c4",)], "cid string"), 17)):
         assert sorted(of(dealt).collect()) == sorted(of(plain).collect())
     assert dealt.size.first()[0] == 40
-    kept = C.concept_pairs(C.by_work(rows.dropna(), 17), tasks=17, keep=True)
+    kept = C.concept_pairs(C.by_work(rows.dropna(), 17), keep=True)
     assert kept.rdd.getNumPartitions() >= 17 and kept.groupBy("src", "dst").count().count() * 2 == dealt.edges.count()
 
 
+def test_sets_are_met_by_pairs_of_concepts(spark):
+    rng = random.Random(5)
+    of = {w: set(rng.sample("abcdef", rng.randint(1, 5))) for w in range(60)}
+    wc = spark.createDataFrame([(w, c) for w, cs in of.items() for c in cs] + [(0, sorted(of[0])[0])], "work long, cid string")
+    sets = {"one": ["a"], "two": ["b", "a"], "same": ["a", "a", "b"], "three": ["a", "c", "d"], "four": ["f", "a", "c", "d"], "unknown": ["a", "z"], "none": []}
+    asked = spark.createDataFrame(list(sets.items()), "set_id string, cids array<string>")
+    want = {(s, w) for s, cs in sets.items() for w, have in of.items() if cs and set(cs) <= have}
+    for most in (100, 0):  # sent to every task, or joined by equality
+        found = C.works_with_all(wc, asked, limit=100, tasks=3, most=most)
+        assert sorted((r.set_id, r.work) for r in found.collect()) == sorted(want)
+
+
 def test_a_vector_goes_in_few_rows(spark):
     rng = random.Random(3)
     rows = [(g, [rng.uniform(-1, 1) for _ in range(k)]) for g, k in ((1, 70), (1, 64), (1, 3), (2, 70), (2, 70))] + [(2, None), (3, None), (3, [0.0])]
