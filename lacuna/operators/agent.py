@@ -26,7 +26,7 @@ def counted(corpus: Corpus) -> EvidenceProvider:
 
 def _finished(corpus: Corpus, links: DataFrame, cite: bool, verify: bool, provider: EvidenceProvider | None, reasoner: Reasoner | None) -> DataFrame:
     if cite and corpus.work_concepts is not None:
-        links = evidence.with_citations(links, corpus.work_concepts, corpus.works)
+        links = evidence.with_citations(links, corpus.work_concepts, corpus.works, corpus.tasks)
     hyps = (reasoner or evidence.hypotheses)(links)
     if not verify:
         return hyps
