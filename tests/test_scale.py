@@ -276,6 +276,22 @@ def test_concepts_alike_are_compared_once_and_every_pair_comes_out(spark):
         assert len(got) == len(want) > 100 and {tuple(r) for r in got} == {tuple(r) for r in want}
 
 
+def test_pairs_of_concepts_alike_are_unfolded_by_spark_and_no_row_holds_every_topic(spark, monkeypatch):
+    from lacuna.operators import filters
+
+    counts = []
+    keep = filters.stored
+    monkeypatch.setattr(filters, "stored", lambda frame, name: (counts.append(frame.count()), keep(frame, name))[1])
+    rows = spark.createDataFrame([(i, ["fish oil", "magnesium", "blood viscosity"][i % 3], i % 4) for i in range(240)], "cid long, name string, level int")
+    got = filters.usable_pairs(filters.make_filter("biomed"), rows.where("cid % 5 = 0"), rows, 2, most=40, sent=7)
+    assert counts == [12, 12]  # parts are made of the largest group, not of all rows
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    steps = [line.split()[0].lstrip("+-:*") or line.split()[1] for line in plan.splitlines() if any(s in line for s in ("Generate explode(a#", "Generate explode(c#", "Coalesce ", "NestedLoopJoin", "MapIn"))]
+    assert steps == ["Generate", "Coalesce", "Generate", "Coalesce", "BroadcastNestedLoopJoin"], plan
+    assert {tuple(r) for r in got.collect()} == {(a, c) for a in range(0, 240, 5) for c in range(240) if c % 4 >= 2 and a % 3 != c % 3} and got.count() == 48 * 80
+    assert filters.usable_pairs(filters.LevelFilter(), rows.where("false"), rows, 2).count() == 0
+
+
 def test_results_of_one_place_and_title_come_in_the_order_of_their_excerpts(spark):
     from lacuna.operators import evidence
 
